@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import fingerprints, mixing, packing, sharding, token_files
+from quillon.llm import embeddings, fingerprints, mixing, packing, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_pivot_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_token_files, op6_best_fit_packing, op8_merkle_fingerprints, op9_two_pass_shards, op10_curriculum_mix]
+    found = [op2_token_files, op6_best_fit_packing, op7_pivot_embeddings, op8_merkle_fingerprints, op9_two_pass_shards, op10_curriculum_mix]
     return {f.__name__: f for f in found}
 
 
