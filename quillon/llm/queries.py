@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import embeddings, fingerprints, mixing, packing, sharding, token_files
+from quillon.llm import embeddings, fingerprints, mixing, packing, quality, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_token_files, op6_best_fit_packing, op7_pivot_embeddings, op8_merkle_fingerprints, op9_two_pass_shards, op10_curriculum_mix]
+    found = [op2_token_files, op3_quality_sites, op6_best_fit_packing, op7_pivot_embeddings, op8_merkle_fingerprints, op9_two_pass_shards, op10_curriculum_mix]
     return {f.__name__: f for f in found}
 
 
