@@ -68,7 +68,8 @@ def features(texts: pa.Array) -> np.ndarray:
         capital = np.bincount(row[at[_CLASS[raw[at]] == 2]], minlength=n)
         # Repeated words: those that begin with the same four bytes as another, or as the one before.
         quad = np.append(raw, np.zeros(3, np.uint8))
-        head = sum(quad[at + k].astype(np.int64) << (8 * k) for k in range(4))
+        end = offsets[row[at] + 1]
+        head = sum(np.where(at + k < end, quad[at + k], 0).astype(np.int64) << (8 * k) for k in range(4))
         order = np.lexsort((head, row[at]))
         again = (head[order][1:] == head[order][:-1]) & (row[at][order][1:] == row[at][order][:-1])
         repeats = np.bincount(row[at][order][1:][again], minlength=n)
