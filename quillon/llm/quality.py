@@ -52,6 +52,7 @@ def features(texts: pa.Array) -> np.ndarray:
     raw, offsets = joined(texts)
     n = len(offsets) - 1
     out = np.zeros((n, N_FEATURES))
+    out[:, -1] = np.log1p(1)  # a text without line ends is one line
     size = np.diff(offsets).astype(float)
     if len(raw):
         kind = _CLASS[raw].astype(np.int64)
