@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import embeddings, fingerprints, minhash, mixing, packing, quality, sharding, token_files
+from quillon.llm import embeddings, fingerprints, linededup, minhash, mixing, packing, quality, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.removed_lines(_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_token_files, op3_quality_sites, op4_minhash_classes, op6_best_fit_packing, op7_pivot_embeddings, op8_merkle_fingerprints, op9_two_pass_shards, op10_curriculum_mix]
+    found = [op2_token_files, op3_quality_sites, op4_minhash_classes, op5_line_dedup, op6_best_fit_packing, op7_pivot_embeddings, op8_merkle_fingerprints, op9_two_pass_shards, op10_curriculum_mix]
     return {f.__name__: f for f in found}
 
 
