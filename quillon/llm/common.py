@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of DataFrames that nothing refers to any more, now rather than at its next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clean_staging(spark: SparkSession) -> None:
     """Delete everything that :func:`staged` has left in the shared folder; call it when no result is read any more."""
     jvm = spark.sparkContext._jvm

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import embeddings, fingerprints, linededup, minhash, mixing, packing, quality, sharding, token_files
+from quillon.llm import embeddings, fingerprints, linededup, minhash, mixing, packing, quality, sharding, substrings, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_token_files, op3_quality_sites, op4_minhash_classes, op5_line_dedup, op6_best_fit_packing, op7_pivot_embeddings, op8_merkle_fingerprints, op9_two_pass_shards, op10_curriculum_mix]
+    found = [op1_suffix_dedup, op2_token_files, op3_quality_sites, op4_minhash_classes, op5_line_dedup, op6_best_fit_packing, op7_pivot_embeddings, op8_merkle_fingerprints, op9_two_pass_shards, op10_curriculum_mix]
     return {f.__name__: f for f in found}
 
 
