@@ -235,14 +235,15 @@ def classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     firsts = staged(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")).where("node is not null"), "digests")
     reps = signed.join(firsts.withColumn("doc_id", F.col("node")), ["digest", "doc_id"])
     reps = staged(reps.select("node", "sketch", "bands"), "signed-texts")
-    banded = reps.select("node", "bands").mapInArrow(_bands, "key long, node long").distinct()
+    banded = reps.select("node", "bands").mapInArrow(_bands, "key long, node long")
     buckets = staged(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n > 1").select("key", "n"), "buckets")
     met = banded.join(buckets, "key")
     met = met.join(reps.select("node", "sketch").dropDuplicates(["node"]), "node")
     agreed = _blocked(met, "key", "n", ["sketch"]).mapInArrow(_by_sketch(MARGIN), "a long, b long")
     families = staged(components(agreed).withColumnRenamed("component", "family"), "families")
     families = families.join(families.groupBy("family").agg(F.count(F.lit(1)).alias("n")), "family")
-    members = docs.join(families.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "family", "n", "text")
+    # The merge hint makes the plan the same at every size: members grow with the input and are never broadcast.
+    members = docs.join(families.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select(F.col("doc_id").alias("node"), "family", "n", "text")
     sets = members.mapInArrow(_sets, "node long, family long, n long, shingles binary")
     links = _blocked(sets, "family", "n", ["shingles"]).mapInArrow(_exactly(threshold), "a long, b long")
     found = components(links)
