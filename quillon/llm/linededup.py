@@ -285,7 +285,7 @@ def removed_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     members = families.join(sizes, "family").join(firsts, "node").select("node", "family", "n", "first.doc_id", "first.line")
     members = members.groupBy("doc_id").agg(F.collect_list(F.struct("node", "family", "n", "line")).alias("members"))
-    texts = docs.select(own.alias("doc_id"), "text").join(members, "doc_id")
+    texts = docs.select(own.alias("doc_id"), "text").join(members.hint("merge"), "doc_id")
     sets = texts.mapInArrow(_member_sets, "node long, family long, n long, doc_id long, line int, words binary")
     later = _blocked(sets, "family", "n", ["doc_id", "line", "words"]).mapInArrow(_verify(threshold), "node long").distinct()
     later = staged(later, "later-nodes").withColumn("later", F.lit(True))
@@ -302,7 +302,7 @@ def removed_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def remove_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """*df* with those lines taken out of text; n_chars, where there is one, follows the text."""
     gone = removed_lines(df, threshold).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), F.col("removed").alias("_gone")).dropDuplicates(["_id"])
-    out = df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).join(gone, "_id", "left")
+    out = df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).join(gone.hint("merge"), "_id", "left")
     kept = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda s, i: F.when(~F.array_contains("_gone", i), s)), lambda s: s.isNotNull()), "\n")
     out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in df.columns:

@@ -143,4 +143,4 @@ def training_order(df: DataFrame, **options) -> DataFrame:
     own = name(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.md5(text_or_empty().cast("binary")))
     # Repeated rows are drawn one by one, so one of them stands for all; both steps deal the texts out by one key.
     own = df.withColumn("_row", own).dropDuplicates(["_row"])
-    return own.join(drawn, "_row").drop("_row").orderBy("_position")
+    return own.join(drawn.hint("merge"), "_row").drop("_row").orderBy("_position")

@@ -425,10 +425,10 @@ def repeated_windows_of(df: DataFrame) -> DataFrame:
     del dealt, told
     release(spark)
     # Both joins deal the texts out by the same key, so they share one exchange.
-    dealt = docs.join(shared, "hash", "left").mapInArrow(_segments(buckets), "bucket long, rows binary, bytes binary").repartition(n, "bucket")
+    dealt = docs.join(shared.hint("merge"), "hash", "left").mapInArrow(_segments(buckets), "bucket long, rows binary, bytes binary").repartition(n, "bucket")
     marks = dealt.mapInArrow(_repeats(buckets), "bucket long, rows binary").repartition(n, "bucket")
     found = marks.mapInArrow(_by_document(MARK), "hash long, found binary")
-    return docs.join(found, "hash", "left").select("doc", "text", "found")
+    return docs.join(found.hint("merge"), "hash", "left").select("doc", "text", "found")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
