@@ -14,7 +14,7 @@ by content:
 3. Rows with common prefixes of 50 or more are one string; where its least document is smaller than a row's own, the
    window is removed.  The windows go back to their documents, whose covered bytes are cut out.
 
-Equal segments are met by their least document alone, first within a task and then within a bucket, and the others are
+Equal texts are one text, whose windows are those of its first document; the others are removed whole.  Equal segments are met by their least document alone, first within a task and then within a bucket, and the others are
 removed at once, so that a group of copies or a common passage costs a row a task.
 
 Defined results: a null text is empty; null ids come after all others; rows with equal ids are not earlier than each
@@ -213,8 +213,8 @@ def _segments(buckets: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, contents, size = [], [], 0
         for batch in batches:
-            found = batch.column("found")
-            batch = batch.filter(found.is_valid())
+            first = batch.column("doc").to_numpy() == batch.column("first").to_numpy()
+            batch = batch.filter(pa.array(first & batch.column("found").is_valid().to_numpy(zero_copy_only=False)))
             texts, doc, hashes = batch.column("text"), batch.column("doc").to_numpy(), batch.column("hash").to_numpy()
             for a, b in slices(texts, SLICE):
                 raw, offsets = joined(texts.slice(a, b - a))
@@ -412,30 +412,37 @@ def spans(found: bytes | None, doc: int) -> np.ndarray:
 
 
 def repeated_windows_of(df: DataFrame) -> DataFrame:
-    """doc (the id, the last one for null), text and ``found``, the marked windows of each text; see :func:`spans`."""
+    """doc (the id, the last one for null), first, text and ``found``, the marked windows of first copies; see :func:`spans`.
+
+    Copies of a whole text are one text: *first* is the least id that has it, and all others lose everything.
+    """
     spark = df.sparkSession
     docs = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), text_or_empty().alias("text"))
-    docs = docs.withColumn("hash", F.xxhash64("doc", "text"))
+    docs = docs.withColumn("hash", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(4 * n, int(size // BUCKET_BYTES))
+    md5 = F.md5(F.col("text").cast("binary"))
+    firsts = staged(docs.groupBy("hash", md5.alias("md5")).agg(F.min("doc").alias("first")), "first-copies")
     dealt = docs.select("hash", "text").mapInArrow(_anchors(buckets), "bucket long, rows binary").repartition(n, "bucket")
     told = dealt.mapInArrow(_shared(buckets), "bucket long, rows binary").repartition(n, "bucket")
     shared = staged(told.mapInArrow(_by_document(ANCHOR), "hash long, found binary"), "shared-minimizers")
     del dealt, told
     release(spark)
-    # Both joins deal the texts out by the same key, so they share one exchange.
-    dealt = docs.join(shared.hint("merge"), "hash", "left").mapInArrow(_segments(buckets), "bucket long, rows binary, bytes binary").repartition(n, "bucket")
+    # All joins deal the texts out by the same key, so they share one exchange.
+    texts = docs.join(firsts.hint("merge"), "hash").where(md5 == F.col("md5")).drop("md5")
+    dealt = texts.join(shared.hint("merge"), "hash", "left").mapInArrow(_segments(buckets), "bucket long, rows binary, bytes binary").repartition(n, "bucket")
     marks = dealt.mapInArrow(_repeats(buckets), "bucket long, rows binary").repartition(n, "bucket")
     found = marks.mapInArrow(_by_document(MARK), "hash long, found binary")
-    return docs.join(found.hint("merge"), "hash", "left").select("doc", "text", "found")
+    return texts.join(found.hint("merge"), "hash", "left").select("doc", "first", "text", "found")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, text, found in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("found").to_pylist()):
-            data, runs = bytes(text.as_buffer()), spans(found, doc)
+        for doc, first, text, found in zip(batch.column("doc").to_pylist(), batch.column("first").to_pylist(), batch.column("text"), batch.column("found").to_pylist()):
+            data = bytes(text.as_buffer())
+            runs = spans(found, doc) if doc == first else np.array([[0, len(data)]] if len(data) >= LENGTH else [], np.int64).reshape(-1, 2)
             kept, at = [], 0
             for a, b in runs.tolist():
                 kept.append(data[at:a])
