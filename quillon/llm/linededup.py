@@ -7,7 +7,8 @@ Lines with equal sets are one node from the start, and all but the node's first
 ordered by rarity: words outside the table of the most frequent ones first, then the table by rising count.  Two sets
 that are similar enough share a word among the first ``n - ceil(t * n) + 1`` of each (prefix filter).  Sets that meet in
 a prefix word are compared by length, by the overlap that their places in the order still allow (positional filter),
-and by a 128-bit map of their words that bounds the overlap from above.  What passes is connected to a family;
+and by counts of their words in 32 groups (128 for long lines), whose differences bound from below how many words
+are in one set only.  What passes is connected to a family;
 families are verified exactly, block by block, and the later line of each similar pair goes.
 
 The order of words decides how many candidates there are, not which lines are similar: the table holds at most
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import staged
+from quillon.llm.common import release, staged
 from quillon.llm.components import components
 from quillon.llm.hashing import complete_groups, distinct, mix, word_hashes
 from quillon.llm.minhash import _blocked, _least, _moved, similar_pairs
@@ -43,7 +44,9 @@ LIST_BLOCK = 20_000
 BUCKET_BYTES = 32 << 20
 LAST_ID = (1 << 63) - 1
 
-POSTING = np.dtype([("hi", "<u4"), ("lo", "<u2"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u2"), ("side", "u1"), ("m0", "<u8"), ("m1", "<u8")])
+POSTING = np.dtype([("hi", "<u4"), ("lo", "<u2"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u2"), ("side", "u1"), ("counts", "u1", 16)])
+#: Longer lines also send counts of four times as many groups of words.
+WIDE = 256
 
 
 class Lines:
@@ -101,10 +104,23 @@ def _prefixes(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def _bitmap(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bit = mix(words) >> np.uint64(57)
-    one = np.uint64(1) << (bit & np.uint64(63))
-    return np.where(bit < 64, one, np.uint64(0)), np.where(bit < 64, np.uint64(0), one)
+def _group_counts(words: np.ndarray, line: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """How many words of each line fall in each of 2**bits groups, modulo 16, two to a byte."""
+    group = (mix(words) >> np.uint64(64 - bits)).astype(np.int64)
+    counts = np.bincount(line << bits | group, minlength=n << bits).reshape(n, 1 << bits).astype(np.uint8) & 15
+    return counts[:, ::2] | counts[:, 1::2] << 4
+
+
+def _unpacked(packed: np.ndarray) -> np.ndarray:
+    out = np.empty((len(packed), 2 * packed.shape[1]), np.int8)
+    out[:, ::2], out[:, 1::2] = packed & 15, packed >> 4
+    return out
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """At most so many words, in both lines together, are in one only: differences of counts, around the circle of 16."""
+    d = np.abs(x - y)
+    return np.minimum(d, 16 - d).sum(1, dtype=np.int64)
 
 
 def _postings(threshold: float, frequent: np.ndarray, counts: np.ndarray, buckets: int):
@@ -140,9 +156,12 @@ def _postings(threshold: float, frequent: np.ndarray, counts: np.ndarray, bucket
                 sort = np.lexsort((word, r, line))
                 word, c = word[sort], c[sort]
                 starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-                m0, m1 = (np.bitwise_or.reduceat(m, starts) for m in _bitmap(word))
                 n = np.diff(np.append(starts, len(line)))
                 own = np.repeat(np.arange(len(n)), n)
+                counts = _group_counts(word, own, len(n), 5)
+                long = n > WIDE
+                wide = _group_counts(word[long[own]], (np.cumsum(long) - 1)[own[long[own]]], int(long.sum()), 7)
+                wide_row = np.cumsum(long) - 1
                 pos = np.arange(len(line)) - starts[own]
                 some = np.flatnonzero(pos < _prefixes(n, threshold)[own])
                 own, pos, word, c = own[some], pos[some], word[some], c[some]
@@ -157,13 +176,15 @@ def _postings(threshold: float, frequent: np.ndarray, counts: np.ndarray, bucket
                 out["hi"], out["lo"] = key >> np.uint64(32), key & np.uint64(0xFFFF)
                 out["side"] = np.where(low == high, 0, np.where(mine[each] == low, 1, 2))
                 own = own[each]
-                out["node"], out["n"], out["pos"], out["m0"], out["m1"] = node[own], n[own], np.minimum(pos[each], 65535), m0[own], m1[own]
+                out["node"], out["n"], out["pos"], out["counts"] = node[own], n[own], np.minimum(pos[each], 65535), counts[own]
                 bucket = ((key >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
                 sort = np.argsort(bucket, kind="stable")
-                bucket, out = bucket[sort], out[sort]
+                bucket, out, own = bucket[sort], out[sort], own[sort]
                 cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                blobs = [out[x:y].tobytes() for x, y in zip(cut, [*cut[1:], len(out)])]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(blobs, pa.binary())], names=["bucket", "postings"])
+                runs = list(zip(cut.tolist(), [*cut[1:].tolist(), len(out)]))
+                blobs = [out[x:y].tobytes() for x, y in runs]
+                wides = [wide[wide_row[own[x:y][long[own[x:y]]]]].tobytes() for x, y in runs]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(blobs, pa.binary()), pa.array(wides, pa.binary())], names=["bucket", "postings", "wide"])
 
     return emit
 
@@ -171,21 +192,29 @@ def _postings(threshold: float, frequent: np.ndarray, counts: np.ndarray, bucket
 def _candidates(threshold: float):
     share = threshold / (1 + threshold)
 
-    def passing(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether pairs of postings of one word pass the side, positional and bitmap filters."""
+    def passing(p: np.ndarray, narrow: np.ndarray, wide: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pairs of postings of one word pass the side, positional and count filters."""
         x, y = p[a], p[b]
         nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
         need = np.ceil(share * (nx + ny) - 1e-9)
         px, py = x["pos"].astype(np.int64), y["pos"].astype(np.int64)
         good = ((x["side"] != y["side"]) | (x["side"] == 0)) & (x["node"] != y["node"])
         good &= 1 + np.minimum(px, py) + np.minimum(nx - px, ny - py) - 1 >= need
-        missing_x = np.bitwise_count(x["m0"] & ~y["m0"]).astype(np.int64) + np.bitwise_count(x["m1"] & ~y["m1"])
-        missing_y = np.bitwise_count(y["m0"] & ~x["m0"]).astype(np.int64) + np.bitwise_count(y["m1"] & ~x["m1"])
-        return good & (nx - missing_x >= need) & (ny - missing_y >= need)
-
-    def connect(p: np.ndarray) -> pa.RecordBatch:
+        most = nx + ny - 2 * need
+        for at in range(0, len(a), 20_000):
+            k = np.flatnonzero(good[at : at + 20_000]) + at
+            good[k] = _apart(narrow[a[k]], narrow[b[k]]) <= most[k]
+            k = k[good[k] & (nx[k] > WIDE) & (ny[k] > WIDE)]
+            good[k] = _apart(wide[place[a[k]]], wide[place[b[k]]]) <= most[k]
+        return good
+
+    def connect(p: np.ndarray, wide: np.ndarray) -> pa.RecordBatch:
+        place = np.cumsum(p["n"] > WIDE) - 1
         key = p["hi"].astype(np.uint64) << np.uint64(16) | p["lo"]
-        p = p[np.lexsort((p["node"], p["n"], key))]
+        order = np.lexsort((p["node"], p["n"], key))
+        p, place = p[order], place[order]
+        test = lambda a, b: passing(p, narrow, wide, place, a, b)
+        narrow, wide = _unpacked(p["counts"]), _unpacked(wide)
         key = p["hi"].astype(np.uint64) << np.uint64(16) | p["lo"]
         n = p["n"].astype(float)
         found, active, d = [], np.arange(len(p) - 1), 1
@@ -193,7 +222,7 @@ def _candidates(threshold: float):
             # In a list sorted by length, what is too long for a line stays so further on.
             active = active[active + d < len(p)]
             active = active[(key[active] == key[active + d]) & (n[active] >= threshold * n[active + d] - 1e-9)]
-            good = active[passing(p, active, active + d)]
+            good = active[test(active, active + d)]
             found.append(np.stack([good, good + d], 1))
             d += 1
         ab = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
@@ -208,7 +237,7 @@ def _candidates(threshold: float):
                     a = np.arange(lo, hi)
                     a = a[(part[a] != part[i]) & (np.minimum(n[a], n[i]) >= threshold * np.maximum(n[a], n[i]) - 1e-9) & ((part[a] == main) | (a > i))]
                     for chunk in np.array_split(a, max(1, len(a) // 100_000)):
-                        good = chunk[passing(p, np.full(len(chunk), i), chunk)]
+                        good = chunk[test(np.full(len(chunk), i), chunk)]
                         if len(good):
                             _, one = np.unique(part[good], return_index=True)  # a link to each part is enough
                             more.append(np.stack([np.full(len(one), i), good[one]], 1))
@@ -216,13 +245,15 @@ def _candidates(threshold: float):
         return _moved_nodes(p["node"], ab)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        held: dict[int, tuple[list[bytes], list[bytes]]] = {}
         for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("postings").to_pylist()):
-                held.setdefault(bucket, []).append(blob)
+            for bucket, blob, wide in zip(*(batch.column(c).to_pylist() for c in ("bucket", "postings", "wide"))):
+                blobs, wides = held.setdefault(bucket, ([], []))
+                blobs.append(blob)
+                wides.append(wide)
         while held:
-            _, blobs = held.popitem()
-            yield connect(np.frombuffer(b"".join(blobs), POSTING))
+            _, (blobs, wides) = held.popitem()
+            yield connect(np.frombuffer(b"".join(blobs), POSTING), np.frombuffer(b"".join(wides), np.uint8).reshape(-1, 64))
 
     return candidates
 
@@ -276,9 +307,11 @@ def removed_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(4 * n, int(bytes_ // BUCKET_BYTES))
-    postings = docs.mapInArrow(_postings(threshold, frequent, counts, buckets), "bucket long, postings binary")
+    postings = docs.mapInArrow(_postings(threshold, frequent, counts, buckets), "bucket long, postings binary, wide binary")
     met = postings.repartition(n, "bucket").mapInArrow(_candidates(threshold), "a long, b long")
     families = staged(components(met).withColumnRenamed("component", "family"), "line-families")
+    del postings, met
+    release(spark)
     own = F.coalesce("doc_id", F.lit(LAST_ID))
     lines = surveyed.where("nodes is not null").select(own.alias("doc_id"), F.posexplode("nodes").alias("line", "node")).where("node <> 0")
     firsts = staged(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first")), "line-firsts")

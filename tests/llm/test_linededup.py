@@ -31,7 +31,7 @@ def got(df):
 def cases():
     r = random.Random(9)
     data = [x for x in rows() if x[0] != 28]
-    bases = [re.sub(r"\s", " ", prose(50 + k, n)) for k, n in enumerate([4, 5, 9, 20, 40, 80, 150])]
+    bases = [re.sub(r"\s", " ", prose(50 + k, n)) for k, n in enumerate([4, 5, 9, 20, 40, 80, 150, 420])]
     for k in range(120):
         lines = []
         for _ in range(r.randint(1, 5)):
