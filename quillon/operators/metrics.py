@@ -76,8 +76,9 @@ def compare(df: DataFrame, *keys: str, got: str = "got", ref: str = "ref", order
     ranked = df.withColumns({"_rel": rel, "_rg": F.row_number().over(w(got)).cast("double"), "_rr": F.row_number().over(w(ref)).cast("double")})
     many = (F.count(F.lit(1)) > 1) & (F.stddev_samp(g) > 0) & (F.stddev_samp(r) > 0)
     guard = lambda c: F.when(many, c).otherwise(F.lit(float("nan")))
+    corr = lambda a, b: F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))  # noqa: E731  corr() divides by no spread
     out = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.max(F.abs(g - r)).alias("max_abs"), F.expr("percentile_disc(0.5) within group (order by _rel)").alias("rel_median"), F.max("_rel").alias("rel_max"),
-        (F.sum(g * r) / F.greatest(F.sum(r * r), F.lit(1e-30))).alias("slope"), guard(F.corr(g, r)).alias("corr"), guard(F.corr("_rg", "_rr")).alias("spearman"),
+        (F.sum(g * r) / F.greatest(F.sum(r * r), F.lit(1e-30))).alias("slope"), guard(corr(g, r)).alias("corr"), guard(corr(F.col("_rg"), F.col("_rr"))).alias("spearman"),
     )
     return out.withColumn("ok", (F.col("rel_median") < REL_TOL) & ((F.col("n") == 1) | (~F.isnan("corr") & (F.col("corr") > CORR_TOL))))

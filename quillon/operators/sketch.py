@@ -64,4 +64,4 @@ def quality_report(df: DataFrame, id: str, exact: str, sketched: str, pairs: int
     both = some.groupBy("_p").agg(*[F.max(F.when(F.col("_r") % 2 == k, F.struct(exact, sketched))).alias(f"_{k}") for k in (0, 1)]).where("_0 is not null and _1 is not null")
     cos = lambda c: dot(F.col(f"_0.{c}"), F.col(f"_1.{c}")) / (at_least(norm(F.col(f"_0.{c}"))) * at_least(norm(F.col(f"_1.{c}"))))
     both = both.select(cos(exact).alias("e"), cos(sketched).alias("s"))
-    return both.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("e") - F.col("s"))).alias("mean_error"), F.max(F.abs(F.col("e") - F.col("s"))).alias("max_error"), F.corr("e", "s").alias("corr"))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("e") - F.col("s"))).alias("mean_error"), F.max(F.abs(F.col("e") - F.col("s"))).alias("max_error"), F.try_divide(F.covar_samp("e", "s"), F.stddev_samp("e") * F.stddev_samp("s")).alias("corr"))

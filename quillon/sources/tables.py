@@ -12,15 +12,16 @@ from pyspark.sql import types as T
 VECTOR = T.ArrayType(T.DoubleType())
 MESSAGES = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
 
-#: The tables of the engine; partition columns take the place of names in paths.
+#: The tables of the engine; partition columns take the place of names in paths.  K is ``n_clusters`` here, since column
+#: names do not tell K from k.
 SCHEMAS = {
     "pairs_raw": T.StructType([T.StructField("idx", T.LongType()), T.StructField("chosen", MESSAGES), T.StructField("rejected", MESSAGES)]),
     "token_products": T.StructType([T.StructField("idx", T.LongType()), T.StructField("t", T.IntegerType()), T.StructField("direction", T.StringType()), T.StructField("dot", T.DoubleType())]),
     "token_norms": T.StructType([T.StructField("idx", T.LongType()), T.StructField("t", T.IntegerType()), T.StructField("g_norm", T.DoubleType())]),
     "example_norms": T.StructType([T.StructField("idx", T.LongType()), T.StructField("direction", T.StringType()), T.StructField("norm", T.DoubleType())]),
     "embeddings_sketch": T.StructType([T.StructField("weighting", T.StringType()), T.StructField("idx", T.LongType()), T.StructField("emb", VECTOR), T.StructField("gnorm", T.DoubleType())]),
-    "assignments": T.StructType([T.StructField("weighting", T.StringType()), T.StructField("K", T.IntegerType()), T.StructField("idx", T.LongType()), T.StructField("cluster", T.IntegerType())]),
-    "centroids": T.StructType([T.StructField("weighting", T.StringType()), T.StructField("K", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("center", VECTOR), T.StructField("norm", T.DoubleType()), T.StructField("n_averaged", T.LongType())]),
+    "assignments": T.StructType([T.StructField("weighting", T.StringType()), T.StructField("n_clusters", T.IntegerType()), T.StructField("idx", T.LongType()), T.StructField("cluster", T.IntegerType())]),
+    "centroids": T.StructType([T.StructField("weighting", T.StringType()), T.StructField("n_clusters", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("center", VECTOR), T.StructField("norm", T.DoubleType()), T.StructField("n_averaged", T.LongType())]),
     "fingerprint": T.StructType([T.StructField("name", T.StringType()), T.StructField("numel", T.LongType()), T.StructField("sum", T.DoubleType()), T.StructField("sumsq", T.DoubleType())]),
     "metrics": T.StructType([T.StructField("step", T.LongType()), T.StructField("mode", T.StringType()), T.StructField("key", T.StringType()), T.StructField("value", T.DoubleType())]),
 }
@@ -83,13 +84,13 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def cluster_runs(assignments: DataFrame, weighting: str) -> list[int]:
-    """The values of K there are for a weighting, rising; read from partition values."""
-    return [r["K"] for r in assignments.where(F.col("weighting") == weighting).select("K").distinct().orderBy("K").collect()]
+    """The numbers of clusters there are for a weighting, rising; read from partition values."""
+    return [r["n_clusters"] for r in assignments.where(F.col("weighting") == weighting).select("n_clusters").distinct().orderBy("n_clusters").collect()]
 
 
 def scan_assignments(assignments: DataFrame, weighting: str, k: int) -> DataFrame:
     """One clustering, which must name every cluster 0 ... K-1 as its greatest."""
-    found = assignments.where((F.col("weighting") == weighting) & (F.col("K") == k))
+    found = assignments.where((F.col("weighting") == weighting) & (F.col("n_clusters") == k))
     top = found.agg(F.max("cluster")).first()[0]
     if top is None or top + 1 != k:
         raise ValueError(f"assignments of K={k} end at cluster {top}")
@@ -98,7 +99,7 @@ def scan_assignments(assignments: DataFrame, weighting: str, k: int) -> DataFram
 
 def scan_centroids(centroids: DataFrame, weighting: str, k: int, kind: str, dim: int | None = None) -> DataFrame:
     """All K centroids of a kind, of one dimension."""
-    found = centroids.where((F.col("weighting") == weighting) & (F.col("K") == k) & (F.col("kind") == kind))
+    found = centroids.where((F.col("weighting") == weighting) & (F.col("n_clusters") == k) & (F.col("kind") == kind))
     n, low, high = found.agg(F.count_distinct("k"), F.min(F.size("center")), F.max(F.size("center"))).first()
     if n != k:
         raise ValueError(f"{n} of {k} centroids of kind {kind!r}")
