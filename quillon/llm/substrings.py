@@ -421,7 +421,7 @@ def repeated_windows_of(df: DataFrame) -> DataFrame:
     docs = docs.withColumn("hash", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * n, int(size // BUCKET_BYTES))
+    buckets = max(n, int(size // BUCKET_BYTES))
     md5 = F.md5(F.col("text").cast("binary"))
     firsts = staged(docs.groupBy("hash", md5.alias("md5")).agg(F.min("doc").alias("first")), "first-copies")
     dealt = docs.select("hash", "text").mapInArrow(_anchors(buckets), "bucket long, rows binary").repartition(n, "bucket")
