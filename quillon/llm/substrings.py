@@ -48,9 +48,11 @@ BUCKET_BYTES = 64 << 20
 LAST_ID = (1 << 63) - 1
 
 #: The low 48 bits of a minimizer, in three parts, and a document's hash.
-ANCHOR = np.dtype([("k0", "<u2"), ("k1", "<u2"), ("k2", "<u2"), ("hash", "<i8")])
+KEY = np.dtype([("k0", "<u2"), ("k1", "<u2"), ("k2", "<u2")])
+ANCHOR = np.dtype([*((k, KEY[k]) for k in KEY.names), ("hash", "<i8")])
 SEGMENT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("hash", "<i8"), ("start", "<u4"), ("size", "u1")])
 MARK = np.dtype([("hash", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("n", "<u4")])
+SPAN = np.dtype([(k, MARK[k]) for k in ("doc", "start", "n")])
 LOW = np.uint64((1 << 48) - 1)
 
 
@@ -176,15 +178,18 @@ def _shared(homes: int):
     return tell
 
 
-def _by_document(kind: np.dtype):
-    """The rows of a home by document: (hash, rows)."""
+def _by_document(kind: np.dtype, told: np.dtype):
+    """The rows of a home by document: (hash, rows with the fields of *told*)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (blobs,) in _by_bucket(batches, "rows"):
             rows = np.frombuffer(b"".join(blobs), kind)
             rows = rows[np.lexsort((rows["start"], rows["doc"], rows["hash"])) if kind is MARK else np.argsort(rows["hash"])]
             start = np.flatnonzero(np.concatenate([[True], rows["hash"][1:] != rows["hash"][:-1]]))
-            found = [rows[a:b].tobytes() for a, b in zip(start.tolist(), [*start[1:].tolist(), len(rows)])]
+            fields = np.zeros(len(rows), told)
+            for name in told.names:
+                fields[name] = rows[name]
+            found = [fields[a:b].tobytes() for a, b in zip(start.tolist(), [*start[1:].tolist(), len(rows)])]
             yield pa.RecordBatch.from_arrays([pa.array(rows["hash"][start]), pa.array(found, pa.binary())], names=["hash", "found"])
 
     return gather
@@ -220,8 +225,8 @@ def _segments(buckets: int):
                 raw, offsets = joined(texts.slice(a, b - a))
                 s = Segments(raw, offsets)
                 known = batch.column("found").slice(a, b - a).to_pylist()
-                anchors = np.frombuffer(b"".join(known), ANCHOR)
-                own = np.repeat(np.arange(len(known)), [len(x) // ANCHOR.itemsize for x in known])
+                anchors = np.frombuffer(b"".join(known), KEY)
+                own = np.repeat(np.arange(len(known)), [len(x) // KEY.itemsize for x in known])
                 pair = lambda k, o: mix(k ^ mix(o.astype(np.uint64)))
                 at = np.flatnonzero(np.isin(pair(s.key, s.own), pair(_keys(anchors), own)))
                 rows = np.zeros(len(at), SEGMENT)
@@ -401,7 +406,7 @@ def _runs(marks: np.ndarray) -> np.ndarray:
 
 def spans(found: bytes | None, doc: int) -> np.ndarray:
     """Maximal covered runs (first byte, end) of a document's marked windows."""
-    marks = np.frombuffer(found or b"", MARK)
+    marks = np.frombuffer(found or b"", SPAN)
     marks = marks[marks["doc"] == doc]  # none of another document with this hash
     if not len(marks):
         return np.zeros((0, 2), np.int64)
@@ -426,14 +431,14 @@ def repeated_windows_of(df: DataFrame) -> DataFrame:
     firsts = staged(docs.groupBy("hash", md5.alias("md5")).agg(F.min("doc").alias("first")), "first-copies")
     dealt = docs.select("hash", "text").mapInArrow(_anchors(buckets), "bucket long, rows binary").repartition(n, "bucket")
     told = dealt.mapInArrow(_shared(buckets), "bucket long, rows binary").repartition(n, "bucket")
-    shared = staged(told.mapInArrow(_by_document(ANCHOR), "hash long, found binary"), "shared-minimizers")
+    shared = staged(told.mapInArrow(_by_document(ANCHOR, KEY), "hash long, found binary"), "shared-minimizers")
     del dealt, told
     release(spark)
     # All joins deal the texts out by the same key, so they share one exchange.
     texts = docs.join(firsts.hint("merge"), "hash").where(md5 == F.col("md5")).drop("md5")
     dealt = texts.join(shared.hint("merge"), "hash", "left").mapInArrow(_segments(buckets), "bucket long, rows binary, bytes binary").repartition(n, "bucket")
     marks = dealt.mapInArrow(_repeats(buckets), "bucket long, rows binary").repartition(n, "bucket")
-    found = marks.mapInArrow(_by_document(MARK), "hash long, found binary")
+    found = marks.mapInArrow(_by_document(MARK, SPAN), "hash long, found binary")
     return texts.join(found.hint("merge"), "hash", "left").select("doc", "first", "text", "found")
 
 
