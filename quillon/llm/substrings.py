@@ -273,12 +273,10 @@ class Columns:
         self.files[name].seek(0)
         return np.frombuffer(self.files[name].read(), dict(self.kinds)[name])
 
-    def insert(self, name: str, old: np.ndarray, at: np.ndarray, values, then=None, change=None) -> np.ndarray:
-        """Rewrite a column with *values* at places *at* (rising) of the new one, and *change* at places *then*."""
-        new = np.empty(len(old) + len(at), old.dtype)
-        rest = np.ones(len(new), bool)
-        rest[at] = False
-        new[rest] = old
+    def insert(self, name: str, old: np.ndarray, stay: np.ndarray, at: np.ndarray, values, then=None, change=None) -> np.ndarray:
+        """Rewrite a column: the old rows at places *stay*, *values* at places *at*, then *change* at places *then*."""
+        new = np.empty(len(stay) + len(at), old.dtype)
+        new[stay] = old
         new[at] = values
         if then is not None:
             new[then] = change
@@ -318,27 +316,31 @@ def column_wise_transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray,
     columns.write("offset", size.astype(np.uint8))
     row = np.arange(n)  # where each string's latest suffix stands
     live = np.arange(n)
+    ends = base + size
     for j in range(1, int(size.max(initial=0)) + 1):
         live = live[size[live] >= j]
         bwt, offset = columns.read("bwt").copy(), columns.read("offset")
         bwt[row[live]] = raw[base[live] + size[live] - j]
         above = np.flatnonzero(offset)  # rows X with a symbol before them; cX is in the collection after this round
-        place = np.empty(len(bwt), np.int64)
-        place[above[np.argsort(bwt[above], kind="stable")]] = n + np.arange(len(above))
+        place = np.empty(len(bwt), np.int32)
+        place[above[np.argsort(bwt[above], kind="stable")]] = np.arange(n, n + len(above), dtype=np.int32)
         at = place[row[live]]
         sort = np.argsort(at)
         at, who = at[sort], live[sort]
-        owner = columns.insert("segment", columns.read("segment"), at, who)
-        start = base[owner] + columns.insert("offset", offset, at, size[who] - j)
-        columns.insert("bwt", bwt, at, 0)
-        # Common prefixes change at the new rows and at the rows below them.
-        below = np.unique(np.concatenate([at, at[at + 1 < len(owner)] + 1]))
-        ends = base + size
-        most = np.minimum(ends[owner[below - 1]] - start[below - 1], ends[owner[below]] - start[below])
-        columns.insert("lcp", columns.read("lcp"), at, 0, below, _common(raw, start[below - 1], start[below], most))
-        old = np.ones(len(owner), bool)
+        old = np.ones(len(bwt) + len(at), bool)
         old[at] = False
-        row = np.flatnonzero(old)[row]
+        stay = np.flatnonzero(old)
+        owner = columns.insert("segment", columns.read("segment"), stay, at, who)
+        offset = columns.insert("offset", offset, stay, at, size[who] - j)
+        columns.insert("bwt", bwt, stay, at, 0)
+        # Common prefixes change at the new rows and at the rows below them.
+        touched = ~old
+        touched[1:] |= touched[:-1]
+        below = np.flatnonzero(touched)
+        x, y = owner[below - 1], owner[below]
+        x_start, y_start = base[x] + offset[below - 1], base[y] + offset[below]
+        columns.insert("lcp", columns.read("lcp"), stay, at, 0, below, _common(raw, x_start, y_start, np.minimum(ends[x] - x_start, ends[y] - y_start)))
+        row = stay[row]
         row[who] = at
     out = [columns.read(name).copy() for name, _ in Columns.kinds]
     columns.close()
