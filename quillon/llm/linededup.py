@@ -334,10 +334,10 @@ def removed_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def remove_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """*df* with those lines taken out of text; n_chars, where there is one, follows the text."""
-    gone = removed_lines(df, threshold).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), F.col("removed").alias("_gone")).dropDuplicates(["_id"])
-    out = df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).join(gone.hint("merge"), "_id", "left")
-    kept = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda s, i: F.when(~F.array_contains("_gone", i), s)), lambda s: s.isNotNull()), "\n")
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
+    gone = removed_lines(df, threshold).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_quillon_id"), F.col("removed").alias("_quillon_gone")).dropDuplicates(["_quillon_id"])
+    out = df.withColumn("_quillon_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).join(gone.hint("merge"), "_quillon_id", "left")
+    kept = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda s, i: F.when(~F.array_contains("_quillon_gone", i), s)), lambda s: s.isNotNull()), "\n")
+    out = out.withColumn("text", F.when(F.col("_quillon_gone").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(df.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("_quillon_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(df.schema["n_chars"].dataType))
     return out.select(*df.columns)

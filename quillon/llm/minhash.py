@@ -254,6 +254,6 @@ def classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_one(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The first document of each class, all columns; repeated rows of an id are one document, null ids all stay."""
-    kept = classes(df, threshold).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    first = df.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("_kept")).drop("_kept").dropDuplicates(["doc_id"])
+    kept = classes(df, threshold).where("kept and doc_id is not null").select(F.col("doc_id").alias("_quillon_kept")).distinct()
+    first = df.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("_quillon_kept")).drop("_quillon_kept").dropDuplicates(["doc_id"])
     return first.unionByName(df.where("doc_id is null"))

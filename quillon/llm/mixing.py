@@ -135,12 +135,12 @@ def position(repeat: Column) -> Column:
 
 
 def training_order(df: DataFrame, **options) -> DataFrame:
-    """The run itself: a row of *df* for each drawn copy, with ``_position``, range-sorted by it."""
+    """The run itself: a row of *df* for each drawn copy, with ``_quillon_position``, range-sorted by it."""
     drawn = mix(df, **options).where("copies > 0")
     drawn = drawn.withColumn("_repeat", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     name = lambda i, s, m: F.md5(F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), F.base64(F.coalesce(s.cast("binary"), F.lit("?").cast("binary"))), s.isNull().cast("string"), m))
-    drawn = drawn.select(name(F.col("doc_id"), F.col("source"), F.col("text_md5")).alias("_row"), position(F.col("_repeat")).alias("_position"))
+    drawn = drawn.select(name(F.col("doc_id"), F.col("source"), F.col("text_md5")).alias("_quillon_row"), position(F.col("_repeat")).alias("_quillon_position"))
     own = name(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.md5(text_or_empty().cast("binary")))
     # Repeated rows are drawn one by one, so one of them stands for all; both steps deal the texts out by one key.
-    own = df.withColumn("_row", own).dropDuplicates(["_row"])
-    return own.join(drawn.hint("merge"), "_row").drop("_row").orderBy("_position")
+    own = df.withColumn("_quillon_row", own).dropDuplicates(["_quillon_row"])
+    return own.join(drawn.hint("merge"), "_quillon_row").drop("_quillon_row").orderBy("_quillon_position")

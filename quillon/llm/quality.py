@@ -173,28 +173,28 @@ def site_posteriors(evidence: DataFrame, rate: float) -> DataFrame:
 
 
 def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep_from: float = KEEP_FROM) -> DataFrame:
-    """*docs*, all columns, with _evidence, _host_rate, _path_rate, _quality and _kept."""
+    """*docs*, all columns, with evidence, host_rate, path_rate, quality and kept, each named ``_quillon_...``."""
     model = train(docs, labels)
     rate = labels.where(F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
     rate = float(np.clip(0.5 if rate is None else rate, 1e-3, 1 - 1e-3))
     light = docs.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     seen = with_evidence(light, model).drop("text")
-    sites = staged(site_posteriors(seen, rate).select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("host_rate").alias("_host_rate"), F.col("path_rate").alias("_path_rate")), "sites")
+    sites = staged(site_posteriors(seen, rate).select(F.col("host").alias("_quillon_host"), F.col("path").alias("_quillon_path"), F.col("host_rate").alias("_quillon_host_rate"), F.col("path_rate").alias("_quillon_path_rate")), "sites")
     few = sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
-    judged = with_evidence(docs.withColumns({"_text": F.col("text").cast("string"), "_host": F.col(host).cast("string"), "_path": F.col(path).cast("string")}), model, "_text", "_evidence").drop("_text")
-    judged = null_safe_join(judged, F.broadcast(sites) if few else sites, ["_host", "_path"]).drop("_host", "_path")
-    odds = F.col("_evidence") + F.log(F.col("_path_rate") / (1 - F.col("_path_rate")))
-    return judged.withColumn("_quality", 1 / (1 + F.exp(-odds))).withColumn("_kept", F.col("_quality") >= keep_from)
+    judged = with_evidence(docs.withColumns({"_quillon_text": F.col("text").cast("string"), "_quillon_host": F.col(host).cast("string"), "_quillon_path": F.col(path).cast("string")}), model, "_quillon_text", "_quillon_evidence").drop("_quillon_text")
+    judged = null_safe_join(judged, F.broadcast(sites) if few else sites, ["_quillon_host", "_quillon_path"]).drop("_quillon_host", "_quillon_path")
+    odds = F.col("_quillon_evidence") + F.log(F.col("_quillon_path_rate") / (1 - F.col("_quillon_path_rate")))
+    return judged.withColumn("_quillon_quality", 1 / (1 + F.exp(-odds))).withColumn("_quillon_kept", F.col("_quillon_quality") >= keep_from)
 
 
 def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """A row per document: doc_id, evidence, host_rate, path_rate, quality, kept."""
     slim = docs.select("doc_id", "text", "source", "lang")
     return score(slim, labels, **options).select(
-        "doc_id", F.col("_evidence").alias("evidence"), F.col("_host_rate").alias("host_rate"), F.col("_path_rate").alias("path_rate"), F.col("_quality").alias("quality"), F.col("_kept").alias("kept")
+        "doc_id", F.col("_quillon_evidence").alias("evidence"), F.col("_quillon_host_rate").alias("host_rate"), F.col("_quillon_path_rate").alias("path_rate"), F.col("_quillon_quality").alias("quality"), F.col("_quillon_kept").alias("kept")
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are kept, with the columns they came with."""
-    return score(docs, labels, **options).where("_kept").select(*docs.columns)
+    return score(docs, labels, **options).where("_quillon_kept").select(*docs.columns)

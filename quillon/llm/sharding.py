@@ -66,23 +66,27 @@ def assign_shards(df: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, buc
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int = N_SHARDS, seed: int = SEED, files_per_shard: int = 1) -> None:
-    """Write every row of *df*, all columns, as Parquet under ``path/shard=i``, each file a run of rising slots."""
+    """Write every row of *df*, all columns, as Parquet under ``path/shard=i``, each file a run of rising slots.
+
+    Columns of *df* that are called shard or slot are written as shard_in and slot_in.
+    """
+    df = df.withColumnsRenamed({c: f"{c}_in" for c in df.columns if c.lower() in ("shard", "slot")})
     keyed = df.withColumns(
         {
-            "_size": F.octet_length(text_or_empty()).cast("long") + 1,
-            "_crc": F.crc32(text_or_empty().cast("binary")),
-            "_id": F.col("doc_id").cast("long"),
+            "_quillon_size": F.octet_length(text_or_empty()).cast("long") + 1,
+            "_quillon_crc": F.crc32(text_or_empty().cast("binary")),
+            "_quillon_id": F.col("doc_id").cast("long"),
         }
-    ).dropDuplicates(["_id", "_size", "_crc"])
+    ).dropDuplicates(["_quillon_id", "_quillon_size", "_quillon_crc"])
     places = assign_shards(df, n_shards, seed).select(
-        F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"),
-        F.col("shard").alias("_shard"), F.col("slot").alias("_slot"),
+        F.col("doc_id").alias("_quillon_id"), F.col("size").alias("_quillon_size"), F.col("text_crc32").alias("_quillon_crc"),
+        F.col("shard").alias("_quillon_shard"), F.col("slot").alias("_quillon_slot"),
     )
-    rows = null_safe_join(keyed, places, ["_id", "_size", "_crc"]).drop("_id", "_size", "_crc")
+    rows = null_safe_join(keyed, places, ["_quillon_id", "_quillon_size", "_quillon_crc"]).drop("_quillon_id", "_quillon_size", "_quillon_crc")
     (
-        rows.repartitionByRange(n_shards * files_per_shard, "_shard", "_slot")
-        .sortWithinPartitions("_shard", "_slot")
-        .withColumnsRenamed({"_shard": "shard", "_slot": "slot"})
+        rows.repartitionByRange(n_shards * files_per_shard, "_quillon_shard", "_quillon_slot")
+        .sortWithinPartitions("_quillon_shard", "_quillon_slot")
+        .withColumnsRenamed({"_quillon_shard": "shard", "_quillon_slot": "slot"})
         .write.partitionBy("shard")
         .mode("overwrite")
         .parquet(path)

@@ -2,7 +2,10 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, size string, key long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, size string, key long, shard string, `_id` string, `_kept` int, found string, node string, label string"
+
+#: Values of the columns beyond those of documents.
+MORE = ("b", "z", 7, "x", "y", 0, "f", None, "l")
 
 
 def prose(seed, n):
@@ -20,7 +23,7 @@ def rows():
     out = []
 
     def add(doc_id, text, source="s1", lang="en"):
-        out.append((doc_id, text, lang, source, len(text or ""), "b", "z", 7))
+        out.append((doc_id, text, lang, source, len(text or ""), *MORE))
 
     base = prose(1, 200)
     add(0, base)

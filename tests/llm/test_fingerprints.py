@@ -3,7 +3,7 @@ import re
 
 from quillon.llm import fingerprints
 from pyspark.sql import functions as F
-from tests.llm.fixtures import SCHEMA, empty, rows, table
+from tests.llm.fixtures import MORE, SCHEMA, empty, rows, table
 
 PHRASE = re.compile(r"[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){1,8}|[\x20\x09-\x0D]+")
 

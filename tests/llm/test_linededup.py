@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from quillon.llm import linededup, minhash
-from tests.llm.fixtures import SCHEMA, empty, prose, rows, table
+from tests.llm.fixtures import MORE, SCHEMA, empty, prose, rows, table
 
 
 def brute(data, threshold=0.8):
@@ -40,7 +40,7 @@ def cases():
                 words[r.randrange(len(words))] = f"w{r.randrange(3000)}"
             r.shuffle(words)
             lines.append(" ".join(words))
-        data.append((2000 + r.randrange(10**6), "\n".join(lines), "en", "s", 0, "", "", 0))
+        data.append((2000 + r.randrange(10**6), "\n".join(lines), "en", "s", 0, *MORE))
     return data
 
 

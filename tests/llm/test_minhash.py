@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from quillon.llm import minhash
-from tests.llm.fixtures import SCHEMA, empty, prose, rows, table
+from tests.llm.fixtures import MORE, SCHEMA, empty, prose, rows, table
 
 
 def shingles(text):
@@ -43,7 +43,7 @@ def test_against_brute_force(spark, monkeypatch):
             copy = list(words)
             for _ in range(r.choice([0, 1, 1, 2, 3])):
                 copy[r.randrange(len(copy))] = f"w{r.randrange(10**6)}"
-            data.append((1000 + len(data), " ".join(copy), "en", "s", 0, "", "", 0))
+            data.append((1000 + len(data), " ".join(copy), "en", "s", 0, *MORE))
             if r.random() < 0.3:
                 words = copy
     df = spark.createDataFrame(data, SCHEMA)

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from quillon.llm import mixing
-from tests.llm.fixtures import SCHEMA, empty, rows, table
+from tests.llm.fixtures import MORE, SCHEMA, empty, rows, table
 
 
 def water_fill(sizes, weights):
@@ -46,7 +46,7 @@ def test_targets_and_takes(spark):
 
 
 def test_capped_sources(spark):
-    data = [(k, "w " * (500 if k < 6 else 3), "en", f"s{k // 2}", 0, "", "", 0) for k in range(14)]
+    data = [(k, "w " * (500 if k < 6 else 3), "en", f"s{k // 2}", 0, *MORE) for k in range(14)]
     check(data, mixing.mix(spark.createDataFrame(data, SCHEMA)).collect())
 
 
@@ -60,7 +60,7 @@ def test_reruns_agree(spark):
 
 
 def test_order_follows_the_schedules(spark):
-    data = [(k, "w " * 10, "en", f"s{k % 3}", 0, "", "", 0) for k in range(900)]
+    data = [(k, "w " * 10, "en", f"s{k % 3}", 0, *MORE) for k in range(900)]
     run = mixing.training_order(spark.createDataFrame(data, SCHEMA)).collect()
     half = len(run) // 2
     first = Counter(r["source"] for r in run[:half])

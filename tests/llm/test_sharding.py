@@ -2,7 +2,7 @@ import zlib
 from collections import Counter
 
 from quillon.llm import sharding
-from tests.llm.fixtures import SCHEMA, empty, rows, table
+from tests.llm.fixtures import MORE, SCHEMA, empty, rows, table
 
 
 def check(data, got):
@@ -21,7 +21,7 @@ def test_law_and_slots(spark):
 
 
 def test_repeated_rows_and_reruns(spark):
-    data = [(k % 50, "same", "en", "s", 0, "", "", 0) for k in range(3000)]
+    data = [(k % 50, "same", "en", "s", 0, *MORE) for k in range(3000)]
     df = spark.createDataFrame(data, SCHEMA)
     got = sharding.assign_shards(df).collect()
     check(data, got)
@@ -29,7 +29,7 @@ def test_repeated_rows_and_reruns(spark):
 
 
 def test_order_is_shuffled(spark):
-    data = [(k, str(k), "en", "s", 0, "", "", 0) for k in range(2000)]
+    data = [(k, str(k), "en", "s", 0, *MORE) for k in range(2000)]
     got = sharding.assign_shards(spark.createDataFrame(data, SCHEMA)).collect()
     place = {r["doc_id"]: r["slot"] * 8 + r["shard"] for r in got}
     rising = sum(place[k] < place[k + 1] for k in range(1999))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from quillon.llm import substrings
-from tests.llm.fixtures import SCHEMA, empty, prose, rows, table
+from tests.llm.fixtures import MORE, SCHEMA, empty, prose, rows, table
 
 
 def brute(data):
@@ -41,7 +41,7 @@ def cases():
             base = r.choice(bases)
             a = r.randrange(len(base))
             text += base[a : a + r.randint(30, 200)] + r.choice(["", "x", prose(r.randrange(999), 8)])
-        data.append((3000 - 7 * k, text, "en", "s", 0, "", "", 0))
+        data.append((3000 - 7 * k, text, "en", "s", 0, *MORE))
     return data
 
 
