@@ -73,7 +73,9 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, words: int = 5) -> tupl
 
 def distinct(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(value, group) without repeats, sorted by group, then value."""
-    order = np.lexsort((values, group))
+    order = np.argsort(values)
+    small = group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group  # sorted by counting
+    order = order[np.argsort(small[order], kind="stable")]
     values, group = values[order], group[order]
     keep = np.ones(len(values), bool)
     keep[1:] = (values[1:] != values[:-1]) | (group[1:] != group[:-1])

@@ -153,9 +153,11 @@ def _postings(threshold: float, frequent: np.ndarray, counts: np.ndarray, bucket
                 known = table[at] == word if len(table) else np.zeros(len(word), bool)
                 r = np.where(known, table_rank[at], 0) if len(table) else np.zeros(len(word), np.int64)
                 c = np.where(known, table_count[at], 0) if len(table) else np.zeros(len(word), np.int64)
-                sort = np.lexsort((word, r, line))
-                word, c = word[sort], c[sort]
                 starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+                # By line, then rank; words of a line come sorted, and those of one rank stay so.
+                own = np.cumsum(np.concatenate([[0], line[1:] != line[:-1]]))
+                sort = np.argsort(own << 41 | r << 22 | np.minimum(np.arange(len(line)) - starts[own], (1 << 22) - 1))
+                word, c = word[sort], c[sort]
                 n = np.diff(np.append(starts, len(line)))
                 own = np.repeat(np.arange(len(n)), n)
                 counts = _group_counts(word, own, len(n), 5)
@@ -192,13 +194,11 @@ def _postings(threshold: float, frequent: np.ndarray, counts: np.ndarray, bucket
 def _candidates(threshold: float):
     share = threshold / (1 + threshold)
 
-    def passing(p: np.ndarray, narrow: np.ndarray, wide: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def passing(node, size, pos, side, narrow, wide, place, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pairs of postings of one word pass the side, positional and count filters."""
-        x, y = p[a], p[b]
-        nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
+        nx, ny, px, py = size[a], size[b], pos[a], pos[b]
         need = np.ceil(share * (nx + ny) - 1e-9)
-        px, py = x["pos"].astype(np.int64), y["pos"].astype(np.int64)
-        good = ((x["side"] != y["side"]) | (x["side"] == 0)) & (x["node"] != y["node"])
+        good = ((side[a] != side[b]) | (side[a] == 0)) & (node[a] != node[b])
         good &= 1 + np.minimum(px, py) + np.minimum(nx - px, ny - py) - 1 >= need
         most = nx + ny - 2 * need
         for at in range(0, len(a), 20_000):
@@ -213,8 +213,8 @@ def _candidates(threshold: float):
         key = p["hi"].astype(np.uint64) << np.uint64(16) | p["lo"]
         order = np.lexsort((p["node"], p["n"], key))
         p, place = p[order], place[order]
-        test = lambda a, b: passing(p, narrow, wide, place, a, b)
-        narrow, wide = _unpacked(p["counts"]), _unpacked(wide)
+        columns = (np.ascontiguousarray(p["node"]), p["n"].astype(np.int64), p["pos"].astype(np.int64), np.ascontiguousarray(p["side"]), _unpacked(p["counts"]), _unpacked(wide), place)
+        test = lambda a, b: passing(*columns, a, b)
         key = p["hi"].astype(np.uint64) << np.uint64(16) | p["lo"]
         n = p["n"].astype(float)
         found, active, d = [], np.arange(len(p) - 1), 1
