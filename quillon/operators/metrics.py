@@ -82,3 +82,29 @@ def compare(df: DataFrame, *keys: str, got: str = "got", ref: str = "ref", order
         (F.sum(g * r) / F.greatest(F.sum(r * r), F.lit(1e-30))).alias("slope"), guard(corr(g, r)).alias("corr"), guard(corr(F.col("_rg"), F.col("_rr"))).alias("spearman"),
     )
     return out.withColumn("ok", (F.col("rel_median") < REL_TOL) & ((F.col("n") == 1) | (~F.isnan("corr") & (F.col("corr") > CORR_TOL))))
+
+
+def confidence(tokens: DataFrame, *keys: str) -> DataFrame:
+    """Exp of the mean over completion tokens of log-probability less the log of the summed squared probabilities."""
+    from quillon.functions.vectors import collision
+
+    on = F.col("is_completion").cast("double")
+    aligned = (F.col("logp") - F.log(collision("z"))) * on
+    return tokens.groupBy(*keys).agg(F.exp(F.sum(aligned) / F.greatest(F.sum(on), F.lit(1.0))).alias("confidence"))
+
+
+def sft_loss(tokens: DataFrame, side: str = "side") -> DataFrame:
+    """The mean loss of all chosen completion tokens of the batch, one row."""
+    return tokens.where((F.col(side) == "c") & F.col("is_completion")).agg(F.avg(-F.col("logp")).alias("sft"))
+
+
+def mixed_loss(pairs: DataFrame, losses_and_weights: dict[str, float], multiplier: Column | None = None, **options) -> DataFrame:
+    """The batch loss: the mean of each loss (times *multiplier* of each pair), weighted and summed."""
+    from quillon.functions.losses import loss
+
+    scale = F.lit(1.0) if multiplier is None else multiplier
+    each = [w * F.avg(loss(n, F.col("cs"), F.col("rs"), F.col("c_n"), F.col("r_n"), **options) * scale) for n, w in losses_and_weights.items()]
+    total = each[0]
+    for x in each[1:]:
+        total = total + x
+    return pairs.agg(total.alias("loss"))

@@ -59,6 +59,8 @@ def _sg(x: str) -> str:
     return f"(1 / (1 + exp(-({x}))))"
 
 
+_CONF = f"""cf0 AS (SELECT pair_id, side, exp(sum(CASE WHEN done THEN logp - ({_lse('z', '2')} - 2 * {_lse('z')}) ELSE 0 END) / greatest(sum(done::INT), 1)) AS c FROM tl GROUP BY pair_id, side),
+cf AS (SELECT pair_id, max(c) FILTER (side = 'c') AS cc, max(c) FILTER (side = 'r') AS rc FROM cf0 GROUP BY pair_id)"""
 _D = "0.1::DOUBLE * (cs - rs)"
 _LOSSES = {
     "sigmoid": f"-{_ls(_D)}",
@@ -291,4 +293,10 @@ ORACLES = {
         v AS (SELECT copy, bool_and(ok) AS ok, max(corr) FILTER (channel = 'norms') AS c, max(slope) FILTER (channel = 'products') AS sl FROM st GROUP BY copy)
         SELECT copy, CASE WHEN ok THEN 'EXACT' WHEN c > 0.995 AND abs(sl - 1) > 0.1 THEN 'SAME MODEL, DIFFERENT PARAMETERISATION' WHEN c > 0.995 THEN 'SAME MODEL, DRIFTED SUBSPACE' ELSE 'DIFFERENT WEIGHTS' END AS verdict FROM v""",
     "q54_uniform_control": f"SELECT vec_id, 0.5::DOUBLE AS constant, {_r('0.25::DOUBLE + 0.5::DOUBLE * (' + _hash('vec_id', 'w', 1234) + ' / 4294967296.0::DOUBLE)')} AS random, 1.0::DOUBLE AS one FROM embeddings",
+    "q55_confidence_weighting": f"""WITH {_S}, {_LOGITS}, {_CONF} SELECT pair_id, {_r('cc')} AS c_confidence, {_r('rc')} AS r_confidence, {_r("(SELECT avg(-logp) FROM tl WHERE done AND side = 'c')")} AS sft FROM cf""",
+    "q56_mixed_loss": f"""WITH {_S}, {_PAIRS}, {_CONF}, m AS (SELECT 0.8::DOUBLE * ({_LOSSES['sigmoid']}) AS a, 0.2::DOUBLE * ({_LOSSES['hinge']}) AS b, {_LOSSES['bco_pair']} AS c, cc * rc AS w FROM p JOIN cf USING (pair_id))
+        SELECT {_r('avg(a) + avg(b) + avg(c)')} AS loss, 'plain' AS kind FROM m UNION ALL SELECT {_r('avg(a * w) + avg(b * w) + avg(c * w)')}, 'weighted' FROM m""",
+    "q57_cluster_report": f"""WITH {_S}, {_CU}, nn AS (SELECT k, other, cos FROM (SELECT a.label AS k, b.label AS other, {_cos('a.c', 'b.c')} AS cos FROM cu a JOIN cu b ON a.label <> b.label)
+        QUALIFY row_number() OVER (PARTITION BY k ORDER BY cos DESC, other) = 1), g AS (SELECT label AS k, count(*) AS n, quantile_cont(gnorm, 0.5) AS md, max(gnorm) / greatest(min(gnorm), 1e-12) AS ratio FROM s GROUP BY label)
+        SELECT 'k' || lpad(k::VARCHAR, 2, '0') AS name, n, {_r('md')} AS median_norm, {_r('ratio')} AS ratio, other, {_r('cos')} AS cos FROM g LEFT JOIN nn USING (k)""",
 }

@@ -458,3 +458,31 @@ def q53_reproduction_verdict(spark, sf):
 def q54_uniform_control(spark, sf):
     s = sketches(spark, sf).select("idx", "t", "vec_id", F.lit(0.5).alias("constant"), (0.25 + 0.5 * uniform("vec_id", "w", 1234)).alias("random"), F.lit(1.0).alias("one"))
     return _round(s.select("vec_id", "constant", "random", "one"), "random")
+
+
+@query
+def q55_confidence_weighting(spark, sf):
+    t = token_logps(sketches(spark, sf))
+    both = metrics.paired(metrics.confidence(t, "pair_id", "side"), ["confidence"]).crossJoin(F.broadcast(metrics.sft_loss(t)))
+    return _round(both.select("pair_id", "c_confidence", "r_confidence", "sft"), "c_confidence", "r_confidence", "sft")
+
+
+@query
+def q56_mixed_loss(spark, sf):
+    s = sketches(spark, sf)
+    weight = metrics.paired(metrics.confidence(token_logps(s), "pair_id", "side"), ["confidence"])
+    p = _pairs(s).join(weight, "pair_id")
+    mix = {"sigmoid": 0.8, "hinge": 0.2, "bco_pair": 1.0}
+    plain = metrics.mixed_loss(p, mix).withColumn("kind", F.lit("plain"))
+    scaled = metrics.mixed_loss(p, mix, F.col("c_confidence") * F.col("r_confidence")).withColumn("kind", F.lit("weighted"))
+    return _round(plain.unionByName(scaled), "loss")
+
+
+@query
+def q57_cluster_report(spark, sf):
+    """What the report says of each cluster: size, share, median norm and the nearest other cluster."""
+    s = sketches(spark, sf)
+    rows = s.groupBy(F.col("label").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.percentile("gnorm", 0.5).alias("median_norm"), F.min("gnorm").alias("low"), F.max("gnorm").alias("high"))
+    rows = rows.join(F.broadcast(inspection.nearest_other(centroids(s, "meannorm"))), "k", "left")
+    rows = rows.withColumn("ratio", F.col("high") / at_least("low")).withColumn("name", F.format_string("k%02d", F.col("k")))
+    return _round(rows.select("name", "n", "median_norm", "ratio", "other", "cos"), "median_norm", "ratio", "cos")
