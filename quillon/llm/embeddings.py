@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import null_safe_join, staged
+from quillon.llm.common import map_arrow, null_safe_join, staged
 from quillon.llm.components import components
 
 THRESHOLD = 0.98
@@ -159,10 +159,10 @@ def link_vectors(df: DataFrame, threshold: float = THRESHOLD, n_pivots: int = PI
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(raw, pa.binary())], names=["vec_id", "label", "v"])
 
     rows = rows.withColumn("e", F.when(good, F.col("e")))
-    rows = staged(rows.mapInArrow(pack, "vec_id long, label int, v binary"), "vectors")
+    rows = staged(rows.transform(map_arrow, pack, "vec_id long, label int, v binary"), "vectors")
     keys = ["label", "v"]
     distinct = rows.where("v is not null").groupBy(*keys).agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"))
-    described = staged(distinct.select("node", "label", "n", "v").mapInArrow(_describe(n_pivots, nearest), _VECTORS), "described")
+    described = staged(distinct.select("node", "label", "n", "v").transform(map_arrow, _describe(n_pivots, nearest), _VECTORS), "described")
     listed = described.withColumn("size", F.length("v")).withColumn("key", F.explode("lists"))
     lengths = listed.groupBy("label", "size", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     listed = listed.join(lengths, ["label", "size", "key"])
@@ -175,7 +175,7 @@ def link_vectors(df: DataFrame, threshold: float = THRESHOLD, n_pivots: int = PI
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = listed.select("label", "size", "key", "pair", "side", "node", "n", "v", "lists").repartition(n, "label", "size", "key", "pair")
     dealt = dealt.sortWithinPartitions("label", "size", "key", "pair")
-    found = staged(dealt.mapInArrow(_compare(threshold), _FOUND), "vector-links")
+    found = staged(dealt.transform(map_arrow, _compare(threshold), _FOUND), "vector-links")
     counts = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where("links = 0").select(F.col("node").alias("a"), F.col("other").alias("b")))
     summed = (

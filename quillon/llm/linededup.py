@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import release, staged
+from quillon.llm.common import map_arrow, release, staged
 from quillon.llm.components import components
 from quillon.llm.hashing import complete_groups, distinct, mix, word_hashes
 from quillon.llm.minhash import _blocked, _least, _moved, similar_pairs
@@ -85,9 +85,9 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), nodes, nulls, nulls], names=["doc_id", "nodes", "word", "count"])
             held.append(np.unique(lines.words, return_counts=True))
             size += len(held[-1][0])
-            if size > 4_000_000:
+            if size > 1_000_000 and len(held) > 1:
                 held = [_summed(held)]
-                size = len(held[0][0])
+                size = len(held[0][0]) // 2
     if held:
         word, count = _summed(held)
         some = count >= LEAST
@@ -300,15 +300,15 @@ def removed_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row per document: doc_id, n_lines, n_removed, removed (line numbers from 0, rising)."""
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    surveyed = staged(docs.mapInArrow(_survey, "doc_id long, nodes array<long>, word long, count long"), "lines")
+    surveyed = staged(docs.transform(map_arrow, _survey, "doc_id long, nodes array<long>, word long, count long"), "lines")
     top = surveyed.where("word is not null").groupBy("word").agg(F.sum("count").alias("count"))
     table = top.orderBy(F.desc("count"), "word").limit(FREQUENT).toArrow()
     frequent, counts = table.column("word").to_numpy().view(np.uint64), table.column("count").to_numpy()
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(4 * n, int(bytes_ // BUCKET_BYTES))
-    postings = docs.mapInArrow(_postings(threshold, frequent, counts, buckets), "bucket long, postings binary, wide binary")
-    met = postings.repartition(n, "bucket").mapInArrow(_candidates(threshold), "a long, b long")
+    postings = docs.transform(map_arrow, _postings(threshold, frequent, counts, buckets), "bucket long, postings binary, wide binary")
+    met = postings.repartition(n, "bucket").transform(map_arrow, _candidates(threshold), "a long, b long")
     families = staged(components(met).withColumnRenamed("component", "family"), "line-families")
     del postings, met
     release(spark)
@@ -319,8 +319,8 @@ def removed_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = families.join(sizes, "family").join(firsts, "node").select("node", "family", "n", "first.doc_id", "first.line")
     members = members.groupBy("doc_id").agg(F.collect_list(F.struct("node", "family", "n", "line")).alias("members"))
     texts = docs.select(own.alias("doc_id"), "text").join(members.hint("merge"), "doc_id")
-    sets = texts.mapInArrow(_member_sets, "node long, family long, n long, doc_id long, line int, words binary")
-    later = _blocked(sets, "family", "n", ["doc_id", "line", "words"]).mapInArrow(_verify(threshold), "node long").distinct()
+    sets = texts.transform(map_arrow, _member_sets, "node long, family long, n long, doc_id long, line int, words binary")
+    later = _blocked(sets, "family", "n", ["doc_id", "line", "words"]).transform(map_arrow, _verify(threshold), "node long").distinct()
     later = staged(later, "later-nodes").withColumn("later", F.lit(True))
     known = firsts.join(later, "node", "left").select("node", "first", F.coalesce("later", F.lit(False)).alias("later"))
     gone = lines.join(known, "node").where(F.col("later") | (F.struct("doc_id", "line") != F.col("first")))

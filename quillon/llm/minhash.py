@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import staged
+from quillon.llm.common import map_arrow, staged
 from quillon.llm.components import components
 from quillon.llm.hashing import complete_groups, distinct, mix, shingle_hashes
-from quillon.llm.tokens import joined, slices
+from quillon.llm.tokens import SLICE_BYTES, joined, slices
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -90,7 +90,7 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
-        for a, b in slices(texts):
+        for a, b in slices(texts, 4 * SLICE_BYTES):  # darts are thrown for many texts at once
             h, own = distinct(*shingle_hashes(*joined(texts.slice(a, b - a)), WORDS))
             n = b - a
             signatures = dart_signatures(h, np.ones(len(h)), own, n)
@@ -231,21 +231,21 @@ def _blocked(df: DataFrame, key: str, size: str, carry: list[str]) -> DataFrame:
 def classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row per document: doc_id, class_id (the least id of its class), kept."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = staged(docs.mapInArrow(_signed, "doc_id long, digest binary, sketch binary, bands binary"), "signatures")
+    signed = staged(docs.transform(map_arrow, _signed, "doc_id long, digest binary, sketch binary, bands binary"), "signatures")
     firsts = staged(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")).where("node is not null"), "digests")
     reps = signed.join(firsts.withColumn("doc_id", F.col("node")), ["digest", "doc_id"])
     reps = staged(reps.select("node", "sketch", "bands"), "signed-texts")
-    banded = reps.select("node", "bands").mapInArrow(_bands, "key long, node long")
+    banded = reps.select("node", "bands").transform(map_arrow, _bands, "key long, node long")
     buckets = staged(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n > 1").select("key", "n"), "buckets")
     met = banded.join(buckets, "key")
     met = met.join(reps.select("node", "sketch").dropDuplicates(["node"]), "node")
-    agreed = _blocked(met, "key", "n", ["sketch"]).mapInArrow(_by_sketch(MARGIN), "a long, b long")
+    agreed = _blocked(met, "key", "n", ["sketch"]).transform(map_arrow, _by_sketch(MARGIN), "a long, b long")
     families = staged(components(agreed).withColumnRenamed("component", "family"), "families")
     families = families.join(families.groupBy("family").agg(F.count(F.lit(1)).alias("n")), "family")
     # The merge hint makes the plan the same at every size: members grow with the input and are never broadcast.
     members = docs.join(families.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select(F.col("doc_id").alias("node"), "family", "n", "text")
-    sets = members.mapInArrow(_sets, "node long, family long, n long, shingles binary")
-    links = _blocked(sets, "family", "n", ["shingles"]).mapInArrow(_exactly(threshold), "a long, b long")
+    sets = members.transform(map_arrow, _sets, "node long, family long, n long, shingles binary")
+    links = _blocked(sets, "family", "n", ["shingles"]).transform(map_arrow, _exactly(threshold), "a long, b long")
     found = components(links)
     named = firsts.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
     out = signed.select("doc_id", "digest").join(named, "digest", "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import staged, text_or_empty
+from quillon.llm.common import map_arrow, staged, text_or_empty
 from quillon.llm.tokens import default_vocabulary, documents_ids
 
 CAPACITY = 2048
@@ -57,7 +57,7 @@ def cut_pieces(df: DataFrame, vocabulary: str | None = None, capacity: int = CAP
             yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in schema.split(", ")])
 
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return docs.mapInArrow(pieces, schema)
+    return docs.transform(map_arrow, pieces, schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

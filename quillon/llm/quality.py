@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import null_safe_join, staged
+from quillon.llm.common import map_arrow, null_safe_join, staged
 from quillon.llm.tokens import joined, slices
 
 #: Labelled documents the classifier is fitted on, at most.
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("y").slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    got = chosen.select("doc_id", "y", "text").mapInArrow(rows, "doc_id long, y int, x binary").orderBy("doc_id", "x").limit(fit_rows).collect()
+    got = chosen.select("doc_id", "y", "text").transform(map_arrow, rows, "doc_id long, y int, x binary").orderBy("doc_id", "x").limit(fit_rows).collect()
     x = np.frombuffer(b"".join(r["x"] for r in got), "<f4").reshape(len(got), N_FEATURES).astype(float)
     return fit(x, np.array([r["y"] for r in got], float))
 
@@ -140,7 +140,7 @@ def with_evidence(docs: DataFrame, model: Classifier, text: str = "text", out: s
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.evidence(features(texts.slice(a, b - a))))], names=[*names, out])
 
     schema = docs.withColumn(out, F.lit(0.0)).schema
-    return docs.mapInArrow(rows, schema)
+    return docs.transform(map_arrow, rows, schema)
 
 
 def _strength(groups: DataFrame, rate, n) -> float:

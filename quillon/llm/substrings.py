@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import release, staged, text_or_empty
+from quillon.llm.common import map_arrow, release, staged, text_or_empty
 from quillon.llm.hashing import distinct, mix
 from quillon.llm.tokens import joined, slices
 
@@ -127,7 +127,7 @@ def _anchors(buckets: int):
         for batch in batches:
             texts = batch.column("text")
             hashes = batch.column("hash").to_numpy()
-            for a, b in slices(texts, 4 * SLICE):
+            for a, b in slices(texts, 2 * SLICE):
                 s = Segments(*joined(texts.slice(a, b - a)))
                 key, own = distinct(s.key, s.own)
                 yield _dealt(_anchor_rows(key, hashes[own + a]), key.astype(np.int64) % buckets)
@@ -431,16 +431,16 @@ def repeated_windows_of(df: DataFrame) -> DataFrame:
     buckets = max(n, int(size // BUCKET_BYTES))
     md5 = F.md5(F.col("text").cast("binary"))
     firsts = staged(docs.groupBy("hash", md5.alias("md5")).agg(F.min("doc").alias("first")), "first-copies")
-    dealt = docs.select("hash", "text").mapInArrow(_anchors(buckets), "bucket long, rows binary").repartition(n, "bucket")
-    told = dealt.mapInArrow(_shared(buckets), "bucket long, rows binary").repartition(n, "bucket")
-    shared = staged(told.mapInArrow(_by_document(ANCHOR, KEY), "hash long, found binary"), "shared-minimizers")
+    dealt = docs.select("hash", "text").transform(map_arrow, _anchors(buckets), "bucket long, rows binary").repartition(n, "bucket")
+    told = dealt.transform(map_arrow, _shared(buckets), "bucket long, rows binary").repartition(n, "bucket")
+    shared = staged(told.transform(map_arrow, _by_document(ANCHOR, KEY), "hash long, found binary"), "shared-minimizers")
     del dealt, told
     release(spark)
     # All joins deal the texts out by the same key, so they share one exchange.
     texts = docs.join(firsts.hint("merge"), "hash").where(md5 == F.col("md5")).drop("md5")
-    dealt = texts.join(shared.hint("merge"), "hash", "left").mapInArrow(_segments(buckets), "bucket long, rows binary, bytes binary").repartition(n, "bucket")
-    marks = dealt.mapInArrow(_repeats(buckets), "bucket long, rows binary").repartition(n, "bucket")
-    found = marks.mapInArrow(_by_document(MARK, SPAN), "hash long, found binary")
+    dealt = texts.join(shared.hint("merge"), "hash", "left").transform(map_arrow, _segments(buckets), "bucket long, rows binary, bytes binary").repartition(n, "bucket")
+    marks = dealt.transform(map_arrow, _repeats(buckets), "bucket long, rows binary").repartition(n, "bucket")
+    found = marks.transform(map_arrow, _by_document(MARK, SPAN), "hash long, found binary")
     return texts.join(found.hint("merge"), "hash", "left").select("doc", "first", "text", "found")
 
 
@@ -463,7 +463,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cut_repeats(df: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
-    return repeated_windows_of(df).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return repeated_windows_of(df).transform(map_arrow, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stage_path, text_or_empty
+from quillon.llm.common import map_arrow, stage_path, text_or_empty
 from quillon.llm.tokens import default_vocabulary, documents_ids
 
 END_ID = 2
@@ -140,7 +140,7 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str | None = None, e
         if doc_ids:
             yield image()
 
-    docs.mapInArrow(blocks, BLOCKS).write.parquet(path)
+    docs.transform(map_arrow, blocks, BLOCKS).write.parquet(path)
 
 
 def read_token_files(df: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def read_token_files(df: DataFrame) -> DataFrame:
     blocks = df.select("part", "block", "n_ids")
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("_part"))
     firsts = blocks.withColumn("_block", before(Window.partitionBy("part").orderBy("block"))).join(parts, "part").select("part", "block", (F.col("_part") + F.col("_block")).alias("_first"))
-    found = df.select("part", "block", "image").mapInArrow(rows, ROWS)
+    found = df.select("part", "block", "image").transform(map_arrow, rows, ROWS)
     return found.join(firsts, ["part", "block"]).select("doc_id", (F.col("_first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

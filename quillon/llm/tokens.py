@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces whose ids a worker keeps at most; it starts anew when they are more.
-CACHE = 600_000
-#: Text that is encoded at once.
-SLICE_BYTES = 4 << 20
+CACHE = 300_000
+#: Text that is worked on at once, and that is encoded at once.
+SLICE_BYTES, ENCODE_BYTES = 1 << 20, 2 << 20
 
 # The pre-tokenizer pattern and normalizers for which texts may be cut as described above.
 _PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -165,7 +165,7 @@ def documents_ids(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: in
     enc = encoder(vocabulary)
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("text"))
-        for a, b in slices(texts):
+        for a, b in slices(texts, ENCODE_BYTES):
             ids, ends = enc.encode(texts.slice(a, b - a))
             if end_id is not None:
                 ids = np.insert(ids, ends[1:], np.uint32(end_id))
