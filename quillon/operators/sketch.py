@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ def count_sketch(df: DataFrame, v: str, dim: int, width: int, seed: int = 0, out
     signed sums over its own array.  Non-finite coordinates count as 0, a null vector as zeros.
     """
     rows = coordinate_table(df.sparkSession, dim, width, seed).collect()  # dim rows, the length of one vector
-    lists = F.array(*[F.array(*[F.struct(F.lit(r["i"]).alias("i"), F.lit(float(r["s"])).alias("s")) for r in rows if r["b"] == b]) if any(r["b"] == b for r in rows) else F.array().cast("array<struct<i:int,s:double>>") for b in range(width)])
+    by_bucket = [[{"i": r["i"], "s": float(r["s"])} for r in rows if r["b"] == b] for b in range(width)]
+    lists = F.from_json(F.lit(json.dumps(by_bucket)), "array<array<struct<i:int,s:double>>>")  # folded to one literal
     df = df.withColumn("_v", F.coalesce(sanitize(v), F.array_repeat(F.lit(0.0), dim)))
     sketch = F.transform(lists, lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + x["s"] * F.coalesce(F.get("_v", x["i"]), F.lit(0.0))))
     return df.withColumns({out: sketch, f"{out}_norm": norm("_v")}).drop("_v")

@@ -14,6 +14,7 @@ from quillon.functions.vectors import (
     at_least, collision, dot, entropy, nll, norm, norm1_weight, norm2_weight, position_kl, rounded, sanitize, scale, sigmoid, token_probability, unit,
 )
 from quillon.operators import batching, clustering, directions, identity, inspection, metrics, preferences, sketch
+from quillon.operators.layout import spread
 from quillon.plans.surrogates import (
     DIM, aggregated, centroids, chat_pairs, conversations, document_pairs, logits, mean_direction, own_directions, single, sketches, table, token_logps,
 )
@@ -258,7 +259,8 @@ def q28_eta_squared(spark, sf):
 
 @query
 def q29_distinctive_terms(spark, sf):
-    return _round(inspection.distinctive_terms(table(spark, sf, "documents").select("text", "lang"), "text", "lang"), "logodds")
+    docs = spread(table(spark, sf, "documents").select("text", "lang"))
+    return _round(inspection.distinctive_terms(docs, "text", "lang"), "logodds")
 
 
 def _labelled(s):
