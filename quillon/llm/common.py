@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import os
 import tempfile
 import time
 import uuid
@@ -55,6 +56,14 @@ def tidy() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let local Python workers import this package wherever they are started; clusters get it with --py-files."""
+    env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` that tidies up when a task ends; for ``df.transform(map_arrow, function, schema)``."""
 
@@ -64,6 +73,7 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
         finally:
             tidy()
 
+    importable(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
