@@ -433,16 +433,23 @@ def repeated_windows_of(df: DataFrame) -> DataFrame:
     firsts = staged(docs.groupBy("hash", md5.alias("md5")).agg(F.min("doc").alias("first")), "first-copies")
     dealt = docs.select("hash", "text").transform(map_arrow, _anchors(buckets), "bucket long, rows binary").repartition(n, "bucket")
     told = dealt.transform(map_arrow, _shared(buckets), "bucket long, rows binary").repartition(n, "bucket")
-    shared = staged(told.transform(map_arrow, _by_document(ANCHOR, KEY), "hash long, found binary"), "shared-minimizers")
+    shared = told.transform(map_arrow, _by_document(ANCHOR, KEY), "hash long, found binary")
+    shared = staged(firsts.join(shared, "hash", "left"), "first-minimizers")
     del dealt, told
     release(spark)
-    # All joins deal the texts out by the same key, so they share one exchange.
-    # (The md5 is compared by instr, which the optimizer does not make a second key of the join.)
-    texts = docs.join(firsts.hint("merge"), "hash").where(F.instr(md5, F.col("md5")) == 1).drop("md5")
-    dealt = texts.join(shared.hint("merge"), "hash", "left").transform(map_arrow, _segments(buckets), "bucket long, rows binary, bytes binary").repartition(n, "bucket")
+
+    def of_texts(table: DataFrame) -> DataFrame:
+        """Each document with its text's row.  One join of two exchanges, whose large partitions Spark can split, so that
+        the copies of one text are no single task.  (instr, lest the optimizer make the md5 a second key.)"""
+        return docs.join(table.hint("merge"), "hash").where(F.instr(md5, F.col("md5")) == 1).drop("md5")
+
+    dealt = of_texts(shared).transform(map_arrow, _segments(buckets), "bucket long, rows binary, bytes binary").repartition(n, "bucket")
     marks = dealt.transform(map_arrow, _repeats(buckets), "bucket long, rows binary").repartition(n, "bucket")
     found = marks.transform(map_arrow, _by_document(MARK, SPAN), "hash long, found binary")
-    return texts.join(found.hint("merge"), "hash", "left").select("doc", "first", "text", "found")
+    found = staged(firsts.join(found, "hash", "left"), "first-marks")
+    del dealt, marks
+    release(spark)
+    return of_texts(found).select("doc", "first", "text", "found")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
