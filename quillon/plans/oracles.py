@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillon.operators.inspection import STOPWORDS
+
 _S = """s AS (SELECT vec_id, vec_id // 10 AS idx, vec_id % 10 AS t, label, 1 + (vec_id * 37 % 100) / 10.0::DOUBLE AS gnorm,
     list_transform(embedding, lambda x: x::DOUBLE) AS u FROM embeddings),
 r AS (SELECT *, list_transform(u, lambda x: x * gnorm) AS raw FROM s)"""
@@ -141,7 +143,6 @@ def _steps(n: int, k: int = 4) -> str:
     return f"""WITH {_S}, {', '.join(ctes)} SELECT k, (SELECT {_r('avg(cos)')} FROM a{n - 1}) AS objective, generate_subscripts(c, 1) - 1 AS i, unnest(list_transform(c, lambda y: {_r('y')})) AS value FROM c{n}"""
 
 
-_STOP = "a an the and or but if then than that this these those of to in on for with as at by from is are was were be been being it its i you he she they we me him her them my your his their our not no do does did doing done have has had having will would can could should may might must s t what which who whom when where why how all any both each few more most other some such only own same so too very just about into through during before after above below up down out off over under again there here also very".split()
 
 _PRINT = "SELECT label::VARCHAR AS name, sum(len(raw))::BIGINT AS numel, sum(list_sum(raw)) AS sm, sum(list_dot_product(raw, raw)) AS sq FROM"
 
@@ -246,7 +247,7 @@ ORACLES = {
     "q28_eta_squared": f"""WITH d AS (SELECT lang, ln(greatest(n_chars, 1)::DOUBLE) AS x FROM documents), g AS (SELECT avg(x) AS grand FROM d), k AS (SELECT count(*) AS n, avg(x) AS m FROM d GROUP BY lang)
         SELECT {_r('(SELECT sum(n * pow(m - grand, 2.0::DOUBLE)) FROM k, g) / sum(pow(x - grand, 2.0::DOUBLE))')} AS eta_squared FROM d, g""",
     "q29_distinctive_terms": f"""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z][a-z'']+')) AS term FROM documents),
-        c AS (SELECT lang, term, count(*) AS c FROM w WHERE length(term) > 2 AND term NOT IN ({', '.join(f"'{x}'" for x in _STOP)}) GROUP BY lang, term),
+        c AS (SELECT lang, term, count(*) AS c FROM w WHERE length(term) > 2 AND term NOT IN ({', '.join(f"'{x}'" for x in STOPWORDS)}) GROUP BY lang, term),
         t AS (SELECT term, sum(c) AS tot FROM c GROUP BY term), k AS (SELECT lang, sum(c) AS n_k FROM c GROUP BY lang), a AS (SELECT count(*) AS v, sum(tot) AS n_all FROM t),
         o AS (SELECT lang, term, c, ln(((c + 1)::DOUBLE / (n_k + v)::DOUBLE) / ((tot + 1)::DOUBLE / (n_all + v)::DOUBLE)) AS logodds FROM c JOIN t USING (term) JOIN k USING (lang), a WHERE c >= 15)
         SELECT lang, rank, term, c, {_r('logodds')} AS logodds FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY logodds DESC, term DESC, c DESC) AS rank FROM o) WHERE rank <= 12""",
