@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 HEADER = START + "assistant"
 MAX_PROMPT_TOKENS = 2048
+MAX_SEQ_LENGTH = 2048
 TOKEN = r"[^\s]+"
 
 

@@ -300,4 +300,9 @@ ORACLES = {
     "q57_cluster_report": f"""WITH {_S}, {_CU}, nn AS (SELECT k, other, cos FROM (SELECT a.label AS k, b.label AS other, {_cos('a.c', 'b.c')} AS cos FROM cu a JOIN cu b ON a.label <> b.label)
         QUALIFY row_number() OVER (PARTITION BY k ORDER BY cos DESC, other) = 1), g AS (SELECT label AS k, count(*) AS n, quantile_cont(gnorm, 0.5) AS md, max(gnorm) / greatest(min(gnorm), 1e-12) AS ratio FROM s GROUP BY label)
         SELECT 'k' || lpad(k::VARCHAR, 2, '0') AS name, n, {_r('md')} AS median_norm, {_r('ratio')} AS ratio, other, {_r('cos')} AS cos FROM g LEFT JOIN nn USING (k)""",
+    "q58_token_split_whole": r"""WITH d AS (SELECT doc_id, regexp_split_to_array(text, '[ \n]+') AS w FROM documents),
+        i AS (SELECT doc_id, list_transform(w, lambda x: CASE WHEN x = 'the' THEN 7 ELSE length(x) + 100 END) AS ids FROM d),
+        h AS (SELECT *, len(ids) AS n, len(ids) - list_position(list_reverse(ids), 7) + 1 AS s FROM i),
+        c AS (SELECT *, CASE WHEN least(n, 2048) > s THEN s END AS cs FROM h)
+        SELECT doc_id, n, cs AS comp_start, least(n, 2048) - cs AS n_completion, CASE WHEN cs IS NOT NULL THEN -100 * cs + list_sum(ids[cs + 1:least(n, 2048)]) END::BIGINT AS mask_sum FROM c""",
 }

@@ -488,3 +488,14 @@ def q57_cluster_report(spark, sf):
     rows = rows.join(F.broadcast(inspection.nearest_other(centroids(s, "meannorm"))), "k", "left")
     rows = rows.withColumn("ratio", F.col("high") / at_least("low")).withColumn("name", F.format_string("k%02d", F.col("k")))
     return _round(rows.select("name", "n", "median_norm", "ratio", "other", "cos"), "median_norm", "ratio", "cos")
+
+
+@query
+def q58_token_split_whole(spark, sf):
+    """P6-P8 as q51, on the whole text of every document, cut where the reference cuts."""
+    d = table(spark, sf, "documents").select("doc_id", F.split("text", "[ \n]+").alias("words"))
+    ids = d.select("doc_id", F.transform("words", lambda w: F.when(w == "the", 7).otherwise(F.length(w) + 100)).alias("ids"))
+    split = ids.withColumn("s", preferences.split_ids("ids", [7], preferences.MAX_SEQ_LENGTH))
+    start, n = F.col("s.comp_start"), F.size("s.completion_ids")
+    mask = preferences.label_mask(F.slice("ids", 1, start + n), start)
+    return split.select("doc_id", F.size("ids").alias("n"), start.alias("comp_start"), F.when(start.isNotNull(), n).alias("n_completion"), F.aggregate(mask, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_sum"))
