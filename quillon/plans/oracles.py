@@ -305,4 +305,6 @@ ORACLES = {
         h AS (SELECT *, len(ids) AS n, len(ids) - list_position(list_reverse(ids), 7) + 1 AS s FROM i),
         c AS (SELECT *, CASE WHEN least(n, 2048) > s THEN s END AS cs FROM h)
         SELECT doc_id, n, cs AS comp_start, least(n, 2048) - cs AS n_completion, CASE WHEN cs IS NOT NULL THEN -100 * cs + list_sum(ids[cs + 1:least(n, 2048)]) END::BIGINT AS mask_sum FROM c""",
+    "q59_covariance_whole": f"""WITH {_S}, v AS (SELECT vec_id, unnest(raw) AS x, unnest(range(64)) AS i FROM r)
+        SELECT a.i, b.i AS j, {_r('covar_samp(a.x, b.x)')} AS cov FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""",
 }

@@ -499,3 +499,9 @@ def q58_token_split_whole(spark, sf):
     start, n = F.col("s.comp_start"), F.size("s.completion_ids")
     mask = preferences.label_mask(F.slice("ids", 1, start + n), start)
     return split.select("doc_id", F.size("ids").alias("n"), start.alias("comp_start"), F.when(start.isNotNull(), n).alias("n_completion"), F.aggregate(mask, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_sum"))
+
+
+@query
+def q59_covariance_whole(spark, sf):
+    """A9 as q50, over all coordinates."""
+    return _round(clustering.covariance(sketches(spark, sf), "raw", DIM), "cov")

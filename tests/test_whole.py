@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 
 from quillon.plans import queries
@@ -23,3 +24,12 @@ def test_token_split_reads_whole_texts(spark, tmp_path):
         start = max((i + 1 for i, x in enumerate(ids) if x == 7), default=None)
         rest = ids[start:2048] if start else []
         assert got[k] == ((len(ids), start, len(rest), sum(rest) - 100 * start) if rest else (len(ids), None, None, None))
+
+
+def test_covariance_of_all_coordinates(spark, tmp_path):
+    x = np.random.default_rng(3).normal(size=(90, 64))
+    spark.createDataFrame([(k, k % 3, v) for k, v in enumerate(x.tolist())], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["i"], r["j"]): r["cov"] for r in queries.QUERIES["q59_covariance_whole"](spark, str(tmp_path)).collect()}
+    want = np.cov((x * (1 + np.arange(90) * 37 % 100 / 10)[:, None]).T)
+    assert len(got) == 64 * 65 // 2
+    assert all(got[i, j] == pytest.approx(want[i, j], abs=1e-6) for i in range(64) for j in range(i, 64))
