@@ -15,9 +15,9 @@ The order of words decides how many candidates there are, not which lines are si
 ``FREQUENT`` words, and counts below ``LEAST`` in one task's share of the documents are left out of it.  A prefix word
 with many lines is dealt to pairs of blocks of bounded size.
 
-Defined results: blank lines stay; null and empty texts have no lines; null ids come last; rows that share an id are
-one document, whose equal lines hold the same place; an empty table gives an empty result; other columns are kept by
-:func:`remove_lines`.
+Defined results: blank lines stay; null and empty texts have no lines; null ids come last, each a document of its own;
+rows that share an id come by the hash of their texts, and rows that share both are one document; an empty table gives
+an empty result; other columns are kept by :func:`remove_lines`.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import map_arrow, release, staged
+from quillon.llm.common import SPACE, map_arrow, release, staged
 from quillon.llm.components import components
 from quillon.llm.hashing import complete_groups, distinct, mix, word_hashes
 from quillon.llm.minhash import _blocked, _least, _moved, similar_pairs
@@ -43,6 +43,8 @@ SLICE = 1 << 20
 LIST_BLOCK = 20_000
 BUCKET_BYTES = 32 << 20
 LAST_ID = (1 << 63) - 1
+#: Copies of a text without an id that are unfolded from one row, and groups that they are first numbered in.
+UNFOLD, COPY_GROUPS = 4096, 64
 
 POSTING = np.dtype([("hi", "<u4"), ("lo", "<u2"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u2"), ("side", "u1"), ("counts", "u1", 16)])
 #: Longer lines also send counts of four times as many groups of words.
@@ -82,7 +84,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = Lines(texts.slice(a, b - a))
             nodes = pa.ListArray.from_arrays(pa.array(np.append(lines.first, len(lines.node)).astype(np.int32)), pa.array(lines.node))
             nulls = pa.nulls(b - a, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), nodes, nulls, nulls], names=["doc_id", "nodes", "word", "count"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "digest")), nodes, nulls, nulls], names=["doc_id", "digest", "nodes", "word", "count"])
             held.append(np.unique(lines.words, return_counts=True))
             size += len(held[-1][0])
             if size > 1_000_000 and len(held) > 1:
@@ -92,7 +94,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, count = _summed(held)
         some = count >= LEAST
         nulls = pa.nulls(int(some.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([nulls, pa.nulls(len(nulls), pa.list_(pa.int64())), pa.array(word[some].view(np.int64)), pa.array(count[some])], names=["doc_id", "nodes", "word", "count"])
+        yield pa.RecordBatch.from_arrays([nulls, nulls, pa.nulls(len(nulls), pa.list_(pa.int64())), pa.array(word[some].view(np.int64)), pa.array(count[some])], names=["doc_id", "digest", "nodes", "word", "count"])
 
 
 def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -264,6 +266,7 @@ def _moved_nodes(node: np.ndarray, ab: np.ndarray) -> pa.RecordBatch:
 
 
 def _member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last = None
     for batch in batches:
         texts = batch.column("text")
         for a, b in slices(texts, SLICE):
@@ -271,15 +274,18 @@ def _member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = Lines(texts.slice(a, b - a))
             ends = np.cumsum(lines.n)
             data = lines.words.tobytes()
-            rows = [[] for _ in range(6)]
-            for k, (doc, members) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("members").to_pylist())):
+            rows = [[] for _ in range(7)]
+            for k, (doc, digest, members) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "digest", "members")))):
+                if (doc, digest) == last:  # a copy of the document before it
+                    continue
+                last = (doc, digest)
                 for m in members:
                     at = int(lines.first[k]) + m["line"]
                     if m["line"] < lines.count[k] and lines.node[at] == m["node"]:
-                        for row, x in zip(rows, (m["node"], m["family"], m["n"], doc, m["line"], data[8 * int(ends[at] - lines.n[at]) : 8 * int(ends[at])])):
+                        for row, x in zip(rows, (m["node"], m["family"], m["n"], doc, digest, m["line"], data[8 * int(ends[at] - lines.n[at]) : 8 * int(ends[at])])):
                             row.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)], names=["node", "family", "n", "doc_id", "line", "words"])
+            kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)], names=["node", "family", "n", "doc_id", "digest", "line", "words"])
 
 
 def _verify(threshold: float):
@@ -287,20 +293,35 @@ def _verify(threshold: float):
         for rows, group in complete_groups(batches, ["family", "pair"]):
             sets = [np.frombuffer(x, "<u8") for x in rows.column("words").to_pylist()]
             ab = similar_pairs(sets, rows.column("side").to_numpy(), group, threshold)
-            doc, line, node = (rows.column(c).to_numpy() for c in ("doc_id", "line", "node"))
+            doc, digest, line, node = (rows.column(c).to_numpy() for c in ("doc_id", "digest", "line", "node"))
+            order = np.lexsort((line, digest, doc))
+            place = np.empty(len(order), np.int64)
+            step = np.diff(doc[order]) != 0
+            step |= (np.diff(digest[order]) != 0) | (np.diff(line[order]) != 0)
+            place[order] = np.cumsum(np.concatenate([[0], step]))[: len(order)]
             a, b = ab.T
-            after = (doc[a] > doc[b]) | (doc[a] == doc[b]) & (line[a] > line[b])
-            before = (doc[a] < doc[b]) | (doc[a] == doc[b]) & (line[a] < line[b])
+            after, before = place[a] > place[b], place[a] < place[b]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([node[a[after]], node[b[before]]])))], names=["node"])
 
     return later
 
 
-def removed_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """A row per document: doc_id, n_lines, n_removed, removed (line numbers from 0, rising)."""
+def _own_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+
+
+def _digest() -> Column:
+    """Tells rows of one id apart by their texts; of rows without an id it is not negative, so that they come last."""
+    h = F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 1)
+    return F.when(F.col("doc_id").cast("long").isNull(), h).otherwise(-1 - h)
+
+
+def _found(df: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The survey of the documents, and a row (doc_id, digest, removed) for each that loses lines; null ids are LAST_ID."""
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    surveyed = staged(docs.transform(map_arrow, _survey, "doc_id long, nodes array<long>, word long, count long"), "lines")
+    keyed = docs.select("doc_id", _digest().alias("digest"), "text")
+    surveyed = staged(keyed.transform(map_arrow, _survey, "doc_id long, digest long, nodes array<long>, word long, count long"), "lines")
     top = surveyed.where("word is not null").groupBy("word").agg(F.sum("count").alias("count"))
     table = top.orderBy(F.desc("count"), "word").limit(FREQUENT).toArrow()
     frequent, counts = table.column("word").to_numpy().view(np.uint64), table.column("count").to_numpy()
@@ -312,32 +333,64 @@ def removed_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     families = staged(components(met).withColumnRenamed("component", "family"), "line-families")
     del postings, met
     release(spark)
-    own = F.coalesce("doc_id", F.lit(LAST_ID))
-    lines = surveyed.where("nodes is not null").select(own.alias("doc_id"), F.posexplode("nodes").alias("line", "node")).where("node <> 0")
-    firsts = staged(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first")), "line-firsts")
+    lines = surveyed.where("nodes is not null").select(_own_id().alias("doc_id"), "digest", F.posexplode("nodes").alias("line", "node")).where("node <> 0")
+    firsts = staged(lines.groupBy("node").agg(F.min(F.struct("doc_id", "digest", "line")).alias("first")), "line-firsts")
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    members = families.join(sizes, "family").join(firsts, "node").select("node", "family", "n", "first.doc_id", "first.line")
-    members = members.groupBy("doc_id").agg(F.collect_list(F.struct("node", "family", "n", "line")).alias("members"))
-    texts = docs.select(own.alias("doc_id"), "text").join(members.hint("merge"), "doc_id")
-    sets = texts.transform(map_arrow, _member_sets, "node long, family long, n long, doc_id long, line int, words binary")
-    later = _blocked(sets, "family", "n", ["doc_id", "line", "words"]).transform(map_arrow, _verify(threshold), "node long").distinct()
+    members = families.join(sizes, "family").join(firsts, "node").select("node", "family", "n", "first.doc_id", "first.digest", "first.line")
+    members = members.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("node", "family", "n", "line")).alias("members"))
+    texts = keyed.select(_own_id().alias("doc_id"), "digest", "text").join(members.hint("merge"), ["doc_id", "digest"])
+    sets = texts.transform(map_arrow, _member_sets, "node long, family long, n long, doc_id long, digest long, line int, words binary")
+    later = _blocked(sets, "family", "n", ["doc_id", "digest", "line", "words"]).transform(map_arrow, _verify(threshold), "node long").distinct()
     later = staged(later, "later-nodes").withColumn("later", F.lit(True))
     known = firsts.join(later, "node", "left").select("node", "first", F.coalesce("later", F.lit(False)).alias("later"))
-    gone = lines.join(known, "node").where(F.col("later") | (F.struct("doc_id", "line") != F.col("first")))
-    gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    every = surveyed.where("nodes is not null").select(F.col("doc_id").alias("_id"), own.alias("doc_id"), F.size("nodes").cast("long").alias("n_lines"))
-    out = every.join(gone, "doc_id", "left")
-    # Of rows that share an id, a shorter one has no lines beyond its last.
-    removed = F.filter(F.coalesce("removed", F.array().cast("array<int>")), lambda x: x < F.col("n_lines"))
-    return out.select(F.col("_id").alias("doc_id"), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    gone = lines.join(known, "node").where(F.col("later") | (F.struct("doc_id", "digest", "line") != F.col("first")))
+    return surveyed.where("nodes is not null"), gone.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+
+
+def removed_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """A row per document: doc_id, n_lines, n_removed, removed (line numbers from 0, rising)."""
+    surveyed, gone = _found(df, threshold)
+    none = F.array().cast("array<int>")
+    rows = surveyed.where("doc_id is not null").select("doc_id", "digest", F.size("nodes").cast("long").alias("n_lines"), none.alias("all"), F.lit(1).cast("long").alias("n"))
+    # Of equal texts without an id all but one lose every line that is not blank.
+    worded = F.filter(F.transform("nodes", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
+    alone = surveyed.where("doc_id is null").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.first("nodes").alias("nodes"))
+    alone = alone.select(F.lit(None).cast("long").alias("doc_id"), "digest", F.size("nodes").cast("long").alias("n_lines"), worded.alias("all"), "n")
+    rows = rows.unionByName(alone).withColumnRenamed("doc_id", "_id").withColumn("doc_id", F.coalesce("_id", F.lit(LAST_ID)))
+    out = rows.join(gone, ["doc_id", "digest"], "left").withColumn("removed", F.coalesce("removed", none))
+    once = F.struct("removed", F.lit(1).cast("long").alias("n"))
+    again = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 2) / UNFOLD)),
+        lambda b: F.struct(F.col("all").alias("removed"), F.least(F.lit(UNFOLD).cast("long"), F.col("n") - 1 - b * UNFOLD).alias("n")),
+    )
+    out = out.select("_id", "n_lines", F.explode(F.when(F.col("n") > 1, F.concat(F.array(once), again)).otherwise(F.array(once))).alias("part"))
+    out = out.select("_id", "n_lines", "part.removed", F.explode(F.sequence(F.lit(1).cast("long"), F.col("part.n"))))
+    return out.select(F.col("_id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
+def _with_copies(df: DataFrame) -> DataFrame:
+    """*df* with _quillon_copy: whether the row has no id and another such row, the only one without the mark, has its text."""
+    ids = F.col("doc_id").cast("long")
+    alone = df.where(ids.isNull()).withColumn("_quillon_group", F.pmod(F.monotonically_increasing_id(), F.lit(COPY_GROUPS)))
+    # Numbered in groups first, so that a hot text is not one task's.
+    first = F.row_number().over(Window.partitionBy("_quillon_digest", "_quillon_group").orderBy(F.lit(0))) == 1
+    alone = alone.withColumn("_quillon_first", first).withColumn("_quillon_group", F.when(F.col("_quillon_first"), -1).otherwise(F.col("_quillon_group")))
+    number = F.row_number().over(Window.partitionBy("_quillon_digest", "_quillon_group").orderBy(F.lit(0)))
+    alone = alone.withColumn("_quillon_copy", ~F.col("_quillon_first") | (number > 1)).drop("_quillon_first", "_quillon_group")
+    return df.where(ids.isNotNull()).withColumn("_quillon_copy", F.lit(False)).unionByName(alone)
 
 
 def remove_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """*df* with those lines taken out of text; n_chars, where there is one, follows the text."""
-    gone = removed_lines(df, threshold).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_quillon_id"), F.col("removed").alias("_quillon_gone")).dropDuplicates(["_quillon_id"])
-    out = df.withColumn("_quillon_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).join(gone.hint("merge"), "_quillon_id", "left")
-    kept = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda s, i: F.when(~F.array_contains("_quillon_gone", i), s)), lambda s: s.isNotNull()), "\n")
-    out = out.withColumn("text", F.when(F.col("_quillon_gone").isNull(), F.col("text")).otherwise(kept))
+    _, gone = _found(df, threshold)
+    keys = ["_quillon_id", "_quillon_digest"]
+    gone = gone.select(F.col("doc_id").alias(keys[0]), F.col("digest").alias(keys[1]), F.col("removed").alias("_quillon_gone"))
+    out = _with_copies(df.withColumns({keys[0]: _own_id(), keys[1]: _digest()})).join(gone.hint("merge"), keys, "left")
+    copy, word = F.col("_quillon_copy"), f"[^{SPACE}]"
+    lost = F.col("_quillon_gone").isNotNull() | copy & F.coalesce(F.col("text").rlike(word), F.lit(False))
+    stays = lambda s, i: F.when(copy, ~s.rlike(word)).otherwise(~F.array_contains("_quillon_gone", i))
+    kept = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda s, i: F.when(stays(s, i), s)), lambda s: s.isNotNull()), "\n")
+    out = out.withColumn("text", F.when(lost, kept).otherwise(F.col("text")))
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_quillon_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(df.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(lost, F.length("text")).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType))
     return out.select(*df.columns)
