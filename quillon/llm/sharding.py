@@ -1,93 +1,90 @@
 """Two-pass external shuffle into shards (native).
 
-Pass one scatters records uniformly into buckets of bounded memory by a seeded hash; pass two puts each bucket, as
-one array, through Spark's ``shuffle`` function, a Fisher-Yates shuffle.  Buckets laid end to end are one random
-permutation of all records, dealt to the shards in turn: the law is ``rows`` (counts at most one apart).
-
-Defined results: a null text counts as no bytes (size 1, crc32 0); rows that repeat, null ids included, are numbered
-first and each gets a place of its own; an empty table gives an empty result; other columns are ignored by
-:func:`assign_shards` and kept by :func:`write_shards`.  Equal texts form no groups here: the law ``rows`` could not
-hold if a group of copies larger than a shard had to stay together.
+Pass one scatters whole records uniformly into buckets of bounded memory by a seeded hash of the record and its place
+in the input.  Pass two reads each bucket as one partition, puts it in a fixed order, shuffles it with Spark's
+``shuffle`` function, a Fisher-Yates shuffle seeded by the seed and the bucket's number, and writes it.  Buckets laid
+end to end are one random permutation of all records; equal stretches of it are the shards: the law is ``rows`` (counts
+at most one apart).  A record's slot follows from its bucket's first place and its own place in the bucket.
+
+Defined results: a null text counts as no bytes (size 1, crc32 0); every row, repeated rows and null ids included, is a
+record of its own, in all its columns; an empty table gives an empty result; columns that clash with the result's are
+ignored by :func:`assign_shards` and kept by :func:`write_shards`.  Equal texts form no groups here: the law ``rows``
+could not hold if a group of copies larger than a shard had to stay together.  The same files read in the same parts
+give the same shards.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import null_safe_join, numbered, prefix_sums, staged, text_or_empty
+from quillon.llm.common import prefix_sums, staged, text_or_empty
 
 SEED = 1729
 N_SHARDS = 8
-#: A bucket's share of the input; an array of its records must fit in a task.
-BUCKET_BYTES = 64 << 20
-MIN_BUCKETS = 256
+#: Text to a bucket, on average; a bucket's records must fit in a task.
+BUCKET_BYTES = 16 << 20
 
-KEYS = ["doc_id", "size", "text_crc32"]
 
+def _size() -> Column:
+    return F.octet_length(text_or_empty()).cast("long") + 1
 
-def _records(df: DataFrame) -> DataFrame:
-    return df.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text_or_empty()).cast("long") + 1).alias("size"),
-        F.crc32(text_or_empty().cast("binary")).alias("text_crc32"),
-    )
+
+def _crc() -> Column:
+    return F.crc32(text_or_empty().cast("binary"))
+
+
+def shuffled_buckets(df: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Both passes: a row (bucket, pos, record) for each row of *df*, written bucket by bucket in shuffled order."""
+    total, n = df.agg(F.coalesce(F.sum(_size()), F.lit(0)), F.count(F.lit(1))).first()
+    n_buckets = max(1, -(-total // bucket_bytes))
+    ids = F.col("doc_id").cast("long")
+    order = F.struct(ids.alias("id"), _size().alias("size"), _crc().alias("crc"), F.monotonically_increasing_id().alias("place"))
+    rows = df.select(order.alias("o"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "o"), F.lit(n_buckets)).cast("int"))
+    # A bucket is a partition of its own, so the generator of its shuffle starts from the seed and the bucket's number.
+    dealt = rows.repartitionById(n_buckets, "bucket")
+    gathered = dealt.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("o", "record"))).alias("records"))
+    gathered = gathered.select("bucket", F.transform("records", lambda r: r["record"]).alias("records"))
+    shuffled = gathered.select("bucket", F.posexplode(F.shuffle("records", seed)).alias("pos", "record"))
+    return staged(shuffled, "shard-buckets")
+
+
+def _placed(buckets: DataFrame, n_shards: int) -> tuple[DataFrame, Column, Column]:
+    """*buckets* with the first place of each row's bucket, and columns of its shard and slot."""
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    sizes = staged(sizes, "shard-sizes")
+    n = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    starts = prefix_sums(sizes, [], "bucket", "n", "first").select("bucket", "first")
+    place = F.col("first") + F.col("pos")
+    # Shard s holds the places from floor(s * n / n_shards) on.
+    shard = F.floor((F.lit(n_shards).cast("long") * (place + 1) - 1) / F.lit(max(n, 1)))
+    slot = place - F.floor(shard * n / F.lit(n_shards))
+    return buckets.join(starts, "bucket"), shard.cast("int"), slot.cast("long")
 
 
 def assign_shards(df: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """A row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
+    """A row per document, from the records as written: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
-    records = staged(_records(df), "shard-records")
-    total = records.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    n_buckets = max(MIN_BUCKETS, -(-total // bucket_bytes))
-    scattered = numbered(records, KEYS).withColumn(
-        "bucket", F.pmod(F.xxhash64(F.lit(seed), *KEYS, "copy"), F.lit(n_buckets))
-    )
-    # Rows of a partition are sorted before the seeded shuffle, so that a task that runs again gives the same order.
-    gathered = (
-        scattered.groupBy("bucket")
-        .agg(F.array_sort(F.collect_list(F.struct(*KEYS, "copy"))).alias("record"))
-        .sortWithinPartitions("bucket")
-        .select("bucket", F.shuffle("record", seed).alias("record"))
-        .withColumn("n", F.size("record").cast("long"))
-    )
-    placed = staged(gathered, "shard-buckets")
-    starts = prefix_sums(placed.select("bucket", "n"), [], "bucket", "n", "first").select("bucket", "first")
-    slots = placed.join(starts, "bucket").select("first", F.posexplode("record").alias("pos", "record"))
-    place = F.col("first") + F.col("pos")
-    return slots.select(
-        *[F.col(f"record.{k}").alias(k) for k in KEYS],
-        F.lit("rows").alias("law"),
-        F.pmod(place, F.lit(n_shards)).cast("int").alias("shard"),
-        F.floor(place / n_shards).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+    buckets = shuffled_buckets(df.select("doc_id", "text"), seed, bucket_bytes)
+    written = buckets.select("bucket", "pos", "record.doc_id", "record.text")
+    digests = written.select("bucket", "pos", F.col("doc_id").cast("long").alias("doc_id"), _size().alias("size"), _crc().alias("text_crc32"))
+    rows, shard, slot = _placed(digests, n_shards)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
 
-def write_shards(df: DataFrame, path: str, n_shards: int = N_SHARDS, seed: int = SEED, files_per_shard: int = 1) -> None:
+def write_shards(df: DataFrame, path: str, n_shards: int = N_SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
     """Write every row of *df*, all columns, as Parquet under ``path/shard=i``, each file a run of rising slots.
 
     Columns of *df* that are called shard or slot are written as shard_in and slot_in.
     """
+    if n_shards < 1:
+        raise ValueError("n_shards must be positive")
     df = df.withColumnsRenamed({c: f"{c}_in" for c in df.columns if c.lower() in ("shard", "slot")})
-    keyed = df.withColumns(
-        {
-            "_quillon_size": F.octet_length(text_or_empty()).cast("long") + 1,
-            "_quillon_crc": F.crc32(text_or_empty().cast("binary")),
-            "_quillon_id": F.col("doc_id").cast("long"),
-        }
-    ).dropDuplicates(["_quillon_id", "_quillon_size", "_quillon_crc"])
-    places = assign_shards(df, n_shards, seed).select(
-        F.col("doc_id").alias("_quillon_id"), F.col("size").alias("_quillon_size"), F.col("text_crc32").alias("_quillon_crc"),
-        F.col("shard").alias("_quillon_shard"), F.col("slot").alias("_quillon_slot"),
-    )
-    rows = null_safe_join(keyed, places, ["_quillon_id", "_quillon_size", "_quillon_crc"]).drop("_quillon_id", "_quillon_size", "_quillon_crc")
-    (
-        rows.repartitionByRange(n_shards * files_per_shard, "_quillon_shard", "_quillon_slot")
-        .sortWithinPartitions("_quillon_shard", "_quillon_slot")
-        .withColumnsRenamed({"_quillon_shard": "shard", "_quillon_slot": "slot"})
-        .write.partitionBy("shard")
-        .mode("overwrite")
-        .parquet(path)
-    )
+    buckets = shuffled_buckets(df, seed, bucket_bytes)
+    rows, shard, slot = _placed(buckets, n_shards)
+    rows = rows.select(*[F.col("record").getField(c).alias(c) for c in df.columns], shard.alias("shard"), slot.alias("slot"))
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)

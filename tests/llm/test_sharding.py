@@ -41,3 +41,36 @@ def test_written_shards(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "shards")).collect()
     assert Counter((r["doc_id"], r["text"]) for r in back) == Counter((r[0], r[1]) for r in rows())
     assert {"bucket", "size", "key", "shard", "slot"} <= set(back[0].asDict())
+
+
+def test_no_row_is_lost(spark, tmp_path):
+    data = [(1, "same", "x"), (1, "same", "y"), (None, "t", "a"), (None, "t", "b"), (2, None, None), (2, "", None)]
+    data += [(7, "hot", str(k)) for k in range(500)]
+    sharding.write_shards(spark.createDataFrame(data, "doc_id long, text string, tag string"), str(tmp_path / "s"), bucket_bytes=200)
+    back = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert Counter((r["doc_id"], r["text"], r["tag"]) for r in back) == Counter(data)
+    for shard in {r["shard"] for r in back}:
+        slots = sorted(r["slot"] for r in back if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_against_a_plain_two_pass_shuffle(spark):
+    """The buckets are those of the hash, and each is in the order Spark's shuffle gives it by itself."""
+    from pyspark.sql import functions as F
+
+    data = [(k, "t" * (k % 50), "en", "s", 0, *MORE) for k in range(900)]
+    df = spark.createDataFrame(data, SCHEMA).select("doc_id", "text").coalesce(1)
+    got = sharding.shuffled_buckets(df, bucket_bytes=4000).collect()
+    n = -(-sum(len(r[1]) + 1 for r in data) // 4000)
+    order = F.struct(F.col("doc_id").alias("id"), (F.octet_length("text").cast("long") + 1).alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc"), F.monotonically_increasing_id().alias("place"))
+    bucket = {r[0]: r[1] for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit(sharding.SEED), order), F.lit(n))).collect()}
+    members = {}
+    for r in got:
+        assert bucket[r["record"]["doc_id"]] == r["bucket"]
+        members.setdefault(r["bucket"], {})[r["pos"]] = r["record"]["doc_id"]
+    assert sum(map(len, members.values())) == 900
+    moved = 0
+    for b, places in members.items():
+        assert sorted(places) == list(range(len(places)))
+        moved += sum(x != y for x, y in zip((places[k] for k in sorted(places)), sorted(places.values())))
+    assert moved > 800
