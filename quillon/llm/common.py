@@ -84,20 +84,26 @@ def clean_staging(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(df: DataFrame, keys: list[str], number: str = "copy") -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], rest: str | None = None, number: str = "copy") -> DataFrame:
     """Each row of *keys* with a number from 0 among its equals, without a window over one hot key.
 
     Equal rows are counted first (partial aggregation), then unfolded, so a row that is repeated for a third of the
-    table costs one counter before the unfolding.
+    table costs one counter before the unfolding.  *rest* is a column that numbers rows of equal keys by its order.
     """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    part = [rest] if rest else []
+    counted = df.groupBy(*keys, *part).agg(F.count(F.lit(1)).alias("_n"))
+    if rest:
+        before = Window.partitionBy(*keys).orderBy(rest).rowsBetween(Window.unboundedPreceding, -1)
+        counted = counted.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    else:
+        counted = counted.withColumn("_from", F.lit(0).cast("long"))
     block = 4096
     parts = counted.select(
-        *keys, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / block))).alias("_b")
+        *keys, *part, "_n", "_from", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / block))).alias("_b")
     )
     first = F.col("_b") * block
     last = F.least(first + block, F.col("_n")) - 1
-    return parts.select(*keys, F.explode(F.sequence(first, last)).alias(number))
+    return parts.select(*keys, *part, F.explode(F.sequence(F.col("_from") + first, F.col("_from") + last)).alias(number))
 
 
 def prefix_sums(df: DataFrame, group: list[str], order: str, value: str, out: str, block: int = 1024) -> DataFrame:

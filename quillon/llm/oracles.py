@@ -48,14 +48,10 @@ lv AS (SELECT min_by((total - fixed) / free, source_size * 3 / weight) AS level
 t AS (SELECT source, c, source_size, least(weight * level, (source_size * 3)::DOUBLE) AS target FROM w, lv),
 a AS (SELECT k.*, t.* EXCLUDE (source), coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
     FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
-b AS (SELECT *, CASE WHEN source_size > 0 THEN greatest(0, least(3, ceil((target - start - size / 2.0::DOUBLE) / source_size)))::BIGINT ELSE 0 END AS copies0 FROM a),
-g AS (SELECT *, target - sum(copies0 * size) OVER (PARTITION BY source) AS gap FROM b),
-f AS (SELECT source, min((abs(abs(gap) - size), key)) AS best, any_value(sign(gap))::BIGINT AS sgn FROM g
-    WHERE size > 0 AND abs(abs(gap) - size) < abs(gap) AND CASE WHEN gap > 0 THEN copies0 < 3 ELSE copies0 > 0 END GROUP BY source),
-h AS (SELECT g.*, copies0 + CASE WHEN f.best[2] = g.key THEN f.sgn ELSE 0 END AS copies, c * 0.5::DOUBLE - 0.5 AS ramp
-    FROM g LEFT JOIN f ON g.source IS NOT DISTINCT FROM f.source),
-u AS (SELECT *, CASE WHEN target > 0 THEN least(1.0::DOUBLE, (start + size / 2.0::DOUBLE) / target) ELSE 0.0::DOUBLE END AS u FROM h)
-SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies,
+b AS (SELECT *, list_transform(range(0, 3), lambda r: greatest(0, least(size, floor(target + 0.5)::BIGINT - start - r * source_size))) AS words FROM a),
+h AS (SELECT *, list_sum(words)::BIGINT AS taken, len(list_filter(words, lambda x: x > 0))::BIGINT AS copies, c * 0.5::DOUBLE - 0.5 AS ramp FROM b),
+u AS (SELECT *, CASE WHEN target > 0 THEN least(1.0::DOUBLE, (start + words[1] / 2.0::DOUBLE) / target) ELSE 0.0::DOUBLE END AS u FROM h)
+SELECT doc_id, size, source_size, target, taken, source, copies,
     CASE WHEN copies > 0 THEN CASE WHEN ramp = 0 THEN u ELSE (sqrt(pow(1 - ramp, 2.0::DOUBLE) + 4 * ramp * u) - (1 - ramp)) / (2 * ramp) END END AS first_position
 FROM u"""
 
