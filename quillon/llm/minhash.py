@@ -1,7 +1,7 @@
 """MinHash near-duplicates with DartMinHash signatures.
 
-A text is the set of its five-word shingles; a weighted set is the region of all points (element, weight, rank) below
-the elements' weights.  Darts are a Poisson process on that plane, seeded by the element alone: in each dyadic band of
+A text is the set of its five-word shingles, each with a weight: how often the text holds it, or 1 for plain sets.  A
+weighted set is the region of all points (element, weight, rank) below the elements' weights.  Darts are a Poisson process on that plane, seeded by the element alone: in each dyadic band of
 weights, arrivals along the rank axis at the rate of the band's width.  A set of total weight W looks at ranks up to
 t / W, so about t darts fall below its weights whatever its size, and for each coordinate the dart with the least rank
 is kept.  Two sets agree in a coordinate with the probability of their weighted Jaccard similarity.  A set with an
@@ -10,12 +10,13 @@ empty coordinate looks twice as far.
 Signatures of 32 bands of 6 coordinates are joined band by band.  At similarity 0.8 a pair meets in no band with
 probability 6e-5, at 0.9 with 3e-11.  Within a band's bucket signatures are compared in blocks, and texts that agree in
 less than 0.66 of all coordinates (more than 4 deviations below 0.8) are parted again.  What is still connected is a family;
-its texts are compared exactly, block by block, by their shingle sets, and links of at least the threshold make the
-classes.  Tasks give out one link per text and block, never all pairs.  Equal shingle sets are one text from the start.
+its texts are compared exactly, block by block, by their weighted shingle sets, and links of at least the threshold
+make the classes.  Tasks give out one link per text and block, never all pairs.  Equal shingle sets are one text from the start.
 
 Defined results: a null, empty or blank text has no shingles and is a class of its own; a text of one to four words is
-one shingle; rows that share an id are one node; a null id gives a null class that is kept; an empty table gives an empty
-result; other columns are kept by :func:`keep_one`.
+one shingle; rows that share an id but not the text are told apart by their texts, and those of one class or one text
+are one document; a null id gives a null class that is kept; an empty table gives an empty result; other columns are
+kept by :func:`keep_one`.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import map_arrow, staged
@@ -87,23 +88,38 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return mix((mix(signatures) * odd).reshape(n, bands, k // bands).sum(2, dtype=np.uint64)).view(np.int64)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text")
-        for a, b in slices(texts, 4 * SLICE_BYTES):  # darts are thrown for many texts at once
-            h, own = distinct(*shingle_hashes(*joined(texts.slice(a, b - a)), WORDS))
-            n = b - a
-            signatures = dart_signatures(h, np.ones(len(h)), own, n)
-            keys = band_keys(signatures)
-            ends = np.searchsorted(own, np.arange(n + 1))
-            some = np.diff(ends) > 0
-            data = h.tobytes()
-            digests = [hashlib.md5(data[8 * x : 8 * y]).digest() if y > x else None for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            sketch = (mix(signatures) >> np.uint64(48)).astype("<u2")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, n), pa.array(digests, pa.binary()), pa.array([r.tobytes() if s else None for r, s in zip(sketch, some)], pa.binary()), pa.array([r.tobytes() if s else None for r, s in zip(keys, some)], pa.binary())],
-                names=["doc_id", "digest", "sketch", "bands"],
-            )
+def _elements(texts: pa.Array, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, weight, text): the distinct shingles of each text, sorted, weighing how often they come, or 1."""
+    h, own = shingle_hashes(*joined(texts), WORDS)
+    if not weighted:
+        h, own = distinct(h, own)
+        return h, np.ones(len(h), np.int64), own
+    order = np.lexsort((h, own))
+    h, own = h[order], own[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.diff(np.append(first, len(h))), own[first]
+
+
+def _signed(weighted: bool):
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            for a, b in slices(texts, 4 * SLICE_BYTES):  # darts are thrown for many texts at once
+                n = b - a
+                h, weight, own = _elements(texts.slice(a, n), weighted)
+                signatures = dart_signatures(h, weight.astype(float), own, n)
+                keys = band_keys(signatures)
+                ends = np.searchsorted(own, np.arange(n + 1))
+                some = np.diff(ends) > 0
+                data = np.stack([h, weight.astype(np.uint64)], 1).tobytes()
+                digests = [hashlib.md5(data[16 * x : 16 * y]).digest() if y > x else None for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                sketch = (mix(signatures) >> np.uint64(48)).astype("<u2")
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, n), batch.column("text_hash").slice(a, n), pa.array(digests, pa.binary()), pa.array([r.tobytes() if s else None for r, s in zip(sketch, some)], pa.binary()), pa.array([r.tobytes() if s else None for r, s in zip(keys, some)], pa.binary())],
+                    names=["doc_id", "text_hash", "digest", "sketch", "bands"],
+                )
+
+    return signed
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,15 +173,23 @@ def _by_sketch(margin: float):
     return agree
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text")
-        for a, b in slices(texts):
-            h, own = distinct(*shingle_hashes(*joined(texts.slice(a, b - a)), WORDS))
-            ends = np.searchsorted(own, np.arange(b - a + 1))
-            data = h.tobytes()
-            rows = [data[8 * x : 8 * y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("node", "family", "n")), pa.array(rows, pa.binary())], names=["node", "family", "n", "shingles"])
+def _sets(weighted: bool):
+    """The elements of each text; one that weighs w is w elements, so that sets of them have the weighted similarity."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            for a, b in slices(texts):
+                h, weight, own = _elements(texts.slice(a, b - a), weighted)
+                again = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+                h, own = np.repeat(h, weight), np.repeat(own, weight)
+                h = np.where(again > 0, mix(h + again.astype(np.uint64) * np.uint64(STRIDE)), h)
+                ends = np.searchsorted(own, np.arange(b - a + 1))
+                data = h.tobytes()
+                rows = [data[8 * x : 8 * y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("node", "family", "n")), pa.array(rows, pa.binary())], names=["node", "family", "n", "shingles"])
+
+    return sets
 
 
 def similar_pairs(sets: list[np.ndarray], side: np.ndarray, group: np.ndarray, threshold: float) -> np.ndarray:
@@ -228,32 +252,54 @@ def _blocked(df: DataFrame, key: str, size: str, carry: list[str]) -> DataFrame:
     return df.repartition(n, key, "pair").sortWithinPartitions(key, "pair")
 
 
-def classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """A row per document: doc_id, class_id (the least id of its class), kept."""
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = staged(docs.transform(map_arrow, _signed, "doc_id long, digest binary, sketch binary, bands binary"), "signatures")
-    firsts = staged(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")).where("node is not null"), "digests")
-    reps = signed.join(firsts.withColumn("doc_id", F.col("node")), ["digest", "doc_id"])
-    reps = staged(reps.select("node", "sketch", "bands"), "signed-texts")
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _found(df: DataFrame, threshold: float, weighted: bool) -> tuple[DataFrame, DataFrame]:
+    """A row (doc_id, text_hash, digest) for each document, and (digest, first) with the first document of each class.
+
+    A node is the number that a distinct weighted set gets when the table of sets is written; *first* is a struct of
+    doc_id and text_hash.
+    """
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    signed = staged(docs.transform(map_arrow, _signed(weighted), "doc_id long, text_hash long, digest binary, sketch binary, bands binary"), "signatures")
+    # Equal sets have equal signatures: any of them will do.
+    reps = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands"))
+    reps = staged(reps.withColumn("node", F.monotonically_increasing_id()), "signed-texts")
+    firsts = reps.select("digest", "node", "first")
     banded = reps.select("node", "bands").transform(map_arrow, _bands, "key long, node long")
-    buckets = staged(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n > 1").select("key", "n"), "buckets")
-    met = banded.join(buckets, "key")
-    met = met.join(reps.select("node", "sketch").dropDuplicates(["node"]), "node")
+    buckets = staged(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    met = banded.join(buckets, "key").join(reps.select("node", "sketch"), "node")
     agreed = _blocked(met, "key", "n", ["sketch"]).transform(map_arrow, _by_sketch(MARGIN), "a long, b long")
     families = staged(components(agreed).withColumnRenamed("component", "family"), "families")
     families = families.join(families.groupBy("family").agg(F.count(F.lit(1)).alias("n")), "family")
+    keys = ["doc_id", "text_hash"]
+    wanted = families.join(firsts.select("node", "first.doc_id", "first.text_hash"), "node")
     # The merge hint makes the plan the same at every size: members grow with the input and are never broadcast.
-    members = docs.join(families.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select(F.col("doc_id").alias("node"), "family", "n", "text")
-    sets = members.transform(map_arrow, _sets, "node long, family long, n long, shingles binary")
+    members = docs.join(wanted.hint("merge"), keys).dropDuplicates(keys).select("node", "family", "n", "text")
+    sets = members.transform(map_arrow, _sets(weighted), "node long, family long, n long, shingles binary")
     links = _blocked(sets, "family", "n", ["shingles"]).transform(map_arrow, _exactly(threshold), "a long, b long")
-    found = components(links)
-    named = firsts.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
-    out = signed.select("doc_id", "digest").join(named, "digest", "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
+    found = staged(components(links), "components")
+    leads = found.join(firsts, "node").groupBy("component").agg(F.min("first").alias("lead"))
+    leads = found.join(leads, "component").select("node", "lead")
+    return signed.select(*keys, "digest"), firsts.join(leads, "node", "left").select("digest", F.coalesce("lead", "first").alias("first"))
+
+
+def classes(df: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
+    """A row per document: doc_id, class_id (the least id of its class), kept."""
+    signed, found = _found(df, threshold, weighted)
+    out = signed.join(found, "digest", "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id")))
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The first document of each class, all columns; repeated rows of an id are one document, null ids all stay."""
-    kept = classes(df, threshold).where("kept and doc_id is not null").select(F.col("doc_id").alias("_quillon_kept")).distinct()
-    first = df.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("_quillon_kept")).drop("_quillon_kept").dropDuplicates(["doc_id"])
+def keep_one(df: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
+    """The first document of each class, all columns; rows of one id and one text are one document, null ids all stay."""
+    signed, found = _found(df, threshold, weighted)
+    wordless = signed.where("digest is null and doc_id is not null").select("doc_id", "text_hash")
+    kept = found.select("first.doc_id", "first.text_hash").unionByName(wordless).distinct()
+    keys = ["_quillon_id", "_quillon_text"]
+    kept = kept.select(*[F.col(c).alias(k) for c, k in zip(kept.columns, keys)])
+    own = df.where("doc_id is not null").withColumns({keys[0]: F.col("doc_id").cast("long"), keys[1]: _text_hash()})
+    first = own.join(kept.hint("merge"), keys).dropDuplicates(keys).drop(*keys)
     return first.unionByName(df.where("doc_id is null"))

@@ -26,7 +26,7 @@ def op3_quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.classes(_table(spark, sf_dir, "documents"))
+    return minhash.classes(_table(spark, sf_dir, "documents"), weighted=True)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
