@@ -10,7 +10,8 @@ The likeness of two fingerprints is 1 if their roots are equal, else Dice's coef
 
 Defined results: a null text is the empty text, whose tree has one empty paragraph; rows with equal ids follow each
 other by the md5 of their texts; a null id comes before all others; a table of one document is its own next document;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; other columns are ignored by :func:`fingerprint_edits` and kept by
+:func:`fingerprint`, but for one that has the name of its result, which the result replaces.
 """
 
 from __future__ import annotations
@@ -42,23 +43,23 @@ def leaves(text: Column) -> Column:
 
 
 def _with_tree(df: DataFrame, text: str, out: str) -> DataFrame:
-    """*df* with ``out`` (the fingerprint) and ``out_leaves`` (its leaf set)."""
+    """*df* with ``out`` (the fingerprint) and ``_quillon_out_leaves`` (its leaf set)."""
     md5 = lambda parts: F.md5(F.array_join(parts, "").cast("binary"))
-    df = df.withColumn("_l", leaves(F.col(text)))
-    df = df.withColumn("_p", F.transform("_l", lambda s: F.transform(s, md5)))
-    df = df.withColumn("_s", F.transform("_p", md5))
+    df = df.withColumn("_quillon_l", leaves(F.col(text)))
+    df = df.withColumn("_quillon_p", F.transform("_quillon_l", lambda s: F.transform(s, md5)))
+    df = df.withColumn("_quillon_s", F.transform("_quillon_p", md5))
     written = F.transform(
-        F.sequence(F.lit(0), F.size("_s") - 1),
+        F.sequence(F.lit(0), F.size("_quillon_s") - 1),
         lambda i: F.concat(
-            F.substring(F.get("_s", i), 1, 8),
+            F.substring(F.get("_quillon_s", i), 1, 8),
             F.lit(":"),
             F.array_join(
-                F.zip_with(F.get("_p", i), F.get("_l", i), lambda p, l: F.concat(F.substring(p, 1, 8), F.lit("="), F.array_join(l, ""))), ";"
+                F.zip_with(F.get("_quillon_p", i), F.get("_quillon_l", i), lambda p, l: F.concat(F.substring(p, 1, 8), F.lit("="), F.array_join(l, ""))), ";"
             ),
         ),
     )
-    df = df.withColumn(out, F.concat(md5(F.col("_s")), F.lit("/"), F.array_join(written, "|")))
-    return df.withColumn(f"{out}_leaves", F.array_distinct(F.flatten(F.flatten("_l")))).drop("_l", "_p", "_s")
+    df = df.withColumn(out, F.concat(md5(F.col("_quillon_s")), F.lit("/"), F.array_join(written, "|")))
+    return df.withColumn(f"_quillon_{out}_leaves", F.array_distinct(F.flatten(F.flatten("_quillon_l")))).drop("_quillon_l", "_quillon_p", "_quillon_s")
 
 
 def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column) -> Column:
@@ -69,7 +70,7 @@ def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column)
 
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """*df* with the fingerprint of *text* (null: empty) in *out*."""
-    return _with_tree(df.withColumn("_text", text_or_empty(text)), "_text", out).drop("_text", f"{out}_leaves")
+    return _with_tree(df.withColumn("_quillon_text", text_or_empty(text)), "_quillon_text", out).drop("_quillon_text", f"_quillon_{out}_leaves")
 
 
 def differing_sections(a: str, b: str) -> Column:
@@ -110,7 +111,7 @@ def with_next(df: DataFrame) -> DataFrame:
     dealt = docs.withColumn("_at", F.explode(places)).select("doc_id", "text", "_k", F.col("_at.r").alias("_r"), F.col("_at.g").alias("_g"))
     dealt = _with_tree(dealt.repartition("_r"), "text", "fingerprint")
     order = Window.partitionBy("_r").orderBy("_g", "_k", F.md5(F.col("text").cast("binary")))
-    follow = F.lead(F.struct("text", "fingerprint", "fingerprint_leaves")).over(order)
+    follow = F.lead(F.struct("text", "fingerprint", "_quillon_fingerprint_leaves")).over(order)
     return dealt.withColumn("_next", follow).where("_g = 0").drop("_g", "_r", "_k")
 
 
@@ -126,9 +127,9 @@ def fingerprint_edits(df: DataFrame) -> DataFrame:
     rows = rows.withColumn("edited", edited)
     rows = _with_tree(rows, "edited", "edited_fingerprint")
     root = lambda c: F.substring(c, 1, 32)
-    own = (root(F.col("fingerprint")), F.col("fingerprint_leaves"))
+    own = (root(F.col("fingerprint")), F.col("_quillon_fingerprint_leaves"))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(*own, root(F.col("edited_fingerprint")), F.col("edited_fingerprint_leaves")).alias("near_edited"),
-        likeness(*own, root(F.col("_next.fingerprint")), F.col("_next.fingerprint_leaves")).alias("near_next"),
+        likeness(*own, root(F.col("edited_fingerprint")), F.col("_quillon_edited_fingerprint_leaves")).alias("near_edited"),
+        likeness(*own, root(F.col("_next.fingerprint")), F.col("_next._quillon_fingerprint_leaves")).alias("near_next"),
     )

@@ -17,7 +17,8 @@ with many lines is dealt to pairs of blocks of bounded size.
 
 Defined results: blank lines stay; null and empty texts have no lines; null ids come last, each a document of its own;
 rows that share an id come by the hash of their texts, and rows that share both are one document; an empty table gives
-an empty result; other columns are kept by :func:`remove_lines`.
+an empty result; other columns are kept by :func:`remove_lines`, which leaves the empty text of a document that lost its
+last word, or drops such documents if asked to.
 """
 
 from __future__ import annotations
@@ -380,8 +381,11 @@ def _with_copies(df: DataFrame) -> DataFrame:
     return df.where(ids.isNotNull()).withColumn("_quillon_copy", F.lit(False)).unionByName(alone)
 
 
-def remove_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """*df* with those lines taken out of text; n_chars, where there is one, follows the text."""
+def remove_lines(df: DataFrame, threshold: float = THRESHOLD, drop_emptied: bool = False) -> DataFrame:
+    """*df* with those lines taken out of text; n_chars, where there is one, follows the text.
+
+    With *drop_emptied*, documents that had words and have none left go; those that never had any stay.
+    """
     _, gone = _found(df, threshold)
     keys = ["_quillon_id", "_quillon_digest"]
     gone = gone.select(F.col("doc_id").alias(keys[0]), F.col("digest").alias(keys[1]), F.col("removed").alias("_quillon_gone"))
@@ -390,7 +394,10 @@ def remove_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lost = F.col("_quillon_gone").isNotNull() | copy & F.coalesce(F.col("text").rlike(word), F.lit(False))
     stays = lambda s, i: F.when(copy, ~s.rlike(word)).otherwise(~F.array_contains("_quillon_gone", i))
     kept = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda s, i: F.when(stays(s, i), s)), lambda s: s.isNotNull()), "\n")
-    out = out.withColumn("text", F.when(lost, kept).otherwise(F.col("text")))
+    out = out.withColumn("_quillon_lost", lost).withColumn("text", F.when(F.col("_quillon_lost"), kept).otherwise(F.col("text")))
+    lost = F.col("_quillon_lost")
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.when(lost, F.length("text")).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType))
+    if drop_emptied:
+        out = out.where(~lost | F.coalesce(F.col("text").rlike(word), F.lit(False)))
     return out.select(*df.columns)

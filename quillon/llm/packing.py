@@ -6,7 +6,8 @@ runs of sequences that are filled alike; all pieces of a length go to the fulles
 plan says, for each length, which ranks take which sequences at which place, and pieces take their slots by a join on
 their rank within their length.
 
-Ranks are counted in slices of each length by a stored random salt, so that one frequent length is no single task.
+Ranks are counted in slices of each length by a stored random salt, as many as the pieces call for, so that one
+frequent length is no single task.
 
 Defined results: a null or empty text is one piece with the end id alone; rows that repeat are packed one by one; an
 empty table gives an empty result; other columns are ignored.
@@ -28,7 +29,8 @@ from quillon.llm.tokens import default_vocabulary, documents_ids
 
 CAPACITY = 2048
 END_ID = 0
-SLICES = 256
+#: Salts that pieces draw from; a slice is a range of them that holds about so many pieces, were they all of one length.
+SALTS, SLICE_PIECES = 1 << 20, 20_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
@@ -51,7 +53,7 @@ def cut_pieces(df: DataFrame, vocabulary: str | None = None, capacity: int = CAP
             data = ids.astype("<u4").tobytes()
             crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist())]
             out = [rows.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
-            out.append(pa.array(salts.integers(0, SLICES, len(row)).astype(np.int32)))
+            out.append(pa.array(salts.integers(0, SALTS, len(row)).astype(np.int32)))
             if with_ids:
                 out.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in schema.split(", ")])
@@ -104,6 +106,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """*pieces* (as :func:`cut_pieces` gives them) with sequence_id and offset."""
     spark = pieces.sparkSession
     pieces = staged(pieces, "pack-pieces")
+    n_slices = min(SALTS, max(1, pieces.count() // SLICE_PIECES))
+    pieces = pieces.withColumn("salt", F.floor(F.col("salt").cast("long") * n_slices / SALTS))
     slices = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     slices = staged(slices, "pack-slices")
     counts = {r["length"]: r["n"] for r in slices.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -118,7 +122,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return taken.withColumn("sequence_id", F.col("first") + F.col("rank") - F.col("r0")).drop("salt", "base", "rank", "r0", "r1", "first")
 
 
-def pack_documents(df: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    packed = pack(cut_pieces(df, vocabulary, capacity, end_id), capacity)
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+def pack_documents(df: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for."""
+    packed = pack(cut_pieces(df, vocabulary, capacity, end_id, with_ids), capacity)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))

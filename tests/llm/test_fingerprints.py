@@ -56,3 +56,9 @@ def test_edits_are_located(spark):
     df = fingerprints.fingerprint(fingerprints.fingerprint(df, "x", "fx"), "y", "fy")
     assert df.select(fingerprints.differing_sections("fx", "fy")).first()[0] == [1]
     assert df.select(F.col("fx") == F.col("fy")).first()[0] is False
+
+
+def test_columns_that_clash_are_kept(spark):
+    df = spark.createDataFrame([("a b\nc", 1, 2, 3, "x", "y")], "text string, _l int, _p int, _s int, _text string, fingerprint_leaves string")
+    got = fingerprints.fingerprint(df).first()
+    assert tuple(got)[:6] == ("a b\nc", 1, 2, 3, "x", "y") and got["fingerprint"] == tree("a b\nc")[1]
