@@ -49,16 +49,23 @@ def test_against_brute_force(spark, monkeypatch):
     assert embeddings.link_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_recall_on_the_test_table(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = df.collect()
-    x = np.array([r["embedding"] for r in rows], float)
+@pytest.mark.parametrize("dim", [16, 64, 256])
+def test_recall_on_planted_pairs(spark, dim):
+    """Pairs just above the threshold among other vectors, half of them with a common mean: at least 0.98 are found."""
+    r = np.random.default_rng(dim)
+    x = r.normal(size=(3000, dim)) + np.repeat([0.0, 1.0], 1500)[:, None]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    label = np.array([r["label"] for r in rows])
-    near = (x @ x.T >= 0.98) & (label[:, None] == label) & ~np.eye(len(rows), dtype=bool)
-    got = {r["vec_id"]: r["n_links"] for r in embeddings.link_vectors(df).collect()}
-    assert all(got[r["vec_id"]] <= n for r, n in zip(rows, near.sum(1)))
-    assert sum(got.values()) >= 0.9 * near.sum()
+    y = r.normal(size=x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cos = r.uniform(0.9801, 0.99, (len(x), 1))
+    v = np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * y])
+    df = spark.createDataFrame([(k, e, 0) for k, e in enumerate(v.tolist())], "vec_id long, embedding array<double>, label int")
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = ((v @ v.T >= 0.98) & ~np.eye(len(v), dtype=bool)).sum(1)
+    got = {q["vec_id"]: q["n_links"] for q in embeddings.link_vectors(df).collect()}
+    assert near.sum() >= 6000 and all(got[k] <= n for k, n in enumerate(near.tolist()))
+    assert sum(got.values()) >= 0.98 * near.sum()
 
 
 def test_repeated_rows(spark):
