@@ -431,8 +431,10 @@ def repeated_windows_of(df: DataFrame) -> DataFrame:
     buckets = max(n, int(size // BUCKET_BYTES))
     md5 = F.md5(F.col("text").cast("binary"))
     firsts = staged(docs.groupBy("hash", md5.alias("md5")).agg(F.min("doc").alias("first")), "first-copies")
-    dealt = docs.select("hash", "text").transform(map_arrow, _anchors(buckets), "bucket long, rows binary").repartition(n, "bucket")
-    told = dealt.transform(map_arrow, _shared(buckets), "bucket long, rows binary").repartition(n, "bucket")
+    # A bucket is a partition, so that there are more tasks for more text; marks have the bucket -1 - b and go with b.
+    at = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket")).cast("int")
+    dealt = docs.select("hash", "text").transform(map_arrow, _anchors(buckets), "bucket long, rows binary").repartitionById(buckets, at)
+    told = dealt.transform(map_arrow, _shared(buckets), "bucket long, rows binary").repartitionById(buckets, at)
     shared = told.transform(map_arrow, _by_document(ANCHOR, KEY), "hash long, found binary")
     shared = staged(firsts.join(shared, "hash", "left"), "first-minimizers")
     del dealt, told
@@ -443,8 +445,8 @@ def repeated_windows_of(df: DataFrame) -> DataFrame:
         the copies of one text are no single task.  (instr, lest the optimizer make the md5 a second key.)"""
         return docs.join(table.hint("merge"), "hash").where(F.instr(md5, F.col("md5")) == 1).drop("md5")
 
-    dealt = of_texts(shared).transform(map_arrow, _segments(buckets), "bucket long, rows binary, bytes binary").repartition(n, "bucket")
-    marks = dealt.transform(map_arrow, _repeats(buckets), "bucket long, rows binary").repartition(n, "bucket")
+    dealt = of_texts(shared).transform(map_arrow, _segments(buckets), "bucket long, rows binary, bytes binary").repartitionById(buckets, at)
+    marks = dealt.transform(map_arrow, _repeats(buckets), "bucket long, rows binary").repartitionById(buckets, at)
     found = marks.transform(map_arrow, _by_document(MARK, SPAN), "hash long, found binary")
     found = staged(firsts.join(found, "hash", "left"), "first-marks")
     del dealt, marks
