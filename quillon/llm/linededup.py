@@ -9,7 +9,8 @@ that are similar enough share a word among the first ``n - ceil(t * n) + 1`` of
 a prefix word are compared by length, by the overlap that their places in the order still allow (positional filter),
 and by counts of their words in 32 groups (128 for long lines), whose differences bound from below how many words
 are in one set only.  What passes is connected to a family;
-families are verified exactly, block by block, and the later line of each similar pair goes.
+families are verified exactly, and the later line of each similar pair goes: in a family of more than a block of lines
+each is held against the first one, and only those unlike it are compared with all others, block by block.
 
 The order of words decides how many candidates there are, not which lines are similar: the table holds at most
 ``FREQUENT`` words, and counts below ``LEAST`` in one task's share of the documents are left out of it.  A prefix word
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import SPACE, map_arrow, release, staged
 from quillon.llm.components import components
 from quillon.llm.hashing import complete_groups, distinct, mix, word_hashes
-from quillon.llm.minhash import _blocked, _least, _moved, similar_pairs
+from quillon.llm.minhash import _least, _moved, met_in_groups, similar_pairs, similar_sets
 from quillon.llm.tokens import joined, slices
 
 THRESHOLD = 0.8
@@ -42,7 +43,7 @@ FREQUENT, LEAST = 1 << 18, 4
 SLICE = 1 << 20
 #: Postings of a word that are compared in one task, about; and bytes of postings to a task.
 LIST_BLOCK = 20_000
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 LAST_ID = (1 << 63) - 1
 #: Copies of a text without an id that are unfolded from one row, and groups that they are first numbered in.
 UNFOLD, COPY_GROUPS = 4096, 64
@@ -328,9 +329,9 @@ def _found(df: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     frequent, counts = table.column("word").to_numpy().view(np.uint64), table.column("count").to_numpy()
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * n, int(bytes_ // BUCKET_BYTES))
+    buckets = max(2 * n, int(bytes_ // BUCKET_BYTES))
     postings = docs.transform(map_arrow, _postings(threshold, frequent, counts, buckets), "bucket long, postings binary, wide binary")
-    met = postings.repartition(n, "bucket").transform(map_arrow, _candidates(threshold), "a long, b long")
+    met = postings.repartitionById(buckets, F.col("bucket").cast("int")).transform(map_arrow, _candidates(threshold), "a long, b long")
     families = staged(components(met).withColumnRenamed("component", "family"), "line-families")
     del postings, met
     release(spark)
@@ -341,7 +342,8 @@ def _found(df: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     members = members.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("node", "family", "n", "line")).alias("members"))
     texts = keyed.select(_own_id().alias("doc_id"), "digest", "text").join(members.hint("merge"), ["doc_id", "digest"])
     sets = texts.transform(map_arrow, _member_sets, "node long, family long, n long, doc_id long, digest long, line int, words binary")
-    later = _blocked(sets, "family", "n", ["doc_id", "digest", "line", "words"]).transform(map_arrow, _verify(threshold), "node long").distinct()
+    star, dealt = met_in_groups(staged(sets, "line-sets"), "family", "n", ["doc_id", "digest", "line"], "words", similar_sets(threshold))
+    later = dealt.transform(map_arrow, _verify(threshold), "node long").unionByName(star.select("node")).distinct()
     later = staged(later, "later-nodes").withColumn("later", F.lit(True))
     known = firsts.join(later, "node", "left").select("node", "first", F.coalesce("later", F.lit(False)).alias("later"))
     gone = lines.join(known, "node").where(F.col("later") | (F.struct("doc_id", "digest", "line") != F.col("first")))

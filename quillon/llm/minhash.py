@@ -11,7 +11,8 @@ Signatures of 32 bands of 6 coordinates are joined band by band.  At similarity
 probability 6e-5, at 0.9 with 3e-11.  Within a band's bucket signatures are compared in blocks, and texts that agree in
 less than 0.66 of all coordinates (more than 4 deviations below 0.8) are parted again.  What is still connected is a family;
 its texts are compared exactly, block by block, by their weighted shingle sets, and links of at least the threshold
-make the classes.  Tasks give out one link per text and block, never all pairs.  Equal shingle sets are one text from the start.
+make the classes.  In buckets and families of more than a block, texts are held against the first one before any others; only
+those unlike it meet all others.  Tasks give out one link per text and block, never all pairs.  Equal shingle sets are one text from the start.
 
 Defined results: a null, empty or blank text has no shingles and is a class of its own; a text of one to four words is
 one shingle; rows that share an id but not the text are told apart by their texts, and those of one class or one text
@@ -242,14 +243,61 @@ def _exactly(threshold: float):
     return verify
 
 
-def _blocked(df: DataFrame, key: str, size: str, carry: list[str]) -> DataFrame:
-    """Rows of each *key* dealt to pairs of blocks, sorted; every two rows meet in one pair, side 0 is a block by itself."""
-    blocks = F.ceil(F.col(size) / BLOCK)
-    df = df.withColumn("_own", F.pmod(F.xxhash64("node", F.lit(7)), blocks)).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    df = df.withColumn("pair", F.least("_own", "_with") * blocks + F.greatest("_own", "_with"))
-    df = df.withColumn("side", F.signum(F.col("_with") - F.col("_own")).cast("int")).select(key, "pair", "side", "node", *carry)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key, "pair").sortWithinPartitions(key, "pair")
+def met_in_groups(df: DataFrame, key: str, size: str, order: list[str], payload: str, near) -> tuple[DataFrame, DataFrame]:
+    """(star, dealt) of a staged table of groups *key* of *size* rows: who is like a group's first, and rows still to meet.
+
+    Groups of up to BLOCK rows are dealt as they are, side 0.  In a larger one each row is first held against the
+    group's first row by *order* alone (*near*, on two arrays of payloads); *star* has (key, node, first) of those that
+    are like it.  Only the others are still to meet, and they meet all rows of the group: block i of theirs, side 1,
+    meets block j of all, side 2, in pair (i, j).  So a group of copies costs a pass, not a square.
+    """
+    spark, columns = df.sparkSession, df.columns
+    small = df.where(F.col(size) <= BLOCK).withColumns({"pair": F.lit(0).cast("long"), "side": F.lit(0)})
+    large = df.where(F.col(size) > BLOCK)
+    first = large.groupBy(key).agg(F.min(F.struct(*order, "node", payload)).alias("_first"))
+    first = first.select(key, F.col("_first.node").alias("first"), F.col(f"_first.{payload}").alias("_payload"))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            like = near(batch.column(payload).to_pylist(), batch.column("_payload").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("node"), batch.column("first"), pa.array(like, pa.bool_())], names=[key, "node", "first", "like"])
+
+    against = large.select(key, "node", payload).join(first, key).where("node <> first")
+    against = staged(against.transform(map_arrow, held, f"{key} long, node long, first long, like boolean"), "stars")
+    others = against.where("not like").select(key, "node")
+    counts = others.groupBy(key).agg(F.count(F.lit(1)).alias("_others"))
+    mine, theirs = F.ceil(F.col("_others") / BLOCK), F.ceil(F.col(size) / BLOCK)
+    rows = large.join(counts, key)
+    block = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = rows.join(others, [key, "node"]).withColumns({"_i": block(mine, 7), "_n": theirs, "side": F.lit(1)}).withColumn("_j", every(theirs))
+    right = rows.withColumns({"_j": block(theirs, 11), "_n": theirs, "side": F.lit(2)}).withColumn("_i", every(mine))
+    meet = left.unionByName(right, allowMissingColumns=True).withColumn("pair", F.col("_i") * F.col("_n") + F.col("_j"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = small.select(*columns, "pair", "side").unionByName(meet.select(*columns, "pair", "side"))
+    return against.where("like").select(key, "node", "first"), dealt.repartition(n, key, "pair").sortWithinPartitions(key, "pair")
+
+
+def _agreeing(margin: float):
+    def near(a: list[bytes], b: list[bytes]) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(z), "<u2").reshape(len(z), -1) for z in (a, b))
+        return (x == y).sum(1) >= margin * x.shape[1]
+
+    return near
+
+
+def similar_sets(threshold: float):
+    """Whether two sets, as bytes of their sorted elements, have a Jaccard similarity of at least *threshold*; for each two of two lists."""
+
+    def near(a: list[bytes], b: list[bytes]) -> list[bool]:
+        out = []
+        for x, y in zip(a, b):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= threshold * max(len(x), len(y)) - 1e-9 else 0
+            out.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
+        return out
+
+    return near
 
 
 def _text_hash() -> Column:
@@ -270,16 +318,18 @@ def _found(df: DataFrame, threshold: float, weighted: bool) -> tuple[DataFrame,
     firsts = reps.select("digest", "node", "first")
     banded = reps.select("node", "bands").transform(map_arrow, _bands, "key long, node long")
     buckets = staged(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    met = banded.join(buckets, "key").join(reps.select("node", "sketch"), "node")
-    agreed = _blocked(met, "key", "n", ["sketch"]).transform(map_arrow, _by_sketch(MARGIN), "a long, b long")
+    met = staged(banded.join(buckets, "key"), "bucket-mates").join(reps.select("node", "sketch"), "node")
+    star, dealt = met_in_groups(met, "key", "n", [], "sketch", _agreeing(MARGIN))
+    agreed = dealt.transform(map_arrow, _by_sketch(MARGIN), "a long, b long").unionByName(star.select(F.col("node").alias("a"), F.col("first").alias("b")))
     families = staged(components(agreed).withColumnRenamed("component", "family"), "families")
     families = families.join(families.groupBy("family").agg(F.count(F.lit(1)).alias("n")), "family")
     keys = ["doc_id", "text_hash"]
     wanted = families.join(firsts.select("node", "first.doc_id", "first.text_hash"), "node")
     # The merge hint makes the plan the same at every size: members grow with the input and are never broadcast.
     members = docs.join(wanted.hint("merge"), keys).dropDuplicates(keys).select("node", "family", "n", "text")
-    sets = members.transform(map_arrow, _sets(weighted), "node long, family long, n long, shingles binary")
-    links = _blocked(sets, "family", "n", ["shingles"]).transform(map_arrow, _exactly(threshold), "a long, b long")
+    sets = staged(members.transform(map_arrow, _sets(weighted), "node long, family long, n long, shingles binary"), "member-sets")
+    star, dealt = met_in_groups(sets, "family", "n", [], "shingles", similar_sets(threshold))
+    links = dealt.transform(map_arrow, _exactly(threshold), "a long, b long").unionByName(star.select(F.col("node").alias("a"), F.col("first").alias("b")))
     found = staged(components(links), "components")
     leads = found.join(firsts, "node").groupBy("component").agg(F.min("first").alias("lead"))
     leads = found.join(leads, "component").select("node", "lead")
