@@ -30,7 +30,7 @@ MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 RAMPS = (-0.5, 0.0, 0.5)
 #: Documents to a slice of the seeded order, about; the words before a document are summed in two levels.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 1000
 #: Up to so many sources the table of sources is sent to all tasks; beyond, it is joined by shuffling, with the same rows.
 BROADCAST_SOURCES = 50_000
 _KEYS = ["doc_id", "source", "size", "text_md5"]
@@ -100,7 +100,6 @@ def _mixed(df: DataFrame, rest: Column | None, weights: tuple[float, ...], ramps
     slices = docs.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     slices = staged(slices, "mix-slices")
     sources = source_targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
-    sources = staged(sources, "mix-targets")
     few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = slices.select("source", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
