@@ -30,7 +30,7 @@ from quillon.llm.tokens import default_vocabulary, documents_ids
 CAPACITY = 2048
 END_ID = 0
 #: Salts that pieces draw from; a slice is a range of them that holds about so many pieces, were they all of one length.
-SALTS, SLICE_PIECES = 1 << 20, 20_000
+SALTS, SLICE_PIECES = 1 << 20, 5000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
