@@ -52,9 +52,8 @@ def shuffled_buckets(df: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET
 
 def _placed(buckets: DataFrame, n_shards: int) -> tuple[DataFrame, Column, Column]:
     """*buckets* with the first place of each row's bucket, and columns of its shard and slot."""
+    n = buckets.count()
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    sizes = staged(sizes, "shard-sizes")
-    n = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     starts = prefix_sums(sizes, [], "bucket", "n", "first").select("bucket", "first")
     place = F.col("first") + F.col("pos")
     # Shard s holds the places from floor(s * n / n_shards) on.
