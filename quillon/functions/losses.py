@@ -47,7 +47,8 @@ def _discopop(beta, tau, d):
     return -log_sigmoid(beta * d) * (1 - m) + F.exp(-beta * d) * m
 
 
-#: name -> loss of the scores cs, rs, completion lengths nc, nr, beta, smoothing eps and temperature tau.
+#: name -> loss of the scores cs, rs, completion lengths nc, nr, beta, smoothing eps and temperature tau; those of
+#: RATIO_LOSSES also take the log-ratios cr, rr that the scores come from by a divergence.
 LOSSES = {
     "sigmoid": lambda cs, rs, nc, nr, b, eps, tau: -log_sigmoid(b * (cs - rs)),
     "hinge": lambda cs, rs, nc, nr, b, eps, tau: _relu(1 - b * (cs - rs)),
@@ -57,16 +58,23 @@ LOSSES = {
     "nca_pair": lambda cs, rs, nc, nr, b, eps, tau: -log_sigmoid(b * cs) - 0.5 * log_sigmoid(-b * cs) - 0.5 * log_sigmoid(-b * rs),
     "bco_pair": lambda cs, rs, nc, nr, b, eps, tau: -log_sigmoid(b * cs) - log_sigmoid(-b * rs),
     "sppo_hard": lambda cs, rs, nc, nr, b, eps, tau: _square(cs - 0.5 / b) + _square(rs + 0.5 / b),
-    "apo_zero": lambda cs, rs, nc, nr, b, eps, tau: 1 - sigmoid(b * cs) + sigmoid(b * rs),
-    "apo_down": lambda cs, rs, nc, nr, b, eps, tau: sigmoid(b * cs) + 1 - sigmoid(b * (cs - rs)),
+    "apo_zero": lambda cs, rs, nc, nr, b, eps, tau, cr, rr: 1 - sigmoid(b * cr) + sigmoid(b * rr),
+    "apo_down": lambda cs, rs, nc, nr, b, eps, tau, cr, rr: sigmoid(b * cr) + 1 - sigmoid(b * (cs - rs)),
     "discopop": lambda cs, rs, nc, nr, b, eps, tau: _discopop(b, tau, cs - rs),
 }
 
 
-def loss(name: str, cs: Column, rs: Column, nc: Column, nr: Column, beta: float = 0.1, eps: float = 0.1, tau: float = 0.05) -> Column:
+RATIO_LOSSES = ("apo_zero", "apo_down")
+
+
+def loss(
+    name: str, cs: Column, rs: Column, nc: Column, nr: Column, beta: float = 0.1, eps: float = 0.1, tau: float = 0.05, cr: Column | None = None, rr: Column | None = None
+) -> Column:
+    """One loss; *cr* and *rr* are the log-ratios where the scores are not (reverse KL: they are)."""
     if name not in LOSSES:
         raise ValueError(f"unknown loss {name!r}; known: {', '.join(LOSSES)}")
-    return LOSSES[name](cs, rs, nc, nr, beta, eps, tau)
+    ratios = (cs if cr is None else cr, rs if rr is None else rr) if name in RATIO_LOSSES else ()
+    return LOSSES[name](cs, rs, nc, nr, beta, eps, tau, *ratios)
 
 
 def smoothed(x: Column, eps: float = 0.0) -> Column:
@@ -82,3 +90,9 @@ def tdpo(margin: Column, kl_chosen: Column, kl_rejected: Column, beta: float = 0
 def simpo(chosen_mean: Column, rejected_mean: Column, beta: float = 10.0, gamma: float = 3.0) -> Column:
     """Beta times the margin of the mean log-probabilities, less the target margin gamma."""
     return -log_sigmoid(beta * (chosen_mean - rejected_mean) - gamma)
+
+
+def kto(ratio: Column, desirable: Column, kl: Column, beta: float = 0.1, desirable_weight: float = 1.0, undesirable_weight: float = 1.0) -> Column:
+    """The prospect loss of one labelled completion against the batch's KL estimate, which never falls below 0."""
+    base = F.greatest(kl, F.lit(0.0))
+    return F.when(desirable, desirable_weight * (1 - sigmoid(beta * (ratio - base)))).otherwise(undesirable_weight * (1 - sigmoid(beta * (base - ratio))))

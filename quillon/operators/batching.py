@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.layout import ranked
+
 # Padded tokens and examples of a batch at most.
 BUDGET, MOST = 4096, 16
 
@@ -50,5 +52,7 @@ def budget_batches(df: DataFrame, key: str, order: str, length: str, budget: int
 
 
 def fixed_batches(df: DataFrame, order: str, size: int = 4, *keys: str) -> DataFrame:
-    """Every *size* rows in order form a batch, the last one may be shorter."""
+    """Every *size* rows in order form a batch, the last one may be shorter; without keys, *order* is an integer id."""
+    if not keys:
+        return ranked(df, order, "_rank").withColumn("batch", F.floor(F.col("_rank") / size)).drop("_rank")
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1) / size))

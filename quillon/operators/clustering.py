@@ -6,15 +6,23 @@ that assigns by an array of centroids sent to the tasks and sums members by clus
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.hashing import uniform
 from quillon.functions.vectors import at_least, dot, norm, subtract, unit
 from quillon.operators.directions import nearest_centroid, vector_mean
+from quillon.operators.layout import ranked
 
 MIN_CLUSTER_SIZE = 200
 ITERATIONS, TOLERANCE, RESTARTS = 50, 1e-5, 3
+# The numbers of clusters of a sweep, and the pairs of a cosine diagnostic.
+K_SWEEP = (2, 4, 8, 16, 32, 64, 128)
+PAIR_SAMPLE = 200_000
 
 
 def centered(points: DataFrame, v: str, dim: int) -> tuple[DataFrame, DataFrame]:
@@ -34,64 +42,191 @@ def step(points: DataFrame, centroids: DataFrame, v: str, dim: int, id: str) ->
     Returns the new centroids, one row for each k, and the objective, the mean cosine to the assigned centroid.
     """
     assigned = nearest_centroid(points, centroids, v)
-    sums = vector_mean(assigned, v, dim, "cluster", count="n").withColumnRenamed("cluster", "k")
-    stats = assigned.agg(F.avg("cos").alias("objective"))
-    ks = centroids.select("k")
-    rows = ks.join(sums, "k", "left").orderBy("k").collect()
-    empty = [r["k"] for r in rows if r["center"] is None]
-    centers = {r["k"]: r["center"] for r in rows}
+    means = [F.avg(F.get(F.col(v), F.lit(i))) for i in range(dim)]
+    sums = assigned.groupBy(F.col("cluster").alias("k")).agg(F.array(*means).alias("center"), F.count(F.lit(1)).alias("n"), F.sum("cos").alias("s")).collect()
+    centers = {r["k"]: r["center"] for r in sums}
+    total = sum(r["n"] for r in sums)
+    ks = [r["k"] for r in centroids.select("k").orderBy("k").collect()]
+    empty = [k for k in ks if k not in centers]
     if empty:
-        for k, r in zip(empty, assigned.orderBy("cos", id).limit(len(empty)).select(v).collect()):
+        for k, r in zip(empty, worst_fit(assigned, id, len(empty)).select(v).collect()):
             centers[k] = r[0]
     spark = points.sparkSession
-    new = spark.createDataFrame([(k, c) for k, c in sorted(centers.items())], "k int, center array<double>")
-    return new.withColumn("center", unit("center")), stats.first()[0]
+    new = spark.createDataFrame([(k, centers.get(k)) for k in ks], "k int, center array<double>")
+    return new.withColumn("center", unit("center")), sum(r["s"] for r in sums) / total if total else None
+
+
+def worst_fit(assigned: DataFrame, id: str, n: int) -> DataFrame:
+    """The *n* points with the least cosine to their centroid, least first; ties by id."""
+    return assigned.orderBy("cos", id).limit(n)
 
 
 def plus_plus(points: DataFrame, v: str, id: str, k: int, seed: int) -> list:
-    """M6: the first point of the seeded order, then points with probability as their squared cosine distance.
+    """M6: the vectors of :func:`plus_plus_ids`."""
+    return [center for _, center in plus_plus_ids(points, v, id, k, seed)]
+
+
+def plus_plus_ids(points: DataFrame, v: str, id: str, k: int, seed: int) -> list[tuple]:
+    """M6: (id, vector) of the first point of the seeded order, then points with probability as their squared cosine distance.
 
     The draw is by exponential clocks: the point with the least -log(u) / d2 is one drawn in proportion to d2, so a
     draw is one partial aggregation and no cumulative sum over the table.
     """
-    first = points.agg(F.min_by(v, F.struct(uniform(id, f"first{seed}"), F.col(id)))).first()[0]
+    one = F.struct(F.col(id).alias("id"), F.col(v).alias("v"))
+    first = points.agg(F.min_by(one, F.struct(uniform(id, f"first{seed}"), F.col(id)))).first()[0]
     if first is None:
         return []
-    centers = [first]
-    while len(centers) < k:
-        table = _table(points, centers).withColumn("center", unit("center"))
+    found = [tuple(first)]
+    while len(found) < k:
+        table = _table(points, [c for _, c in found]).withColumn("center", unit("center"))
         d = F.greatest(F.lit(0.0), 1 - F.col("cos"))
         near = nearest_centroid(points, table, v).withColumn("_d", d * d)
-        clock = -F.log(1 - uniform(id, f"pick{seed}:{len(centers)}")) / at_least("_d", 1e-300)
-        centers.append(near.agg(F.min_by(v, F.struct(clock, F.col(id)))).first()[0])
-    return centers
+        clock = -F.log(1 - uniform(id, f"pick{seed}:{len(found)}")) / at_least("_d", 1e-300)
+        found.append(tuple(near.agg(F.min_by(one, F.struct(clock, F.col(id)))).first()[0]))
+    return found
 
 
 def spherical_kmeans(points: DataFrame, v: str, id: str, dim: int, k: int, seed: int = 0, iterations: int = ITERATIONS, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame, float]:
     """(points with cluster and cos, centroids, objective).  Stops when the objective gains less than TOLERANCE."""
-    centroids = start if start is not None else _table(points, plus_plus(points, v, id, k, seed))
-    centroids = centroids.withColumn("center", unit("center"))
-    before = -2.0
-    for _ in range(iterations):
-        centroids, objective = step(points, centroids, v, dim, id)
-        if objective is None or objective - before < TOLERANCE:
-            break
-        before = objective
+    rows = points.select(F.col(id).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v")).persist()
+    try:
+        if start is None:
+            found = _starts(rows, [(k, seed)])
+        else:
+            given = np.array([r["center"] for r in start.orderBy("k").collect()], float)
+            found = {(k, seed): given / np.maximum(np.linalg.norm(given, axis=1, keepdims=True), 1e-12)}
+        found = _converged(rows, found, dim, iterations) if rows.count() else {(k, seed): np.zeros((0, dim))}
+    finally:
+        rows.unpersist()
+    centroids = _table(points, found[k, seed].tolist())
     assigned = nearest_centroid(points, centroids, v)
     return assigned, centroids, assigned.agg(F.avg("cos")).first()[0]
 
 
-def k_sweep(points: DataFrame, v: str, id: str, dim: int, ks: list[int], restarts: int = RESTARTS, iterations: int = ITERATIONS) -> DataFrame:
-    """M8: for each K below the number of points the best restart by objective, the first among equals."""
-    n = points.count()
-    found = []
-    for k in ks:
-        if k >= n:
-            continue
-        runs = [(spherical_kmeans(points, v, id, dim, k, seed, iterations)[2], -seed) for seed in range(restarts)]
-        objective, minus = max(runs)
-        found.append((k, -minus, float(objective)))
-    return points.sparkSession.createDataFrame(found, "K int, restart int, objective double")
+def _converged(rows: DataFrame, found: dict, dim: int, iterations: int) -> dict:
+    """The centroids of each run after as many moves as it takes, all runs in one pass over the points a move."""
+    found, best, done = dict(found), {r: -2.0 for r in found}, set()
+    for _ in range(iterations):
+        live = [r for r in found if r not in done]
+        if not live:
+            break
+        sums = _sums(rows, {r: found[r] for r in live}, dim)
+        for r in live:
+            found[r], objective = _moved(rows, found[r], sums.get(r, {}))
+            if objective is None or objective - best[r] < TOLERANCE:
+                done.add(r)
+            else:
+                best[r] = objective
+    return found
+
+
+def k_sweep(points: DataFrame, v: str, id: str, dim: int, ks: tuple[int, ...] = K_SWEEP, restarts: int = RESTARTS, iterations: int = ITERATIONS) -> DataFrame:
+    """M8: for each K below the number of points the best restart by objective, the first among equals.
+
+    All runs, K by restart, go through the points together: a pass draws one more starting point of each run, or moves
+    the centroids of each run that has not converged.  The driver holds the centroids of all runs.  A pass of the start
+    looks at all centroids drawn so far, so that it needs no state of the points; ties and draws are those of a run alone.
+    """
+    rows = points.select(F.col(id).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v")).persist()
+    try:
+        n = rows.count()
+        runs = [(k, seed) for k in ks if k < n for seed in range(restarts)]
+        found = _converged(rows, _starts(rows, runs), dim, iterations)
+        last = _sums(rows, found, dim)
+        scored = [(k, seed, sum(x[1] for x in last[k, seed].values()) / n) for k, seed in runs]
+    finally:
+        rows.unpersist()
+    top = {}
+    for k, seed, objective in scored:
+        if k not in top or objective > top[k][2]:
+            top[k] = (k, seed, float(objective))
+    return points.sparkSession.createDataFrame(list(top.values()), "K int, restart int, objective double")
+
+
+def _near(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each row, the first among equals, and the cosine to it."""
+    size = np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None] * np.maximum(np.linalg.norm(centers, axis=1), 1e-12)
+    cos = x @ centers.T / size
+    k = cos.argmax(1)
+    return k, cos[np.arange(len(x)), k]
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _starts(rows: DataFrame, runs: list[tuple[int, int]]) -> dict:
+    """M6 for all runs: the seeded first point, then draws by squared distance, a pass for each place."""
+    found: dict = {}
+    seeds = sorted({seed for _, seed in runs})
+    if not runs:
+        return found
+    firsts = rows.agg(*[F.min_by("v", F.struct(uniform("id", f"first{seed}"), "id")) for seed in seeds]).first()
+    for k, seed in runs:
+        found[k, seed] = np.array([firsts[seeds.index(seed)]], float)
+    for place in range(1, max(k for k, _ in runs)):
+        # Runs of one seed draw alike as long as they draw at all: one draw serves every K.
+        for_seed = {seed: found[max(k for k, s in runs if s == seed), seed] for seed in seeds}
+
+        def draw(batches: Iterator[pa.RecordBatch], for_seed=for_seed) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = _matrix(batch)
+                    far = [np.maximum(1 - _near(x, c)[1], 0) ** 2 for c in for_seed.values()]
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), *map(pa.array, far)], names=["id", "v", *(f"d{s}" for s in for_seed)])
+
+        schema = "id long, v array<double>, " + ", ".join(f"d{s} double" for s in seeds)
+        clock = lambda s: -F.log(1 - uniform("id", f"pick{s}:{place}")) / at_least(f"d{s}", 1e-300)
+        drawn = rows.mapInArrow(draw, schema).agg(*[F.min_by("v", F.struct(clock(s), F.col("id"))) for s in seeds]).first()
+        for k, seed in runs:
+            if k > place:
+                found[k, seed] = np.vstack([found[k, seed], drawn[seeds.index(seed)]])
+    return {r: c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12) for r, c in found.items()}
+
+
+def _sums(rows: DataFrame, centers: dict, dim: int) -> dict:
+    """For each run its clusters' (members, sum of cosines, sum of vectors); tasks send one row for each cluster."""
+    order = list(centers)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [np.zeros(len(centers[r]), np.int64) for r in order]
+        s = [np.zeros(len(centers[r])) for r in order]
+        total = [np.zeros((len(centers[r]), dim)) for r in order]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch)
+            for i, r in enumerate(order):
+                k, cos = _near(x, centers[r])
+                n[i] += np.bincount(k, minlength=len(n[i]))
+                s[i] += np.bincount(k, cos, len(n[i]))
+                np.add.at(total[i], k, x)
+        for i in range(len(order)):
+            some = np.flatnonzero(n[i])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(some), i)), pa.array(some), pa.array(n[i][some]), pa.array(s[i][some]), pa.array(total[i][some].tolist(), pa.list_(pa.float64()))], names=["run", "k", "n", "s", "v"]
+            )
+
+    parts = rows.mapInArrow(add, "run long, k long, n long, s double, v array<double>")
+    sums = parts.groupBy("run", "k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(dim)]).alias("v"))
+    out: dict = {}
+    for r in sums.collect():  # as many rows as there are centroids
+        out.setdefault(order[r["run"]], {})[r["k"]] = (r["n"], r["s"], r["v"])
+    return out
+
+
+def _moved(rows: DataFrame, centers: np.ndarray, sums: dict) -> tuple[np.ndarray, float | None]:
+    """The next centroids of a run, and the objective of the assignment before them."""
+    total = sum(n for n, _, _ in sums.values())
+    if not total:
+        return centers, None
+    new = np.array([sums[k][2] if k in sums else np.zeros(centers.shape[1]) for k in range(len(centers))])
+    empty = [k for k in range(len(centers)) if k not in sums]
+    if empty:
+        table = _table(rows, centers.tolist())
+        for k, r in zip(empty, worst_fit(nearest_centroid(rows, table, "v"), "id", len(empty)).collect()):
+            new[k] = r["v"]
+    return new / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12), sum(s for _, s, _ in sums.values()) / total
 
 
 def sizes(assigned: DataFrame, k: int, cluster: str = "cluster") -> DataFrame:
@@ -121,24 +256,33 @@ def evaluate(points: DataFrame, centroids: DataFrame, v: str, cluster: str, k: i
 
 
 def covariance(points: DataFrame, v: str, dim: int) -> DataFrame:
-    """The upper triangle (i, j, cov) from sums of products: one pass, dim * (dim + 1) / 2 partial sums.
+    """The upper triangle (i, j, cov), from the Gram matrices of batches: a task sends one sum for each i <= j.
 
-    For dimensions up to a few hundred; sketch longer vectors first.
+    Sums are taken around one point of the table, so that a large common mean costs no digits.
     """
-    at = lambda i: F.get(F.col(v), F.lit(i))
-    firsts = [F.sum(at(i)).alias(f"s{i}") for i in range(dim)]
-    long = points.select(F.posexplode(v).alias("i", "x"), F.col(v).alias("_v")).select("i", "x", F.posexplode("_v").alias("j", "y")).where("i <= j")
-    products = long.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
-    means = points.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(at(i)) for i in range(dim)]).alias("s"))
-    del firsts
-    joined = products.crossJoin(F.broadcast(means))
+    first = points.select(v).where(F.size(v) == dim).limit(1).collect()
+    around = np.array(first[0][0] if first else np.zeros(dim), float)
+    i, j = np.triu_indices(dim)
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, products = 0, np.zeros(dim), np.zeros((dim, dim))
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, dim) - around
+                n, total, products = n + len(x), total + x.sum(0), products + x.T @ x
+        if n:
+            cells = [pa.array(np.append(i, range(dim)).astype(np.int32)), pa.array(np.append(j, np.full(dim, -1)).astype(np.int32)), pa.array(np.append(products[i, j], total)), pa.array(np.full(len(i) + dim, n))]
+            yield pa.RecordBatch.from_arrays(cells, names=["i", "j", "p", "n"])
+
+    cells = points.select(F.col(v).cast("array<double>").alias(v)).mapInArrow(gram, "i int, j int, p double, n long")
+    cells = cells.groupBy("i", "j").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    sums = cells.where("j = -1").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]).alias("s"))  # dim numbers
+    joined = cells.where("j >= 0").crossJoin(F.broadcast(sums))
     return joined.select("i", "j", ((F.col("p") - F.get("s", F.col("i")) * F.get("s", F.col("j")) / F.col("n")) / (F.col("n") - 1)).alias("cov"))
 
 
 def principal_shares(points: DataFrame, v: str, dim: int, top: int = 16) -> list[float]:
     """Shares of the greatest eigenvalues, negative ones clamped; the driver decomposes a dim x dim matrix."""
-    import numpy as np
-
     m = np.zeros((dim, dim))
     for r in covariance(points, v, dim).collect():
         m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["cov"]
@@ -146,17 +290,31 @@ def principal_shares(points: DataFrame, v: str, dim: int, top: int = 16) -> list
     return (values[:top] / max(values.sum(), 1e-30)).tolist()
 
 
-def pair_cosines(points: DataFrame, v: str, id: str, pairs: int, seed: int = 0) -> DataFrame:
-    """Cosines of sampled pairs of different points, by ranks in a seeded order of 2 * *pairs* points."""
-    some = points.orderBy(uniform(id, f"cos{seed}"), id).limit(2 * pairs)
-    some = some.withColumn("_r", F.row_number().over(Window.orderBy(uniform(id, f"cos{seed}"), id)) - 1).withColumn("_p", F.floor(F.col("_r") / 2))
-    both = some.groupBy("_p").agg(*[F.max(F.when(F.col("_r") % 2 == k, F.col(v))).alias(f"_{k}") for k in (0, 1)]).where("_0 is not null and _1 is not null")
+def pair_cosines(points: DataFrame, v: str, id: str, pairs: int = PAIR_SAMPLE, seed: int = 0) -> DataFrame:
+    """Cosines of *pairs* seeded pairs of points drawn with reuse, those of a point with itself left out.
+
+    *id* is an integer.  The wanted places, two for each pair, are sent to the tasks; the points stay where they are.
+    """
+    spark, n = points.sparkSession, points.count()
+    draw = lambda tag: F.floor(uniform("id", f"{tag}{seed}") * n)
+    wanted = spark.range(pairs).select("id", draw("i").alias("i"), draw("j").alias("j")).where("i <> j")
+    wanted = wanted.select(F.col("id").alias("_pair"), F.posexplode(F.array("i", "j")).alias("_side", "_rank"))
+    met = ranked(points.select(id, v), id, "_rank").join(F.broadcast(wanted), "_rank")
+    both = met.groupBy("_pair").agg(*[F.max(F.when(F.col("_side") == k, F.col(v))).alias(f"_{k}") for k in (0, 1)])
     return both.select((dot("_0", "_1") / (at_least(norm("_0")) * at_least(norm("_1")))).alias("cos"))
 
 
-def diagnose(points: DataFrame, v: str, id: str, dim: int, pairs: int = 1000, seed: int = 0) -> DataFrame:
+def mean_cosines(points: DataFrame, v: str, dim: int) -> DataFrame:
+    """A10: mean and least cosine to the direction of the mean of the unit vectors, one row."""
+    units = points.select(unit(v).alias("_u"))
+    mean = vector_mean(units, "_u", dim, out="_m").select(unit("_m").alias("_m"))
+    return units.crossJoin(F.broadcast(mean)).select(dot("_u", "_m").alias("c")).agg(F.avg("c").alias("mean_dir_mean"), F.min("c").alias("mean_dir_min"))
+
+
+def diagnose(points: DataFrame, v: str, id: str, dim: int, pairs: int = PAIR_SAMPLE, seed: int = 0) -> DataFrame:
     """M9: cosine statistics, the first principal share, and whether to centre before clustering."""
     stats = pair_cosines(points, v, id, pairs, seed).agg(F.avg("cos").alias("mean_cos"), F.stddev_samp("cos").alias("std_cos"), F.percentile("cos", [0.01, 0.25, 0.5, 0.75, 0.99]).alias("quantiles"))
-    shares = principal_shares(points, v, dim, 1)
+    stats = stats.crossJoin(F.broadcast(mean_cosines(points, v, dim)))
+    shares = principal_shares(points.select(unit(v).alias(v)), v, dim)
     advice = F.when((F.col("mean_cos") > 0.5) & (F.col("pc1") > 0.5), "CENTER").otherwise("AS IS")
-    return stats.withColumn("pc1", F.lit(float(shares[0]))).withColumn("advice", advice)
+    return stats.withColumns({"pc1": F.lit(float(shares[0])), "pc_cumulative": F.lit(float(sum(shares)))}).withColumn("advice", advice)

@@ -27,6 +27,12 @@ def vector_mean_long(df: DataFrame, v: str, *keys: str, out: str = "value") -> D
     return df.select(*keys, F.posexplode(v).alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias(out))
 
 
+def weighted_means(df: DataFrame, v: str, weights: dict[str, Column], dim: int, *keys: str) -> DataFrame:
+    """A1: the mean of weight times vector for several weightings in one pass: keys, n_averaged and a vector for each name."""
+    each = [F.array(*[F.avg(w * F.get(F.col(v), F.lit(i))) for i in range(dim)]).alias(name) for name, w in weights.items()]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_averaged"), *each)
+
+
 def resolve(name: str) -> dict:
     """What a direction is made of: base directions to load, and kind and K of the clusters if any; unknown names raise."""
     if m := _CLUSTER.fullmatch(name):
@@ -93,3 +99,47 @@ def larger_scores(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     other = b.select(*keys, F.col("dot").alias("_dot"), F.col("cos").alias("_cos"))
     joined = a.join(other, list(keys))
     return joined.withColumns({"dot": F.greatest("dot", "_dot"), "cos": F.greatest("cos", "_cos")}).drop("_dot", "_cos")
+
+
+def all_scores(tokens: DataFrame, directions: DataFrame, v: str, g_norm: str, name: str = "direction") -> DataFrame:
+    """A row for every token and every direction; the directions are one broadcast row, as many as have names."""
+    one = F.struct(F.col(name).alias("name"), F.col("center").alias("center"), norm("center").alias("norm"))
+    table = directions.agg(F.array_sort(F.collect_list(one)).alias("_d"))
+    every = tokens.crossJoin(F.broadcast(table)).withColumn("_one", F.explode("_d"))
+    scored = every.withColumn("dot", dot(F.col(v), F.col("_one.center"))).withColumn("cos", cosine("dot", g_norm, F.col("_one.norm")))
+    return scored.withColumn(name, F.col("_one.name")).drop("_d", "_one")
+
+
+def direction_scores(
+    name: str, tokens: DataFrame, own: DataFrame, mean: DataFrame, clusters: dict[tuple[str, int], DataFrame], key: str, v: str, g_norm: str,
+    dot_scale_mode: str = "unit", cluster_base: str = "unweighted",
+) -> DataFrame:
+    """D6, N-3: the plan that a direction's name stands for: tokens with dot and cos.
+
+    *own* has a vector column for each weighting by example, *mean* one row of the same columns, *clusters* the
+    centroids of each (kind, K).  One pass over the tokens, whose own and mean directions are columns beside them.
+    """
+    spec = resolve(name)
+    if spec["K"] is not None:
+        table = clusters.get((spec["kind"], spec["K"]))
+        if table is None:
+            raise ValueError(f"no centroids for {name!r}")
+        factor = dot_scale(dot_scale_mode, norm("center"), F.lit(1.0))
+        scored = cluster_scores(tokens, table, v, g_norm, factor=factor)
+        if not spec["bases"]:
+            return scored
+        scored = scored.join(own.select(key, F.col(cluster_base).alias("_o")), key)
+        single = dot(v, "_o")
+        return scored.withColumns({"dot": F.greatest("dot", single), "cos": F.greatest("cos", cosine(single, g_norm, norm("_o")))}).drop("_o")
+    _, _, weighting = name.partition("_")
+    vectors = []
+    if spec["family"] != "aggregated":
+        tokens = tokens.join(own.select(key, F.col(weighting).alias("_o")), key)
+        vectors.append("_o")
+    if spec["family"] != "single":
+        tokens = tokens.crossJoin(F.broadcast(mean.select(F.col(weighting).alias("_m"))))
+        vectors.append("_m")
+    dots = [dot(v, c) for c in vectors]
+    cosines = [cosine(d, g_norm, norm(c)) for d, c in zip(dots, vectors)]
+    most = lambda xs: xs[0] if len(xs) == 1 else F.greatest(*xs)
+    return tokens.withColumns({"dot": most(dots), "cos": most(cosines)}).drop(*vectors)

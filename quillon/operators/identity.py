@@ -75,6 +75,31 @@ def enforce(status: DataFrame, policy: str = "fatal") -> DataFrame:
     return faults
 
 
+def establish(now: DataFrame, path: str, name: str, policy: str = "fatal") -> DataFrame:
+    """The first run saves its fingerprint at *path*; later runs are held against it, by *policy*."""
+    spark = now.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        now.write.parquet(path)
+    return enforce(verify(spark.read.parquet(path), now, name), policy)
+
+
+def sources(tables: list[DataFrame], column: str = "source_id") -> DataFrame:
+    """The runs that artefacts come from, a row each, with the number of tables that name it."""
+    each = [t.select(F.col(column).alias("source_id")).distinct() for t in tables]
+    found = each[0]
+    for t in each[1:]:
+        found = found.unionByName(t)
+    return found.groupBy("source_id").agg(F.count(F.lit(1)).alias("tables"))
+
+
+def pinned(saved: DataFrame, now: DataFrame, name: str) -> DataFrame:
+    """The rows of a pinned artefact, if both sides have the same names; else the missing and the extra ones raise."""
+    if faults := [tuple(r) for r in key_difference(saved, now, name).limit(5).collect()]:
+        raise ValueError(f"names differ: {faults}")
+    return saved
+
+
 def same_source(tables: list[DataFrame], column: str = "source_id", overwrite: bool = False) -> None:
     """Refuse to mix artefacts of different runs unless told to overwrite."""
     found = {r[0] for t in tables for r in t.select(column).distinct().limit(3).collect()}

@@ -100,6 +100,25 @@ def project(points: DataFrame, v: str, axes: list[list[float]]) -> DataFrame:
     return points.withColumns({f"pc{k + 1}": dot(F.col(v), F.array(*[F.lit(float(x)) for x in axis])) for k, axis in enumerate(axes)})
 
 
+def bundle(points: DataFrame, centroids: DataFrame, cluster: str, cos: str, id: str, size: str, top: int = 3, seed: int = 1234) -> DataFrame:
+    """A row for each cluster: members, share, effect size and median of *size*, nearest other cluster, medoids and others."""
+    eta = eta_squared(points, F.log(F.col(size)), cluster).withColumnRenamed("eta_squared", "eta_log_size")
+    n = points.agg(F.count(F.lit(1)).alias("_n"))
+    rows = points.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.percentile(size, 0.5).alias("median_size"))
+    best = medoids(points, cluster, cos, id, top)
+    some = sample(points, cluster, id, top, seed, without=best)
+    ids = lambda df, out: df.groupBy(cluster).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", id))), lambda x: x[id].cast("string")), ",").alias(out))
+    near = nearest_other(centroids).withColumnRenamed("k", cluster)
+    rows = rows.join(F.broadcast(near), cluster, "left").join(ids(best, "medoids"), cluster, "left").join(ids(some, "others"), cluster, "left")
+    return rows.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(eta)).withColumn("share", F.col("n") / F.col("_n")).drop("_n")
+
+
+def best_restarts(runs: DataFrame, k: str = "K", restart: str = "restart", objective: str = "objective") -> DataFrame:
+    """For each K the run of the greatest objective, the first among equals."""
+    place = F.row_number().over(Window.partitionBy(k).orderBy(F.desc(objective), restart))
+    return runs.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
 def html_report(summary: DataFrame, title: str = "Clusters") -> str:
     """K9: a page of its own with the rows of *summary* (a row per cluster) as JSON that cannot end its script element."""
     rows = [json.loads(r[0]) for r in summary.select(F.to_json(F.struct(*summary.columns))).collect()]

@@ -1,11 +1,60 @@
-"""Partition layout."""
+"""Partition layout: spreading rows over cores, sums and ranks in order without one window over a table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
     """*df* over all cores before costly work on each row, where a scan of a few row groups gives fewer tasks than cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def prefix_sums(df: DataFrame, order: str, value: str, out: str, block: int = 4096) -> DataFrame:
+    """*df* with the sum of *value* over rows of smaller *order*, an integer that is unique, in two levels.
+
+    Blocks of *block* neighbouring orders are summed in parallel; only the totals of blocks meet in one window.
+    """
+    cut = df.withColumn("_block", F.floor(F.col(order) / block))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = cut.groupBy("_block").agg(F.sum(value).alias("_total")).select("_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = cut.withColumn("_local", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return local.join(bases, "_block").withColumn(out, F.col("_base") + F.col("_local")).drop("_block", "_base", "_local")
+
+
+def ranked(df: DataFrame, order: str, out: str = "rank") -> DataFrame:
+    """*df* with the place of each row by *order*, from 0."""
+    return prefix_sums(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", out).drop("_one")
+
+
+def inverse_cdf(df: DataFrame, order: str, weight: str, shares: list[float]) -> DataFrame:
+    """For each share u the first row, by *order*, whose cumulative weight reaches u times the total: (u, order)."""
+    summed = prefix_sums(df.select(order, weight), order, weight, "_before")
+    total = F.lit(df.agg(F.sum(weight)).first()[0])
+    picks = F.array(*[F.lit(float(u)) for u in shares])
+    reach = F.filter(picks, lambda u: (u * total > F.col("_before")) & (u * total <= F.col("_before") + F.col(weight)))
+    return summed.select(order, F.explode(reach).alias("u"))
+
+
+def blocks(spec: DataFrame, order: str, numel: str) -> DataFrame:
+    """Each block's offset, the sum of the sizes before it."""
+    return prefix_sums(spec, order, numel, "offset")
+
+
+def flatten_blocks(df: DataFrame, spec: list[tuple[str, int]], out: str = "flat"):
+    """Named array columns laid end to end in the order of *spec* (name, size); a null block is zeros."""
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    return df.withColumn(out, F.concat(*[F.coalesce(F.col(name).cast("array<double>"), zeros(n)) for name, n in spec]))
+
+
+def unflatten(df: DataFrame, v: str, spec: list[tuple[str, int]]) -> DataFrame:
+    """A vector cut into named blocks; a length that the blocks do not add up to raises."""
+    total, at, cut = sum(n for _, n in spec), 1, {}
+    fits = F.when(F.size(v) != total, F.raise_error(F.lit(f"vector is not {total} long"))).otherwise(F.col(v))
+    for name, n in spec:
+        cut[name] = F.slice(fits, at, n)
+        at += n
+    return df.withColumns(cut)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.losses import smoothed
+from quillon.functions.vectors import at_least, entropy
+from quillon.operators.layout import prefix_sums
 
 # Tolerances of reproduction checks.
 REL_TOL, CORR_TOL = 1e-2, 0.999
@@ -50,9 +52,28 @@ def token_accuracy(tokens: DataFrame) -> DataFrame:
     return tokens.where("is_completion").agg(F.coalesce(F.avg(hit), F.lit(0.0)).alias("accuracy"))
 
 
-def running_tokens(steps: DataFrame, order: str, n: str, *keys: str) -> DataFrame:
-    """Tokens seen so far."""
-    return steps.withColumn("tokens_seen", F.sum(n).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+def batch_metrics(tokens: DataFrame, side: str = "side") -> DataFrame:
+    """Entropy over all completion tokens, the mean logit of each side's and the chosen side's accuracy; 0 without tokens."""
+    z = F.col("z")
+    mean = F.aggregate(z, F.lit(0.0), lambda s, x: s + x) / F.size(z)
+    hit = (F.array_position(z, F.array_max(z)) - 1 == F.col("target")).cast("double")
+    of = lambda s, x: F.coalesce(F.avg(F.when(F.col(side) == s, x)), F.lit(0.0))
+    return tokens.where("is_completion").agg(
+        F.coalesce(F.avg(entropy("z")), F.lit(0.0)).alias("entropy"), of("c", mean).alias("logits_chosen"), of("r", mean).alias("logits_rejected"), of("c", hit).alias("mean_token_accuracy")
+    )
+
+
+def running_tokens(steps: DataFrame, order: str, n: str) -> DataFrame:
+    """Tokens seen so far; *order* is a step number, and steps are summed in blocks, whose totals are few."""
+    return prefix_sums(steps, order, n, "_before").withColumn("tokens_seen", F.col("_before") + F.col(n)).drop("_before")
+
+
+def throughput(runs: DataFrame, rows: str, seconds: str, total: int, shards: int = 8) -> DataFrame:
+    """Rows a second over all runs, and the hours that *total* rows take, by one worker and by *shards*."""
+    sums = runs.agg(F.sum(rows).alias("rows"), F.sum(seconds).alias("seconds"))
+    each = F.col("seconds") / F.greatest(F.col("rows"), F.lit(1))
+    hours = each * total / 3600
+    return sums.select("rows", "seconds", each.alias("seconds_a_row"), (F.col("rows") / at_least("seconds", 1e-9)).alias("rows_a_second"), hours.alias("hours"), (hours / shards).alias("hours_by_shards"))
 
 
 def sort_matched(pairs: DataFrame, left: Column, right: Column, batch: str, key: str = "pair_id", beta: float = 0.1, eps: float = 0.0) -> DataFrame:

@@ -93,14 +93,18 @@ def last_message(messages: str | Column, role: str | None = None) -> Column:
 
 
 def split_ids(ids: str | Column, header: list[int], max_len: int) -> Column:
-    """(comp_start, completion_ids) at the last match of *header*; null without a match or without room."""
+    """(comp_start, completion_ids) at the last match of *header*; null without a match, or where it leaves no room.
+
+    A chat that ends with the header has an empty completion, not a null one.
+    """
     ids = col(ids)
     n = len(header)
     pattern = F.array(*[F.lit(h) for h in header])
     hits = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(ids) - n)), lambda i: F.slice(ids, i + 1, n) == pattern)
     start = F.array_max(hits) + n
     room = F.least(F.size(ids) - start, F.lit(max_len) - start)
-    return F.when(room > 0, F.struct(start.alias("comp_start"), F.slice(ids, start + 1, F.greatest(room, F.lit(0))).alias("completion_ids")))
+    fits = (F.size(ids) <= max_len) | (room > 0)
+    return F.when(start.isNotNull() & fits, F.struct(start.alias("comp_start"), F.slice(ids, start + 1, F.greatest(room, F.lit(0))).alias("completion_ids")))
 
 
 def label_mask(ids: str | Column, comp_start: str | Column, ignore: int = -100) -> Column:
@@ -127,3 +131,32 @@ def coverage(base: DataFrame, done: DataFrame, key: str = "idx", first: int = 5)
     counts = joined.agg(F.count(F.lit(1)).alias("n_base"), F.count("_done").alias("n_done"))
     gaps = joined.where("_done is null").orderBy(key).limit(first).agg(F.array_sort(F.collect_list(key)).alias("first_gaps"))
     return counts.crossJoin(gaps).withColumn("n_missing", F.col("n_base") - F.col("n_done"))
+
+
+def shifted(values: str | Column, by: int = 1) -> Column:
+    """The values without the first *by*, as labels, masks and weights stand beside the logits that predict them."""
+    return F.slice(col(values), 1 + by, F.greatest(F.lit(0), F.size(col(values)) - by))
+
+
+def last_true(mask: str | Column) -> Column:
+    """The last index whose mask holds; the last index of all where none does."""
+    m = col(mask)
+    return F.coalesce(F.array_max(F.filter(F.transform(m, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())), F.size(m) - 1)
+
+
+def upstream_filter(docs: DataFrame, language: str = "en", most: int = 8000) -> DataFrame:
+    """single texts of one language of at most *most* characters."""
+    return docs.where((F.col("lang") == language) & (F.length("text") <= most))
+
+
+def frozen(df: DataFrame, indices: DataFrame, key: str = "idx") -> DataFrame:
+    """The rows that a stored list of ids names."""
+    return df.join(indices.select(key).distinct(), key, "left_semi")
+
+
+def zipped(df: DataFrame, *names: str) -> DataFrame:
+    """Arrays that are aligned by position, a row (i, values) for each place; uneven lengths raise."""
+    sizes = F.array(*[F.size(n) for n in names])
+    even = F.when(F.array_min(sizes) != F.array_max(sizes), F.raise_error(F.lit("arrays of uneven length"))).otherwise(F.arrays_zip(*names))
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.posexplode(even).alias("i", "_z")).select(*rest, "i", *[F.col(f"_z.{n}").alias(n) for n in names])

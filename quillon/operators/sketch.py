@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import json
+import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.hashing import bucket, sign
+from quillon.functions.hashing import bucket, hash32, sign, uniform
 from quillon.functions.vectors import at_least, dot, norm, sanitize
 
 
+#: Entries of a dense projection, and rows of a table of all pairs, at most.
+MOST_ENTRIES, MOST_ROWS = 1 << 20, 4096
+
+
 def coordinate_table(spark: SparkSession, dim: int, width: int, seed: int = 0) -> DataFrame:
     """Bucket and sign of each coordinate; computed once a coordinate, never once an element."""
     return spark.range(dim).select(F.col("id").cast("int").alias("i"), bucket("id", width, seed).alias("b"), sign("id", seed).alias("s"))
@@ -45,26 +50,76 @@ def count_sketch_long(blocks: DataFrame, id: str, offset: str, v: str, width: in
 
 def rademacher(df: DataFrame, v: str, dim: int, width: int, seed: int = 0, out: str = "dense") -> DataFrame:
     """M3: the dense projection with signs from the hash of (row, coordinate), over the root of the width."""
-    i = F.posexplode(F.col(v)).alias("_i", "_x")
-    table = df.sparkSession.range(dim * width).select((F.col("id") / dim).cast("int").alias("_r"), (F.col("id") % dim).cast("int").alias("_i"), sign("id", seed + 1).alias("_s"))
-    keys = [c for c in df.columns if c != v]
-    long = df.select(*keys, i).join(F.broadcast(table), "_i")
-    sums = long.groupBy(*keys, "_r").agg((F.sum(F.col("_s") * F.col("_x")) / (width**0.5)).alias("_y"))
-    return sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_y"))), lambda p: p["_y"]).alias(out))
+    return _dense(df, v, dim, width, sign("id", seed + 1), out)
 
 
-def quality_report(df: DataFrame, id: str, exact: str, sketched: str, pairs: int = 200, seed: int = 0) -> DataFrame:
-    """M4: cosines of hash-sampled pairs in the exact and the sketched space: mean and largest error, correlation.
+def gaussian(df: DataFrame, v: str, dim: int, width: int, seed: int = 0, out: str = "dense") -> DataFrame:
+    """M3: the dense projection with normal entries, from two hashed uniforms each, over the root of the width."""
+    return _dense(df, v, dim, width, F.sqrt(-2 * F.log(1 - uniform("id", "u", seed + 1))) * F.cos(2 * math.pi * uniform("id", "v", seed + 1)), out)
 
-    Both members of a pair are looked up by rank in a seeded order of at most 2 * *pairs* rows.
+
+def _dense(df: DataFrame, v: str, dim: int, width: int, entry: Column, out: str) -> DataFrame:
+    """Rows of a dim x width matrix as one literal of the plan, as CountSketch's table: a projection is a pass without a shuffle.
+
+    For validation on short vectors; a matrix of more than MOST_ENTRIES entries raises, as a plan is no place for it.
     """
-    from pyspark.sql import Window
+    if dim * width > MOST_ENTRIES:
+        raise ValueError(f"a dense projection of {dim} x {width} entries; sketch such vectors")
+    spark = df.sparkSession
+    rows = spark.range(dim * width).select("id", entry.cast("double").alias("e")).orderBy("id").collect()
+    matrix = [[rows[r * dim + i]["e"] for i in range(dim)] for r in range(width)]
+    literal = F.from_json(F.lit(json.dumps(matrix)), "array<array<double>>")
+    return df.withColumn(out, F.transform(literal, lambda r: dot(F.col(v), r) / (width**0.5)))
+
+
+#: N-7: projections by name, each (df, vector, dim, width, seed, out).
+PROJECTIONS = {"hashed": count_sketch, "rademacher": rademacher, "gaussian": gaussian}
+
+
+def make_projection(method: str):
+    if method not in PROJECTIONS:
+        raise ValueError(f"unknown projection {method!r}; known: {', '.join(PROJECTIONS)}")
+    return PROJECTIONS[method]
 
-    from quillon.functions.hashing import hash32
 
-    some = df.orderBy(hash32(id, "pair", seed), id).limit(2 * pairs).select(id, exact, sketched)
+def all_pairs(df: DataFrame, id: str, *vectors: str) -> DataFrame:
+    """Every two rows i < j of a table of few rows, centroids or a validation sample, with the cosine of each vector column.
+
+    The table is one array that is sent to the tasks; more than MOST_ROWS rows raise.
+    """
+    n = df.count()
+    if n > MOST_ROWS:
+        raise ValueError(f"all pairs of {n} rows; sample them first")
+    other = df.agg(F.collect_list(F.struct(F.col(id).alias("j"), *vectors)).alias("_all"))
+    both = df.crossJoin(F.broadcast(other)).withColumn("_o", F.explode("_all")).where(F.col(id) < F.col("_o.j"))
+    cos = lambda c: (dot(F.col(c), F.col(f"_o.{c}")) / (at_least(norm(F.col(c))) * at_least(norm(F.col(f"_o.{c}"))))).alias(f"cos_{c}")
+    return both.select(F.col(id).alias("i"), F.col("_o.j").alias("j"), *[cos(c) for c in vectors])
+
+
+def self_test(df: DataFrame, id: str, exact: str, sketched: str, saved_norm: str, width: int, pairs: int = 200, seed: int = 0) -> DataFrame:
+    """M5: inner products of seeded pairs against the bound 1 / sqrt(width), and the largest error of the exact norms."""
+    both = _seeded_pairs(df, id, pairs, seed, exact, sketched)
+    size = at_least(norm(F.col(f"_0.{exact}"))) * at_least(norm(F.col(f"_1.{exact}")))
+    off = F.abs(dot(F.col(f"_0.{sketched}"), F.col(f"_1.{sketched}")) - dot(F.col(f"_0.{exact}"), F.col(f"_1.{exact}"))) / size
+    norms = df.agg(F.max(F.abs(norm(F.col(exact)) - F.col(saved_norm))).alias("norm_error"))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.avg(off).alias("mean_error"), F.max(off).alias("max_error")).crossJoin(F.broadcast(norms)).withColumn("bound", F.lit(width**-0.5))
+
+
+def _seeded_pairs(df: DataFrame, id: str, pairs: int, seed: int, *columns: str) -> DataFrame:
+    """Neighbours in a seeded order of at most 2 * *pairs* rows, as structs _0 and _1."""
+    from pyspark.sql import Window
+
+    some = df.orderBy(hash32(id, "pair", seed), id).limit(2 * pairs).select(id, *columns)
     some = some.withColumn("_r", F.row_number().over(Window.orderBy(hash32(id, "pair", seed), id)) - 1).withColumn("_p", F.floor(F.col("_r") / 2))
-    both = some.groupBy("_p").agg(*[F.max(F.when(F.col("_r") % 2 == k, F.struct(exact, sketched))).alias(f"_{k}") for k in (0, 1)]).where("_0 is not null and _1 is not null")
+    return some.groupBy("_p").agg(*[F.max(F.when(F.col("_r") % 2 == k, F.struct(*columns))).alias(f"_{k}") for k in (0, 1)]).where("_0 is not null and _1 is not null")
+
+
+def quality_report(df: DataFrame, id: str, exact: str, sketched: str, pairs: int = 200, seed: int = 0) -> DataFrame:
+    """M4: cosines of hash-sampled pairs in the exact and the sketched space: mean and largest error, correlation.
+
+    Both members of a pair are looked up by rank in a seeded order of at most 2 * *pairs* rows.
+    """
+    both = _seeded_pairs(df, id, pairs, seed, exact, sketched)
     cos = lambda c: dot(F.col(f"_0.{c}"), F.col(f"_1.{c}")) / (at_least(norm(F.col(f"_0.{c}"))) * at_least(norm(F.col(f"_1.{c}"))))
     both = both.select(cos(exact).alias("e"), cos(sketched).alias("s"))
     return both.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("e") - F.col("s"))).alias("mean_error"), F.max(F.abs(F.col("e") - F.col("s"))).alias("max_error"), F.try_divide(F.covar_samp("e", "s"), F.stddev_samp("e") * F.stddev_samp("s")).alias("corr"))

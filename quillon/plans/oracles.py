@@ -236,7 +236,7 @@ ORACLES = {
         SELECT lang, rank, CASE WHEN rank % 2 = 0 THEN r ELSE c END AS chosen_id, CASE WHEN rank % 2 = 0 THEN c ELSE r END AS rejected_id FROM p""",
     "q23_filter_degenerate": rf"""WITH {_MSGS}, n AS (SELECT *, len(regexp_extract_all(prompt, '[^\s]+')) AS np, len(regexp_extract_all(chosen, '[^\s]+')) AS nc, len(regexp_extract_all(rejected, '[^\s]+')) AS nr FROM fp)
         SELECT CASE WHEN chosen IS NULL OR rejected IS NULL THEN 'no_header' WHEN nc = 0 THEN 'empty_chosen' WHEN nr = 0 THEN 'empty_rejected' WHEN np >= 2048 THEN 'long_prompt' ELSE 'kept' END AS reason, count(*) AS n FROM n GROUP BY 1""",
-    "q24_last_messages": f"""WITH {_MSGS} SELECT idx, list_filter(cm, lambda m: m.role = 'user')[-1].content AS prompt, substr(cm[-1].content, 1, 1200) AS chosen, substr(rm[-1].content, 1, 1200) AS rejected FROM pm""",
+    "q24_last_messages": f"""WITH {_MSGS} SELECT idx, list_filter(cm, lambda m: m.role = 'user')[-1].content AS prompt, cm[-1].content AS chosen, rm[-1].content AS rejected FROM pm""",
     "q25_align_weights": f"""WITH {_S}, {_SINGLE}, w AS (SELECT idx, list({_SIG} ORDER BY t) AS w FROM si GROUP BY idx), e AS (SELECT idx, idx % 16 AS n, CASE WHEN idx % 7 = 3 THEN [] ELSE w END AS w FROM w),
         m AS (SELECT *, CASE WHEN len(w) = 0 THEN 1.0::DOUBLE ELSE list_avg(w) END AS mean FROM e), x AS (SELECT idx, unnest(range(n)) AS t, w, mean FROM m)
         SELECT idx, t, {_r('CASE WHEN t < len(w) THEN w[t + 1] ELSE mean END')} AS w FROM x""",
@@ -259,7 +259,9 @@ ORACLES = {
         k AS (SELECT g.k, count(o.vec_id) AS n, sum(own) AS s FROM range(10) g(k) LEFT JOIN o ON o.label = g.k GROUP BY g.k)
         SELECT {_r('(SELECT avg(own) FROM o)')} AS cohesion, {_r('(SELECT avg(own - other) FROM o)')} AS separation, {_r('(SELECT avg(other) FROM o)')} AS nearest_other, {_r('min(s / n) FILTER (n > 0)')} AS cohesion_min,
         min(n) AS size_min, max(n) AS size_max, trunc(quantile_cont(n::DOUBLE, 0.5))::BIGINT AS size_median, count(*) FILTER (n < 200) AS n_small FROM k""",
-    "q34_pairwise_cosine": f"""WITH {_S}, p AS (SELECT * FROM {_pair_rows('cos0', 200)}), c AS (SELECT {_cos('a.raw', 'b.raw')} AS cos FROM p a JOIN p b ON a.rn % 2 = 0 AND b.rn = a.rn + 1)
+    "q34_pairwise_cosine": f"""WITH {_S}, k AS (SELECT raw, row_number() OVER (ORDER BY vec_id) - 1 AS rn FROM r), n AS (SELECT count(*) AS n FROM r),
+        d AS (SELECT floor({_hash('p', 'i0')} / 4294967296.0::DOUBLE * n)::BIGINT AS i, floor({_hash('p', 'j0')} / 4294967296.0::DOUBLE * n)::BIGINT AS j FROM range(200000) t(p), n),
+        c AS (SELECT {_cos('a.raw', 'b.raw')} AS cos FROM d JOIN k a ON a.rn = i JOIN k b ON b.rn = j WHERE i <> j)
         SELECT count(*) AS n, {_r('avg(cos)')} AS mean, {_r('stddev_samp(cos)')} AS std, """ + ", ".join(f"{_r(f'quantile_cont(cos, {q})')} AS q{k}" for k, q in enumerate((0.01, 0.25, 0.5, 0.75, 0.99))) + " FROM c",
     "q35_countsketch": f"WITH {_S}, {_SKETCH} SELECT sk.vec_id, {_r(_norm('raw'))} AS sketch_norm, b, {_r('y')} AS value FROM sk JOIN r USING (vec_id)",
     "q36_sketch_quality": f"""WITH {_S}, {_SKETCH}, sl AS (SELECT vec_id, list(y ORDER BY b) AS sk FROM sk GROUP BY vec_id), p AS (SELECT q.*, sl.sk FROM {_pair_rows('pair', 200)} q JOIN sl USING (vec_id)),
@@ -277,13 +279,6 @@ ORACLES = {
     "q47_resume_antijoin": "SELECT vec_id AS idx, label FROM embeddings WHERE NOT (vec_id < 100 OR vec_id BETWEEN 200 AND 249)",
     "q48_summary_quantiles": _spread("documents", "lang", "n_chars") + " UNION ALL " + _spread("events", "event_type", "value"),
     "q49_event_windows": f"SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, {_r('sum(value)')} AS total FROM events GROUP BY 1, 2",
-    "q50_covariance": f"""WITH {_S}, v AS (SELECT vec_id, unnest(raw[1:8]) AS x, unnest(range(8)) AS i FROM r)
-        SELECT a.i, b.i AS j, {_r('covar_samp(a.x, b.x)')} AS cov FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""",
-    "q51_token_split": r"""WITH d AS (SELECT doc_id, regexp_split_to_array(substr(text, 1, 400), '[ \n]+') AS w FROM documents WHERE lang = 'en'),
-        i AS (SELECT doc_id, list_transform(w, lambda x: CASE WHEN x = 'the' THEN 7 ELSE length(x) + 100 END) AS ids FROM d),
-        h AS (SELECT *, len(ids) AS n, list_max(list_filter(range(len(ids)), lambda k: ids[k + 1] = 7)) + 1 AS s FROM i),
-        c AS (SELECT *, CASE WHEN least(n - s, 40 - s) > 0 THEN s END AS cs FROM h)
-        SELECT doc_id, n, cs AS comp_start, CASE WHEN cs IS NOT NULL THEN least(n - s, 40 - s) END AS n_completion, CASE WHEN cs IS NOT NULL THEN -100 * cs + list_sum(ids[cs + 1:]) END::BIGINT AS mask_sum FROM c""",
     "q52_running_tokens": f"WITH {_S}, {_LOGITS}, p AS (SELECT pair_id, count(*) AS n FROM tl WHERE done GROUP BY pair_id) SELECT pair_id, n, sum(n) OVER (ORDER BY pair_id)::BIGINT AS tokens_seen FROM p",
     "q53_reproduction_verdict": f"""WITH {_S}, b AS (SELECT vec_id AS i, u[1] AS x, u[2] AS y FROM s), k AS (
         SELECT 'exact' AS copy, 'norms' AS channel, i, x AS got, x AS ref FROM b UNION ALL SELECT 'exact', 'products', i, y, y FROM b
@@ -303,8 +298,17 @@ ORACLES = {
     "q58_token_split_whole": r"""WITH d AS (SELECT doc_id, regexp_split_to_array(text, '[ \n]+') AS w FROM documents),
         i AS (SELECT doc_id, list_transform(w, lambda x: CASE WHEN x = 'the' THEN 7 ELSE length(x) + 100 END) AS ids FROM d),
         h AS (SELECT *, len(ids) AS n, len(ids) - list_position(list_reverse(ids), 7) + 1 AS s FROM i),
-        c AS (SELECT *, CASE WHEN least(n, 2048) > s THEN s END AS cs FROM h)
-        SELECT doc_id, n, cs AS comp_start, least(n, 2048) - cs AS n_completion, CASE WHEN cs IS NOT NULL THEN -100 * cs + list_sum(ids[cs + 1:least(n, 2048)]) END::BIGINT AS mask_sum FROM c""",
+        c AS (SELECT *, CASE WHEN n <= 2048 OR 2048 > s THEN s END AS cs FROM h)
+        SELECT doc_id, n, cs AS comp_start, least(n, 2048) - cs AS n_completion, CASE WHEN cs IS NOT NULL THEN -100 * cs + coalesce(list_sum(ids[cs + 1:least(n, 2048)]), 0) END::BIGINT AS mask_sum FROM c""",
+    "q44_batch_pack": """WITH RECURSIVE d AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
+        b AS (SELECT lang, doc_id, n_chars, rn, 0::BIGINT AS batch, 1::BIGINT AS n, n_chars AS longest FROM d WHERE rn = 1
+            UNION ALL SELECT lang, doc_id, n_chars, rn, CASE WHEN new THEN batch + 1 ELSE batch END, CASE WHEN new THEN 1 ELSE n + 1 END, CASE WHEN new THEN n_chars ELSE greatest(longest, n_chars) END
+            FROM (SELECT d.lang, d.doc_id, d.n_chars, d.rn, b.batch, b.n, b.longest, (b.n + 1) * greatest(b.longest, d.n_chars) > 4096 OR b.n + 1 > 16 AS new FROM b JOIN d ON d.lang = b.lang AND d.rn = b.rn + 1))
+        SELECT lang, doc_id, n_chars, batch FROM b""",
     "q59_covariance_whole": f"""WITH {_S}, v AS (SELECT vec_id, unnest(raw) AS x, unnest(range(64)) AS i FROM r)
         SELECT a.i, b.i AS j, {_r('covar_samp(a.x, b.x)')} AS cov FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""",
 }
+
+from quillon.plans import method_oracles, storage_oracles  # noqa: E402  (built on the pieces above)
+
+ORACLES |= method_oracles.ORACLES | storage_oracles.ORACLES

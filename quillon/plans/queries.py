@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import losses, weights
@@ -15,25 +12,13 @@ from quillon.functions.vectors import (
 )
 from quillon.operators import batching, clustering, directions, identity, inspection, metrics, preferences, sketch
 from quillon.operators.layout import spread
+from quillon.plans.registry import QUERIES, query, round_columns, union
 from quillon.plans.surrogates import (
     DIM, aggregated, centroids, chat_pairs, conversations, document_pairs, logits, mean_direction, own_directions, single, sketches, table, token_logps,
 )
 from quillon.streaming.incremental import pending, windowed_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
-
-
-def _round(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: rounded(n) for n in names})
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+_round, _union = round_columns, union
 
 
 def _pairs(s: DataFrame) -> DataFrame:
@@ -226,7 +211,7 @@ def q23_filter_degenerate(spark, sf):
 @query
 def q24_last_messages(spark, sf):
     last = preferences.last_message
-    return chat_pairs(spark, sf).select("idx", last("chosen", "user").alias("prompt"), F.left(last("chosen"), F.lit(1200)).alias("chosen"), F.left(last("rejected"), F.lit(1200)).alias("rejected"))
+    return chat_pairs(spark, sf).select("idx", last("chosen", "user").alias("prompt"), last("chosen").alias("chosen"), last("rejected").alias("rejected"))
 
 
 @query
@@ -294,7 +279,7 @@ def q33_cluster_eval(spark, sf):
 
 @query
 def q34_pairwise_cosine(spark, sf):
-    c = clustering.pair_cosines(sketches(spark, sf), "raw", "vec_id", 100)
+    c = clustering.pair_cosines(sketches(spark, sf), "raw", "vec_id")
     q = c.agg(F.count(F.lit(1)).alias("n"), F.avg("cos").alias("mean"), F.stddev_samp("cos").alias("std"), F.percentile("cos", [0.01, 0.25, 0.5, 0.75, 0.99]).alias("q"))
     return _round(q.select("n", "mean", "std", *[F.get("q", F.lit(k)).alias(f"q{k}") for k in range(5)]), "mean", "std", *[f"q{k}" for k in range(5)])
 
@@ -337,13 +322,13 @@ def q38_kmeans_3iter(spark, sf):
 @query
 def q39_spherical_kmeans(spark, sf):
     s = sketches(spark, sf).select("vec_id", "u")
-    assigned, _, objective = clustering.spherical_kmeans(s, "u", "vec_id", DIM, 4, iterations=5)
+    assigned, _, objective = clustering.spherical_kmeans(s, "u", "vec_id", DIM, 4)
     return _round(clustering.sizes(assigned, 4).withColumn("objective", F.lit(float(objective))), "objective")
 
 
 @query
 def q40_k_sweep(spark, sf):
-    return _round(clustering.k_sweep(sketches(spark, sf).select("vec_id", "u"), "u", "vec_id", DIM, [2, 4], restarts=2, iterations=3), "objective")
+    return _round(clustering.k_sweep(sketches(spark, sf).select("vec_id", "u"), "u", "vec_id", DIM), "objective")
 
 
 def _prints(s, factor=None):
@@ -423,21 +408,6 @@ def q49_event_windows(spark, sf):
     return _round(e.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total"), "total")
 
 
-@query
-def q50_covariance(spark, sf):
-    s = sketches(spark, sf).select(F.slice("raw", 1, 8).alias("v"))
-    return _round(clustering.covariance(s, "v", 8), "cov")
-
-
-@query
-def q51_token_split(spark, sf):
-    """P6-P8 on surrogate ids: hash ids of words, the header being the id of a frequent word."""
-    d = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.split(F.left("text", F.lit(400)), "[ \n]+").alias("words"))
-    ids = d.withColumn("ids", F.transform("words", lambda w: F.when(w == "the", 7).otherwise(F.length(w) + 100)))
-    out = ids.withColumn("s", preferences.split_ids("ids", [7], 40)).select("doc_id", F.size("ids").alias("n"), F.col("s.comp_start").alias("comp_start"), F.size("s.completion_ids").alias("n_completion"), preferences.label_mask("ids", "s.comp_start").alias("mask"))
-    return out.select("doc_id", "n", "comp_start", F.when(F.col("comp_start").isNotNull(), F.col("n_completion")).alias("n_completion"), F.aggregate("mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_sum"))
-
-
 @query
 def q52_running_tokens(spark, sf):
     steps = token_logps(sketches(spark, sf)).where("is_completion").groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"))
@@ -492,7 +462,7 @@ def q57_cluster_report(spark, sf):
 
 @query
 def q58_token_split_whole(spark, sf):
-    """P6-P8 as q51, on the whole text of every document, cut where the reference cuts."""
+    """P6, P7 on surrogate ids: numbers for words, the header being one frequent word; whole texts, cut at the fixed length."""
     d = table(spark, sf, "documents").select("doc_id", F.split("text", "[ \n]+").alias("words"))
     ids = d.select("doc_id", F.transform("words", lambda w: F.when(w == "the", 7).otherwise(F.length(w) + 100)).alias("ids"))
     split = ids.withColumn("s", preferences.split_ids("ids", [7], preferences.MAX_SEQ_LENGTH))
@@ -503,5 +473,8 @@ def q58_token_split_whole(spark, sf):
 
 @query
 def q59_covariance_whole(spark, sf):
-    """A9 as q50, over all coordinates."""
+    """A9 over all coordinates."""
     return _round(clustering.covariance(sketches(spark, sf), "raw", DIM), "cov")
+
+
+from quillon.plans import method_queries, storage_queries  # noqa: E402,F401  (they register their queries)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +49,19 @@ class RunConfig:
         return json.dumps(asdict(self), sort_keys=True)
 
 
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: that of ``spark.checkpoint.dir``.
+
+    Where it is unset, it is the warehouse, and a temporary folder if Spark runs in this process alone.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and spark.sparkContext.master.startswith("local["):
+        found = tempfile.mkdtemp(prefix="quillon-")
+        spark.sparkContext.setCheckpointDir(found)
+    found = found or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{found.rstrip('/')}/quillon/{name}-{uuid.uuid4().hex}"
+
+
 def scan(spark: SparkSession, path: str, name: str | None = None, fmt: str = "parquet") -> DataFrame:
     """Parquet or JSON, with the engine's schema if *name* is one of its tables."""
     reader = spark.read.format(fmt)

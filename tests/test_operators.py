@@ -19,7 +19,7 @@ def points(spark, n=300, dim=8, k=3, noise=0.05, seed=0):
     return spark.createDataFrame(rows, "id long, v array<double>, truth int")
 
 
-def test_direction_names():
+def test_direction_names(spark):
     assert directions.resolve("max_weighted_norm1")["bases"] == ["single_weighted_norm1", "aggregated_weighted_norm1"]
     assert directions.resolve(directions.direction_name("maxclu", "mean", 8)) == {"family": "maxclu", "kind": "mean", "K": 8, "bases": ["single_unweighted"]}
     for bad in ("single", "maxclu_mean_K", "clusteronly_median_K3"):
@@ -118,7 +118,7 @@ def test_preferences(spark):
     assert last[0][0] == "" and last[1][1] is None
     ids = spark.createDataFrame([([1, 9, 8, 2, 9, 8, 3, 4],), ([1, 2],), ([9, 8],)], "ids array<int>")
     got = [r[0] for r in ids.select(preferences.split_ids("ids", [9, 8], 7)).collect()]
-    assert tuple(got[0]) == (6, [3]) and got[1:] == [None, None]
+    assert tuple(got[0]) == (6, [3]) and got[1] is None and tuple(got[2]) == (2, [])  # a header at the end, an empty completion
     padded = ids.select(preferences.pad_left("ids", F.lit(8)), preferences.label_mask("ids", F.lit(2))).collect()
     assert padded[1][0] == [0] * 6 + [1, 2] and padded[0][1] == [-100, -100, 8, 2, 9, 8, 3, 4]
 
@@ -175,3 +175,75 @@ def test_batches():
 
 def test_fixed_batches(spark):
     assert [r["batch"] for r in batching.fixed_batches(spark.range(10), "id").orderBy("id").collect()] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
+
+
+def test_blocks_shift_and_last(spark):
+    from quillon.operators import layout
+
+    df = spark.createDataFrame([(1, [1.0, 2.0], None), (2, None, [3.0, 4.0, 5.0])], "id long, a array<double>, b array<double>")
+    flat = layout.flatten_blocks(df, [("a", 2), ("b", 3)]).select("id", "flat")
+    assert [r["flat"] for r in flat.orderBy("id").collect()] == [[1.0, 2.0, 0.0, 0.0, 0.0], [0.0, 0.0, 3.0, 4.0, 5.0]]
+    assert [tuple(r)[2:] for r in layout.unflatten(flat, "flat", [("x", 4), ("y", 1)]).orderBy("id").collect()] == [([1.0, 2.0, 0.0, 0.0], [0.0]), ([0.0, 0.0, 3.0, 4.0], [5.0])]
+    with pytest.raises(Exception, match="not 4 long"):
+        layout.unflatten(flat, "flat", [("x", 4)]).collect()
+    m = spark.createDataFrame([([True, False, True, False],), ([False, False],), ([],)], "m array<boolean>")
+    assert [r[0] for r in m.select(preferences.last_true("m")).collect()] == [2, 1, -1]
+    assert [r[0] for r in m.select(preferences.shifted("m")).collect()] == [[False, True, False], [False], []]
+    with pytest.raises(Exception, match="uneven"):
+        preferences.zipped(spark.createDataFrame([([1], [1, 2])], "a array<int>, b array<int>"), "a", "b").collect()
+    sums = layout.prefix_sums(spark.range(0, 30000, 7).withColumn("x", F.col("id") % 5), "id", "x", "before")
+    want, total = {}, 0
+    for i in range(0, 30000, 7):
+        want[i] = total
+        total += i % 5
+    assert {r["id"]: r["before"] for r in sums.collect()} == want
+
+
+def test_control_weights_are_those_of_a_loop(spark):
+    import random
+
+    from quillon.functions.controls import control_weights
+
+    df = spark.createDataFrame([(0, 3), (5, 0), (7, 9)], "idx long, n int")
+    for r in control_weights(df, "idx", "n", 0.0, 2.0, 42).collect():
+        g = random.Random(42 * 1_000_003 + r["idx"])
+        assert r["weights"] == [g.uniform(0.0, 2.0) for _ in range({0: 3, 5: 0, 7: 9}[r["idx"]])]
+
+
+def test_sweep_runs_are_those_of_single_runs(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(150, 6)) + np.repeat(r.normal(size=(5, 6)) * 4, 30, axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    for row in clustering.k_sweep(p, "v", "id", 6, (3, 5), restarts=2).collect():
+        single = [clustering.spherical_kmeans(p, "v", "id", 6, row["K"], seed)[2] for seed in range(2)]
+        assert row["objective"] == pytest.approx(max(single)) and row["restart"] == int(np.argmax(single))
+    starts = clustering.plus_plus(p, "v", "id", 4, 1)
+    assert np.allclose(clustering._starts(p.select("id", "v"), [(4, 1)])[4, 1], starts)
+
+
+def test_direction_names_build_plans(spark):
+    tokens = spark.createDataFrame([(0, 0, [1.0, 0.0], 1.0), (0, 1, [0.0, 2.0], 2.0)], "idx long, t long, v array<double>, g double")
+    own = spark.createDataFrame([(0, [1.0, 1.0])], "idx long, unweighted array<double>")
+    mean = spark.createDataFrame([([0.0, 3.0],)], "unweighted array<double>")
+    clusters = {("mean", 1): spark.createDataFrame([(0, [2.0, 0.0])], "k int, center array<double>")}
+    got = lambda n: [tuple(r) for r in directions.direction_scores(n, tokens, own, mean, clusters, "idx", "v", "g").orderBy("t").select("dot", "cos").collect()]
+    assert got("single_unweighted") == [(1.0, pytest.approx(0.5**0.5)), (2.0, pytest.approx(0.5**0.5))]
+    assert got("max_unweighted") == [(1.0, pytest.approx(0.5**0.5)), (6.0, 1.0)]
+    assert got("clusteronly_mean_K1") == [(1.0, 1.0), (0.0, 0.0)]
+    assert got("maxclu_mean_K1") == [(1.0, 1.0), (2.0, pytest.approx(0.5**0.5))]
+    with pytest.raises(ValueError, match="no centroids"):
+        got("clusteronly_mean_K2")
+    with pytest.raises(ValueError, match="unknown direction"):
+        got("min_unweighted")
+
+
+def test_fingerprint_policies(spark, tmp_path):
+    now = spark.createDataFrame([("a", 2, 1.0, 2.0), ("b", 1, 3.0, 9.0)], "name string, numel long, sum double, sumsq double")
+    assert identity.establish(now, str(tmp_path / "f"), "name").count() == 0
+    moved = now.withColumn("sum", F.col("sum") * 2)
+    with pytest.raises(ValueError, match="fingerprints differ"):
+        identity.establish(moved, str(tmp_path / "f"), "name")
+    assert identity.establish(moved, str(tmp_path / "f"), "name", "advisory").count() == 2
+    with pytest.raises(ValueError, match="names differ"):
+        identity.pinned(now, now.where("name = 'a'"), "name")

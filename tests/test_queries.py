@@ -26,7 +26,7 @@ def test_same_rows(spark, con, name):
 
 def test_every_oracle_has_a_query():
     assert set(oracles.ORACLES) <= set(queries.QUERIES)
-    assert set(queries.QUERIES) - set(oracles.ORACLES) == {"q39_spherical_kmeans", "q40_k_sweep", "q44_batch_pack"}
+    assert set(queries.QUERIES) - set(oracles.ORACLES) == {"q39_spherical_kmeans", "q40_k_sweep", "q107_control_weights"}
 
 
 def test_batches_against_a_loop(spark):

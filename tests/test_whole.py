@@ -22,8 +22,9 @@ def test_token_split_reads_whole_texts(spark, tmp_path):
     for k, (_, text) in enumerate(texts):
         ids = [7 if w == "the" else len(w) + 100 for w in re.split("[ \n]+", text)]
         start = max((i + 1 for i, x in enumerate(ids) if x == 7), default=None)
-        rest = ids[start:2048] if start else []
-        assert got[k] == ((len(ids), start, len(rest), sum(rest) - 100 * start) if rest else (len(ids), None, None, None))
+        fits = start is not None and (len(ids) <= 2048 or start < 2048)  # a header at the end leaves an empty completion
+        rest = ids[start:2048] if fits else []
+        assert got[k] == ((len(ids), start, len(rest), sum(rest) - 100 * start) if fits else (len(ids), None, None, None))
 
 
 def test_covariance_of_all_coordinates(spark, tmp_path):
