@@ -73,13 +73,43 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, words: int = 5) -> tupl
 
 def distinct(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(value, group) without repeats, sorted by group, then value."""
+    values, group, _ = counted(values, group)
+    return values, group
+
+
+def counted(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, group, count) without repeats, sorted by group, then value."""
     order = np.argsort(values)
     small = group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group  # sorted by counting
     order = order[np.argsort(small[order], kind="stable")]
     values, group = values[order], group[order]
     keep = np.ones(len(values), bool)
     keep[1:] = (values[1:] != values[:-1]) | (group[1:] != group[:-1])
-    return values[keep], group[keep]
+    at = np.flatnonzero(keep)
+    return values[at], group[at], np.diff(np.append(at, len(values)))
+
+
+class Lookup:
+    """Places of 64-bit hashes in a sorted table, by their leading bits: a few steps in place of a binary search."""
+
+    def __init__(self, table: np.ndarray, bits: int = 20):
+        self.table, self.shift = table, np.uint64(64 - bits)
+        self.start = np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.end = np.append(self.start[1:], np.int32(len(table)))
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        """The place of each value, -1 where the table lacks it."""
+        out = np.full(len(values), -1, np.int64)
+        cell = (values >> self.shift).astype(np.int64)
+        at, end, live = self.start[cell], self.end[cell], np.arange(len(values))
+        while True:
+            more = at < end
+            at, end, live = at[more], end[more], live[more]
+            if not len(live):
+                return out
+            hit = self.table[at] == values[live]
+            out[live[hit]] = at[hit]
+            at, end, live = at[~hit] + np.int32(1), end[~hit], live[~hit]
 
 
 def complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

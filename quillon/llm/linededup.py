@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import SPACE, map_arrow, release, staged
 from quillon.llm.components import components
-from quillon.llm.hashing import complete_groups, distinct, mix, word_hashes
+from quillon.llm.hashing import Lookup, complete_groups, distinct, mix, word_hashes
 from quillon.llm.minhash import _least, _moved, met_in_groups, similar_pairs, similar_sets
 from quillon.llm.tokens import joined, slices
 
@@ -133,10 +133,12 @@ def _postings(threshold: float, frequent: np.ndarray, counts: np.ndarray, bucket
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(1, len(order) + 1)
     by_word = np.argsort(frequent)
-    table, table_rank, table_count = frequent[by_word], rank[by_word], counts[by_word]
+    # Place -1, for words that the table lacks, is the last: rank and count 0.
+    table, table_rank, table_count = frequent[by_word], np.append(rank[by_word], 0), np.append(counts[by_word], 0)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        places = Lookup(table)
         for batch in batches:
             texts = batch.column("text")
             for a, b in slices(texts, SLICE):
@@ -153,10 +155,8 @@ def _postings(threshold: float, frequent: np.ndarray, counts: np.ndarray, bucket
                 word, line = lines.words[keep], lines.line[keep]
                 if not len(word):
                     continue
-                at = np.minimum(np.searchsorted(table, word), max(0, len(table) - 1))
-                known = table[at] == word if len(table) else np.zeros(len(word), bool)
-                r = np.where(known, table_rank[at], 0) if len(table) else np.zeros(len(word), np.int64)
-                c = np.where(known, table_count[at], 0) if len(table) else np.zeros(len(word), np.int64)
+                at = places(word)
+                r, c = table_rank[at], table_count[at]
                 starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
                 # By line, then rank; words of a line come sorted, and those of one rank stay so.
                 own = np.cumsum(np.concatenate([[0], line[1:] != line[:-1]]))

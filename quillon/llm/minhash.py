@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import map_arrow, staged
 from quillon.llm.components import components
-from quillon.llm.hashing import complete_groups, distinct, mix, shingle_hashes
+from quillon.llm.hashing import complete_groups, counted, mix, shingle_hashes
 from quillon.llm.tokens import SLICE_BYTES, joined, slices
 
 WORDS = 5
@@ -44,6 +44,8 @@ SEED = np.uint64(0x5EED_DA27)
 STRIDE = 0x5851F42D4C957F2D
 BLOCK = 512
 SMALL = 6
+#: Arrivals of darts that are looked at together.
+TOGETHER = 4096
 
 _EMPTY = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
 
@@ -67,16 +69,23 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, sets: np.ndarray,
             rank = np.zeros(len(at))
             n = 0
             while len(at):
-                h = mix(seeds[at] + np.uint64(((band << 32) + n + 1) * STRIDE & (1 << 64) - 1))
-                rank = rank - np.log1p((h >> np.uint64(11)) * -(2.0**-53)) / width
-                near = rank <= far[sets[at]]
-                at, rank, h = at[near], rank[near], h[near]
-                n += 1
-                dart = mix(h + np.uint64(1))
-                below = low + width * (mix(dart) >> np.uint64(11)) * 2.0**-53 < weights[at]
-                place = sets[at[below]] * k + ((dart[below] >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
-                packed = rank[below].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | dart[below] & np.uint64(0xFFFFFFFF)
+                some = max(1, TOGETHER // len(at))  # arrivals of an element at a time; few elements have many left
+                steps = np.array([((band << 32) + n + i + 1) * STRIDE & (1 << 64) - 1 for i in range(some)], np.uint64)
+                h = mix(seeds[at][:, None] + steps)
+                ranks = np.log1p((h >> np.uint64(11)) * -(2.0**-53)) / -width
+                ranks[:, 0] += rank
+                if some > 1:
+                    np.cumsum(ranks, axis=1, out=ranks)
+                near = ranks <= far[sets[at]][:, None]
+                own, _ = np.nonzero(near)
+                dart = mix(h[near] + np.uint64(1))
+                below = low + width * (mix(dart) >> np.uint64(11)) * 2.0**-53 < weights[at[own]]
+                dart = dart[below]
+                place = sets[at[own[below]]] * k + ((dart >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
+                packed = ranks[near][below].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | dart & np.uint64(0xFFFFFFFF)
                 np.minimum.at(flat, place, packed)
+                n += some
+                at, rank = at[near[:, -1]], ranks[near[:, -1], -1]
         short = (out == _EMPTY).any(1) & (total > 0)
         far[short] *= 2
         todo = todo[short[sets[todo]]]
@@ -91,14 +100,8 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def _elements(texts: pa.Array, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shingle, weight, text): the distinct shingles of each text, sorted, weighing how often they come, or 1."""
-    h, own = shingle_hashes(*joined(texts), WORDS)
-    if not weighted:
-        h, own = distinct(h, own)
-        return h, np.ones(len(h), np.int64), own
-    order = np.lexsort((h, own))
-    h, own = h[order], own[order]
-    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])])) if len(h) else np.zeros(0, np.int64)
-    return h[first], np.diff(np.append(first, len(h))), own[first]
+    h, own, times = counted(*shingle_hashes(*joined(texts), WORDS))
+    return h, times if weighted else np.ones(len(h), np.int64), own
 
 
 def _signed(weighted: bool):
@@ -254,6 +257,10 @@ def met_in_groups(df: DataFrame, key: str, size: str, order: list[str], payload:
     spark, columns = df.sparkSession, df.columns
     small = df.where(F.col(size) <= BLOCK).withColumns({"pair": F.lit(0).cast("long"), "side": F.lit(0)})
     large = df.where(F.col(size) > BLOCK)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if large.isEmpty():
+        none = spark.createDataFrame([], f"{key} long, node long, first long")
+        return none, small.select(*columns, "pair", "side").repartition(n, key, "pair").sortWithinPartitions(key, "pair")
     first = large.groupBy(key).agg(F.min(F.struct(*order, "node", payload)).alias("_first"))
     first = first.select(key, F.col("_first.node").alias("first"), F.col(f"_first.{payload}").alias("_payload"))
 
@@ -273,7 +280,6 @@ def met_in_groups(df: DataFrame, key: str, size: str, order: list[str], payload:
     left = rows.join(others, [key, "node"]).withColumns({"_i": block(mine, 7), "_n": theirs, "side": F.lit(1)}).withColumn("_j", every(theirs))
     right = rows.withColumns({"_j": block(theirs, 11), "_n": theirs, "side": F.lit(2)}).withColumn("_i", every(mine))
     meet = left.unionByName(right, allowMissingColumns=True).withColumn("pair", F.col("_i") * F.col("_n") + F.col("_j"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = small.select(*columns, "pair", "side").unionByName(meet.select(*columns, "pair", "side"))
     return against.where("like").select(key, "node", "first"), dealt.repartition(n, key, "pair").sortWithinPartitions(key, "pair")
 
