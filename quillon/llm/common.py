@@ -19,14 +19,15 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, the warehouse.
+
+    Only where Spark runs in this process alone, as in tests, a temporary folder takes its place.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and spark.sparkContext.master.startswith("local["):
         found = tempfile.mkdtemp(prefix="quillon-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
-    return found
+    return found or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def stage_path(spark: SparkSession, name: str) -> str:

@@ -1,7 +1,7 @@
 """Quality classifier with hierarchical empirical Bayes.
 
-Document evidence is a logistic regression on shares of byte-class pairs and word statistics, fitted on at most
-``FIT_ROWS`` labelled documents (those with the smallest seeded hash).  Sites form a hierarchy: all documents, host
+Document evidence is a logistic regression on shares of byte-class pairs, word statistics and signed hashes of the
+words and word pairs, fitted on at most ``FIT_ROWS`` labelled documents (those with the smallest seeded hash).  Sites form a hierarchy: all documents, host
 (``source``), path below the host (``lang``).  Grouped aggregation sums the evidence of every document of a host and of
 a path.  Host rates have a beta prior around the global rate and path rates one around their host's posterior, each
 with a strength estimated by moments from the spread of the level's rates, so that sparse sites shrink towards what
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import map_arrow, null_safe_join, staged
+from quillon.llm.hashing import mix, word_hashes
 from quillon.llm.tokens import joined, slices
 
 #: Labelled documents the classifier is fitted on, at most.
@@ -33,7 +34,7 @@ FIT_ROWS = 20_000
 SEED = 1729
 #: A document is kept from this posterior on.
 KEEP_FROM = 0.5
-#: Up to so many paths the table of site posteriors is sent to all tasks; beyond, it is joined by shuffling.
+#: Up to so many paths the table of site posteriors is sent to all tasks; beyond, it is joined by shuffling, with the same rows.
 BROADCAST_SITES = 50_000
 STRENGTHS = (1.0, 1000.0)
 
@@ -44,14 +45,33 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 1, 2, 3
 for _marks, _kind in ((b".,;:'\"-()", 4), (b"!?", 5), (b"#$%&*@^~", 6), (b"|<>{}[]/\\=+_`", 7)):
     _CLASS[list(_marks)] = _kind
 _CLASS[10] = 8
-N_FEATURES = _CLASSES * _CLASSES + 7
+#: Cells that words and word pairs are hashed to, and their ridge a row, which lets them speak only where labels are many.
+GRAMS, GRAM_RIDGE = 256, 0.3
+N_SHAPES = _CLASSES * _CLASSES + 7
+N_FEATURES = N_SHAPES + GRAMS
 
 
 def features(texts: pa.Array) -> np.ndarray:
-    """A row per text: shares of byte-class pairs, and statistics of words and lines."""
+    """A row per text: shares of byte-class pairs, statistics of words and lines, and hashed words and word pairs."""
     raw, offsets = joined(texts)
+    return np.hstack([_shapes(raw, offsets), _grams(raw, offsets)])
+
+
+def _grams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Signed counts of words and word pairs in GRAMS cells, over the root of the number of words."""
     n = len(offsets) - 1
-    out = np.zeros((n, N_FEATURES))
+    word, _, _, text = word_hashes(raw, offsets)
+    both = text[1:] == text[:-1]
+    h = mix(np.concatenate([word, (word[:-1] * np.uint64(3) + word[1:])[both]]))
+    text = np.concatenate([text, text[1:][both]])
+    sign = (h >> np.uint64(63)).astype(float) * 2 - 1
+    counts = np.bincount(text * GRAMS + (h % np.uint64(GRAMS)).astype(np.int64), sign, n * GRAMS).reshape(n, GRAMS)
+    return counts / np.sqrt(np.maximum(1, np.bincount(text, minlength=n)))[:, None]
+
+
+def _shapes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    n = len(offsets) - 1
+    out = np.zeros((n, N_SHAPES))
     out[:, -1] = np.log1p(1)  # a text without line ends is one line
     size = np.diff(offsets).astype(float)
     if len(raw):
@@ -99,7 +119,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 25) -> C
     if not 0 < good < 1:
         return Classifier(mean, scale, np.zeros(N_FEATURES), 0.0, 0.0)
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    w, penalty = np.zeros(z.shape[1]), np.append(np.full(N_FEATURES, ridge * len(x) + 1e-2), 1e-3)
+    w, penalty = np.zeros(z.shape[1]), np.concatenate([np.full(N_SHAPES, ridge * len(x) + 1e-2), np.full(GRAMS, GRAM_RIDGE * len(x)), [1e-3]])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         grad = z.T @ (p - y) + penalty * w
@@ -172,17 +192,24 @@ def site_posteriors(evidence: DataFrame, rate: float) -> DataFrame:
     return sites.select("host", "path", F.col("n").cast("long").alias("documents"), "host_rate", ((F.col("good") + b * F.col("host_rate")) / (F.col("n") + b)).alias("path_rate"))
 
 
-def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep_from: float = KEEP_FROM) -> DataFrame:
-    """*docs*, all columns, with evidence, host_rate, path_rate, quality and kept, each named ``_quillon_...``."""
+def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep_from: float = KEEP_FROM, without_text: bool = False) -> DataFrame:
+    """*docs*, all columns, with evidence, host_rate, path_rate, quality and kept, each named ``_quillon_...``.
+
+    The evidence of each document is found once and written beside its columns, all of them or all but the text.
+    """
     model = train(docs, labels)
     rate = labels.where(F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
     rate = float(np.clip(0.5 if rate is None else rate, 1e-3, 1 - 1e-3))
-    light = docs.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    seen = with_evidence(light, model).drop("text")
-    sites = staged(site_posteriors(seen, rate).select(F.col("host").alias("_quillon_host"), F.col("path").alias("_quillon_path"), F.col("host_rate").alias("_quillon_host_rate"), F.col("path_rate").alias("_quillon_path_rate")), "sites")
+    keys = ["_quillon_host", "_quillon_path"]
+    named = docs.withColumns({"_quillon_text": F.col("text").cast("string"), keys[0]: F.col(host).cast("string"), keys[1]: F.col(path).cast("string")})
+    if without_text:
+        named = named.drop("text")
+    seen = staged(with_evidence(named, model, "_quillon_text", "_quillon_evidence").drop("_quillon_text"), "evidence")
+    evidence = seen.select(*[F.col(k).alias(c) for k, c in zip((*keys, "_quillon_evidence"), ("host", "path", "evidence"))])
+    sites = site_posteriors(evidence, rate).select(F.col("host").alias(keys[0]), F.col("path").alias(keys[1]), F.col("host_rate").alias("_quillon_host_rate"), F.col("path_rate").alias("_quillon_path_rate"))
+    sites = staged(sites, "sites")
     few = sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
-    judged = with_evidence(docs.withColumns({"_quillon_text": F.col("text").cast("string"), "_quillon_host": F.col(host).cast("string"), "_quillon_path": F.col(path).cast("string")}), model, "_quillon_text", "_quillon_evidence").drop("_quillon_text")
-    judged = null_safe_join(judged, F.broadcast(sites) if few else sites, ["_quillon_host", "_quillon_path"]).drop("_quillon_host", "_quillon_path")
+    judged = null_safe_join(seen, F.broadcast(sites) if few else sites, keys).drop(*keys)
     odds = F.col("_quillon_evidence") + F.log(F.col("_quillon_path_rate") / (1 - F.col("_quillon_path_rate")))
     return judged.withColumn("_quillon_quality", 1 / (1 + F.exp(-odds))).withColumn("_quillon_kept", F.col("_quillon_quality") >= keep_from)
 
@@ -190,7 +217,7 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """A row per document: doc_id, evidence, host_rate, path_rate, quality, kept."""
     slim = docs.select("doc_id", "text", "source", "lang")
-    return score(slim, labels, **options).select(
+    return score(slim, labels, without_text=True, **options).select(
         "doc_id", F.col("_quillon_evidence").alias("evidence"), F.col("_quillon_host_rate").alias("host_rate"), F.col("_quillon_path_rate").alias("path_rate"), F.col("_quillon_quality").alias("quality"), F.col("_quillon_kept").alias("kept")
     )
 

@@ -52,6 +52,37 @@ def test_site_posteriors_against_a_loop(spark):
         assert row["documents"] == n
 
 
+def test_whole_result_against_a_plain_version(spark):
+    """Evidence, site rates, posterior and decision of every document, from the fitted model and loops."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model, data = quality.train(docs, labels), docs.orderBy("doc_id").collect()
+    known = [r["quality"] for r in labels.collect() if r["quality"] in (0, 1)]
+    rate = sum(known) / len(known)
+    evidence = {r["doc_id"]: float(model.evidence(quality.features(pa.array([r["text"]])))[0]) for r in data}
+    sites = quality.site_posteriors(spark.createDataFrame([(r["source"], r["lang"], evidence[r["doc_id"]]) for r in data], "host string, path string, evidence double"), rate).collect()
+    rates = {(s["host"], s["path"]): (s["host_rate"], s["path_rate"]) for s in sites}
+    got = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
+    assert set(got) == set(evidence)
+    for r in data:
+        host, path = rates[r["source"], r["lang"]]
+        p = 1 / (1 + math.exp(-(evidence[r["doc_id"]] + math.log(path / (1 - path)))))
+        g = got[r["doc_id"]]
+        assert (g["evidence"], g["host_rate"], g["path_rate"], g["quality"]) == pytest.approx((evidence[r["doc_id"]], host, path, p))
+        assert g["kept"] == (p >= 0.5)
+    kept = quality.keep_good(docs, labels)
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(tuple(r) for r in data if got[r["doc_id"]]["kept"])
+
+
+def test_words_speak_where_labels_are_many():
+    r = np.random.default_rng(4)
+    words = [f"w{k:03d}" for k in range(60)]
+    texts = [" ".join(r.choice(words[:40] if k % 2 else words[20:], 30)) for k in range(1200)]
+    x, y = quality.features(pa.array(texts)), np.arange(1200) % 2.0
+    model = quality.fit(x[:800], y[:800])
+    assert np.mean((model.evidence(x[800:]) + model.base > 0) == (y[800:] > 0)) > 0.9
+
+
 def test_odd_tables(spark):
     labels = spark.createDataFrame([(k, k % 2, 0, "x") for k in range(30)] + [(None, 1, 0, ""), (3, None, 0, ""), (999, 1, 0, "")], LABELS)
     got = quality.judge(table(spark), labels).collect()
