@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import staged
+from quillon.llm.common import discard, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,9 +23,10 @@ def components(links: DataFrame) -> DataFrame:
     labels = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "pointers")
-        further = up.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        up = staged(up.join(further, "p").select("a", F.col("pp").alias("p")), "pointers")
+        near = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "pointers")
+        further = near.select(F.col("a").alias("p"), F.col("p").alias("pp"))
+        up = staged(near.join(further, "p").select("a", F.col("pp").alias("p")), "pointers")
+        discard(near)
         if labels is None:
             labels = up.select(F.col("a").alias("node"), F.col("p").alias("component"))
         else:
@@ -33,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
             labels = staged(now.select("node", F.coalesce("p", "component").alias("component")), "labels")
         ends = edges.join(up.withColumnRenamed("p", "pa"), "a").join(up.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b")
         ends = ends.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-        edges = staged(ends.distinct(), "links")
+        old, edges = edges, staged(ends.distinct(), "links")
+        discard(old)
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, map_arrow, release, staged
+from quillon.llm.common import SPACE, discard, map_arrow, release, staged
 from quillon.llm.components import components
 from quillon.llm.hashing import Lookup, complete_groups, distinct, mix, word_hashes
 from quillon.llm.minhash import _least, _moved, met_in_groups, similar_pairs, similar_sets
@@ -342,9 +342,11 @@ def _found(df: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     members = members.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("node", "family", "n", "line")).alias("members"))
     texts = keyed.select(_own_id().alias("doc_id"), "digest", "text").join(members.hint("merge"), ["doc_id", "digest"])
     sets = texts.transform(map_arrow, _member_sets, "node long, family long, n long, doc_id long, digest long, line int, words binary")
-    star, dealt = met_in_groups(staged(sets, "line-sets"), "family", "n", ["doc_id", "digest", "line"], "words", similar_sets(threshold))
+    sets = staged(sets, "line-sets")
+    star, dealt = met_in_groups(sets, "family", "n", ["doc_id", "digest", "line"], "words", similar_sets(threshold))
     later = dealt.transform(map_arrow, _verify(threshold), "node long").unionByName(star.select("node")).distinct()
     later = staged(later, "later-nodes").withColumn("later", F.lit(True))
+    discard(sets)
     known = firsts.join(later, "node", "left").select("node", "first", F.coalesce("later", F.lit(False)).alias("later"))
     gone = lines.join(known, "node").where(F.col("later") | (F.struct("doc_id", "digest", "line") != F.col("first")))
     return surveyed.where("nodes is not null"), gone.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("line")).alias("removed"))

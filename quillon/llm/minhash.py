@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import map_arrow, staged
+from quillon.llm.common import discard, map_arrow, staged
 from quillon.llm.components import components
 from quillon.llm.hashing import complete_groups, counted, mix, shingle_hashes
 from quillon.llm.tokens import SLICE_BYTES, joined, slices
@@ -324,10 +324,12 @@ def _found(df: DataFrame, threshold: float, weighted: bool) -> tuple[DataFrame,
     firsts = reps.select("digest", "node", "first")
     banded = reps.select("node", "bands").transform(map_arrow, _bands, "key long, node long")
     buckets = staged(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    met = staged(banded.join(buckets, "key"), "bucket-mates").join(reps.select("node", "sketch"), "node")
+    mates = staged(banded.join(buckets, "key"), "bucket-mates")
+    met = mates.join(reps.select("node", "sketch"), "node")
     star, dealt = met_in_groups(met, "key", "n", [], "sketch", _agreeing(MARGIN))
     agreed = dealt.transform(map_arrow, _by_sketch(MARGIN), "a long, b long").unionByName(star.select(F.col("node").alias("a"), F.col("first").alias("b")))
     families = staged(components(agreed).withColumnRenamed("component", "family"), "families")
+    discard(mates, buckets)
     families = families.join(families.groupBy("family").agg(F.count(F.lit(1)).alias("n")), "family")
     keys = ["doc_id", "text_hash"]
     wanted = families.join(firsts.select("node", "first.doc_id", "first.text_hash"), "node")
@@ -337,6 +339,7 @@ def _found(df: DataFrame, threshold: float, weighted: bool) -> tuple[DataFrame,
     star, dealt = met_in_groups(sets, "family", "n", [], "shingles", similar_sets(threshold))
     links = dealt.transform(map_arrow, _exactly(threshold), "a long, b long").unionByName(star.select(F.col("node").alias("a"), F.col("first").alias("b")))
     found = staged(components(links), "components")
+    discard(sets)
     leads = found.join(firsts, "node").groupBy("component").agg(F.min("first").alias("lead"))
     leads = found.join(leads, "component").select("node", "lead")
     return signed.select(*keys, "digest"), firsts.join(leads, "node", "left").select("digest", F.coalesce("lead", "first").alias("first"))

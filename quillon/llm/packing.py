@@ -30,7 +30,7 @@ from quillon.llm.tokens import default_vocabulary, documents_ids
 CAPACITY = 2048
 END_ID = 0
 #: Salts that pieces draw from; a slice is a range of them that holds about so many pieces, were they all of one length.
-SALTS, SLICE_PIECES = 1 << 20, 5000
+SALTS, SLICE_PIECES = 1 << 20, 2000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
@@ -115,7 +115,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = slices.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("rank", F.row_number().over(within) - 1).join(bases, ["length", "salt"])
+    ranked = pieces.withColumn("rank", F.row_number().over(within) - 1).join(bases.hint("merge"), ["length", "salt"])
     rank = F.col("base") + F.col("rank")
     # There are at most a few slots to a length and capacity lengths, whatever the input.
     taken = ranked.withColumn("rank", rank).join(F.broadcast(slots), "length").where("rank >= r0 and rank < r1")

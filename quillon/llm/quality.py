@@ -46,7 +46,7 @@ for _marks, _kind in ((b".,;:'\"-()", 4), (b"!?", 5), (b"#$%&*@^~", 6), (b"|<>{}
     _CLASS[list(_marks)] = _kind
 _CLASS[10] = 8
 #: Cells that words and word pairs are hashed to, and their ridge a row, which lets them speak only where labels are many.
-GRAMS, GRAM_RIDGE = 256, 0.3
+GRAMS, GRAM_RIDGE = 64, 0.3
 N_SHAPES = _CLASSES * _CLASSES + 7
 N_FEATURES = N_SHAPES + GRAMS
 
@@ -119,11 +119,15 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 25) -> C
     if not 0 < good < 1:
         return Classifier(mean, scale, np.zeros(N_FEATURES), 0.0, 0.0)
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    w, penalty = np.zeros(z.shape[1]), np.concatenate([np.full(N_SHAPES, ridge * len(x) + 1e-2), np.full(GRAMS, GRAM_RIDGE * len(x)), [1e-3]])
+    w, penalty = np.zeros(z.shape[1]), np.concatenate([np.full(N_SHAPES, ridge * len(x) + 1e-2), np.full(GRAMS, GRAM_RIDGE * len(x) + 1e-2), [1e-3]])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         grad = z.T @ (p - y) + penalty * w
-        move = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty), grad)
+        curve, h = np.diag(penalty), p * (1 - p) + 1e-6
+        for at in range(0, len(z), 2000):  # the driver holds one copy of the rows, not two
+            part = z[at : at + 2000]
+            curve += (part * h[at : at + 2000, None]).T @ part
+        move = np.linalg.solve(curve, grad)
         w -= move
         if np.abs(move).max() < 1e-6:
             break
@@ -195,7 +199,8 @@ def site_posteriors(evidence: DataFrame, rate: float) -> DataFrame:
 def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep_from: float = KEEP_FROM, without_text: bool = False) -> DataFrame:
     """*docs*, all columns, with evidence, host_rate, path_rate, quality and kept, each named ``_quillon_...``.
 
-    The evidence of each document is found once and written beside its columns, all of them or all but the text.
+    Without the text, the evidence of each document is found once and written beside its columns; with it, whole texts
+    are not written again for that: evidence is found for the sites and once more for the documents.
     """
     model = train(docs, labels)
     rate = labels.where(F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
@@ -204,8 +209,11 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     named = docs.withColumns({"_quillon_text": F.col("text").cast("string"), keys[0]: F.col(host).cast("string"), keys[1]: F.col(path).cast("string")})
     if without_text:
         named = named.drop("text")
-    seen = staged(with_evidence(named, model, "_quillon_text", "_quillon_evidence").drop("_quillon_text"), "evidence")
-    evidence = seen.select(*[F.col(k).alias(c) for k, c in zip((*keys, "_quillon_evidence"), ("host", "path", "evidence"))])
+    seen = with_evidence(named, model, "_quillon_text", "_quillon_evidence").drop("_quillon_text")
+    if without_text:
+        seen = staged(seen, "evidence")
+    light = seen if without_text else with_evidence(named.select(*keys, "_quillon_text"), model, "_quillon_text", "_quillon_evidence")
+    evidence = light.select(*[F.col(k).alias(c) for k, c in zip((*keys, "_quillon_evidence"), ("host", "path", "evidence"))])
     sites = site_posteriors(evidence, rate).select(F.col("host").alias(keys[0]), F.col("path").alias(keys[1]), F.col("host_rate").alias("_quillon_host_rate"), F.col("path_rate").alias("_quillon_path_rate"))
     sites = staged(sites, "sites")
     few = sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
