@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import losses, weights
@@ -14,7 +14,7 @@ from quillon.operators import batching, clustering, directions, identity, inspec
 from quillon.operators.layout import spread
 from quillon.plans.registry import QUERIES, query, round_columns, union
 from quillon.plans.surrogates import (
-    DIM, aggregated, centroids, chat_pairs, conversations, document_pairs, logits, mean_direction, own_directions, single, sketches, table, token_logps,
+    DIM, centroids, chat_pairs, conversations, document_pairs, logits, mean_direction, own_directions, single, sketches, table, token_logps,
 )
 from quillon.streaming.incremental import pending, windowed_counts
 
@@ -64,11 +64,16 @@ def q05_dot_scale_modes(spark, sf):
     return _round(c.select("k", F.explode(modes).alias("m")).select("k", "m.mode", "m.factor"), "factor")
 
 
+def _named(s, name):
+    """Scores of a direction by its name: each token's own and mean directions are columns beside it, in one pass."""
+    own, mean = (d.withColumnRenamed("center", "unweighted") for d in (own_directions(s), mean_direction(s)))
+    return directions.direction_scores(name, s.withColumn("g_norm", norm("raw")), own, mean, {("mean", 10): centroids(s)}, "idx", "raw", "g_norm")
+
+
 @query
 def q06_max_direction(spark, sf):
     s = sketches(spark, sf)
-    both = directions.larger_scores(single(s), aggregated(s), "idx", "t")
-    return _round(both.select("idx", "t", "dot", "cos"), "dot", "cos")
+    return _round(_named(s, "max_unweighted").select("idx", "t", "dot", "cos"), "dot", "cos")
 
 
 def _clusters(s):
@@ -84,7 +89,7 @@ def q07_clusteronly(spark, sf):
 @query
 def q08_maxclu(spark, sf):
     s = sketches(spark, sf)
-    return _round(directions.larger_scores(_clusters(s), single(s), "idx", "t").select("idx", "t", "dot", "cos"), "dot", "cos")
+    return _round(_named(s, "maxclu_mean_K10").select("idx", "t", "dot", "cos"), "dot", "cos")
 
 
 @query
