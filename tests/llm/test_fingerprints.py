@@ -51,6 +51,19 @@ def test_against_brute_force(spark):
     assert [str(tuple(r)) for r in fingerprints.fingerprint_edits(one).collect()] == brute(rows()[:1])
 
 
+def test_hot_ids_are_cut_by_their_texts(spark):
+    """A third of the rows without an id, a third with one id, some of them copies of one text."""
+    data = [(None, f"a {k % 90} b\nc d {k % 7}") for k in range(400)] + [(5, f"e {k % 300} f") for k in range(400)]
+    data += [(k, f"g {k} h\n\ni") for k in range(400)] + [(None, None)] * 9 + [(5, "same")] * 5000 + [(399, "last")] * 2
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    starts, shares = fingerprints._shares(df.withColumn("_k", F.coalesce("doc_id", F.lit(-(1 << 63)))).fillna("", ["text"]))
+    hot = {k for k, m in zip(starts, shares) if m > 1}
+    assert {-(1 << 63), 5} <= hot
+    assert sorted(str(tuple(r)) for r in fingerprints.fingerprint_edits(df).collect()) == brute(data)
+    one = spark.createDataFrame([(None, f"t {k}") for k in range(500)], "doc_id long, text string")
+    assert sorted(str(tuple(r)) for r in fingerprints.fingerprint_edits(one).collect()) == brute([tuple(r) for r in one.collect()])
+
+
 def test_edits_are_located(spark):
     df = spark.createDataFrame([("a b c\n\nd e f\n\ng h i", "a b c\n\nd X f\n\ng h i")], "x string, y string")
     df = fingerprints.fingerprint(fingerprints.fingerprint(df, "x", "fx"), "y", "fy")
