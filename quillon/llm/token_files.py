@@ -13,7 +13,8 @@ The images are rows of Parquet files (part, block, first_doc, n_docs, n_ids, ima
 that any store Spark can write holds them.
 
 Defined results: a null text has no ids but the end id; null document ids come first; rows with equal ids follow each
-other by text; an empty table makes no image and gives an empty result; other columns are ignored.
+other by text, and are dealt out by its first
+characters where they are many; an empty table makes no image and gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from quillon.llm.common import map_arrow, stage_path, text_or_empty
 from quillon.llm.tokens import default_vocabulary, documents_ids
 
 END_ID = 2
+#: Characters of a text that decide about its range among rows of one id; in order, as the whole texts are.
+RANGE_CHARS = 64
 #: A file image is closed at the first document end after so many ids.
 BLOCK_IDS = 1 << 20
 RANK_STEP = 512
@@ -113,7 +116,7 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str | None = None, e
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    docs = docs.repartitionByRange(n, "doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block = TaskContext.get().partitionId(), 0

@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from quillon.llm import packing, token_files
 from quillon.llm.tokens import default_vocabulary
 from tests.llm.fixtures import empty, rows, table
@@ -47,6 +49,21 @@ def test_random_access_and_small_blocks(spark, tmp_path, whole):
     assert back == len(rows())
 
 
+def test_rows_without_an_id_are_dealt_out_by_text(spark, tmp_path, whole):
+    data = [(None, f"row {k} of many") for k in range(900)] + [(k, "x") for k in range(50)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    token_files.write_token_files(df, str(tmp_path / "ids"))
+    files = spark.read.parquet(str(tmp_path / "ids"))
+    assert files.where(F.col("first_doc") == token_files.NULL_ID).select("part").distinct().count() > 3
+    got = [tuple(r) for r in token_files.read_token_files(files).orderBy("start").collect()]
+    expected, start = [], 0
+    for doc_id, text in sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        ids = whole(text) + [2]
+        expected.append((doc_id, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert got == expected
+
+
 @pytest.mark.parametrize("ids", [[], [0], [255, 256, 65535, 65536, 2**32 - 1], list(range(0, 200_000, 37))])
 def test_codes_round_trip(ids):
     ids = np.array(ids, np.uint32)
