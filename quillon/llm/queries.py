@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import alignment, embeddings, fingerprints, linededup, merging, minhash, mixing, packing, quality, sharding, substrings, token_files
+from quillon.llm import alignment, embeddings, fingerprints, linededup, merging, minhash, mixing, packing, quality, sharding, substrings, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,12 @@ def op12_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.merge_coded(_table(spark, sf_dir, "documents"))
 
 
+def op13_toxic_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_token_files, op3_quality_sites, op4_minhash_classes, op5_line_dedup, op6_best_fit_packing, op7_pivot_embeddings, op8_merkle_fingerprints, op9_two_pass_shards, op10_curriculum_mix, op11_tokenizer_alignment, op12_branch_merge]
+    found = [op1_suffix_dedup, op2_token_files, op3_quality_sites, op4_minhash_classes, op5_line_dedup, op6_best_fit_packing, op7_pivot_embeddings, op8_merkle_fingerprints, op9_two_pass_shards, op10_curriculum_mix, op11_tokenizer_alignment, op12_branch_merge, op13_toxic_restored]
     return {f.__name__: f for f in found}
 
 
