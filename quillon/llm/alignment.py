@@ -33,13 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import map_arrow, staged
+from quillon.llm.common import map_arrow, staged, tidy
 from quillon.llm.tokens import joined, slices
 
 #: Text of a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: What DuckDB may hold in a worker, and pieces whose alignment a worker keeps, unless one chunk has more.
-DUCKDB_MEMORY, CACHE = "400MB", 400_000
+DUCKDB_MEMORY, CACHE = "256MB", 250_000
+#: Pieces that are encoded and joined at once.
+STEP = 16_384
 
 # The byte-level alphabet's printable bytes, and the mark that sentencepiece has for a space.
 _PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
@@ -215,8 +217,9 @@ class Aligner:
         if len(self.known) + int(new.sum()) > CACHE and self.known:
             self._forget()
             new[:] = True
-        if new.any():
-            self._learn(distinct.filter(pa.array(new)))
+        unknown = distinct.filter(pa.array(new))
+        for at in range(0, len(unknown), STEP):
+            self._learn(unknown.slice(at, STEP))
         return np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
 
     def _learn(self, distinct: pa.Array) -> None:
@@ -298,6 +301,7 @@ def chunks(docs: DataFrame, vocabularies: tuple[str, str] | None = None, chunk_b
                 columns = [pa.array([(task << 32) + k]), one(documents), one(pa.array(pairs)), one(pa.array(holders.astype(np.int64))), pa.array([held], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["chunk", "documents", "pairs", "n_docs", "held"])
                 k += 1
+                tidy()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.transform(map_arrow, rows, CHUNK_SCHEMA)
