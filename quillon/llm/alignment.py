@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import string
 import tempfile
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ from quillon.llm.tokens import joined, slices
 #: Text of a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
 #: What DuckDB may hold in a worker, and pieces whose alignment a worker keeps, unless one chunk has more.
-DUCKDB_MEMORY, CACHE = "256MB", 250_000
+DUCKDB_MEMORY, CACHE = "256MB", 450_000
 #: Pieces that are encoded and joined at once.
 STEP = 16_384
 
@@ -51,6 +52,9 @@ _SPACE_MARK = "▁"
 _SOLID = np.zeros(256, bool)
 _SOLID[33:127] = _SOLID[0xC3:0xE0] = _SOLID[0xE4:0xF5] = True
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
 _DOCUMENT = "struct<doc_id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string>"
 CHUNK_SCHEMA = f"chunk long, documents array<{_DOCUMENT}>, pairs array<bigint>, n_docs array<bigint>, held binary"
 RESULT_SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -115,18 +119,26 @@ class Pieces:
         # A piece must never reach over a space into the next word, nor a text be changed beyond the space before it.
         inside = any(_SPACE_MARK in name.lstrip(_SPACE_MARK) for name in names)
         probe = " a  b\n  ﬁ"
+        # No piece has one of these marks behind a letter, so none reaches from a word into the marks after it.
+        self.marks = set(string.punctuation) - {n[k + 1] for n in names for k in range(len(n) - 1) if n[k].isascii() and n[k].isalpha()}
+        self.line_end = self.model.encode("\n")
+        if len(self.line_end) != 2 or not self.model.is_byte(self.line_end[1]):
+            self.marks = set()
         self.by_pieces = not inside and "".join(self.model.encode("a  b ", out_type=str)) == _SPACE_MARK.join(["", "a", "", "b", ""])
         self.bytes = Bytes([bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) else n.replace(_SPACE_MARK, " ").encode() for i, n in enumerate(names)])
         self.names = _decimals(len(names))
 
     def encode(self, pieces: list[str]) -> list:
-        return self.model.encode([p[1:] for p in pieces], num_threads=1)
+        # The space before a text is its own; a piece without one is put behind a line end, which joins nothing.
+        found = self.model.encode([p[1:] if p.startswith(" ") else "\n" + p for p in pieces], num_threads=1)
+        return [ids if p.startswith(" ") else ids[2:] for p, ids in zip(pieces, found)]
 
 
-def _cut(texts: pa.Array, by_pieces: bool) -> tuple[pa.Array, np.ndarray]:
+def _cut(texts: pa.Array, by_pieces: bool, marks: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Texts with a space before them in pieces, and where each text's pieces start.
 
-    A piece begins at a single space between a character that is no space and one that is no white space.
+    A piece begins at a single space between a character that is no space and one that is no white space, and between an
+    ASCII letter and one of *marks* (by byte), where A's pre-tokenizer always cuts.
     """
     raw, starts = joined(pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pc.fill_null(texts.cast(pa.large_string()), ""), pa.scalar("", pa.large_string())))
     first = starts[:-1]
@@ -135,6 +147,7 @@ def _cut(texts: pa.Array, by_pieces: bool) -> tuple[pa.Array, np.ndarray]:
         begins = np.zeros(len(raw), bool)
         gap = raw == 32
         begins[1:-1] = gap[1:-1] & ~gap[:-2] & _SOLID[raw[2:]]  # a text begins with a space, so a gap's neighbours are of its own text
+        begins[1:] |= _LETTER[raw[:-1]] & marks[raw[1:]]
         begins[first] = True
         at = np.flatnonzero(begins)
     pieces = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(raw)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
@@ -201,6 +214,8 @@ class Aligner:
 
         self.a, self.b = ByteLevel(paths[0]), Pieces(paths[1])
         self.by_pieces = self.a.by_pieces and self.b.by_pieces
+        self.marks = np.zeros(256, bool)
+        self.marks[[ord(c) for c in self.b.marks]] = True
         self.scratch = tempfile.TemporaryDirectory(prefix="alignment-")
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": self.scratch.name})
         self._forget()
@@ -250,7 +265,7 @@ class Aligner:
     def align(self, doc_ids: pa.Array, texts: pa.Array) -> tuple:
         """(documents, pairs, documents that hold each, which document holds which pair how often)."""
         n_docs = len(texts)
-        cut, starts = _cut(texts, self.by_pieces)
+        cut, starts = _cut(texts, self.by_pieces, self.marks)
         coded = cut.dictionary_encode()
         place = self.places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)] if len(cut) else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(n_docs), np.diff(starts))
