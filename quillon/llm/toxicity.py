@@ -6,10 +6,10 @@ lattice of the strings each of its signs may stand for, and the best path is fou
 the channel plus cost under a language model of letters, states being the last two letters.  The model counts letter
 triples of all documents, by task, merged by Spark; the table is bounded by its alphabet.
 
-Restored words and their beginnings are features.  Every labelled document that is not held out counts for its features'
-log-odds; counts are summed by Spark, and the LEXICON strongest toxic features are kept.  A document's score is a
-logistic function of its strongest word and of the sum of all, fitted on at most FIT_ROWS labelled documents, each with
-its own label taken out of the counts that it is judged by.
+Restored words and their beginnings are features.  At most FIT_ROWS labelled documents that are not held out (those of the
+least seeded hashes, where there are more) count for their features' log-odds; counts are summed by Spark, and the LEXICON
+strongest toxic features are kept.  A document's score is a logistic function of its strongest word and of the sum of all,
+fitted on at most CURVE_ROWS of these documents, each with its own label taken out of the counts that it is judged by.
 
 Defined results: a null or empty text has no words and the score of such documents; a null id is held out, as the crc32
 of nothing is 0; labels other than 0 and 1 are ignored, of several for one id the least counts; with labels of one kind
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import map_arrow
 from quillon.llm.tokens import slices
 
-#: Labelled documents that the logistic function is fitted on, and features that are kept, at most.
-FIT_ROWS, LEXICON = 20_000, 65_536
+#: Labelled documents that features are learnt from, those of them that the logistic function is fitted on, and features kept, at most.
+FIT_ROWS, CURVE_ROWS, LEXICON = 100_000, 20_000, 65_536
 #: Toxic documents that a feature needs, and its least log-odds.
 LEAST_TOXIC, LEAST_ODDS = 3, 1.0
 SEED, HELD_OUT = 1729, 5
@@ -350,13 +350,22 @@ def held_out(id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")) % HELD_OUT == 0
 
 
+def _at_most(known: DataFrame, rows: int) -> DataFrame:
+    """*known*, or about *rows* of it and never more: those whose seeded hash is below a share of all hashes."""
+    n = known.count()
+    if n <= rows:
+        return known
+    share = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    return known.where(share < 0.98 * rows / n).limit(rows)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """The letter model of all *docs*, the features of all labelled rows that are not held out, and the logistic function."""
     costs = letter_costs(letter_counts(docs))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
-    known = known.groupBy("doc_id").agg(F.min("y").alias("y")).where(~held_out())
+    known = _at_most(known.groupBy("doc_id").agg(F.min("y").alias("y")).where(~held_out()), fit_rows)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    labelled = slim.join(known, "doc_id")
+    labelled = slim.join(F.broadcast(known), "doc_id")  # at most fit_rows ids
     sums = labelled.groupBy("y").count().collect()
     n = defaultdict(int, {r["y"]: r["count"] for r in sums})
     total = n[0] + n[1]
@@ -376,9 +385,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
                 x = model.evidence(texts.slice(a, b - a), restore, y.slice(a, b - a).to_numpy(zero_copy_only=False), cache)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), y.slice(a, b - a), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["doc_id", "y", "strongest", "all"])
 
-    chosen = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(fit_rows)
-    few = slim.join(F.broadcast(chosen), "doc_id").transform(map_arrow, rows, "doc_id long, y int, strongest double, all double")
-    got = few.orderBy("doc_id", "strongest", "all").limit(fit_rows).toPandas()
+    few = slim.join(F.broadcast(_at_most(known, CURVE_ROWS)), "doc_id").transform(map_arrow, rows, "doc_id long, y int, strongest double, all double")
+    got = few.limit(4 * CURVE_ROWS).toPandas().sort_values(["doc_id", "strongest", "all"])  # documents may share an id
     model.weights = logistic(got[["strongest", "all"]].to_numpy(), got["y"].to_numpy(float))
     return model
 
