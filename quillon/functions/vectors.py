@@ -22,6 +22,11 @@ def fold(v: str | Column, step, start: float = 0.0) -> Column:
     return F.aggregate(col(v), F.lit(start), step)
 
 
+def let(value: Column, body) -> Column:
+    """*body* of *value*, which is found once a row, also where *body* goes through an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: str | Column, b: str | Column) -> Column:
     return fold(F.zip_with(col(a), col(b), lambda x, y: x * y), lambda s, x: s + x)
 
@@ -40,8 +45,7 @@ def scale(v: str | Column, by: str | Column) -> Column:
 
 
 def unit(v: str | Column) -> Column:
-    n = at_least(norm(v))
-    return F.transform(col(v), lambda x: x / n)
+    return let(at_least(norm(v)), lambda n: F.transform(col(v), lambda x: x / n))
 
 
 def subtract(a: str | Column, b: str | Column) -> Column:
@@ -77,8 +81,7 @@ def log_sigmoid(x: str | Column) -> Column:
 def lse(z: str | Column, times: float = 1.0) -> Column:
     """log sum exp of *times* z, shifted by the maximum."""
     z = col(z)
-    top = F.array_max(z)
-    return times * top + F.log(fold(F.transform(z, lambda x: F.exp(times * (x - top))), lambda s, x: s + x))
+    return let(F.array_max(z), lambda top: times * top + F.log(fold(F.transform(z, lambda x: F.exp(times * (x - top))), lambda s, x: s + x)))
 
 
 def nll(z: str | Column, target: str | Column) -> Column:
@@ -104,15 +107,14 @@ def norm2_weight(p: str | Column, squares: str | Column) -> Column:
 
 def entropy(z: str | Column) -> Column:
     z = col(z)
-    whole = lse(z)
-    return whole - fold(F.transform(z, lambda x: F.exp(x - whole) * x), lambda s, x: s + x)
+    return let(lse(z), lambda whole: whole - fold(F.transform(z, lambda x: F.exp(x - whole) * x), lambda s, x: s + x))
 
 
 def position_kl(ref: str | Column, policy: str | Column) -> Column:
     """KL(ref || policy) of the distributions that two logit arrays stand for."""
     ref, policy = col(ref), col(policy)
-    a, b = lse(ref), lse(policy)
-    return fold(F.zip_with(ref, policy, lambda x, y: F.exp(x - a) * ((x - a) - (y - b))), lambda s, x: s + x)
+    both = lambda a, b: fold(F.zip_with(ref, policy, lambda x, y: F.exp(x - a) * ((x - a) - (y - b))), lambda s, x: s + x)
+    return let(lse(ref), lambda a: let(lse(policy), lambda b: both(a, b)))
 
 
 def logit_gradient(z: str | Column, target: str | Column) -> Column:

@@ -17,12 +17,20 @@ from quillon.functions.hashing import uniform
 from quillon.functions.vectors import at_least, dot, norm, subtract, unit
 from quillon.operators.directions import nearest_centroid, vector_mean
 from quillon.operators.layout import ranked
+from quillon.operators.principal import principal
+from quillon.operators.quantiles import quantiles
+from quillon.sources.tables import staged
 
 MIN_CLUSTER_SIZE = 200
 ITERATIONS, TOLERANCE, RESTARTS = 50, 1e-5, 3
+#: Of k-means||: rounds, candidates a round (twice the greatest K, where that is more), and tries at reclustering them.
+ROUNDS, DRAWN, SETTLED = 5, 256, 3
 # The numbers of clusters of a sweep, and the pairs of a cosine diagnostic.
 K_SWEEP = (2, 4, 8, 16, 32, 64, 128)
 PAIR_SAMPLE = 200_000
+#: Points that are sent to the tasks that draw pairs take no more.
+SENT_BYTES = 64 << 20
+PAIR_QUANTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
 
 
 def centered(points: DataFrame, v: str, dim: int) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +99,7 @@ def spherical_kmeans(points: DataFrame, v: str, id: str, dim: int, k: int, seed:
     rows = points.select(F.col(id).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v")).persist()
     try:
         if start is None:
-            found = _starts(rows, [(k, seed)])
+            found = _parallel_starts(rows, [(k, seed)])
         else:
             given = np.array([r["center"] for r in start.orderBy("k").collect()], float)
             found = {(k, seed): given / np.maximum(np.linalg.norm(given, axis=1, keepdims=True), 1e-12)}
@@ -123,15 +131,14 @@ def _converged(rows: DataFrame, found: dict, dim: int, iterations: int) -> dict:
 def k_sweep(points: DataFrame, v: str, id: str, dim: int, ks: tuple[int, ...] = K_SWEEP, restarts: int = RESTARTS, iterations: int = ITERATIONS) -> DataFrame:
     """M8: for each K below the number of points the best restart by objective, the first among equals.
 
-    All runs, K by restart, go through the points together: a pass draws one more starting point of each run, or moves
-    the centroids of each run that has not converged.  The driver holds the centroids of all runs.  A pass of the start
-    looks at all centroids drawn so far, so that it needs no state of the points; ties and draws are those of a run alone.
+    All runs, K by restart, go through the points together: a pass draws candidates for the starts of all runs, or moves
+    the centroids of each run that has not converged.  The driver holds the centroids of all runs.
     """
     rows = points.select(F.col(id).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v")).persist()
     try:
         n = rows.count()
         runs = [(k, seed) for k in ks if k < n for seed in range(restarts)]
-        found = _converged(rows, _starts(rows, runs), dim, iterations)
+        found = _converged(rows, _parallel_starts(rows, runs), dim, iterations)
         last = _sums(rows, found, dim)
         scored = [(k, seed, sum(x[1] for x in last[k, seed].values()) / n) for k, seed in runs]
     finally:
@@ -155,8 +162,109 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
+def _parallel_starts(rows: DataFrame, runs: list[tuple[int, int]]) -> dict:
+    """The starting centroids of all runs by k-means||: ROUNDS passes oversample, one weighs, the driver reclusters.
+
+    A pass draws each point on its own, with a chance in proportion to its squared distance from the candidates so far,
+    DRAWN of them in expectation, or all points where they are fewer.  Candidates of a seed serve its runs of every K: weighted
+    by the points nearest to them they are what k-means++ draws from, and weighted moves settle.  The driver holds about
+    ROUNDS * DRAWN candidates of each seed, whatever the number of points; draws are repeatable, and those of a run alone.
+    """
+    found: dict = {}
+    seeds = sorted({seed for _, seed in runs})
+    if not runs:
+        return found
+    firsts = rows.agg(*[F.min_by("v", F.struct(uniform("id", f"first{seed}"), "id")) for seed in seeds]).first()
+    pool = {seed: np.array([firsts[i]], float) for i, seed in enumerate(seeds)}
+    cost, most = None, max((k for k, _ in runs if k > max(K_SWEEP)), default=0)
+    for round_ in range(ROUNDS):
+        if cost is None:
+            cost = _nearest_sums(rows, pool)[0]
+        near = _with_distances(rows, pool)
+        chance = lambda s: max(DRAWN, 2 * most) * F.col(f"d{s}") / max(cost[s], 1e-300)
+        hits = F.filter(F.array(*[F.when(uniform("id", f"draw{s}:{round_}") < chance(s), F.lit(s)) for s in seeds]), lambda x: x.isNotNull())
+        drawn = near.select("id", "v", F.explode(hits).alias("seed")).orderBy("seed", "id").collect()
+        for s in seeds:
+            new = [r["v"] for r in drawn if r["seed"] == s]
+            if new:
+                pool[s] = np.vstack([pool[s], np.array(new, float)])
+        cost, weights = _nearest_sums(rows, pool)
+    return {(k, seed): _recluster(pool[seed], weights[seed], k, seed) for k, seed in runs}
+
+
+def _with_distances(rows: DataFrame, pool: dict[int, np.ndarray]) -> DataFrame:
+    """*rows* with the squared cosine distance to the nearest candidate of each seed."""
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch)
+                d = [np.maximum(1 - _near(x, c)[1], 0) ** 2 for c in pool.values()]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), *map(pa.array, d)], names=["id", "v", *(f"d{s}" for s in pool)])
+
+    return rows.mapInArrow(far, "id long, v array<double>, " + ", ".join(f"d{s} double" for s in pool))
+
+
+def _nearest_sums(rows: DataFrame, pool: dict[int, np.ndarray]) -> tuple[dict, dict]:
+    """For each seed the sum of squared distances to its candidates, and how many points are nearest to each."""
+    order = list(pool)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, n = np.zeros(len(order)), [np.zeros(len(pool[s]), np.int64) for s in order]
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch)
+                for i, s in enumerate(order):
+                    k, cos = _near(x, pool[s])
+                    d[i] += (np.maximum(1 - cos, 0) ** 2).sum()
+                    n[i] += np.bincount(k, minlength=len(n[i]))
+        yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(d), pa.array([x.tolist() for x in n], pa.list_(pa.int64()))], names=["seed", "d", "n"])
+
+    parts = rows.mapInArrow(add, "seed long, d double, n array<long>").select("seed", "d", F.posexplode("n").alias("i", "n"))
+    cost, weights = dict.fromkeys(order, 0.0), {s: np.zeros(len(pool[s])) for s in order}
+    for r in parts.groupBy("seed", "i").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).collect():  # a row for each candidate
+        weights[r["seed"]][r["i"]], cost[r["seed"]] = r["n"], r["d"]
+    return cost, weights
+
+
+def _recluster(candidates: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Weighted k-means++ over the candidates and the weighted moves after it, the best of SETTLED tries.
+
+    Where fewer than *k* candidates differ, the last ones repeat; a later move gives such a centroid the worst-fit point.
+    """
+    unit_rows = candidates / np.maximum(np.linalg.norm(candidates, axis=1, keepdims=True), 1e-12)
+    best, top = None, -np.inf
+    for attempt in range(SETTLED):
+        r = np.random.default_rng([seed, k, attempt])
+        w = np.maximum(weights, 1e-9)
+        chosen = [int(r.choice(len(w), p=w / w.sum()))]
+        far = np.maximum(1 - unit_rows @ unit_rows[chosen[0]], 0) ** 2
+        while len(chosen) < k:
+            p = w * far
+            chosen.append(int(r.choice(len(w), p=p / p.sum())) if p.sum() > 0 else chosen[-1])
+            far = np.minimum(far, np.maximum(1 - unit_rows @ unit_rows[chosen[-1]], 0) ** 2)
+        centers = unit_rows[chosen]
+        for _ in range(ITERATIONS):
+            cos = unit_rows @ centers.T
+            nearest = cos.argmax(1)
+            new = np.zeros_like(centers)
+            np.add.at(new, nearest, candidates * w[:, None])
+            size = np.linalg.norm(new, axis=1, keepdims=True)
+            new = np.where(size > 1e-12, new / np.maximum(size, 1e-12), centers)
+            if np.abs(new - centers).max() < 1e-9:
+                break
+            centers = new
+        score = float((w * (unit_rows @ centers.T).max(1)).sum())
+        if score > top:
+            best, top = centers, score
+    return best
+
+
 def _starts(rows: DataFrame, runs: list[tuple[int, int]]) -> dict:
-    """M6 for all runs: the seeded first point, then draws by squared distance, a pass for each place."""
+    """M6 for all runs: the seeded first point, then draws by squared distance, a pass for each place.
+
+    For few clusters and checks; sweeps start from :func:`_parallel_starts`, whose passes do not grow with K.
+    """
     found: dict = {}
     seeds = sorted({seed for _, seed in runs})
     if not runs:
@@ -282,24 +390,28 @@ def covariance(points: DataFrame, v: str, dim: int) -> DataFrame:
 
 
 def principal_shares(points: DataFrame, v: str, dim: int, top: int = 16) -> list[float]:
-    """Shares of the greatest eigenvalues, negative ones clamped; the driver decomposes a dim x dim matrix."""
-    m = np.zeros((dim, dim))
-    for r in covariance(points, v, dim).collect():
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["cov"]
-    values = np.clip(np.linalg.eigvalsh(m)[::-1], 0, None)
-    return (values[:top] / max(values.sum(), 1e-30)).tolist()
+    """Shares of the greatest variances of the covariance, from :func:`quillon.operators.principal.principal`."""
+    return principal(points, v, dim, top).shares.tolist()
 
 
 def pair_cosines(points: DataFrame, v: str, id: str, pairs: int = PAIR_SAMPLE, seed: int = 0) -> DataFrame:
     """Cosines of *pairs* seeded pairs of points drawn with reuse, those of a point with itself left out.
 
-    *id* is an integer.  The wanted places, two for each pair, are sent to the tasks; the points stay where they are.
+    Ids alone are ranked, as keys of any kind.  While all points take no more than SENT_BYTES, they are sent to the tasks, which
+    hold the pairs; beyond that the drawn ids, a bounded table, are sent to the points, and drawn vectors meet by pair.
     """
-    spark, n = points.sparkSession, points.count()
+    spark = points.sparkSession
+    n, longest = points.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(v)), F.lit(0))).first()
     draw = lambda tag: F.floor(uniform("id", f"{tag}{seed}") * n)
     wanted = spark.range(pairs).select("id", draw("i").alias("i"), draw("j").alias("j")).where("i <> j")
+    if n * longest * 8 <= SENT_BYTES:
+        placed = ranked(points.select(F.col(id).alias("_id"), v), "_id", "_rank").select("_rank", F.col(v).alias("_v"), at_least(norm(v)).alias("_n"))
+        placed = staged(placed, "placed")
+        side = lambda k: F.broadcast(placed.select(F.col("_rank").alias(k), F.col("_v").alias(f"_v{k}"), F.col("_n").alias(f"_n{k}")))
+        return wanted.join(side("i"), "i").join(side("j"), "j").select((dot("_vi", "_vj") / (F.col("_ni") * F.col("_nj"))).alias("cos"))
     wanted = wanted.select(F.col("id").alias("_pair"), F.posexplode(F.array("i", "j")).alias("_side", "_rank"))
-    met = ranked(points.select(id, v), id, "_rank").join(F.broadcast(wanted), "_rank")
+    drawn = ranked(points.select(F.col(id).alias("_id")), "_id", "_rank").join(F.broadcast(wanted), "_rank").drop("_rank")
+    met = points.select(F.col(id).alias("_id"), v).join(F.broadcast(drawn), "_id")
     both = met.groupBy("_pair").agg(*[F.max(F.when(F.col("_side") == k, F.col(v))).alias(f"_{k}") for k in (0, 1)])
     return both.select((dot("_0", "_1") / (at_least(norm("_0")) * at_least(norm("_1")))).alias("cos"))
 
@@ -311,10 +423,13 @@ def mean_cosines(points: DataFrame, v: str, dim: int) -> DataFrame:
     return units.crossJoin(F.broadcast(mean)).select(dot("_u", "_m").alias("c")).agg(F.avg("c").alias("mean_dir_mean"), F.min("c").alias("mean_dir_min"))
 
 
-def diagnose(points: DataFrame, v: str, id: str, dim: int, pairs: int = PAIR_SAMPLE, seed: int = 0) -> DataFrame:
-    """M9: cosine statistics, the first principal share, and whether to centre before clustering."""
-    stats = pair_cosines(points, v, id, pairs, seed).agg(F.avg("cos").alias("mean_cos"), F.stddev_samp("cos").alias("std_cos"), F.percentile("cos", [0.01, 0.25, 0.5, 0.75, 0.99]).alias("quantiles"))
+def diagnose(points: DataFrame, v: str, id: str, dim: int, pairs: int = PAIR_SAMPLE, seed: int = 0, top: int = 16) -> DataFrame:
+    """M9: cosine statistics, the *top* principal shares, and whether to centre before clustering, in one row."""
+    points = staged(points.select(id, unit(v).alias(v)), "units")  # read by every pass below
+    cosines = staged(pair_cosines(points, v, id, pairs, seed), "cosines")
+    stats = cosines.agg(F.avg("cos").alias("mean_cos"), F.stddev_samp("cos").alias("std_cos")).crossJoin(F.broadcast(quantiles(cosines, "cos", list(PAIR_QUANTILES))))
     stats = stats.crossJoin(F.broadcast(mean_cosines(points, v, dim)))
-    shares = principal_shares(points.select(unit(v).alias(v)), v, dim)
+    shares = principal_shares(points, v, dim, top)
     advice = F.when((F.col("mean_cos") > 0.5) & (F.col("pc1") > 0.5), "CENTER").otherwise("AS IS")
-    return stats.withColumns({"pc1": F.lit(float(shares[0])), "pc_cumulative": F.lit(float(sum(shares)))}).withColumn("advice", advice)
+    found = {"pc1": F.lit(float(shares[0])), "pc_cumulative": F.lit(float(sum(shares))), "pc_shares": F.array(*[F.lit(float(x)) for x in shares])}
+    return stats.withColumns(found).withColumn("advice", advice)

@@ -8,27 +8,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.vectors import at_least, cosine, dot, norm
+from quillon.operators import dense
 
 DOT_SCALES = ("raw", "unit", "aggregated")
 KINDS = ("mean", "meannorm")
 BASES = tuple(f"{kind}_{weighting}" for kind in ("single", "aggregated", "max") for weighting in ("unweighted", "weighted_norm1", "weighted_norm2"))
+#: Coordinates up to which a mean has a column for each in the plan.
+PLAN_COORDINATES = 256
 _CLUSTER = re.compile(r"(clusteronly|maxclu)_(mean|meannorm)_K(\d+)")
 
 
 def vector_mean(df: DataFrame, v: str, dim: int, *keys: str, out: str = "center", count: str | None = "n_averaged") -> DataFrame:
-    """The mean vector of each group: one average per coordinate, so partial sums are combined before the shuffle."""
+    """The mean vector of each group.
+
+    Up to PLAN_COORDINATES one average per coordinate, so partial sums are combined before the shuffle; longer vectors
+    have dense states of blocks (:mod:`quillon.operators.dense`), and the plan has one size for all of them.
+    """
+    if dim > PLAN_COORDINATES:
+        return dense.whole(dense.means(df, v, *keys), *keys, count=count).withColumnRenamed("mean", out)
     means = [F.avg(F.get(F.col(v), F.lit(i))) for i in range(dim)]
     counts = [F.count(F.lit(1)).alias(count)] if count else []
     return df.groupBy(*keys).agg(F.array(*means).alias(out), *counts)
 
 
 def vector_mean_long(df: DataFrame, v: str, *keys: str, out: str = "value") -> DataFrame:
-    """The same for any dimension, a row per coordinate: for vectors too long for a plan with a column for each."""
-    return df.select(*keys, F.posexplode(v).alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias(out))
+    """The same means as rows (keys, i, value), for readers that want coordinates."""
+    blocks = dense.means(df, v, *keys)
+    return blocks.select(*keys, "offset", F.posexplode("mean").alias("_i", out)).select(*keys, (F.col("offset") + F.col("_i")).cast("int").alias("i"), out)
 
 
 def weighted_means(df: DataFrame, v: str, weights: dict[str, Column], dim: int, *keys: str) -> DataFrame:
     """A1: the mean of weight times vector for several weightings in one pass: keys, n_averaged and a vector for each name."""
+    if dim > PLAN_COORDINATES:
+        return dense.whole(dense.means(df, v, *keys, weights=weights), *keys, names=tuple(weights))
     each = [F.array(*[F.avg(w * F.get(F.col(v), F.lit(i))) for i in range(dim)]).alias(name) for name, w in weights.items()]
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_averaged"), *each)
 

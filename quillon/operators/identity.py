@@ -105,3 +105,19 @@ def same_source(tables: list[DataFrame], column: str = "source_id", overwrite: b
     found = {r[0] for t in tables for r in t.select(column).distinct().limit(3).collect()}
     if len(found) > 1 and not overwrite:
         raise ValueError(f"artefacts of different runs: {sorted(map(str, found))}")
+
+
+def add_products(rows: DataFrame, path: str, column: str = "source_id", overwrite: bool = False) -> bool:
+    """Append *rows* to the artefacts at *path*, if both come from one run; else refuse, or replace them all if told to.
+
+    Says whether the rows were taken; a refusal writes nothing.  One value of *column* on either side is compared, never rows.
+    """
+    spark = rows.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    try:
+        same_source([rows, *([spark.read.parquet(path)] if held and not overwrite else [])], column)
+    except ValueError:
+        return False
+    rows.write.mode("overwrite" if overwrite else "append").parquet(path)
+    return True

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.hashing import hash32
 from quillon.functions.vectors import at_least, dot, norm
+from quillon.operators import principal as components
+from quillon.operators.principal import principal
+from quillon.operators.quantiles import quantiles
 
 # Words that are no terms.
 STOPWORDS = """
@@ -21,7 +24,7 @@ there here also
 """.split()
 TERM = "[a-z][a-z']+"
 MIN_TERM_LENGTH, MIN_TERM_COUNT, TOP_TERMS, TOP_MEDOIDS = 3, 15, 12, 10
-DISPLAY_CHARS = 1200
+DISPLAY_CHARS, SCATTER_POINTS = 1200, 4000
 
 
 def eta_squared(df: DataFrame, value, cluster: str) -> DataFrame:
@@ -83,16 +86,8 @@ def nearest_other(centroids: DataFrame, k: str = "k", center: str = "center") ->
 
 def pca_2d(points: DataFrame, v: str, dim: int) -> tuple[list[list[float]], list[float]]:
     """The two leading axes from the covariance of all rows, and their shares."""
-    import numpy as np
-
-    from quillon.operators.clustering import covariance
-
-    m = np.zeros((dim, dim))
-    for r in covariance(points, v, dim).collect():
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["cov"]
-    values, axes = np.linalg.eigh(m)
-    shares = np.clip(values[::-1], 0, None) / max(np.clip(values, 0, None).sum(), 1e-30)
-    return axes[:, ::-1][:, :2].T.tolist(), shares[:2].tolist()
+    found = principal(points, v, dim, 2)
+    return found.axes.tolist(), found.shares.tolist()
 
 
 def project(points: DataFrame, v: str, axes: list[list[float]]) -> DataFrame:
@@ -100,11 +95,15 @@ def project(points: DataFrame, v: str, axes: list[list[float]]) -> DataFrame:
     return points.withColumns({f"pc{k + 1}": dot(F.col(v), F.array(*[F.lit(float(x)) for x in axis])) for k, axis in enumerate(axes)})
 
 
+def _median(points: DataFrame, cluster: str, value, out: str) -> DataFrame:
+    return quantiles(points, value, [0.5], cluster, out="_q").select(cluster, F.get("_q", F.lit(0)).alias(out))
+
+
 def bundle(points: DataFrame, centroids: DataFrame, cluster: str, cos: str, id: str, size: str, top: int = 3, seed: int = 1234) -> DataFrame:
-    """A row for each cluster: members, share, effect size and median of *size*, nearest other cluster, medoids and others."""
+    """M12 without texts: a row for each cluster: members, share, effect size and median of *size*, nearest other cluster, medoids and others."""
     eta = eta_squared(points, F.log(F.col(size)), cluster).withColumnRenamed("eta_squared", "eta_log_size")
     n = points.agg(F.count(F.lit(1)).alias("_n"))
-    rows = points.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.percentile(size, 0.5).alias("median_size"))
+    rows = points.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")).join(_median(points, cluster, size, "median_size"), cluster, "left")
     best = medoids(points, cluster, cos, id, top)
     some = sample(points, cluster, id, top, seed, without=best)
     ids = lambda df, out: df.groupBy(cluster).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", id))), lambda x: x[id].cast("string")), ",").alias(out))
@@ -113,6 +112,50 @@ def bundle(points: DataFrame, centroids: DataFrame, cluster: str, cos: str, id:
     return rows.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(eta)).withColumn("share", F.col("n") / F.col("_n")).drop("_n")
 
 
+def log_size(value: Column) -> Column:
+    """The logarithm of a length or norm, none below that of 1."""
+    return F.log(F.greatest(value.cast("double"), F.lit(1.0)))
+
+
+def report(points: DataFrame, texts: DataFrame, centroids: DataFrame, cluster: str, cos: str, id: str, size: str, top: int = TOP_MEDOIDS, seed: int = 1234) -> DataFrame:
+    """M12 in full: a row for each cluster.
+
+    *points* (id, cluster, cos, size) meet *texts* (id, prompt, chosen, rejected) once, all of them for the statistics: size, share,
+    cohesion, nearest other cluster, medians of the chosen text's length and of *size*, the three effect sizes (logarithms of chosen
+    length, of *size* and of prompt length; equal in all rows), the distinctive terms of the chosen texts, and the *top* medoids
+    and as many other members with their texts as displayed.  Texts are null where *texts* lacks an id: such points count
+    for members, cohesion and *size* alone.
+    """
+    met = points.select(id, cluster, cos, size).join(texts.select(id, "prompt", "chosen", "rejected"), id, "left")
+    length = lambda c: F.length(F.coalesce(F.col(c), F.lit("")))
+    lengths = met.where(F.col("chosen").isNotNull()).withColumns({"_chosen": length("chosen"), "_prompt": length("prompt")})
+    etas = [eta_squared(lengths, log_size(F.col(c)), cluster).withColumnRenamed("eta_squared", out) for c, out in (("_chosen", "eta_log_chosen"), (size, "eta_log_size"), ("_prompt", "eta_log_prompt"))]
+    n = points.agg(F.count(F.lit(1)).alias("_n"))
+    rows = points.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.avg(cos).alias("cohesion"))
+    rows = rows.join(_median(points, cluster, size, "median_size"), cluster, "left").join(_median(lengths, cluster, F.col("_chosen"), "median_chars"), cluster, "left")
+    terms = distinctive_terms(met.select(cluster, "chosen"), "chosen", cluster)
+    terms = terms.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("rank", "term", F.col("c").alias("count"), "logodds"))).alias("terms"))
+    best = medoids(points, cluster, cos, id, top)
+    some = sample(points, cluster, id, top, seed, without=best)
+    shown = best.select(id, "rank", F.lit("medoids").alias("_kind")).unionByName(some.select(id, "rank", F.lit("others").alias("_kind")))
+    cut = [F.substring(c, 1, DISPLAY_CHARS).alias(c) for c in ("prompt", "chosen", "rejected")]
+    packed = met.join(F.broadcast(shown), id).select(cluster, "_kind", F.struct("rank", id, F.col(cos).alias("cos"), F.col(size).alias("size"), F.length("chosen").alias("n_chosen"), F.length("rejected").alias("n_rejected"), *cut).alias("x"))
+    listed = packed.groupBy(cluster).agg(*[F.array_sort(F.collect_list(F.when(F.col("_kind") == kind, F.col("x")))).alias(kind) for kind in ("medoids", "others")])
+    near = nearest_other(centroids).select(F.col("k").alias(cluster), F.col("other").alias("nearest"), F.col("cos").alias("nearest_cos"))
+    for extra in (F.broadcast(near), terms, listed):
+        rows = rows.join(extra, cluster, "left")
+    for one in (n, *etas):
+        rows = rows.crossJoin(F.broadcast(one))
+    return rows.withColumns({"share": F.col("n") / F.col("_n"), "median_chars": F.floor("median_chars")}).drop("_n")
+
+
+def scatter(points: DataFrame, v: str, dim: int, id: str, cluster: str, most: int = SCATTER_POINTS, seed: int = 1234) -> tuple[DataFrame, components.Components]:
+    """At most *most* seeded points with their places on the two leading axes of all points, and these."""
+    found = principal(points, v, dim, 2)
+    some = points.select(id, cluster, v).orderBy(hash32(id, "scatter", seed), id).limit(most)
+    return components.project(some, v, found).drop(v), found
+
+
 def best_restarts(runs: DataFrame, k: str = "K", restart: str = "restart", objective: str = "objective") -> DataFrame:
     """For each K the run of the greatest objective, the first among equals."""
     place = F.row_number().over(Window.partitionBy(k).orderBy(F.desc(objective), restart))

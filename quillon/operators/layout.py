@@ -1,10 +1,20 @@
-"""Partition layout: spreading rows over cores, sums and ranks in order without one window over a table."""
+"""Partition layout: spreading rows over cores, sums and ranks in order without one window over a table.
+
+A scan works in two phases.  Splitters from a random sample of the keys cut the order into buckets of about equal size,
+whatever the keys are: sparse, negative, strings or several columns.  Buckets are summed, their totals alone meet in one
+window, and each bucket's own running sum is added to what lies before it.  Splitters change how rows are dealt, not the result.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Sampled keys for each bucket.
+SAMPLED = 32
+
 
 def spread(df: DataFrame) -> DataFrame:
     """*df* over all cores before costly work on each row, where a scan of a few row groups gives fewer tasks than cores."""
@@ -12,31 +22,69 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def prefix_sums(df: DataFrame, order: str, value: str, out: str, block: int = 4096) -> DataFrame:
-    """*df* with the sum of *value* over rows of smaller *order*, an integer that is unique, in two levels.
+def _names(order: str | list[str]) -> list[str]:
+    return [order] if isinstance(order, str) else list(order)
+
 
-    Blocks of *block* neighbouring orders are summed in parallel; only the totals of blocks meet in one window.
+def bucketed(df: DataFrame, order: str | list[str], buckets: int | None = None, out: str = "_bucket") -> DataFrame:
+    """*df* with the number of its bucket: rows of smaller *order* have no greater one, and equal rows the same.
+
+    The driver holds SAMPLED keys for each bucket, and tasks one key for each.  A row looks at about 2 * sqrt(buckets) of them.
+    """
+    names, spark = _names(order), df.sparkSession
+    buckets = buckets or 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    keys = df.select(*names)
+    sample = keys.orderBy(F.rand(17)).limit(buckets * SAMPLED).orderBy(*names).collect()
+    step = max(1, len(sample) // buckets)
+    marks = [tuple(r) for r in sample[step::step]]
+    fan = max(1, math.isqrt(len(marks)))
+    key = keys.schema
+    table = spark.createDataFrame([(marks[::fan], [marks[a : a + fan] for a in range(0, len(marks), fan)])], f"_coarse array<{key.simpleString()}>, _fine array<array<{key.simpleString()}>>")
+    below = lambda marks: F.size(F.filter(marks, lambda m: m <= F.struct(*names)))
+    run = below(F.col("_coarse"))
+    cut = df.crossJoin(F.broadcast(table)).withColumn("_run", run)
+    fine = F.when(F.col("_run") > 0, (F.col("_run") - 1) * fan + below(F.get("_fine", F.col("_run") - 1))).otherwise(0)
+    return cut.withColumn(out, fine).drop("_coarse", "_fine", "_run")
+
+
+def prefix_sums(df: DataFrame, order: str | list[str], value: str, out: str, buckets: int | None = None) -> DataFrame:
+    """*df* with the sum of *value* over rows of smaller *order*; of rows that are equal in it any may come first.
+
+    Nulls come first, as in Spark's order.  *order* should be unique: rows that share a key share a bucket.
     """
-    cut = df.withColumn("_block", F.floor(F.col(order) / block))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = cut.groupBy("_block").agg(F.sum(value).alias("_total")).select("_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    names = _names(order)
+    cut = bucketed(df, names, buckets)
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as buckets
+    bases = cut.groupBy("_bucket").agg(F.sum(value).alias("_total")).select("_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("_bucket").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.withColumn("_local", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return local.join(bases, "_block").withColumn(out, F.col("_base") + F.col("_local")).drop("_block", "_base", "_local")
+    return local.join(F.broadcast(bases), "_bucket").withColumn(out, F.col("_base") + F.col("_local")).drop("_bucket", "_base", "_local")
 
 
-def ranked(df: DataFrame, order: str, out: str = "rank") -> DataFrame:
-    """*df* with the place of each row by *order*, from 0."""
-    return prefix_sums(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", out).drop("_one")
+def ranked(df: DataFrame, order: str | list[str], out: str = "rank", keys: tuple[str, ...] = ()) -> DataFrame:
+    """*df* with the place of each row by *order*, from 0; with *keys* within its group, of any size.
 
-
-def inverse_cdf(df: DataFrame, order: str, weight: str, shares: list[float]) -> DataFrame:
-    """For each share u the first row, by *order*, whose cumulative weight reaches u times the total: (u, order)."""
-    summed = prefix_sums(df.select(order, weight), order, weight, "_before")
+    Ranks of groups are places in one scan by group and order, less the place where the group begins, so a group that
+    holds most rows is cut like any other stretch of the order.
+    """
+    names = [*keys, *_names(order)]
+    placed = prefix_sums(df.withColumn("_one", F.lit(1).cast("long")), names, "_one", out).drop("_one")
+    if not keys:
+        return placed
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    starts = prefix_sums(counts, list(keys), "_n", "_start").select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_start")
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return placed.join(starts, on).withColumn(out, F.col(out) - F.col("_start")).drop("_start", *[f"_k_{k}" for k in keys])
+
+
+def inverse_cdf(df: DataFrame, order: str | list[str], weight: str, shares: list[float]) -> DataFrame:
+    """For each share u the first row, by *order*, whose cumulative weight reaches u times the total: (order, u)."""
+    names = _names(order)
+    summed = prefix_sums(df.select(*names, weight), names, weight, "_before")
     total = F.lit(df.agg(F.sum(weight)).first()[0])
     picks = F.array(*[F.lit(float(u)) for u in shares])
     reach = F.filter(picks, lambda u: (u * total > F.col("_before")) & (u * total <= F.col("_before") + F.col(weight)))
-    return summed.select(order, F.explode(reach).alias("u"))
+    return summed.select(*names, F.explode(reach).alias("u"))
 
 
 def blocks(spec: DataFrame, order: str, numel: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions.losses import smoothed
 from quillon.functions.vectors import at_least, entropy
-from quillon.operators.layout import prefix_sums
+from quillon.operators.layout import prefix_sums, ranked
+from quillon.operators.quantiles import LOWER, quantiles
 
 # Tolerances of reproduction checks.
 REL_TOL, CORR_TOL = 1e-2, 0.999
@@ -64,7 +65,7 @@ def batch_metrics(tokens: DataFrame, side: str = "side") -> DataFrame:
 
 
 def running_tokens(steps: DataFrame, order: str, n: str) -> DataFrame:
-    """Tokens seen so far; *order* is a step number, and steps are summed in blocks, whose totals are few."""
+    """Tokens seen so far by the order of any column."""
     return prefix_sums(steps, order, n, "_before").withColumn("tokens_seen", F.col("_before") + F.col(n)).drop("_before")
 
 
@@ -88,20 +89,25 @@ def sort_matched(pairs: DataFrame, left: Column, right: Column, batch: str, key:
 def compare(df: DataFrame, *keys: str, got: str = "got", ref: str = "ref", order: str = "i") -> DataFrame:
     """Agreement of computed and saved values of each channel.
 
-    The median is the lower one, the slope goes through the origin, ranks are ordinal with ties by *order*, and
-    correlations need more than one value and some spread (else NaN).
+    The median is the lower one, the slope goes through the origin, ranks are ordinal with ties by *order* (unique in a
+    channel), and correlations need more than one value and some spread (else NaN).  Ranks come from scans over all channels and
+    medians from bounded sketches, so a channel may hold all rows.
     """
     g, r = F.col(got), F.col(ref)
-    w = lambda c: Window.partitionBy(*keys).orderBy(c, order)
     rel = F.abs(g - r) / F.greatest(F.abs(r), F.lit(1e-12))
-    ranked = df.withColumns({"_rel": rel, "_rg": F.row_number().over(w(got)).cast("double"), "_rr": F.row_number().over(w(ref)).cast("double")})
+    rows = df.select(*keys, order, got, ref, rel.alias("_rel"))
+    placed = ranked(ranked(rows, [got, order], "_rg", keys), [ref, order], "_rr", keys)
     many = (F.count(F.lit(1)) > 1) & (F.stddev_samp(g) > 0) & (F.stddev_samp(r) > 0)
     guard = lambda c: F.when(many, c).otherwise(F.lit(float("nan")))
     corr = lambda a, b: F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))  # noqa: E731  corr() divides by no spread
-    out = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.abs(g - r)).alias("max_abs"), F.expr("percentile_disc(0.5) within group (order by _rel)").alias("rel_median"), F.max("_rel").alias("rel_max"),
+    out = placed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.abs(g - r)).alias("max_abs"), F.max("_rel").alias("rel_max"),
         (F.sum(g * r) / F.greatest(F.sum(r * r), F.lit(1e-30))).alias("slope"), guard(corr(g, r)).alias("corr"), guard(corr(F.col("_rg"), F.col("_rr"))).alias("spearman"),
     )
+    medians = quantiles(rows, "_rel", [0.5], *keys, kind=LOWER, out="_q").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.get("_q", F.lit(0)).alias("rel_median"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    both = out.join(medians, on, "left") if keys else out.crossJoin(F.broadcast(medians))
+    out = both.select(*keys, "n", "max_abs", "rel_median", "rel_max", "slope", "corr", "spearman")
     return out.withColumn("ok", (F.col("rel_median") < REL_TOL) & ((F.col("n") == 1) | (~F.isnan("corr") & (F.col("corr") > CORR_TOL))))
 
 

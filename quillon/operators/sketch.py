@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.hashing import bucket, hash32, sign, uniform
 from quillon.functions.vectors import at_least, dot, norm, sanitize
+from quillon.operators import dense
 
 
 #: Entries of a dense projection, and rows of a table of all pairs, at most.
 MOST_ENTRIES, MOST_ROWS = 1 << 20, 4096
+#: Shifts and odd factors of the coordinates' hash; products stay below 2^63.
+_LOW, _ROUNDS = np.uint64(2**32 - 1), ((16, 2146121005), (15, 1540483477))
 
 
 def coordinate_table(spark: SparkSession, dim: int, width: int, seed: int = 0) -> DataFrame:
@@ -43,11 +49,60 @@ def count_sketch(df: DataFrame, v: str, dim: int, width: int, seed: int = 0, out
 
 
 def count_sketch_long(blocks: DataFrame, id: str, offset: str, v: str, width: int, seed: int = 0) -> DataFrame:
-    """M2 for vectors kept as blocks (id, offset, values): signed sums by (id, bucket), any dimension."""
+    """M2 with the hash of :func:`count_sketch`, a row for each coordinate: for checks; :func:`block_sketch` is for size."""
     x = blocks.select(id, offset, F.posexplode(v).alias("_i", "_x")).withColumn("_i", F.col("_i") + F.col(offset))
     return x.groupBy(id, bucket("_i", width, seed).alias("b")).agg(F.sum(sign("_i", seed) * F.col("_x")).alias("value"))
 
 
+def cell_hash(i: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of coordinate numbers below 2^32 that any engine with 64-bit integers can repeat."""
+    h = (np.asarray(i, np.uint64) + np.uint64(seed * 1_000_003)) & _LOW
+    for shift, factor in _ROUNDS:
+        h = ((h ^ (h >> np.uint64(shift))) * np.uint64(factor)) & _LOW
+    return h ^ (h >> np.uint64(15))
+
+
+def block_sketch(blocks: DataFrame, id: str, offset: str, v: str, width: int, seed: int = 0, out: str = "sketch") -> DataFrame:
+    """M2, A7 for vectors kept as blocks (id, offset, values), of any length: id, n_blocks, the sketch and the exact norm.
+
+    A task hashes the coordinates of a block once for all vectors that have it, and keeps one dense sketch for each vector
+    it meets; what moves is a sketch for each task and vector.  Non-finite and null coordinates count as 0, null blocks
+    and those of null ids are left out.  Coordinates are numbered below 2^32.
+    """
+    slim = blocks.where(F.col(id).isNotNull() & F.col(v).isNotNull()).select(id, F.col(offset).cast("long").alias("_at"), F.col(v).cast("array<double>").alias("_v"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        cells: dict = {}
+        for batch in batches:
+            ids, at = batch.column(0), batch.column(1).to_pylist()
+            flat, ends = dense.vectors(batch.column(2))
+            flat = np.where(np.isfinite(flat), flat, 0.0)
+            for r, key in enumerate(ids.to_pylist()):
+                x = flat[ends[r] : ends[r + 1]]
+                known = cells.get((at[r], len(x)))
+                if known is None:
+                    h = cell_hash(at[r] + np.arange(len(x)), seed)
+                    known = (h % np.uint64(width)).astype(np.int32), np.where(h >> np.uint64(31), 1.0, -1.0).astype(np.float32)
+                    if sum(len(k[0]) for k in cells.values()) > dense.MOST_CELLS:
+                        cells.clear()
+                    cells[at[r], len(x)] = known
+                if key not in held:
+                    held[key] = [0, np.zeros(width + 1)]
+                held[key][0] += 1
+                held[key][1][:width] += np.bincount(known[0], known[1] * x, width)
+                held[key][1][width] += x @ x
+            if len(held) * width > dense.MOST_CELLS:
+                yield dense.rows_of((id,), ["s"], [ids.type], [((k,), 0, n, [s]) for k, (n, s) in held.items()])
+                held = {}
+        if held:
+            yield dense.rows_of((id,), ["s"], [ids.type], [((k,), 0, n, [s]) for k, (n, s) in held.items()])
+
+    parts = slim.mapInArrow(fold, dense.schema_of(slim, (id,), ["s"]))
+    merged = dense.merged(parts, (id,), ["s"])
+    return merged.select(id, F.col("n").alias("n_blocks"), F.slice("s", 1, width).alias(out), F.sqrt(F.get("s", F.lit(width))).alias(f"{out}_norm"))
+
+
 def rademacher(df: DataFrame, v: str, dim: int, width: int, seed: int = 0, out: str = "dense") -> DataFrame:
     """M3: the dense projection with signs from the hash of (row, coordinate), over the root of the width."""
     return _dense(df, v, dim, width, sign("id", seed + 1), out)

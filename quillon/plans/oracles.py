@@ -309,6 +309,6 @@ ORACLES = {
         SELECT a.i, b.i AS j, {_r('covar_samp(a.x, b.x)')} AS cov FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""",
 }
 
-from quillon.plans import method_oracles, storage_oracles  # noqa: E402  (built on the pieces above)
+from quillon.plans import method_oracles, storage_oracles, structure_oracles  # noqa: E402  (built on the pieces above)
 
-ORACLES |= method_oracles.ORACLES | storage_oracles.ORACLES
+ORACLES |= method_oracles.ORACLES | storage_oracles.ORACLES | structure_oracles.ORACLES

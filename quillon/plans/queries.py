@@ -12,10 +12,12 @@ from quillon.functions.vectors import (
 )
 from quillon.operators import batching, clustering, directions, identity, inspection, metrics, preferences, sketch
 from quillon.operators.layout import spread
+from quillon.operators.quantiles import quantiles
 from quillon.plans.registry import QUERIES, query, round_columns, union
 from quillon.plans.surrogates import (
     DIM, centroids, chat_pairs, conversations, document_pairs, logits, mean_direction, own_directions, single, sketches, table, token_logps,
 )
+from quillon.sources.tables import staged
 from quillon.streaming.incremental import pending, windowed_counts
 
 _round, _union = round_columns, union
@@ -284,8 +286,8 @@ def q33_cluster_eval(spark, sf):
 
 @query
 def q34_pairwise_cosine(spark, sf):
-    c = clustering.pair_cosines(sketches(spark, sf), "raw", "vec_id")
-    q = c.agg(F.count(F.lit(1)).alias("n"), F.avg("cos").alias("mean"), F.stddev_samp("cos").alias("std"), F.percentile("cos", [0.01, 0.25, 0.5, 0.75, 0.99]).alias("q"))
+    c = staged(clustering.pair_cosines(sketches(spark, sf), "raw", "vec_id"), "cosines")
+    q = c.agg(F.count(F.lit(1)).alias("n"), F.avg("cos").alias("mean"), F.stddev_samp("cos").alias("std")).crossJoin(F.broadcast(quantiles(c, "cos", list(clustering.PAIR_QUANTILES), out="q")))
     return _round(q.select("n", "mean", "std", *[F.get("q", F.lit(k)).alias(f"q{k}") for k in range(5)]), "mean", "std", *[f"q{k}" for k in range(5)])
 
 
@@ -459,8 +461,10 @@ def q56_mixed_loss(spark, sf):
 def q57_cluster_report(spark, sf):
     """What the report says of each cluster: size, share, median norm and the nearest other cluster."""
     s = sketches(spark, sf)
-    rows = s.groupBy(F.col("label").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.percentile("gnorm", 0.5).alias("median_norm"), F.min("gnorm").alias("low"), F.max("gnorm").alias("high"))
-    rows = rows.join(F.broadcast(inspection.nearest_other(centroids(s, "meannorm"))), "k", "left")
+    s = s.withColumnRenamed("label", "k")
+    medians = quantiles(s, "gnorm", [0.5], "k").select("k", F.get("quantiles", F.lit(0)).alias("median_norm"))
+    rows = s.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("gnorm").alias("low"), F.max("gnorm").alias("high")).join(medians, "k")
+    rows = rows.join(F.broadcast(inspection.nearest_other(centroids(s.withColumnRenamed("k", "label"), "meannorm"))), "k", "left")
     rows = rows.withColumn("ratio", F.col("high") / at_least("low")).withColumn("name", F.format_string("k%02d", F.col("k")))
     return _round(rows.select("name", "n", "median_norm", "ratio", "other", "cos"), "median_norm", "ratio", "cos")
 
@@ -482,4 +486,4 @@ def q59_covariance_whole(spark, sf):
     return _round(clustering.covariance(sketches(spark, sf), "raw", DIM), "cov")
 
 
-from quillon.plans import method_queries, storage_queries  # noqa: E402,F401  (they register their queries)
+from quillon.plans import method_queries, storage_queries, structure_queries  # noqa: E402,F401  (they register their queries)

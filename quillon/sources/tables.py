@@ -62,6 +62,13 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/quillon/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """*df* written in the shared folder and read back: it is found once, and its lineage ends there."""
+    path = workspace(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan(spark: SparkSession, path: str, name: str | None = None, fmt: str = "parquet") -> DataFrame:
     """Parquet or JSON, with the engine's schema if *name* is one of its tables."""
     reader = spark.read.format(fmt)
