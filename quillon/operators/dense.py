@@ -51,6 +51,11 @@ def sums(df: DataFrame, v: str, *keys: str, weights: dict[str, Column] | None =
     *offset* names the place of a row's first coordinate where vectors come in blocks already; a vector in one row is
     cut here.  Without *weights* the sum is called ``sum``.
     """
+    return merged(states(df, v, *keys, weights=weights, offset=offset, block=block), keys, list(weights or ["sum"]))
+
+
+def states(df: DataFrame, v: str, *keys: str, weights: dict[str, Column] | None = None, offset: str | None = None, block: int = BLOCK) -> DataFrame:
+    """What tasks send of :func:`sums`: partial sums, as many rows of a group and block as tasks have met it.  Streams have them too."""
     named = weights or {"sum": F.lit(1.0)}
     names = list(named)
     at = F.col(offset).cast("long") if offset else F.lit(0).cast("long")
@@ -81,17 +86,17 @@ def sums(df: DataFrame, v: str, *keys: str, weights: dict[str, Column] | None =
                 held[key][0] += len(part)
                 held[key][1] += w[:, part] @ x
             if cells > MOST_CELLS:
-                yield from states(held, types)
+                yield from cut(held, types)
                 held, cells = {}, 0
         if held:
-            yield from states(held, types)
+            yield from cut(held, types)
 
-    def states(held: dict, types: list) -> Iterator[pa.RecordBatch]:
+    def cut(held: dict, types: list) -> Iterator[pa.RecordBatch]:
         for key, (n, total) in held.items():
-            cut = range(0, max(1, total.shape[1]), block)
-            yield rows_of(keys, names, types, [(key[:-1], key[-1] + a, n, total[:, a : a + block]) for a in cut])
+            starts = range(0, max(1, total.shape[1]), block)
+            yield rows_of(keys, names, types, [(key[:-1], key[-1] + a, n, total[:, a : a + block]) for a in starts])
 
-    return merged(slim.mapInArrow(accumulate, schema_of(slim, keys, names)), keys, names)
+    return slim.mapInArrow(accumulate, schema_of(slim, keys, names))
 
 
 def merged(states: DataFrame, keys: tuple[str, ...], names: list[str]) -> DataFrame:

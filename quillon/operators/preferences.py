@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.vectors import let
+
 # The chat markup and the length limits.
 START, END = "<|im_start|>", "<|im_end|>"
 HEADER = START + "assistant"
@@ -92,19 +94,41 @@ def last_message(messages: str | Column, role: str | None = None) -> Column:
     return F.try_element_at(found, F.lit(-1))["content"]
 
 
+def last_match(ids: str | Column, header: list[int]) -> Column:
+    """Where the last match of *header* in *ids* ends, null without one: one pass over the ids.
+
+    The state is how much of the header the ids so far end with.  Its next value for each id of the header is a table of the
+    plan, made from the header's own prefixes; any other id leads back to nothing.
+    """
+    if not header:
+        raise ValueError("an empty header")
+    known, m = list(dict.fromkeys(header)), len(header)
+    ends = lambda seen: max(k for k in range(m + 1) if k <= len(seen) and seen[len(seen) - k :] == header[:k])
+    table = F.array(*[F.array(*[F.lit(ends(header[:k] + [x])) for x in known]) for k in range(m + 1)])
+    tokens = F.array(*[F.lit(x) for x in known])
+
+    def step(s: Column, x: Column) -> Column:
+        place = F.coalesce(F.array_position(tokens, x), F.lit(0))
+        k = F.when(place == 0, F.lit(0)).otherwise(F.get(F.get(table, s["k"]), (place - 1).cast("int")))
+        return F.struct((s["i"] + 1).alias("i"), k.alias("k"), F.when(k == m, s["i"] + 1).otherwise(s["last"]).alias("last"))
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("k"), F.lit(None).cast("int").alias("last"))
+    return F.aggregate(col(ids), start, step)["last"]
+
+
 def split_ids(ids: str | Column, header: list[int], max_len: int) -> Column:
     """(comp_start, completion_ids) at the last match of *header*; null without a match, or where it leaves no room.
 
     A chat that ends with the header has an empty completion, not a null one.
     """
     ids = col(ids)
-    n = len(header)
-    pattern = F.array(*[F.lit(h) for h in header])
-    hits = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(ids) - n)), lambda i: F.slice(ids, i + 1, n) == pattern)
-    start = F.array_max(hits) + n
-    room = F.least(F.size(ids) - start, F.lit(max_len) - start)
-    fits = (F.size(ids) <= max_len) | (room > 0)
-    return F.when(start.isNotNull() & fits, F.struct(start.alias("comp_start"), F.slice(ids, start + 1, F.greatest(room, F.lit(0))).alias("completion_ids")))
+
+    def split(start: Column) -> Column:
+        room = F.least(F.size(ids) - start, F.lit(max_len) - start)
+        fits = (F.size(ids) <= max_len) | (room > 0)
+        return F.when(start.isNotNull() & fits, F.struct(start.alias("comp_start"), F.slice(ids, start + 1, F.greatest(room, F.lit(0))).alias("completion_ids")))
+
+    return let(last_match(ids, header), split)
 
 
 def label_mask(ids: str | Column, comp_start: str | Column, ignore: int = -100) -> Column:

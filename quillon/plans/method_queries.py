@@ -49,7 +49,7 @@ def q82_resolve_names(spark, sf):
     return found.select("name", "family", "kind", "K", F.array_join("bases", ",").alias("bases"), (F.size(F.array_except("bases", have)) == 0).alias("ready"))
 
 
-def _token_weights(s):
+def token_weights(s):
     """s with a column for each weighting of its token."""
     z = logits(s).withColumn("loss", nll("z", "target")).withColumns({"p": token_probability("loss"), "squares": collision("z")})
     z = z.select("vec_id", F.lit(1.0).alias("unweighted"), norm1_weight("p").alias("weighted_norm1"), norm2_weight("p", "squares").alias("weighted_norm2"))
@@ -59,7 +59,7 @@ def _token_weights(s):
 @query
 def q83_weighted_means(spark, sf):
     """A1: the mean direction under three weightings in one pass."""
-    s = _token_weights(sketches(spark, sf))
+    s = token_weights(sketches(spark, sf))
     m = directions.weighted_means(s, "u", {w: F.col(w) for w in WEIGHTINGS}, DIM)
     long = m.select("n_averaged", F.explode(F.array(*[F.struct(F.lit(w).alias("weighting"), F.col(w).alias("v")) for w in WEIGHTINGS])).alias("x"))
     return _round(long.select("n_averaged", "x.weighting", F.posexplode("x.v").alias("i", "value")), "value")
@@ -69,7 +69,7 @@ def q83_weighted_means(spark, sf):
 def q84_direction_scores(spark, sf):
     """D6, D7, N-3: scores of directions given by name."""
     s = sketches(spark, sf)
-    w = _token_weights(s)
+    w = token_weights(s)
     named = {x: F.col(x) for x in WEIGHTINGS}
     own, mean = directions.weighted_means(w, "u", named, DIM, "idx"), directions.weighted_means(w, "u", named, DIM)
     clusters = {(kind, 10): centroids(s, kind) for kind in directions.KINDS}

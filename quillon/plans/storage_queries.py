@@ -215,6 +215,28 @@ def q77_accumulate(spark, sf):
     return _round(means.select("k", "n", F.posexplode("mean").alias("i", "value")), "value")
 
 
+@query
+def q118_state_accumulator(spark, sf):
+    """Means under three weightings whose sums live in the state store; a run that goes on, and one whose layout has changed."""
+    from quillon.plans.method_queries import WEIGHTINGS, token_weights
+
+    source, sink, checkpoint = (tables.workspace(spark, x) for x in ("in", "sums", "progress"))
+    s = token_weights(sketches(spark, sf)).select("vec_id", "label", "u", *WEIGHTINGS)
+    weights, layout = {w: F.col(w) for w in WEIGHTINGS}, [("a", 40), ("b", DIM - 40)]
+    run = lambda source, layout: incremental.accumulate_state(spark, source, s.schema, "label", "u", weights, layout, sink, checkpoint, files_per_batch=2)
+    for lot in (0, 1):
+        s.where(F.col("vec_id") % 2 == lot).repartition(3, "vec_id").write.mode("append").parquet(source)
+        sums = run(source, layout)
+    went_on = tables.staged(sums.select(F.lit("went on").alias("run"), *sums.columns), "went-on")  # the next run replaces what this reads
+    half = tables.workspace(spark, "in")
+    s.where("vec_id % 2 = 0").repartition(2, "vec_id").write.parquet(half)
+    over = run(half, [("a", DIM)])
+    both = went_on.unionByName(over.withColumn("run", F.lit("started over")))
+    each = F.array(*[F.struct(F.lit(w).alias("weighting"), F.col(w).alias("v")) for w in WEIGHTINGS])
+    long = both.select("run", "label", "n", "offset", F.explode(each).alias("w")).select("run", "label", "n", "w.weighting", F.posexplode("w.v").alias("i", "value"))
+    return _round(long.withColumn("value", F.col("value") / F.col("n")), "value")
+
+
 @query
 def q78_run_names(spark, sf):
     """What a run was told, as the tags of its name."""

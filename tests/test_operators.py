@@ -247,3 +247,17 @@ def test_fingerprint_policies(spark, tmp_path):
     assert identity.establish(moved, str(tmp_path / "f"), "name", "advisory").count() == 2
     with pytest.raises(ValueError, match="names differ"):
         identity.pinned(now, now.where("name = 'a'"), "name")
+
+
+def test_last_match_against_a_loop(spark):
+    import random
+
+    r = random.Random(4)
+    for header in ([7], [1, 1], [1, 2, 1, 3], [1, 1, 2, 1, 1], [2, 2, 2]):
+        rows = [(k, [r.choice([1, 2, 3, 7, None]) if r.random() < 0.05 else r.choice([1, 2, 1, 3, 7]) for _ in range(r.randint(0, 25))]) for k in range(200)]
+        got = {q["k"]: q["last"] for q in spark.createDataFrame(rows, "k long, ids array<int>").select("k", preferences.last_match("ids", header).alias("last")).collect()}
+        for k, ids in rows:
+            ends = [i + len(header) for i in range(len(ids) - len(header) + 1) if ids[i : i + len(header)] == header]
+            assert got[k] == (max(ends) if ends else None)
+    with pytest.raises(ValueError):
+        preferences.last_match("ids", [])

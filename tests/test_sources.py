@@ -112,3 +112,40 @@ def test_works_without_the_training_data_operators():
         "assert q and o and not any(n.startswith('op') or n == 'pipeline' for n in [*q, *o])\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_state_accumulates_over_runs_and_starts_over(spark, tmp_path):
+    import numpy as np
+
+    from quillon.streaming import incremental
+
+    x = np.random.default_rng(1).normal(size=(40, 6))
+    df = spark.createDataFrame([(i % 3, v.tolist(), i / 10) for i, v in enumerate(x)], "k long, v array<double>, w double")
+    source, sink, checkpoint = (str(tmp_path / n) for n in ("in", "sums", "progress"))
+    weights = {"one": F.lit(1.0), "w": F.col("w")}
+    run = lambda layout: {r["k"]: r for r in incremental.accumulate_state(spark, source, df.schema, "k", "v", weights, layout, sink, checkpoint, 1).collect()}
+    layout = [("a", 4), ("b", 2)]
+    for lot in (0, 1):
+        df.where(F.col("w") * 10 % 2 == lot).repartition(2).write.mode("append").parquet(source)
+        got = run(layout)
+    again = run(layout)  # nothing new: the same sums
+    for k in range(3):
+        assert got[k]["n"] == again[k]["n"] == len(x[k::3])
+        assert np.allclose(got[k]["one"], x[k::3].sum(0)) and np.allclose(again[k]["w"], (x * (np.arange(40) / 10)[:, None])[k::3].sum(0))
+    over = run([("b", 2), ("a", 4)])  # another layout: all files once more, from nothing
+    assert all(over[k]["n"] == len(x[k::3]) and np.allclose(over[k]["one"], x[k::3].sum(0)) for k in range(3))
+
+
+def test_checksums_see_lost_doubled_and_changed_rows(spark):
+    rows = [(k, None if k % 5 == 0 else float(k), [k, None], "x" * k) for k in range(50)]
+    schema = "k long, a double, b array<long>, c string"
+    df = spark.createDataFrame(rows, schema)
+    same = spark.createDataFrame(rows[::-1], schema).repartition(7)
+    assert tables.checksum(df).first() == tables.checksum(same).first() and tables.difference(df, same) == (0, 0)
+    lost, doubled = rows[1:], rows + rows[3:4]
+    changed = [*rows[:7], (7, 7.5, [7, None], "x" * 7), *rows[8:]]
+    moved_null = [(0, None, [None, 0], ""), *rows[1:]]
+    swapped = [(1, 2.0, [1, None], "x"), (2, 1.0, [2, None], "xx"), *rows[3:], rows[0]]
+    for other, want in ((lost, (1, 0)), (doubled, (0, 1)), (changed, (1, 1)), (moved_null, (1, 1)), (swapped, (2, 2))):
+        assert tables.difference(df, spark.createDataFrame(other, schema)) == want
+    assert tables.difference(df.limit(0), df.limit(0)) == (0, 0)
