@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import linededup, minhash, mixing, packing, quality
+from quillon.llm.common import quoted
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null source is a source of its own; documents without words are not drawn; repeated rows are drawn one by one;
     ties of the seeded order fall to equal rows only.  A source's last copy is cut where its target is reached.
     """
-    return mixing.training_order(docs).select(*docs.columns)
+    return mixing.training_order(docs).select(*quoted(docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,10 +133,15 @@ def prefix_sums(df: DataFrame, group: list[str], order: str, value: str, out: st
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on *keys*, null equal to null, keeping one copy of the keys."""
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    renamed = right.select(*[c.alias(f"_r_{name}") if name in keys else c for name, c in zip(right.columns, quoted(right.columns))])
     on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by names that may hold dots and back ticks."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

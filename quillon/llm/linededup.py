@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, discard, map_arrow, release, staged
+from quillon.llm.common import SPACE, discard, map_arrow, quoted, release, staged
 from quillon.llm.components import components
 from quillon.llm.hashing import Lookup, complete_groups, distinct, mix, word_hashes
 from quillon.llm.minhash import _least, _moved, met_in_groups, similar_pairs, similar_sets
@@ -404,4 +404,4 @@ def remove_lines(df: DataFrame, threshold: float = THRESHOLD, drop_emptied: bool
         out = out.withColumn("n_chars", F.when(lost, F.length("text")).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType))
     if drop_emptied:
         out = out.where(~lost | F.coalesce(F.col("text").rlike(word), F.lit(False)))
-    return out.select(*df.columns)
+    return out.select(*quoted(df.columns))

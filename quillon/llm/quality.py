@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import map_arrow, null_safe_join, staged
+from quillon.llm.common import map_arrow, null_safe_join, quoted, staged
 from quillon.llm.hashing import mix, word_hashes
 from quillon.llm.tokens import joined, slices
 
@@ -155,16 +155,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
 def with_evidence(docs: DataFrame, model: Classifier, text: str = "text", out: str = "evidence") -> DataFrame:
     """*docs*, all columns, with the log-odds that each document's own text gives."""
     names = docs.columns
+    plain = [f"_{k}" for k in range(len(names) + 1)]  # mapInArrow takes no names with dots
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(names.index(text))
             for a, b in slices(texts):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.evidence(features(texts.slice(a, b - a))))], names=[*names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.evidence(features(texts.slice(a, b - a))))], names=plain)
 
-    schema = docs.withColumn(out, F.lit(0.0)).schema
-    return docs.transform(map_arrow, rows, schema)
+    renamed = docs.toDF(*plain[:-1])
+    return renamed.transform(map_arrow, rows, renamed.withColumn(plain[-1], F.lit(0.0)).schema).toDF(*names, out)
 
 
 def _strength(groups: DataFrame, rate, n) -> float:
@@ -232,4 +233,4 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are kept, with the columns they came with."""
-    return score(docs, labels, **options).where("_quillon_kept").select(*docs.columns)
+    return score(docs, labels, **options).where("_quillon_kept").select(*quoted(docs.columns))

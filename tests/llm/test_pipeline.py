@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql.functions import lit
+
 import corpus_pipeline as pipeline
 from tests.llm.fixtures import empty, table
 from tests.llm.test_linededup import brute as lines_brute
@@ -46,3 +48,15 @@ def test_stages_on_odd_tables(spark, tmp_path):
                 texts = {r["doc_id"]: r["text"] for r in docs.collect()}
                 assert 0 in texts and not {1, 50} & set(texts)  # copies lost their last word, and no blank rest stays
         assert (docs.count() > 0) == (k == 0)
+
+
+def test_stages_keep_columns_with_dots(spark, tmp_path):
+    docs = table(spark).withColumn("a.b", lit(1)).withColumn("c d.e", lit("x"))
+    columns = docs.columns
+    for name, stage in pipeline.STAGES:
+        path = str(tmp_path / name)
+        stage(spark, docs, SF).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if name != "packing":
+            assert docs.columns == columns
+    assert docs.count() > 0
