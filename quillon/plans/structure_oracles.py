@@ -13,7 +13,7 @@ from quillon.plans.oracles import _CU, _LAB, _S, _compare, _cos, _hash, _norm, _
 _FACTOR = "pow(0.85::DOUBLE, j % 64) * (1 + (j * 31 % 97) / 97.0::DOUBLE)"
 
 
-def _wide(n: int = 1000) -> str:
+def _wide(n: int = 128) -> str:
     """y: for each vector the 64 coordinates whose inner products are those of the long vectors; ms: the columns' squares."""
     return f"""ms AS (SELECT j % 64 AS i, sum(pow({_FACTOR}, 2.0::DOUBLE)) AS m FROM range({n}) t(j) GROUP BY 1),
 ml AS (SELECT list(sqrt(m) ORDER BY i) AS ml FROM ms),
@@ -70,14 +70,14 @@ ORACLES: dict[str, str] = {
         g AS (SELECT sign(a) AS ga, sign(b) AS gb FROM q ORDER BY vec_id LIMIT 1)
         SELECT vec_id, label, {_r('a * ga')} AS pc1, {_r('b * gb')} AS pc2, (SELECT {_r('lam / trace')} FROM e1, tr) AS share1, (SELECT {_r('lam / trace')} FROM e2, tr) AS share2 FROM q, g""",
     "q110_block_means": f"""WITH {_S}, x AS (SELECT label, gnorm, unnest(raw) AS x, generate_subscripts(raw, 1) - 1 AS i FROM r), m AS (SELECT label, i, count(*) AS n, avg(x) AS plain, avg(gnorm * x) AS by_norm FROM x GROUP BY label, i),
-        w AS (SELECT label, n, i, 'plain' AS weighting, plain AS m FROM m UNION ALL SELECT label, n, i, 'by_norm', by_norm FROM m), c AS (SELECT j, j % 64 AS i, {_FACTOR} AS f FROM range(20000) t(j))
-        SELECT label, j // 4096 * 4096 AS "offset", any_value(n) AS n, weighting, count(*)::INT AS numel, {_r('sum(m * f)')} AS total, {_r('sum(pow(m * f, 2.0::DOUBLE))')} AS squares, {_r('min_by(m * f, j)')} AS first FROM w JOIN c USING (i) GROUP BY label, weighting, j // 4096""",
-    "q111_wide_centroids": f"""WITH {_S}, {_wide()}, x AS (SELECT label, unnest(raw) AS x, generate_subscripts(raw, 1) - 1 AS i, {_norm('y')} AS size FROM y), m AS (SELECT label, i, count(*) AS n, avg(x) AS a, avg(x / size) AS b FROM x GROUP BY label, i),
-        c AS (SELECT j, j % 64 AS i, {_FACTOR} AS f FROM range(1000) t(j)) SELECT 'mean' AS kind, label, n AS n_averaged, j AS i, {_r('a * f')} AS value FROM m JOIN c USING (i) UNION ALL SELECT 'meannorm', label, n, j, {_r('b * f')} FROM m JOIN c USING (i)""",
-    "q112_block_sketch": f"""WITH {_S}, h0 AS (SELECT j, {_H1} AS h FROM range(20000) t(j)), h1 AS (SELECT j, (xor(h, h >> 15) * 1540483477) & 4294967295 AS h FROM h0), h AS (SELECT j, xor(h, h >> 15) AS h FROM h1),
-        c AS (SELECT h % 64 AS b, j % 64 AS i, sum((CASE WHEN h >> 31 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) * {_FACTOR}) AS f FROM h GROUP BY 1, 2), q AS (SELECT j % 64 AS i, sum(pow({_FACTOR}, 2.0::DOUBLE)) AS m FROM range(20000) t(j) GROUP BY 1),
+        w AS (SELECT label, n, i, 'plain' AS weighting, plain AS m FROM m UNION ALL SELECT label, n, i, 'by_norm', by_norm FROM m), c AS (SELECT j, j % 64 AS i, {_FACTOR} AS f FROM range(2048) t(j))
+        SELECT label, j // 512 * 512 AS "offset", any_value(n) AS n, weighting, count(*)::INT AS numel, {_r('sum(m * f)')} AS total, {_r('sum(pow(m * f, 2.0::DOUBLE))')} AS squares, {_r('min_by(m * f, j)')} AS first FROM w JOIN c USING (i) GROUP BY label, weighting, j // 512""",
+    "q111_wide_centroids": f"""WITH {_S}, {_wide(320)}, x AS (SELECT label, unnest(raw) AS x, generate_subscripts(raw, 1) - 1 AS i, {_norm('y')} AS size FROM y), m AS (SELECT label, i, count(*) AS n, avg(x) AS a, avg(x / size) AS b FROM x GROUP BY label, i),
+        c AS (SELECT j, j % 64 AS i, {_FACTOR} AS f FROM range(320) t(j)) SELECT 'mean' AS kind, label, n AS n_averaged, j AS i, {_r('a * f')} AS value FROM m JOIN c USING (i) UNION ALL SELECT 'meannorm', label, n, j, {_r('b * f')} FROM m JOIN c USING (i)""",
+    "q112_block_sketch": f"""WITH {_S}, h0 AS (SELECT j, {_H1} AS h FROM range(2048) t(j)), h1 AS (SELECT j, (xor(h, h >> 15) * 1540483477) & 4294967295 AS h FROM h0), h AS (SELECT j, xor(h, h >> 15) AS h FROM h1),
+        c AS (SELECT h % 64 AS b, j % 64 AS i, sum((CASE WHEN h >> 31 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) * {_FACTOR}) AS f FROM h GROUP BY 1, 2), q AS (SELECT j % 64 AS i, sum(pow({_FACTOR}, 2.0::DOUBLE)) AS m FROM range(2048) t(j) GROUP BY 1),
         x AS (SELECT vec_id, unnest(raw) AS x, generate_subscripts(raw, 1) - 1 AS i FROM r), z AS (SELECT vec_id, b, sum(x * f) AS value FROM x JOIN c USING (i) GROUP BY vec_id, b), n AS (SELECT vec_id, sqrt(sum(x * x * m)) AS size FROM x JOIN q USING (i) GROUP BY vec_id)
-        SELECT vec_id, 5 AS n_blocks, {_r('size')} AS sketch_norm, g.b, {_r('coalesce(value, 0)')} AS value FROM n CROSS JOIN range(64) g(b) LEFT JOIN z USING (vec_id, b)""",
+        SELECT vec_id, 4 AS n_blocks, {_r('size')} AS sketch_norm, g.b, {_r('coalesce(value, 0)')} AS value FROM n CROSS JOIN range(64) g(b) LEFT JOIN z USING (vec_id, b)""",
     "q113_inspection_report": f"""WITH {_S}, {_LAB}, tx AS (SELECT doc_id AS vec_id, left(text, length(text) // 4) AS prompt, substr(text, length(text) // 4 + 1) AS chosen, left(text, length(text) // 2) AS rejected FROM documents WHERE text IS NOT NULL),
         l AS (SELECT label, ln(greatest(length(chosen), 1)::DOUBLE) AS lc, ln(greatest(gnorm, 1)::DOUBLE) AS lg, ln(greatest(length(prompt), 1)::DOUBLE) AS lp, length(chosen) AS n_chosen FROM s JOIN tx USING (vec_id)),
         w AS (SELECT label, unnest(regexp_extract_all(lower(chosen), '{_TERM}')) AS term FROM s JOIN tx USING (vec_id)), c AS (SELECT label, term, count(*) AS c FROM w WHERE length(term) > 2 AND term NOT IN ({', '.join(f"'{x}'" for x in STOPWORDS)}) GROUP BY label, term),

@@ -11,8 +11,8 @@ from quillon.plans.registry import query, round_columns as _round
 from quillon.plans.surrogates import centroids, sketches, table
 from quillon.sources import tables
 
-#: Coordinates of a vector in one row, of one in blocks, and of its blocks.
-WIDE, LONG, BLOCK = 1000, 20_000, 4096
+#: Coordinates of a vector for components, of one whose mean is a dense state, of one in blocks, and of its blocks.
+WIDE, DENSE, LONG, BLOCK = 128, 320, 2048, 512
 #: Each coordinate of a short vector fades by this factor from one to the next, so that components differ in variance.
 FADE = 0.85
 
@@ -23,9 +23,9 @@ def _coordinates(first, last):
     return let(F.col("raw"), lambda raw: F.transform(F.sequence(first, last), lambda j: one(raw, j)))
 
 
-def wide(s):
-    """s with x: WIDE coordinates in one row."""
-    return s.withColumn("x", _coordinates(F.lit(0), F.lit(WIDE - 1)))
+def wide(s, n=WIDE):
+    """s with x: *n* coordinates in one row."""
+    return s.withColumn("x", _coordinates(F.lit(0), F.lit(n - 1)))
 
 
 def long_blocks(s):
@@ -36,7 +36,7 @@ def long_blocks(s):
 
 @query
 def q108_structure_diagnostic(spark, sf):
-    """Cosines of pairs and to the mean direction, principal shares at a thousand dimensions, and the advice that follows."""
+    """Cosines of pairs and to the mean direction, principal shares, and the advice that follows."""
     s = layout.spread(wide(sketches(spark, sf)).select("vec_id", "x"))
     d = clustering.diagnose(s, "x", "vec_id", WIDE, top=4)
     out = d.select("mean_cos", "std_cos", *[F.get("quantiles", F.lit(k)).alias(f"q{k}") for k in range(5)], "mean_dir_mean", "mean_dir_min", *[F.get("pc_shares", F.lit(k)).alias(f"share{k + 1}") for k in range(4)], "pc_cumulative", "advice")
@@ -45,7 +45,7 @@ def q108_structure_diagnostic(spark, sf):
 
 @query
 def q109_principal_points(spark, sf):
-    """Every point on the two leading axes of a thousand dimensions, and the axes' shares.
+    """Every point on the two leading axes, and the axes' shares.
 
     An axis has no direction of its own: here the point of the least id lies on the positive side.
     """
@@ -70,10 +70,10 @@ def q110_block_means(spark, sf):
 
 @query
 def q111_wide_centroids(spark, sf):
-    """Cluster means of a thousand dimensions, of vectors and of unit vectors, through the operator that directions use."""
-    s = layout.spread(wide(sketches(spark, sf)).select("label", "x"))
+    """Cluster means of vectors too long for a column each in the plan, of vectors and of unit vectors, through the operator that directions use."""
+    s = layout.spread(wide(sketches(spark, sf), DENSE).select("label", "x"))
     units = s.withColumn("x", unit("x"))
-    kinds = [directions.vector_mean(v, "x", WIDE, "label").withColumn("kind", F.lit(k)) for v, k in ((s, "mean"), (units, "meannorm"))]
+    kinds = [directions.vector_mean(v, "x", DENSE, "label").withColumn("kind", F.lit(k)) for v, k in ((s, "mean"), (units, "meannorm"))]
     out = kinds[0].unionByName(kinds[1]).select("kind", "label", "n_averaged", F.posexplode("center").alias("i", "value"))
     return _round(out, "value")
 
