@@ -76,6 +76,16 @@ def method(df: DataFrame, name: str, *keys: str, out: str = "w") -> DataFrame:
     return df.withColumn("_raw", formula(kind)).withColumn(out, normalised("_raw", norm, *keys)).drop("_raw")
 
 
+def methods(df: DataFrame, names: list[str], *keys: str, out: str = "w", name: str = "method") -> DataFrame:
+    """A row for every row of *df* and every method, in one pass: formulas are columns, and all norms share one window's sort."""
+    kinds = [lookup(METHODS, n) for n in names]
+    df = df.withColumns({f"_raw_{kind}": formula(kind) for kind, _ in kinds})
+    df = df.withColumns({f"_w_{i}": normalised(f"_raw_{kind}", norm, *keys) for i, (kind, norm) in enumerate(kinds)})
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias(name), F.col(f"_w_{i}").alias(out)) for i, n in enumerate(names)]))
+    kept = [c for c in df.columns if not c.startswith(("_raw_", "_w_"))]
+    return df.select(*kept, each.alias("_x")).select(*kept, f"_x.{name}", f"_x.{out}")
+
+
 def sum_mode(df: DataFrame, mode: str, *keys: str, w: str = "w", reward: str = "r", mask: str = "is_completion", out: str = "wm") -> DataFrame:
     """Weights rescaled within *keys* over completion tokens (SM1-SM5); other tokens weigh 0."""
     lookup(SUM_MODES, mode)

@@ -155,3 +155,48 @@ def direction_scores(
     cosines = [cosine(d, g_norm, norm(c)) for d, c in zip(dots, vectors)]
     most = lambda xs: xs[0] if len(xs) == 1 else F.greatest(*xs)
     return tokens.withColumns({"dot": most(dots), "cos": most(cosines)}).drop(*vectors)
+
+
+def named_scores(
+    names: list[str], tokens: DataFrame, own: DataFrame, mean: DataFrame, clusters: dict[tuple[str, int], DataFrame], key: str, v: str, g_norm: str,
+    dot_scale_mode: str = "unit", cluster_base: str = "unweighted", out: str = "direction",
+) -> DataFrame:
+    """:func:`direction_scores` of many names in one plan: a row (tokens' columns, *out*, dot, cos) for each token and name.
+
+    The tokens meet their own vectors by one join and the means and centroids as broadcast rows; each vector's dot is one column,
+    whatever number of names looks at it.
+    """
+    specs = {name: resolve(name) for name in names}
+    weighting = lambda name: name.partition("_")[2]
+    with_own = {cluster_base if s["family"] == "maxclu" else weighting(n) for n, s in specs.items() if s["family"] in ("single", "max", "maxclu")}
+    with_mean = {weighting(n) for n, s in specs.items() if s["family"] in ("aggregated", "max")}
+    tables = sorted({(s["kind"], s["K"]) for s in specs.values() if s["K"] is not None})
+    if missing := [t for t in tables if clusters.get(t) is None]:
+        raise ValueError(f"no centroids for {missing}")
+    kept, scored, columns = tokens.columns, tokens, {}
+    if with_own:
+        scored = scored.join(own.select(key, *[F.col(w).alias(f"_o_{w}") for w in sorted(with_own)]), key)
+    if with_mean:
+        scored = scored.crossJoin(F.broadcast(mean.select(*[F.col(w).alias(f"_m_{w}") for w in sorted(with_mean)])))
+    for side, found in (("o", with_own), ("m", with_mean)):
+        for w in found:
+            columns |= {f"_d{side}_{w}": dot(v, f"_{side}_{w}"), f"_n{side}_{w}": norm(f"_{side}_{w}")}
+    for i, table in enumerate(tables):
+        scored = scored.crossJoin(F.broadcast(centroid_array(clusters[table], factor=dot_scale(dot_scale_mode, norm("center"), F.lit(1.0))).withColumnRenamed("_centroids", f"_c_{i}")))
+        dots = F.transform(f"_c_{i}", lambda c: F.struct((dot(F.col(v), c["center"]) * c["factor"]).alias("dot"), (dot(F.col(v), c["center"]) / (c["norm"] * at_least(g_norm))).alias("cos")))
+        columns[f"_s_{i}"] = dots
+    scored = scored.withColumns(columns)
+
+    def score(name: str) -> Column:
+        s, parts = specs[name], []
+        if s["K"] is not None:
+            i = tables.index((s["kind"], s["K"]))
+            parts.append((F.array_max(F.col(f"_s_{i}")["dot"]), F.array_max(F.col(f"_s_{i}")["cos"])))
+        for side, used in (("o", s["family"] in ("single", "max", "maxclu")), ("m", s["family"] in ("aggregated", "max"))):
+            if used:
+                w = cluster_base if s["family"] == "maxclu" else weighting(name)
+                parts.append((F.col(f"_d{side}_{w}"), cosine(f"_d{side}_{w}", g_norm, f"_n{side}_{w}")))
+        most = lambda xs: xs[0] if len(xs) == 1 else F.greatest(*xs)
+        return F.struct(F.lit(name).alias(out), most([d for d, _ in parts]).alias("dot"), most([c for _, c in parts]).alias("cos"))
+
+    return scored.select(*kept, F.explode(F.array(*[score(n) for n in names])).alias("_x")).select(*kept, f"_x.{out}", "_x.dot", "_x.cos")

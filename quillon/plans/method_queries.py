@@ -74,8 +74,8 @@ def q84_direction_scores(spark, sf):
     own, mean = directions.weighted_means(w, "u", named, DIM, "idx"), directions.weighted_means(w, "u", named, DIM)
     clusters = {(kind, 10): centroids(s, kind) for kind in directions.KINDS}
     tokens = s.select("idx", "t", "raw", norm("raw").alias("g_norm"))
-    each = [directions.direction_scores(n, tokens, own, mean, clusters, "idx", "raw", "g_norm").select(F.lit(n).alias("direction"), "idx", "t", "dot", "cos") for n in NAMES]
-    return _round(weights.with_scores(_union(each), "direction", "idx", p="dot"), "dot", "cos", "pn")
+    scored = directions.named_scores(list(NAMES), tokens, own, mean, clusters, "idx", "raw", "g_norm").select("direction", "idx", "t", "dot", "cos")
+    return _round(weights.with_scores(scored, "direction", "idx", p="dot"), "dot", "cos", "pn")
 
 
 @query
@@ -184,7 +184,7 @@ def q96_sketch_self_test(spark, sf):
 def q97_weight_methods(spark, sf):
     """N-2: every named pair of formula and normalisation."""
     s = single(sketches(spark, sf)).select("idx", "t", F.col("cos").alias("c"), F.col("dot").alias("p"), "pn")
-    return _round(_union([weights.method(s, m, "idx").select("idx", "t", F.lit(m).alias("method"), "w") for m in weights.METHODS]), "w")
+    return _round(weights.methods(s, list(weights.METHODS), "idx").select("idx", "t", "method", "w"), "w")
 
 
 @query

@@ -232,6 +232,12 @@ def test_direction_names_build_plans(spark):
     assert got("max_unweighted") == [(1.0, pytest.approx(0.5**0.5)), (6.0, 1.0)]
     assert got("clusteronly_mean_K1") == [(1.0, 1.0), (0.0, 0.0)]
     assert got("maxclu_mean_K1") == [(1.0, 1.0), (2.0, pytest.approx(0.5**0.5))]
+    names = ["single_unweighted", "max_unweighted", "clusteronly_mean_K1", "maxclu_mean_K1", "aggregated_unweighted"]
+    many = directions.named_scores(names, tokens, own, mean, clusters, "idx", "v", "g").collect()
+    for n in names:
+        assert sorted((r["t"], r["dot"], r["cos"]) for r in many if r["direction"] == n) == [(t, d, c) for t, (d, c) in enumerate(got(n))]
+    with pytest.raises(ValueError, match="no centroids"):
+        directions.named_scores(["clusteronly_mean_K2"], tokens, own, mean, clusters, "idx", "v", "g")
     with pytest.raises(ValueError, match="no centroids"):
         got("clusteronly_mean_K2")
     with pytest.raises(ValueError, match="unknown direction"):
