@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from quillon.functions.hashing import hash32
-from quillon.functions.vectors import at_least, cosine, norm
+from quillon.functions.vectors import at_least, cosine, dot, norm
 from quillon.operators import directions, identity, inspection, preferences
 from quillon.plans.registry import query, round_columns as _round, union as _union
 from quillon.plans.surrogates import DIM, centroids, chat_pairs, mean_direction, own_directions, sketches, table
@@ -237,6 +237,18 @@ def q118_state_accumulator(spark, sf):
     return _round(long.withColumn("value", F.col("value") / F.col("n")), "value")
 
 
+@query
+def q119_bucketed_lookups(spark, sf):
+    """Tokens, their examples' directions and norms, written by id once and looked up by id without a shuffle."""
+    s = sketches(spark, sf)
+    tokens = tables.write_bucketed(s.select("idx", "t", "raw"), "idx", 16, "tokens")
+    own = tables.write_bucketed(own_directions(s).select("idx", "center"), "idx", 16, "own")
+    norms = tables.write_bucketed(s.groupBy("idx").agg(F.max("gnorm").alias("top")), "idx", 16, "norms")
+    both = tables.lookup(spark, tokens, own, "idx")
+    met = both.join(spark.table(norms).hint("merge"), "idx")
+    return _round(met.select("idx", "t", dot("raw", "center").alias("dot"), (dot("raw", "center") / at_least("top")).alias("scaled")), "dot", "scaled")
+
+
 @query
 def q78_run_names(spark, sf):
     """What a run was told, as the tags of its name."""

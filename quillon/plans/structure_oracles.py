@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from quillon.operators.inspection import STOPWORDS
 from quillon.plans.method_oracles import _TW
-from quillon.plans.oracles import _CU, _LAB, _S, _compare, _cos, _hash, _norm, _r
+from quillon.plans.oracles import _CU, _LAB, _OWN, _S, _compare, _cos, _hash, _norm, _r
 
 _FACTOR = "pow(0.85::DOUBLE, j % 64) * (1 + (j * 31 % 97) / 97.0::DOUBLE)"
 
@@ -96,6 +96,8 @@ ORACLES: dict[str, str] = {
             row_number() OVER (PARTITION BY event_type ORDER BY cents, event_id) - 1 AS place FROM e""",
     "q116_huge_channel": f"""WITH x AS (SELECT lpad(l_orderkey::VARCHAR, 12, '0') || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS i, CASE WHEN l_orderkey % 100 = 0 THEN 'small' ELSE 'huge' END AS channel, l_extendedprice AS ref,
         l_extendedprice * (1 + l_quantity / 10000) AS got FROM lineitem) {_compare('x', 'channel')}""",
+    "q119_bucketed_lookups": f"""WITH {_S}, {_OWN}, n AS (SELECT idx, max(gnorm) AS top FROM s GROUP BY idx)
+        SELECT idx, t, {_r('list_dot_product(raw, c)')} AS dot, {_r('list_dot_product(raw, c) / greatest(top, 1e-12)')} AS scaled FROM r JOIN own USING (idx) JOIN n USING (idx)""",
     "q118_state_accumulator": f"""WITH {_S}, {_TW}, w AS (SELECT vec_id, label, unnest(u) AS x, generate_subscripts(u, 1) - 1 AS i, w0, w1, w2 FROM tw),
         g AS (SELECT 'went on' AS run, label, i, count(*) AS n, avg(w0 * x) AS m0, avg(w1 * x) AS m1, avg(w2 * x) AS m2 FROM w GROUP BY label, i UNION ALL
             SELECT 'started over', label, i, count(*), avg(w0 * x), avg(w1 * x), avg(w2 * x) FROM w WHERE vec_id % 2 = 0 GROUP BY label, i)

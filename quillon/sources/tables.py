@@ -187,6 +187,23 @@ def rechunk(df: DataFrame, path: str, max_rows: int, files: int, key: str = "idx
         raise ValueError(f"{missing} rows are missing and {extra} are new after the rewrite")
 
 
+def write_bucketed(df: DataFrame, key: str, buckets: int, name: str = "artefact") -> str:
+    """An artefact laid down by *key* once, so that later lookups by it move nothing; returns the table's name.
+
+    One file a bucket, sorted by key.  Tables that are to meet need the same number of buckets, chosen for the largest of them.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    spread = df.repartition(buckets, key)  # the writer's own hash: each task holds one bucket
+    spread.write.bucketBy(buckets, key).sortBy(key).option("path", workspace(spark, name)).saveAsTable(table)
+    return table
+
+
+def lookup(spark: SparkSession, left: str, right: str, key: str, how: str = "inner") -> DataFrame:
+    """Two bucketed tables by *key*, each bucket with its counterpart, without an exchange on either side."""
+    return spark.table(left).hint("merge").join(spark.table(right).hint("merge"), key, how)
+
+
 def checksum(df: DataFrame) -> DataFrame:
     """One row that tells multisets of rows apart, whatever their order: the count and sums of two wide hashes of each row.
 

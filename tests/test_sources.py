@@ -149,3 +149,19 @@ def test_checksums_see_lost_doubled_and_changed_rows(spark):
     for other, want in ((lost, (1, 0)), (doubled, (0, 1)), (changed, (1, 1)), (moved_null, (1, 1)), (swapped, (2, 2))):
         assert tables.difference(df, spark.createDataFrame(other, schema)) == want
     assert tables.difference(df.limit(0), df.limit(0)) == (0, 0)
+
+
+def test_bucketed_lookups_move_nothing(spark):
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    a = spark.range(500).select((F.col("id") % 40).alias("idx"), F.col("id").alias("x"))
+    b = spark.range(40).select(F.col("id").alias("idx"), (F.col("id") * 2).alias("y"))
+    left, right = (tables.write_bucketed(df, "idx", 8) for df in (a, b))
+    met = tables.lookup(spark, left, right, "idx")
+    plan = StringIO()
+    with redirect_stdout(plan):
+        met.explain()
+    assert "SortMergeJoin" in plan.getvalue() and "Exchange" not in plan.getvalue()
+    assert sorted(map(tuple, met.collect())) == sorted((i % 40, i, i % 40 * 2) for i in range(500))
+    assert len(spark.table(left).inputFiles()) <= 8
