@@ -38,7 +38,9 @@ RANGE_CHARS = 64
 #: A file image is closed at the first document end after so many ids.
 BLOCK_IDS = 1 << 20
 RANK_STEP = 512
+#: What a document without an id has in its place; how many there are says the head of an image, as they come first.
 NULL_ID = -(1 << 63)
+_HEAD = "<4sIQQQQ"
 
 BLOCKS = "part long, block long, first_doc long, n_docs long, n_ids long, image binary"
 ROWS = "part long, block long, doc_id long, local long, n_tokens long, ids_crc32 long"
@@ -58,9 +60,10 @@ def encode_levels(ids: np.ndarray) -> list[bytes]:
             return out
 
 
-def encode_image(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> bytes:
+def encode_image(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, n_null: int = 0) -> bytes:
+    """An image of documents in order, the first *n_null* of which have no id."""
     levels = encode_levels(ids)
-    head = struct.pack("<4sIQQQ", b"QDAC", 1, len(doc_ids), len(ids), len(levels))
+    head = struct.pack(_HEAD, b"QDAC", 2, len(doc_ids), n_null, len(ids), len(levels))
     return head + doc_ids.astype("<i8").tobytes() + starts.astype("<u8").tobytes() + b"".join(levels)
 
 
@@ -68,10 +71,10 @@ class TokenImage:
     """A file image: random access to ids, and whole documents."""
 
     def __init__(self, image: bytes):
-        magic, version, n_docs, self.n_ids, n_levels = struct.unpack_from("<4sIQQQ", image)
-        if magic != b"QDAC" or version != 1:
+        magic, version, n_docs, self.n_null, self.n_ids, n_levels = struct.unpack_from(_HEAD, image)
+        if magic != b"QDAC" or version != 2:
             raise ValueError("not a token-id image")
-        at = struct.calcsize("<4sIQQQ")
+        at = struct.calcsize(_HEAD)
         self.doc_ids = np.frombuffer(image, "<i8", n_docs, at)
         self.starts = np.frombuffer(image, "<u8", n_docs + 1, at + 8 * n_docs).astype(np.int64)
         at += 8 * (2 * n_docs + 1)
@@ -120,26 +123,28 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str | None = None, e
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block = TaskContext.get().partitionId(), 0
-        doc_ids, lens, held, size = [], [], [], 0
+        doc_ids, lens, held, size, n_null = [], [], [], 0, 0
 
         def image() -> pa.RecordBatch:
             d, starts = np.concatenate(doc_ids), np.concatenate([[0], np.cumsum(np.concatenate(lens))])
-            row = [part, block, int(d[0]), len(d), size, encode_image(d, starts, np.concatenate(held))]
+            row = [part, block, int(d[0]), len(d), size, encode_image(d, starts, np.concatenate(held), n_null)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64()] * 5 + [pa.binary()])], names=BLOCKS.replace(",", "").split()[::2])
 
         for rows, ids, ends in documents_ids(batches, vocabulary, end_id):
             key = rows.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            known = rows.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             at = 0
             while at < len(key):
                 end = min(len(key), max(at + 1, int(np.searchsorted(ends, ends[at] + block_ids - size, "left"))))
                 doc_ids.append(key[at:end])
+                n_null += int((~known[at:end]).sum())
                 lens.append(np.diff(ends[at : end + 1]))
                 held.append(ids[ends[at] : ends[end]])
                 size += int(ends[end] - ends[at])
                 at = end
                 if size >= block_ids:
                     yield image()
-                    doc_ids, lens, held, size, block = [], [], [], 0, block + 1
+                    doc_ids, lens, held, size, n_null, block = [], [], [], 0, 0, block + 1
         if doc_ids:
             yield image()
 
@@ -157,7 +162,7 @@ def read_token_files(df: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(s[:-1].tolist(), s[1:].tolist())]
                 n = len(crc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part)), pa.array(np.full(n, block)), pa.array(image.doc_ids, mask=image.doc_ids == NULL_ID), pa.array(s[:-1]), pa.array(np.diff(s)), pa.array(crc, pa.int64())],
+                    [pa.array(np.full(n, part)), pa.array(np.full(n, block)), pa.array(image.doc_ids, mask=np.arange(n) < image.n_null), pa.array(s[:-1]), pa.array(np.diff(s)), pa.array(crc, pa.int64())],
                     names=ROWS.replace(",", "").split()[::2],
                 )
 

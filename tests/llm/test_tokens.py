@@ -115,3 +115,9 @@ def test_plan_is_as_good_as_best_fit_on_documents(seed):
     slots = packing.plan(counts, capacity)
     assert len({f + k for _, a, b, f, _ in slots for k in range(b - a)}) <= best_fit_decreasing(lengths, capacity) + 1
     assert sum(b - a for _, a, b, _, _ in slots) == len(lengths)
+
+
+def test_least_id_is_no_null(spark):
+    rows = [(-(2**63), "the least"), (None, "none"), (None, "none"), (2**63 - 1, "the greatest"), (0, None)]
+    got = token_files.token_files(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, -(2**63), 0, 2**63 - 1]
