@@ -419,12 +419,12 @@ def spans(found: bytes | None, doc: int) -> np.ndarray:
 
 
 def repeated_windows_of(df: DataFrame) -> DataFrame:
-    """doc (the id, the last one for null), first, text and ``found``, the marked windows of first copies; see :func:`spans`.
+    """doc (the id, the last one for null), known (whether it has one), first, text and ``found``, the marked windows of first copies; see :func:`spans`.
 
     Copies of a whole text are one text: *first* is the least id that has it, and all others lose everything.
     """
     spark = df.sparkSession
-    docs = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), text_or_empty().alias("text"))
+    docs = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.col("doc_id").isNotNull().alias("known"), text_or_empty().alias("text"))
     docs = docs.withColumn("hash", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -451,13 +451,13 @@ def repeated_windows_of(df: DataFrame) -> DataFrame:
     found = staged(firsts.join(found, "hash", "left"), "first-marks")
     del dealt, marks
     release(spark)
-    return of_texts(found).select("doc", "first", "text", "found")
+    return of_texts(found).select("doc", "known", "first", "text", "found")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, first, text, found in zip(batch.column("doc").to_pylist(), batch.column("first").to_pylist(), batch.column("text"), batch.column("found").to_pylist()):
+        for doc, known, first, text, found in zip(batch.column("doc").to_pylist(), batch.column("known").to_pylist(), batch.column("first").to_pylist(), batch.column("text"), batch.column("found").to_pylist()):
             data = bytes(text.as_buffer())
             runs = spans(found, doc) if doc == first else np.array([[0, len(data)]] if len(data) >= LENGTH else [], np.int64).reshape(-1, 2)
             kept, at = [], 0
@@ -465,7 +465,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(data[at:a])
                 at = b
             kept = b"".join([*kept, data[at:]])
-            rows.append((None if doc == LAST_ID else doc, len(data), len(data) - len(kept), len(runs), kept))
+            rows.append((doc if known else None, len(data), len(data) - len(kept), len(runs), kept))
         columns = list(zip(*rows)) if rows else [[]] * 5
         kinds = [pa.int64()] * 4 + [pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])

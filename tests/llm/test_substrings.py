@@ -71,3 +71,10 @@ def test_transform_against_sorting(seed, monkeypatch):
         common = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert lcp[k] == common
     assert all(bwt[k] == strings[o][f - 1] for k, (o, f) in enumerate(zip(owner, offset)) if f)
+
+
+def test_greatest_id_is_no_null(spark):
+    text = "a passage of well over fifty bytes that comes in both of these documents"
+    rows = [(2**63 - 1, text + " x"), (-(2**63), text), (None, text + " y")]
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2**63 - 1: len(text), -(2**63): 0, None: len(text)}
