@@ -15,7 +15,7 @@ from quillon.operators.layout import spread
 from quillon.operators.quantiles import quantiles
 from quillon.plans.registry import QUERIES, query, round_columns, union
 from quillon.plans.surrogates import (
-    DIM, centroids, chat_pairs, conversations, document_pairs, logits, mean_direction, own_directions, single, sketches, table, token_logps,
+    DIM, centroids, chat_pairs, conversations, document_pairs, logits, mean_direction, own_directions, single, sketches, table, token_logps, weighted_tokens,
 )
 from quillon.sources.tables import staged
 from quillon.streaming.incremental import pending, windowed_counts
@@ -110,8 +110,7 @@ def q10_weight_norms(spark, sf):
 
 
 def _weighted_tokens(s):
-    w = single(s).select("idx", "t", weights.formula("sigmoid_dot", "cos", "dot", "pn").alias("w"))
-    return token_logps(s).join(w, ["idx", "t"]).withColumn("r", F.col("logp") - F.col("ref_logp"))
+    return weighted_tokens(s, weights.formula("sigmoid_dot", "cos", "dot", "pn"))
 
 
 @query

@@ -49,18 +49,32 @@ def aggregated(s: DataFrame) -> DataFrame:
     return aggregated_scores(s.withColumn("g_norm", norm("raw")), mean_direction(s), "raw", "g_norm")
 
 
-def logits(s: DataFrame) -> DataFrame:
-    """vec_id, idx, t, z, ref_z, target, pair_id, side, is_completion."""
+def _logit_columns() -> dict:
     z = F.transform(F.slice("u", 1, LOGITS), lambda x: x * 4.0)
     ref = F.transform(F.slice("u", LOGITS + 1, LOGITS), lambda x: x * 4.0)
-    return s.select(
-        "vec_id", "idx", "t", "label", "u", z.alias("z"), ref.alias("ref_z"), F.col("label").alias("target"), F.floor(F.col("idx") / 2).alias("pair_id"),
-        F.when(F.pmod("idx", F.lit(2)) == 0, "c").otherwise("r").alias("side"), (F.col("t") >= 2).alias("is_completion"),
-    )
+    return {
+        "z": z, "ref_z": ref, "target": F.col("label"), "pair_id": F.floor(F.col("idx") / 2),
+        "side": F.when(F.pmod("idx", F.lit(2)) == 0, "c").otherwise("r"), "is_completion": F.col("t") >= 2,
+    }
+
+
+def logits(s: DataFrame) -> DataFrame:
+    """vec_id, idx, t, z, ref_z, target, pair_id, side, is_completion."""
+    return s.select("vec_id", "idx", "t", "label", "u", *[c.alias(name) for name, c in _logit_columns().items()])
+
+
+def with_logps(z: DataFrame) -> DataFrame:
+    return z.withColumn("logp", -nll("z", "target")).withColumn("ref_logp", -nll("ref_z", "target"))
 
 
 def token_logps(s: DataFrame) -> DataFrame:
-    return logits(s).withColumn("logp", -nll("z", "target")).withColumn("ref_logp", -nll("ref_z", "target"))
+    return with_logps(logits(s))
+
+
+def weighted_tokens(s: DataFrame, w) -> DataFrame:
+    """Tokens with their log-probabilities and the weight *w* of their scores, in one pass: both are columns of the same row."""
+    tokens = with_logps(s.withColumns(_logit_columns()))
+    return single(tokens).withColumn("w", w).withColumn("r", F.col("logp") - F.col("ref_logp"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
