@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Sampled keys for each bucket.
 SAMPLED = 32
@@ -38,11 +39,10 @@ def bucketed(df: DataFrame, order: str | list[str], buckets: int | None = None,
     step = max(1, len(sample) // buckets)
     marks = [tuple(r) for r in sample[step::step]]
     fan = max(1, math.isqrt(len(marks)))
-    key = keys.schema
-    table = spark.createDataFrame([(marks[::fan], [marks[a : a + fan] for a in range(0, len(marks), fan)])], f"_coarse array<{key.simpleString()}>, _fine array<array<{key.simpleString()}>>")
+    run = T.ArrayType(keys.schema)
+    table = spark.createDataFrame([(marks[::fan], [marks[a : a + fan] for a in range(0, len(marks), fan)])], T.StructType([T.StructField("_coarse", run), T.StructField("_fine", T.ArrayType(run))]))
     below = lambda marks: F.size(F.filter(marks, lambda m: m <= F.struct(*names)))
-    run = below(F.col("_coarse"))
-    cut = df.crossJoin(F.broadcast(table)).withColumn("_run", run)
+    cut = df.crossJoin(F.broadcast(table)).withColumn("_run", below(F.col("_coarse")))
     fine = F.when(F.col("_run") > 0, (F.col("_run") - 1) * fan + below(F.get("_fine", F.col("_run") - 1))).otherwise(0)
     return cut.withColumn(out, fine).drop("_coarse", "_fine", "_run")
 
