@@ -1,20 +1,22 @@
 """Partition layout: spreading rows over cores, sums and ranks in order without one window over a table.
 
-A scan works in two phases.  Splitters from a random sample of the keys cut the order into buckets of about equal size,
-whatever the keys are: sparse, negative, strings or several columns.  Buckets are summed, their totals alone meet in one
-window, and each bucket's own running sum is added to what lies before it.  Splitters change how rows are dealt, not the result.
+A scan works in two phases.  Spark's range partitioning cuts the order into buckets of about equal size, whatever the keys are:
+sparse, negative, strings or several columns.  Buckets are written once, so that a scan of a scan does not find the first one
+again for every use; their totals alone meet in one window, and each bucket's own running sum is added to what lies before it.
+How rows are dealt does not change the result.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Sampled keys for each bucket.
-SAMPLED = 32
+from quillon.sources.tables import staged
+
+#: Of an id that grows in a partition: the bits of the row's place, below those of the partition.
+PLACE_BITS = 33
+#: Tables of so many rows are sent to the tasks; greater ones are joined by a shuffle.
+SENT_ROWS = 100_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -27,24 +29,19 @@ def _names(order: str | list[str]) -> list[str]:
     return [order] if isinstance(order, str) else list(order)
 
 
+def _dealt(df: DataFrame, names: list[str], buckets: int | None) -> DataFrame:
+    spark = df.sparkSession
+    return df.repartitionByRange(buckets or 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *names)
+
+
 def bucketed(df: DataFrame, order: str | list[str], buckets: int | None = None, out: str = "_bucket") -> DataFrame:
-    """*df* with the number of its bucket: rows of smaller *order* have no greater one, and equal rows the same.
+    """*df* with the number of its bucket: rows of smaller *order* have no greater one, and equal rows the same.  Written once."""
+    return staged(_dealt(df, _names(order), buckets).withColumn(out, F.spark_partition_id()), "buckets")
 
-    The driver holds SAMPLED keys for each bucket, and tasks one key for each.  A row looks at about 2 * sqrt(buckets) of them.
-    """
-    names, spark = _names(order), df.sparkSession
-    buckets = buckets or 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    keys = df.select(*names)
-    sample = keys.orderBy(F.rand(17)).limit(buckets * SAMPLED).orderBy(*names).collect()
-    step = max(1, len(sample) // buckets)
-    marks = [tuple(r) for r in sample[step::step]]
-    fan = max(1, math.isqrt(len(marks)))
-    run = T.ArrayType(keys.schema)
-    table = spark.createDataFrame([(marks[::fan], [marks[a : a + fan] for a in range(0, len(marks), fan)])], T.StructType([T.StructField("_coarse", run), T.StructField("_fine", T.ArrayType(run))]))
-    below = lambda marks: F.size(F.filter(marks, lambda m: m <= F.struct(*names)))
-    cut = df.crossJoin(F.broadcast(table)).withColumn("_run", below(F.col("_coarse")))
-    fine = F.when(F.col("_run") > 0, (F.col("_run") - 1) * fan + below(F.get("_fine", F.col("_run") - 1))).otherwise(0)
-    return cut.withColumn(out, fine).drop("_coarse", "_fine", "_run")
+
+def sent(df: DataFrame) -> DataFrame:
+    """A written table to join with: sent to the tasks while it is small, so that no key gathers rows in one task."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
 
 
 def prefix_sums(df: DataFrame, order: str | list[str], value: str, out: str, buckets: int | None = None) -> DataFrame:
@@ -61,20 +58,36 @@ def prefix_sums(df: DataFrame, order: str | list[str], value: str, out: str, buc
     return local.join(F.broadcast(bases), "_bucket").withColumn(out, F.col("_base") + F.col("_local")).drop("_bucket", "_base", "_local")
 
 
-def ranked(df: DataFrame, order: str | list[str], out: str = "rank", keys: tuple[str, ...] = ()) -> DataFrame:
-    """*df* with the place of each row by *order*, from 0; with *keys* within its group, of any size.
+def ranked(df: DataFrame, order: str | list[str], out: str = "rank", keys: tuple[str, ...] = (), drop: tuple[str, ...] = ()) -> DataFrame:
+    """*df* with the place of each row by *order*, from 0; with *keys* within its group, of any size; without the columns *drop*.
 
-    Ranks of groups are places in one scan by group and order, less the place where the group begins, so a group that
-    holds most rows is cut like any other stretch of the order.
+    Rows are sorted by group and order, one shuffle, and numbered in their buckets as they are written.  A bucket's rows begin
+    where those before it end, less the place where their group begins, so a group that holds most rows is cut like
+    any other stretch of the order.
     """
     names = [*keys, *_names(order)]
-    placed = prefix_sums(df.withColumn("_one", F.lit(1).cast("long")), names, "_one", out).drop("_one")
-    if not keys:
-        return placed
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    starts = prefix_sums(counts, list(keys), "_n", "_start").select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_start")
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    return placed.join(starts, on).withColumn(out, F.col(out) - F.col("_start")).drop("_start", *[f"_k_{k}" for k in keys])
+    numbered = _dealt(df, names, None).sortWithinPartitions(*names).withColumn("_at", F.monotonically_increasing_id()).drop(*drop)
+    rows = staged(numbered, "ordered")
+    bucket = lambda at: F.shiftright(at, PLACE_BITS)
+    place = lambda at: F.col(at).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    rows = rows.withColumn("_bucket", bucket("_at"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as buckets
+    bases = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    shifts = bases.withColumnRenamed("_base", "_shift")
+    if keys:
+        bases = staged(bases, "bases")
+        first = rows.groupBy("_bucket", *keys).agg(F.min("_at").alias("_first")).withColumn("_first", F.min("_first").over(Window.partitionBy(*keys)))
+        begin = bases.select(F.col("_bucket").alias("_from"), F.col("_base").alias("_begin"))
+        first = first.withColumn("_from", bucket("_first")).join(F.broadcast(begin), "_from").join(F.broadcast(bases), "_bucket")
+        shifts = first.select("_bucket", *keys, (F.col("_base") - F.col("_begin") - place("_first")).alias("_shift"))
+    met = beside(rows, sent(staged(shifts, "shifts")), "_bucket", *keys)
+    return met.withColumn(out, place("_at") + F.col("_shift")).drop("_at", "_bucket", "_shift")
+
+
+def beside(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """*rows* with the columns of *table*, a row for each of *keys*, null equal to null."""
+    renamed = table.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in table.columns if c not in keys])
+    return rows.join(renamed, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*[f"_k_{k}" for k in keys])
 
 
 def inverse_cdf(df: DataFrame, order: str | list[str], weight: str, shares: list[float]) -> DataFrame:

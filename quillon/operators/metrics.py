@@ -91,12 +91,11 @@ def compare(df: DataFrame, *keys: str, got: str = "got", ref: str = "ref", order
 
     The median is the lower one, the slope goes through the origin, ranks are ordinal with ties by *order* (unique in a
     channel), and correlations need more than one value and some spread (else NaN).  Ranks come from scans over all channels and
-    medians from bounded sketches, so a channel may hold all rows.
+    medians from bounded sketches, so a channel may hold all rows; what *df* is made of is read once.
     """
     g, r = F.col(got), F.col(ref)
     rel = F.abs(g - r) / F.greatest(F.abs(r), F.lit(1e-12))
-    rows = df.select(*keys, order, got, ref, rel.alias("_rel"))
-    placed = ranked(ranked(rows, [got, order], "_rg", keys), [ref, order], "_rr", keys)
+    placed = ranked(ranked(df.select(*keys, order, got, ref), [got, order], "_rg", keys), [ref, order], "_rr", keys, drop=(order,)).withColumn("_rel", rel)
     many = (F.count(F.lit(1)) > 1) & (F.stddev_samp(g) > 0) & (F.stddev_samp(r) > 0)
     guard = lambda c: F.when(many, c).otherwise(F.lit(float("nan")))
     corr = lambda a, b: F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))  # noqa: E731  corr() divides by no spread
@@ -104,7 +103,7 @@ def compare(df: DataFrame, *keys: str, got: str = "got", ref: str = "ref", order
         F.count(F.lit(1)).alias("n"), F.max(F.abs(g - r)).alias("max_abs"), F.max("_rel").alias("rel_max"),
         (F.sum(g * r) / F.greatest(F.sum(r * r), F.lit(1e-30))).alias("slope"), guard(corr(g, r)).alias("corr"), guard(corr(F.col("_rg"), F.col("_rr"))).alias("spearman"),
     )
-    medians = quantiles(rows, "_rel", [0.5], *keys, kind=LOWER, out="_q").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.get("_q", F.lit(0)).alias("rel_median"))
+    medians = quantiles(placed.select(*keys, "_rel"), "_rel", [0.5], *keys, kind=LOWER, out="_q").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.get("_q", F.lit(0)).alias("rel_median"))
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     both = out.join(medians, on, "left") if keys else out.crossJoin(F.broadcast(medians))
     out = both.select(*keys, "n", "max_abs", "rel_median", "rel_max", "slope", "corr", "spearman")

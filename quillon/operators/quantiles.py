@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.layout import beside, sent
 from quillon.sources.tables import staged
 
 #: Size of a sketch, the share of ranks that bounds leave on either side, rows between bounds, and rounds of narrowing.
@@ -46,11 +47,10 @@ def _bounds(sketch: Column, r: Column, n: Column, slack: float) -> tuple[Column,
 
 
 def _meet(rows: DataFrame, bounds: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Each row beside the bounds of its group."""
+    """Each row beside the bounds of its group; these are sent to the tasks while they are few, so a group may hold all rows."""
     if not keys:
         return rows.crossJoin(F.broadcast(bounds))  # as many rows as ranks
-    renamed = bounds.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in bounds.columns if c not in keys])
-    return rows.join(renamed, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*[f"_k_{k}" for k in keys])
+    return beside(rows, sent(bounds), *keys)
 
 
 def quantiles(df: DataFrame, value: str | Column, probs: list[float], *keys: str, kind: str = LINEAR, out: str = "quantiles", inside: int = INSIDE) -> DataFrame:

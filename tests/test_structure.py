@@ -1,5 +1,6 @@
 """Dense states, block sketches, components, scans, exact quantiles, seeding and the report, beside numpy and loops."""
 
+import math
 import random
 
 import numpy as np
@@ -210,3 +211,21 @@ def test_report_without_texts(spark):
     assert [x["id"] for x in got[0]["medoids"]] == list(range(0, 20, 2)) and len(got[0]["others"]) == 5
     assert got[0]["n"] == 15 and got[0]["median_chars"] == 440 and got[1]["nearest"] == 0 and {t["term"] for t in got[0]["terms"]} == {"alpha", "beta"}
     assert got[0]["medoids"][9]["chosen"] is None and got[0]["eta_log_chosen"] == 0.0
+
+
+def _counting(spark, df, column):
+    """*df* with an accumulator of how often its rows are made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    return df.withColumn(column, F.udf(seen, df.schema[column].dataType).asNondeterministic()(column)), made
+
+
+def test_comparing_makes_its_rows_no_oftener_than_one_scan(spark):
+    df = spark.range(2000).select(F.col("id").alias("i"), F.lit("huge").alias("c"), F.col("id").cast("double").alias("got"), (F.col("id") * 2.0).alias("ref"))
+    df, made = _counting(spark, df, "got")
+    assert metrics.compare(df, "c").first()["spearman"] == pytest.approx(1)
+    assert made.value <= 3 * 2000  # sampled, once more where buckets are uneven, and dealt
