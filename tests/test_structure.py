@@ -229,3 +229,11 @@ def test_comparing_makes_its_rows_no_oftener_than_one_scan(spark):
     df, made = _counting(spark, df, "got")
     assert metrics.compare(df, "c").first()["spearman"] == pytest.approx(1)
     assert made.value <= 3 * 2000  # sampled, once more where buckets are uneven, and dealt
+
+
+def test_scans_of_scans_make_their_rows_no_oftener_than_one(spark):
+    df, made = _counting(spark, spark.range(2000).select("id", F.lit(1).cast("long").alias("x")), "x")
+    twice = layout.prefix_sums(layout.prefix_sums(df, "id", "x", "a"), "id", "x", "b")
+    got = layout.ranked(twice, ["x", "id"], "place").collect()
+    assert all(r["a"] == r["b"] == r["place"] == r["id"] for r in got) and len(got) == 2000
+    assert made.value <= 3 * 2000
