@@ -49,11 +49,11 @@ def classify_mismatch(saved: DataFrame, now: DataFrame, name: str) -> DataFrame:
     return both.withColumn("kind", kind)
 
 
-def classify_reproduction(stats: DataFrame) -> DataFrame:
-    """One verdict from channel statistics (see metrics.compare) with flags ``clean`` and ``basis_sensitive``."""
+def classify_reproduction(stats: DataFrame, *keys: str) -> DataFrame:
+    """One verdict, or one for each of *keys*, from channel statistics (see metrics.compare) with flags ``clean`` and ``basis_sensitive``."""
     many = F.col("n") > 1
     worst_slope = F.max_by("slope", F.when(many & F.col("basis_sensitive"), F.abs(F.col("slope") - 1)))
-    seen = stats.agg(
+    seen = stats.groupBy(*keys).agg(
         F.every("ok").alias("all_ok"), F.min(F.when(many & F.col("clean") & ~F.col("basis_sensitive"), F.col("corr"))).alias("clean_corr"),
         F.coalesce(worst_slope, F.lit(1.0)).alias("basis_slope"),
     )

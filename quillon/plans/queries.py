@@ -424,12 +424,11 @@ def q52_running_tokens(spark, sf):
 def q53_reproduction_verdict(spark, sf):
     s = sketches(spark, sf).select("vec_id", F.get("u", F.lit(0)).alias("x"), F.get("u", F.lit(1)).alias("y"))
     cases = {"exact": (F.col("x"), F.col("y")), "reparameterised": (F.col("x"), F.col("y") * -0.5), "drifted": (F.col("x") * 1.02, F.col("y")), "different": (F.col("y"), F.col("x"))}
-    out = []
-    for name, (clean, basis) in cases.items():
-        long = s.select(F.col("vec_id").alias("i"), F.explode(F.array(F.struct(F.lit("norms").alias("channel"), clean.alias("got"), F.col("x").alias("ref")), F.struct(F.lit("products").alias("channel"), basis.alias("got"), F.col("y").alias("ref")))).alias("c"))
-        stats = metrics.compare(long.select("i", "c.*"), "channel").withColumns({"clean": F.col("channel") == "norms", "basis_sensitive": F.col("channel") == "products"})
-        out.append(identity.classify_reproduction(stats).select(F.lit(name).alias("copy"), "verdict"))
-    return _union(out)
+    channel = lambda copy, c, got, ref: F.struct(F.lit(copy).alias("copy"), F.lit(c).alias("channel"), got.alias("got"), F.col(ref).alias("ref"))
+    each = [x for copy, (clean, basis) in cases.items() for x in (channel(copy, "norms", clean, "x"), channel(copy, "products", basis, "y"))]
+    long = s.select(F.col("vec_id").alias("i"), F.explode(F.array(*each)).alias("c")).select("i", "c.*")
+    stats = metrics.compare(long, "copy", "channel").withColumns({"clean": F.col("channel") == "norms", "basis_sensitive": F.col("channel") == "products"})
+    return identity.classify_reproduction(stats, "copy").select("copy", "verdict")
 
 
 @query

@@ -237,3 +237,11 @@ def test_scans_of_scans_make_their_rows_no_oftener_than_one(spark):
     got = layout.ranked(twice, ["x", "id"], "place").collect()
     assert all(r["a"] == r["b"] == r["place"] == r["id"] for r in got) and len(got) == 2000
     assert made.value <= 3 * 2000
+
+
+def test_verdicts_by_copy(spark):
+    rows = [(i, copy, c, x * by, x) for i in range(40) for copy, by in (("exact", 1.0), ("drifted", 1.02)) for c in ("norms", "products") for x in [1.0 + (i * 7 % 11)]]
+    stats = metrics.compare(spark.createDataFrame(rows, "i long, copy string, channel string, got double, ref double"), "copy", "channel")
+    stats = stats.withColumns({"clean": F.col("channel") == "norms", "basis_sensitive": F.col("channel") == "products"})
+    got = {r["copy"]: r["verdict"] for r in identity.classify_reproduction(stats, "copy").collect()}
+    assert got == {"exact": "EXACT", "drifted": "SAME MODEL, DRIFTED SUBSPACE"}
