@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions.hashing import hash32
 from quillon.functions.vectors import at_least, dot, norm
@@ -26,6 +28,10 @@ TERM = "[a-z][a-z']+"
 MIN_TERM_LENGTH, MIN_TERM_COUNT, TOP_TERMS, TOP_MEDOIDS = 3, 15, 12, 10
 DISPLAY_CHARS, SCATTER_POINTS = 1200, 4000
 
+#: The C library's logarithm.  Odds that are equal but for their last bit come in the order of their logarithms' last bits,
+#: and F.log rounds some of these another way.
+_log = F.udf(math.log, T.DoubleType())
+
 
 def eta_squared(df: DataFrame, value, cluster: str) -> DataFrame:
     """The share of the spread of *value* that lies between clusters; 0 without spread.  One pass of sums."""
@@ -50,7 +56,7 @@ def distinctive_terms(docs: DataFrame, text: str, cluster: str, top: int = TOP_T
     corpus = counts.groupBy("term").agg(F.sum("c").alias("tot"))
     own = counts.groupBy(cluster).agg(F.sum("c").alias("n_k"))
     whole = corpus.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("v"), F.greatest(F.coalesce(F.sum("tot"), F.lit(0)), F.lit(1)).alias("n_all"))
-    odds = F.log(((F.col("c") + 1) / (F.col("n_k") + F.col("v"))) / ((F.col("tot") + 1) / (F.col("n_all") + F.col("v"))))
+    odds = _log(((F.col("c") + 1) / (F.col("n_k") + F.col("v"))) / ((F.col("tot") + 1) / (F.col("n_all") + F.col("v"))))
     scored = counts.where(F.col("c") >= least).join(corpus, "term").join(F.broadcast(own), cluster).crossJoin(F.broadcast(whole)).withColumn("logodds", odds)
     rank = F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("logodds"), F.desc("term"), F.desc("c")))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select(cluster, "rank", "term", "c", "logodds")

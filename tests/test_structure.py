@@ -245,3 +245,13 @@ def test_verdicts_by_copy(spark):
     stats = stats.withColumns({"clean": F.col("channel") == "norms", "basis_sensitive": F.col("channel") == "products"})
     got = {r["copy"]: r["verdict"] for r in identity.classify_reproduction(stats, "copy").collect()}
     assert got == {"exact": "EXACT", "drifted": "SAME MODEL, DRIFTED SUBSPACE"}
+
+
+def test_odds_have_the_last_bits_of_the_c_library(spark):
+    terms = {f"term{chr(97 + i // 26)}{chr(97 + i % 26)}": (15 + i, i * 5 % 7) for i in range(150)}
+    docs = [(lang, " ".join(" ".join([t] * n[k]) for t, n in terms.items())) for k, lang in enumerate("ab")]
+    got = inspection.distinctive_terms(spark.createDataFrame(docs, "lang string, text string"), "text", "lang", top=150).where("lang = 'a'").collect()
+    n_a, n_all, v = sum(n[0] for n in terms.values()), sum(sum(n) for n in terms.values()), len(terms)
+    want = {t: math.log(((n[0] + 1) / (n_a + v)) / ((sum(n) + 1) / (n_all + v))) for t, n in terms.items()}
+    assert {r["term"]: r["logodds"] for r in got} == want
+    assert [r["term"] for r in sorted(got, key=lambda r: r["rank"])] == sorted(want, key=lambda t: (want[t], t), reverse=True)
