@@ -78,9 +78,9 @@ def throughput(runs: DataFrame, rows: str, seconds: str, total: int, shards: int
 
 
 def sort_matched(pairs: DataFrame, left: Column, right: Column, batch: str, key: str = "pair_id", beta: float = 0.1, eps: float = 0.0) -> DataFrame:
-    """Within each batch both columns sorted and matched rank by rank (W11); ties by key."""
+    """Within each batch both columns sorted and matched rank by rank (W11); ties by key, pairs without a side last."""
     base = pairs.select(batch, key, left.alias("_l"), right.alias("_r"))
-    rank = lambda c: F.row_number().over(Window.partitionBy(batch).orderBy(c, key))
+    rank = lambda c: F.row_number().over(Window.partitionBy(batch).orderBy(F.asc_nulls_last(c), key))
     a = base.select(batch, "_l", rank("_l").alias("rank"))
     b = base.select(batch, "_r", rank("_r").alias("rank"))
     return a.join(b, [batch, "rank"]).select(batch, "rank", smoothed(beta * (F.col("_l") - F.col("_r")), eps).alias("loss"))

@@ -255,3 +255,10 @@ def test_odds_have_the_last_bits_of_the_c_library(spark):
     want = {t: math.log(((n[0] + 1) / (n_a + v)) / ((sum(n) + 1) / (n_all + v))) for t, n in terms.items()}
     assert {r["term"]: r["logodds"] for r in got} == want
     assert [r["term"] for r in sorted(got, key=lambda r: r["rank"])] == sorted(want, key=lambda t: (want[t], t), reverse=True)
+
+
+def test_pairs_without_a_side_sort_last(spark):
+    rows = [(0, 0, 2.0, None), (0, 1, None, 0.5), (0, 2, 1.0, 0.25)]
+    got = metrics.sort_matched(spark.createDataFrame(rows, "batch int, pair_id int, l double, r double"), F.col("l"), F.col("r"), "batch").collect()
+    want = {1: math.log1p(math.exp(-0.075)), 2: math.log1p(math.exp(-0.15)), 3: None}
+    assert {r["rank"]: r["loss"] for r in got} == {k: x if x is None else pytest.approx(x) for k, x in want.items()}
