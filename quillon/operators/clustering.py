@@ -28,6 +28,8 @@ ROUNDS, DRAWN, SETTLED = 5, 256, 3
 # The numbers of clusters of a sweep, and the pairs of a cosine diagnostic.
 K_SWEEP = (2, 4, 8, 16, 32, 64, 128)
 PAIR_SAMPLE = 200_000
+#: Points that a task holds against the centroids at a time, so that their cosines stay in its cache.
+CHUNK = 512
 #: Points that are sent to the tasks that draw pairs take no more.
 SENT_BYTES = 64 << 20
 PAIR_QUANTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
@@ -119,8 +121,10 @@ def _converged(rows: DataFrame, found: dict, dim: int, iterations: int) -> dict:
         if not live:
             break
         sums = _sums(rows, {r: found[r] for r in live}, dim)
+        empty = {r: [k for k in range(len(found[r])) if k not in sums[r]] for r in live if r in sums}
+        worst = _worst(rows, found, {r: ks for r, ks in empty.items() if ks})
         for r in live:
-            found[r], objective = _moved(rows, found[r], sums.get(r, {}))
+            found[r], objective = _moved(found[r], sums.get(r, {}), worst.get(r, {}))
             if objective is None or objective - best[r] < TOLERANCE:
                 done.add(r)
             else:
@@ -152,10 +156,17 @@ def k_sweep(points: DataFrame, v: str, id: str, dim: int, ks: tuple[int, ...] =
 
 def _near(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centroid of each row, the first among equals, and the cosine to it."""
-    size = np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None] * np.maximum(np.linalg.norm(centers, axis=1), 1e-12)
-    cos = x @ centers.T / size
-    k = cos.argmax(1)
-    return k, cos[np.arange(len(x)), k]
+    k, cos = np.zeros(len(x), np.int64), np.zeros(len(x))
+    c = _units(centers).T
+    for a in range(0, len(x), CHUNK):
+        each = _units(x[a : a + CHUNK]) @ c
+        k[a : a + CHUNK] = each.argmax(1)
+        cos[a : a + CHUNK] = each[np.arange(len(each)), k[a : a + CHUNK]]
+    return k, cos
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -296,24 +307,28 @@ def _sums(rows: DataFrame, centers: dict, dim: int) -> dict:
     """For each run its clusters' (members, sum of cosines, sum of vectors); tasks send one row for each cluster."""
     order = list(centers)
 
+    ends = np.cumsum([0, *(len(centers[r]) for r in order)])
+    run = np.repeat(np.arange(len(order)), np.diff(ends))
+    all_ = np.vstack([_units(centers[r]) for r in order]).T
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = [np.zeros(len(centers[r]), np.int64) for r in order]
-        s = [np.zeros(len(centers[r])) for r in order]
-        total = [np.zeros((len(centers[r]), dim)) for r in order]
+        n, s, total = np.zeros(len(run), np.int64), np.zeros(len(run)), np.zeros((len(run), dim))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch)
-            for i, r in enumerate(order):
-                k, cos = _near(x, centers[r])
-                n[i] += np.bincount(k, minlength=len(n[i]))
-                s[i] += np.bincount(k, cos, len(n[i]))
-                np.add.at(total[i], k, x)
-        for i in range(len(order)):
-            some = np.flatnonzero(n[i])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(some), i)), pa.array(some), pa.array(n[i][some]), pa.array(s[i][some]), pa.array(total[i][some].tolist(), pa.list_(pa.float64()))], names=["run", "k", "n", "s", "v"]
-            )
+            x = _matrix(batch) if batch.num_rows else np.zeros((0, dim))
+            for a in range(0, len(x), CHUNK):
+                own = x[a : a + CHUNK]
+                cos = _units(own) @ all_
+                member, at = np.zeros_like(cos), np.arange(len(own))
+                for first, end in zip(ends[:-1], ends[1:]):
+                    k = cos[:, first:end].argmax(1) + first
+                    member[at, k] = 1
+                    n += np.bincount(k, minlength=len(n))
+                    s += np.bincount(k, cos[at, k], len(s))
+                total += member.T @ own
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(run[some]), pa.array(some - ends[run[some]]), pa.array(n[some]), pa.array(s[some]), pa.array(total[some].tolist(), pa.list_(pa.float64()))], names=["run", "k", "n", "s", "v"]
+        )
 
     parts = rows.mapInArrow(add, "run long, k long, n long, s double, v array<double>")
     sums = parts.groupBy("run", "k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(dim)]).alias("v"))
@@ -323,18 +338,37 @@ def _sums(rows: DataFrame, centers: dict, dim: int) -> dict:
     return out
 
 
-def _moved(rows: DataFrame, centers: np.ndarray, sums: dict) -> tuple[np.ndarray, float | None]:
-    """The next centroids of a run, and the objective of the assignment before them."""
+def _worst(rows: DataFrame, centers: dict, empty: dict) -> dict:
+    """O4 for each run of *empty*: as many points with the least cosine to their centroid, ties by id, in one pass over the points."""
+    order = list(empty)
+    if not order:
+        return {}
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = [[] for _ in order]
+        for batch in batches:
+            if batch.num_rows:
+                x, ids = _matrix(batch), batch.column("id").to_numpy()
+                for i, r in enumerate(order):
+                    cos = _near(x, centers[r])[1]
+                    some = np.lexsort((ids, cos))[: len(empty[r])]
+                    held[i] = sorted(held[i] + [(cos[j], ids[j], x[j].tolist()) for j in some])[: len(empty[r])]
+        flat = [(i, *q) for i, own in enumerate(held) for q in own]
+        yield pa.RecordBatch.from_arrays([pa.array([q[k] for q in flat], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64())))], names=["run", "cos", "id", "v"])
+
+    found: dict = {r: [] for r in order}
+    for q in rows.mapInArrow(least, "run long, cos double, id long, v array<double>").orderBy("run", "cos", "id").collect():  # a row for each empty cluster and task
+        found[order[q["run"]]].append(q["v"])
+    return {r: dict(zip(empty[r], v)) for r, v in found.items()}
+
+
+def _moved(centers: np.ndarray, sums: dict, worst: dict) -> tuple[np.ndarray, float | None]:
+    """The next centroids of a run, empty ones from *worst*, and the objective of the assignment before them."""
     total = sum(n for n, _, _ in sums.values())
     if not total:
         return centers, None
-    new = np.array([sums[k][2] if k in sums else np.zeros(centers.shape[1]) for k in range(len(centers))])
-    empty = [k for k in range(len(centers)) if k not in sums]
-    if empty:
-        table = _table(rows, centers.tolist())
-        for k, r in zip(empty, worst_fit(nearest_centroid(rows, table, "v"), "id", len(empty)).collect()):
-            new[k] = r["v"]
-    return new / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12), sum(s for _, s, _ in sums.values()) / total
+    new = np.array([sums[k][2] if k in sums else worst.get(k, np.zeros(centers.shape[1])) for k in range(len(centers))])
+    return _units(new), sum(s for _, s, _ in sums.values()) / total
 
 
 def sizes(assigned: DataFrame, k: int, cluster: str = "cluster") -> DataFrame:

@@ -262,3 +262,27 @@ def test_pairs_without_a_side_sort_last(spark):
     got = metrics.sort_matched(spark.createDataFrame(rows, "batch int, pair_id int, l double, r double"), F.col("l"), F.col("r"), "batch").collect()
     want = {1: math.log1p(math.exp(-0.075)), 2: math.log1p(math.exp(-0.15)), 3: None}
     assert {r["rank"]: r["loss"] for r in got} == {k: x if x is None else pytest.approx(x) for k, x in want.items()}
+
+
+def test_empty_clusters_of_all_runs_are_filled_in_one_pass(spark, monkeypatch):
+    x = np.random.default_rng(31).normal(size=(300, 5))
+    rows = vectors(spark, x).repartition(3)
+    monkeypatch.setattr(clustering, "worst_fit", None)  # not a pass for each run
+    found = {("a", 0): np.vstack([x[:2], -1e9 * np.ones((0, 5)), x[1:2], x[1:2]]), ("b", 0): np.vstack([x[3:5], x[4:5]])}
+    got = clustering._converged(rows, found, 5, 1)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for r, n in (("a", 0), 2), (("b", 0), 1):
+        c = found[r] / np.linalg.norm(found[r], axis=1, keepdims=True)
+        cos = (u @ c.T).max(1)
+        assert np.allclose(got[r][-n:], u[np.lexsort((np.arange(300), cos))[:n]])
+
+
+def test_sums_of_all_runs_are_those_of_loops(spark):
+    x = np.random.default_rng(32).normal(size=(1500, 7))
+    centers = {(k, s): np.random.default_rng([k, s]).normal(size=(k, 7)) for k in (2, 5) for s in (0, 1)}
+    got = clustering._sums(vectors(spark, x).repartition(3), centers, 7)
+    for r, c in centers.items():
+        cos = (x @ c.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(c, axis=1)
+        for k in range(len(c)):
+            own = cos.argmax(1) == k
+            assert got[r][k][0] == own.sum() and np.isclose(got[r][k][1], cos[own, k].sum()) and np.allclose(got[r][k][2], x[own].sum(0))
