@@ -108,7 +108,7 @@ def _signed(weighted: bool):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            for a, b in slices(texts, 4 * SLICE_BYTES):  # darts are thrown for many texts at once
+            for a, b in slices(texts, SLICE_BYTES):  # darts are thrown for many texts at once, few enough for a small worker
                 n = b - a
                 h, weight, own = _elements(texts.slice(a, n), weighted)
                 signatures = dart_signatures(h, weight.astype(float), own, n)

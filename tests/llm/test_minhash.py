@@ -121,3 +121,17 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
         kept = [tuple(x) for x in minhash.keep_one(df, weighted=weighted).collect()]
         assert sorted((i, x) for i, x, _ in kept if i is not None and x and x.strip()) == sorted([(3, t), (5, u)])
         assert Counter(i for i, _, _ in kept) == Counter({3: 1, 5: 3, None: 2})
+
+
+def test_signatures_take_no_more_text_at_a_time_than_a_slice(monkeypatch):
+    import pyarrow as pa
+
+    from quillon.llm import minhash
+    from quillon.llm.tokens import SLICE_BYTES
+
+    seen, elements = [], minhash._elements
+    monkeypatch.setattr(minhash, "_elements", lambda texts, weighted: seen.append(sum(map(len, texts.to_pylist()))) or elements(texts, weighted))
+    texts = [f"one two three four five{i} " * 4000 for i in range(30)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(30)), "text_hash": list(range(30)), "text": texts})
+    assert sum(b.num_rows for b in minhash._signed(True)(iter([batch]))) == 30
+    assert max(seen) <= SLICE_BYTES
