@@ -369,6 +369,7 @@ def _repeats(homes: int):
             data = b"".join(bytes_)
             ends = np.cumsum(rows["size"].astype(np.int64))
             content = [data[e - n : e] for e, n in zip(ends.tolist(), rows["size"].tolist())]
+            del blobs, bytes_, data  # copies of what is held now
             stay, gone = _alone(rows, content)
             found = [_marks(rows[gone])]
             order = stay[np.argsort(rows["key"][stay], kind="stable")]
@@ -429,14 +430,16 @@ def repeated_windows_of(df: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(n, int(size // BUCKET_BYTES))
+    # Each file that a task writes starts a process that shares the executor's memory for a moment: few files for little text.
+    files = max(spark.sparkContext.defaultParallelism, int(size // BUCKET_BYTES))
     md5 = F.md5(F.col("text").cast("binary"))
-    firsts = staged(docs.groupBy("hash", md5.alias("md5")).agg(F.min("doc").alias("first")), "first-copies")
+    firsts = staged(docs.groupBy("hash", md5.alias("md5")).agg(F.min("doc").alias("first")).coalesce(files), "first-copies")
     # A bucket is a partition, so that there are more tasks for more text; marks have the bucket -1 - b and go with b.
     at = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket")).cast("int")
     dealt = docs.select("hash", "text").transform(map_arrow, _anchors(buckets), "bucket long, rows binary").repartitionById(buckets, at)
     told = dealt.transform(map_arrow, _shared(buckets), "bucket long, rows binary").repartitionById(buckets, at)
     shared = told.transform(map_arrow, _by_document(ANCHOR, KEY), "hash long, found binary")
-    shared = staged(firsts.join(shared, "hash", "left"), "first-minimizers")
+    shared = staged(firsts.join(shared, "hash", "left").coalesce(files), "first-minimizers")
     del dealt, told
     release(spark)
 
@@ -448,7 +451,7 @@ def repeated_windows_of(df: DataFrame) -> DataFrame:
     dealt = of_texts(shared).transform(map_arrow, _segments(buckets), "bucket long, rows binary, bytes binary").repartitionById(buckets, at)
     marks = dealt.transform(map_arrow, _repeats(buckets), "bucket long, rows binary").repartitionById(buckets, at)
     found = marks.transform(map_arrow, _by_document(MARK, SPAN), "hash long, found binary")
-    found = staged(firsts.join(found, "hash", "left"), "first-marks")
+    found = staged(firsts.join(found, "hash", "left").coalesce(files), "first-marks")
     del dealt, marks
     release(spark)
     return of_texts(found).select("doc", "known", "first", "text", "found")

@@ -78,3 +78,18 @@ def test_greatest_id_is_no_null(spark):
     rows = [(2**63 - 1, text + " x"), (-(2**63), text), (None, text + " y")]
     got = {r["doc_id"]: r["n_removed"] for r in substrings.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {2**63 - 1: len(text), -(2**63): 0, None: len(text)}
+
+
+def test_little_text_is_staged_in_few_files(spark, monkeypatch):
+    from quillon.llm import substrings
+
+    parts, staged = [], substrings.staged
+    monkeypatch.setattr(substrings, "staged", lambda df, name: parts.append(df.rdd.getNumPartitions()) or staged(df, name))
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        substrings.repeated_windows_of(spark.createDataFrame([(i, f"text {i % 3} " * 30) for i in range(12)], "doc_id long, text string"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) == 3 and max(parts) <= spark.sparkContext.defaultParallelism
