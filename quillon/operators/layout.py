@@ -1,14 +1,14 @@
 """Partition layout: spreading rows over cores, sums and ranks in order without one window over a table.
 
 A scan works in two phases.  Spark's range partitioning cuts the order into buckets of about equal size, whatever the keys are:
-sparse, negative, strings or several columns.  Buckets are written once, so that a scan of a scan does not find the first one
-again for every use; their totals alone meet in one window, and each bucket's own running sum is added to what lies before it.
-How rows are dealt does not change the result.
+sparse, negative, strings or several columns.  Each bucket is one task, and is written once with its own running sums, so that a
+scan of a scan does not find the first one again for every use.  Buckets' totals alone meet in one window, and what lies before
+a bucket is added to its sums.  How rows are dealt does not change the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.sources.tables import staged
@@ -29,14 +29,17 @@ def _names(order: str | list[str]) -> list[str]:
     return [order] if isinstance(order, str) else list(order)
 
 
-def _dealt(df: DataFrame, names: list[str], buckets: int | None) -> DataFrame:
-    spark = df.sparkSession
-    return df.repartitionByRange(buckets or 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *names)
+def _buckets(spark: SparkSession) -> int:
+    return 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def _cut(df: DataFrame, names: list[str], buckets: int, out: str) -> DataFrame:
+    return df.repartitionByRange(buckets, *names).withColumn(out, F.spark_partition_id())
 
 
 def bucketed(df: DataFrame, order: str | list[str], buckets: int | None = None, out: str = "_bucket") -> DataFrame:
     """*df* with the number of its bucket: rows of smaller *order* have no greater one, and equal rows the same.  Written once."""
-    return staged(_dealt(df, _names(order), buckets).withColumn(out, F.spark_partition_id()), "buckets")
+    return staged(_cut(df, _names(order), buckets or _buckets(df.sparkSession), out), "buckets")
 
 
 def sent(df: DataFrame) -> DataFrame:
@@ -44,18 +47,19 @@ def sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT_ROWS else df
 
 
-def prefix_sums(df: DataFrame, order: str | list[str], value: str, out: str, buckets: int | None = None) -> DataFrame:
-    """*df* with the sum of *value* over rows of smaller *order*; of rows that are equal in it any may come first.
+def prefix_sums(df: DataFrame, order: str | list[str], value: str, out: str, buckets: int | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+    """*df* with the sum of *value* over rows of smaller *order*, without the columns *drop*; of rows equal in *order* any may come first.
 
-    Nulls come first, as in Spark's order.  *order* should be unique: rows that share a key share a bucket.
+    Nulls come first, as in Spark's order.  *order* should be unique: rows that share a key share a bucket.  Buckets go to tasks
+    by their numbers, since hashes of so few numbers would put several in one task and none in others.
     """
-    names = _names(order)
-    cut = bucketed(df, names, buckets)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as buckets
-    bases = cut.groupBy("_bucket").agg(F.sum(value).alias("_total")).select("_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    names, n = _names(order), buckets or _buckets(df.sparkSession)
     within = Window.partitionBy("_bucket").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    local = cut.withColumn("_local", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return local.join(F.broadcast(bases), "_bucket").withColumn(out, F.col("_base") + F.col("_local")).drop("_bucket", "_base", "_local")
+    cut = _cut(df, names, n, "_bucket").repartitionById(n, "_bucket")
+    local = staged(cut.withColumn("_local", F.coalesce(F.sum(value).over(within), F.lit(0))).drop(*(c for c in drop if c != value)), "sums")
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as buckets
+    bases = local.groupBy("_bucket").agg(F.sum(value).alias("_total")).select("_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    return local.join(F.broadcast(bases), "_bucket").withColumn(out, F.col("_base") + F.col("_local")).drop("_bucket", "_base", "_local", *drop)
 
 
 def ranked(df: DataFrame, order: str | list[str], out: str = "rank", keys: tuple[str, ...] = (), drop: tuple[str, ...] = ()) -> DataFrame:
@@ -66,7 +70,7 @@ def ranked(df: DataFrame, order: str | list[str], out: str = "rank", keys: tuple
     any other stretch of the order.
     """
     names = [*keys, *_names(order)]
-    numbered = _dealt(df, names, None).sortWithinPartitions(*names).withColumn("_at", F.monotonically_increasing_id()).drop(*drop)
+    numbered = df.repartitionByRange(_buckets(df.sparkSession), *names).sortWithinPartitions(*names).withColumn("_at", F.monotonically_increasing_id()).drop(*drop)
     rows = staged(numbered, "ordered")
     bucket = lambda at: F.shiftright(at, PLACE_BITS)
     place = lambda at: F.col(at).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))

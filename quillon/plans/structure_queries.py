@@ -127,11 +127,11 @@ def q114_provenance_guard(spark, sf):
 @query
 def q115_order_scans(spark, sf):
     """Running sums and ranks by keys that are sparse, negative, strings or pairs, over whole tables."""
-    e = table(spark, sf, "events").select("event_id", "event_type", "user_id", F.coalesce("value", F.lit(0.0)).alias("value"))
-    e = e.withColumns({"cents": F.floor(F.col("value") * 100).cast("long"), "name": F.md5(F.col("event_id").cast("string"))})
-    by_name = layout.prefix_sums(e, "name", "cents", "before_name")
-    by_pair = layout.prefix_sums(by_name, ["user_id", "event_id"], "cents", "before_pair")
-    placed = layout.ranked(by_pair, ["cents", "event_id"], "place", keys=("event_type",))
+    cents = F.floor(F.coalesce("value", F.lit(0.0)) * 100).cast("long")
+    e = table(spark, sf, "events").select("event_id", "event_type", "user_id", cents.alias("cents"), F.md5(F.col("event_id").cast("string")).alias("name"))
+    by_name = layout.prefix_sums(e, "name", "cents", "before_name", drop=("name",))
+    by_pair = layout.prefix_sums(by_name, ["user_id", "event_id"], "cents", "before_pair", drop=("user_id",))
+    placed = layout.ranked(by_pair, ["cents", "event_id"], "place", keys=("event_type",), drop=("cents",))
     return placed.select("event_id", "event_type", "before_name", "before_pair", "place")
 
 

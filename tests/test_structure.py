@@ -286,3 +286,11 @@ def test_sums_of_all_runs_are_those_of_loops(spark):
         for k in range(len(c)):
             own = cos.argmax(1) == k
             assert got[r][k][0] == own.sum() and np.isclose(got[r][k][1], cos[own, k].sum()) and np.allclose(got[r][k][2], x[own].sum(0))
+
+
+def test_running_sums_are_written_a_bucket_a_task(spark):
+    got = layout.prefix_sums(spark.range(3200).select("id", F.lit(1).cast("long").alias("x")), "id", "x", "s", buckets=16)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1  # of the buckets' totals; that of the rows is done
+    files = spark.read.parquet(*got.inputFiles()).groupBy(F.input_file_name()).agg(F.count("id").alias("n"), F.count_distinct("_bucket").alias("buckets")).collect()
+    assert len(files) == 16 and all(r["n"] < 400 and r["buckets"] == 1 for r in files)
+    assert all(r["s"] == r["id"] for r in got.collect())
